@@ -89,7 +89,7 @@ def spoken_numbers(rows: DataFrame, text: str, out: str) -> DataFrame:
 
 _END = re.compile(r"(?<=[.!?])\s+(?=[A-ZÀ-Þ])")
 # Abbreviations that end no sentence.
-ABBREVIATIONS = frozenset("mr mrs ms dr st no vs jr sr inc co dept gov".split())
+ABBREVIATIONS = frozenset("mr mrs ms dr st vs jr sr inc co dept gov".split())
 
 
 def sentences_of(text: str) -> list[str]:

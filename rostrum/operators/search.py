@@ -55,7 +55,8 @@ def refreshed(index: Index, docs: DataFrame, changed: DataFrame, id_: str, text:
     """
     ids = changed.select("id").distinct()
     old = index.terms.join(ids, "id", "left_semi")
-    new = postings(docs.join(ids, F.col(id_) == F.col("id"), "left_semi"), id_, text)
+    changed_docs = docs.join(ids.select(F.col("id").alias("_changed")), F.col(id_) == F.col("_changed"), "left_semi")
+    new = postings(changed_docs, id_, text)
     change = old.select("term", F.lit(-1).alias("d")).unionByName(new.select("term", F.lit(1).alias("d")))
     df = index.df.select("term", F.col("df").alias("d")).unionByName(change).groupBy("term").agg(F.sum("d").alias("df")).filter("df > 0")
     terms = index.terms.join(ids, "id", "left_anti").unionByName(new)
