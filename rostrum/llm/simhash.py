@@ -40,14 +40,15 @@ def terms(text: Column, k: int = WORDS) -> Column:
     words = F.filter(F.split(shared.fold_ascii_col(text), r"[\x20\x09-\x0D]+"), lambda w: w != "")
     codes = F.transform(words, lambda w: F.xxhash64(w))
 
-    def shingle(c: Column) -> Column:
-        at = lambda i, j: F.get(c, i + j)
-        return F.transform(
-            F.sequence(F.lit(0), F.greatest(F.size(c) - k, F.lit(0))),
-            lambda i: F.xxhash64(*[at(i, j) for j in range(k)]),
-        )
-
-    return F.when(F.size(codes) > 0, shingle(codes)).otherwise(F.array().cast("array<bigint>"))
+    def shingles(c: Column) -> Column:
+        starts = F.sequence(F.lit(0), F.greatest(F.size(c) - k, F.lit(0)))
+        return F.transform(starts, lambda i: F.xxhash64(*[F.get(c, i + j) for j in range(k)]))
+
+    def of(c: Column) -> Column:
+        return F.when(F.size(c) > 0, shingles(c)).otherwise(F.array().cast("array<bigint>"))
+
+    # the codes are bound once: a lambda would work out an outer expression again for every shingle
+    return F.get(F.transform(F.array(codes), of), F.lit(0))
 
 
 def fingerprints(rows: DataFrame, keys: list[str], text: str = "text", k: int = WORDS) -> DataFrame:
