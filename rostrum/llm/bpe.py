@@ -5,7 +5,7 @@ characters.  A block carries its distinct words once, as arrays of byte tokens,
 document as indexes into them.  Spark higher-order functions then fold the ranked merges
 over every distinct word: the state holds the word's tokens and the rank of each
 neighbouring pair, each step merges the leftmost pair of least rank, and ranks come from a
-literal map (an array of small maps, so that a lookup costs the same for any size of table).
+literal map (a table without collisions, so that a lookup costs the same for any number of ranks).
 At last each document's tokens are put together and decoded by concatenating the binary
 pieces.  Nothing is shuffled, and a block's size bounds what a task holds; a text longer
 than a block is a block of its own.
@@ -35,11 +35,11 @@ from pyspark.sql import functions as F
 
 #: Characters of text in a block, and bytes from which a word is merged with a heap.
 BLOCK_CHARS, LONG_WORD = 12_000_000, 200
-#: Small maps in the literal rank map.
-BUCKETS = 1 << 16
-_SPREAD = 40_503
+#: Places in the literal rank map, first hashes that move a pair's place, and the number from which a rank is none.
+SLOTS, MOVES, NONE = 1 << 18, 1 << 15, 1 << 20
+_MIX = (668_265_263, 374_761_393, 461_845_907, 2_246_822_519)
 
-_BLOCK = "doc_id array<bigint>, used array<array<int>>, words array<array<int>>, long array<array<int>>"
+_BLOCK = "doc_id array<bigint>, used array<array<int>>, words array<array<bigint>>, long array<array<int>>"
 
 
 @dataclass(frozen=True)
@@ -94,15 +94,56 @@ class Ranks:
         return [t for t in ids if t >= 0]
 
 
-def literal_map(ranks: Ranks) -> Column:
-    """The literal rank map: pair -> token, as an array of small maps with a pair's entry at its hash."""
-    maps: list[dict[str, list[int]]] = [{"k": [], "t": []} for _ in range(BUCKETS)]
-    for (a, b), token in ranks.pairs.items():
-        own = maps[(a * _SPREAD + b) % BUCKETS]
-        own["k"].append(a << 32 | b)
-        own["t"].append(token)
-    # parsed once, by constant folding
-    return F.from_json(F.lit(json.dumps(maps, separators=(",", ":"))), "array<struct<k:array<bigint>,t:array<int>>>")
+@dataclass(frozen=True)
+class PairMap:
+    """The literal rank map: a table without collisions from pairs of tokens to tokens.
+
+    ``slots`` holds, at a pair's place, the pair and its token in one number; a pair's place is
+    its second hash moved by what ``moves`` has at its first hash.
+    """
+
+    slots: Column
+    moves: Column
+
+    @classmethod
+    def of(cls, ranks: Ranks) -> PairMap:
+        slots, moves = place_pairs(ranks.pairs)
+        literal = lambda x, kind: F.from_json(F.lit(json.dumps(x.tolist(), separators=(",", ":"))), f"array<{kind}>")  # noqa: E731  parsed once, by constant folding
+        return cls(literal(slots, "bigint"), literal(moves, "bigint"))
+
+    def rank(self, a: Column, b: Column) -> Column:
+        """The token that a pair merges to, or a number from ``NONE`` on."""
+        first = F.shiftright(a * _MIX[0] + b * _MIX[1], 11).bitwiseAND(F.lit(MOVES - 1)).cast("int")
+        second = F.shiftright(a * _MIX[2] + b * _MIX[3], 9)
+        place = (second + F.get(self.moves, first)).bitwiseAND(F.lit(SLOTS - 1)).cast("int")
+        # the pair cancels out where it is the one in the slot
+        return F.get(self.slots, place).bitwiseXOR(F.shiftleft(a, 40) + F.shiftleft(b, 20))
+
+
+def place_pairs(pairs: dict[tuple[int, int], int]) -> tuple[np.ndarray, np.ndarray]:
+    """Slots and moves for ``PairMap``: the pairs of a full bucket are placed first, each bucket by the least move that fits."""
+    keys = np.array([(a, b, t) for (a, b), t in pairs.items()], dtype=np.int64).reshape(-1, 3)
+    a, b = keys[:, 0], keys[:, 1]
+    first = (a * _MIX[0] + b * _MIX[1]) >> 11 & (MOVES - 1)
+    second = (a * _MIX[2] + b * _MIX[3]) >> 9 & (SLOTS - 1)
+    moves, slots = np.zeros(MOVES, np.int64), np.full(SLOTS, ((1 << 40) - 1) << 20, np.int64)
+    taken = np.zeros(SLOTS, bool)
+    order = np.argsort(first, kind="stable")
+    starts = np.flatnonzero(np.r_[True, np.diff(first[order]) != 0]) if len(keys) else []
+    buckets = np.split(order, starts[1:]) if len(keys) else []
+    for own in sorted(buckets, key=len, reverse=True):
+        if len(set(second[own].tolist())) < len(own):
+            raise ValueError("two pairs have the same hashes")
+        for move in range(SLOTS):
+            at = second[own] + move & (SLOTS - 1)
+            if not taken[at].any():
+                break
+        else:
+            raise ValueError("the table is too small")
+        taken[at] = True
+        moves[first[own[0]]] = move
+        slots[at] = a[own] << 40 | b[own] << 20 | keys[own, 2]
+    return slots, moves
 
 
 def _let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -110,35 +151,30 @@ def _let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def fold(word: Column, table: Column) -> Column:
+def fold(word: Column, table: PairMap) -> Column:
     """The tokens of a word, given as an array of byte tokens."""
-    none = F.array().cast("array<int>")
-
-    def rank_of(a: Column, b: Column) -> Column:
-        # no pair has the rank 2^31 - 1
-        at = F.get(table, ((a.cast("long") * _SPREAD + b) % BUCKETS).cast("int"))
-        place = F.array_position(at["k"], F.shiftleft(a.cast("long"), 32) + b).cast("int")
-        return F.coalesce(F.get(at["t"], place - 1), F.lit(2**31 - 1))
+    none = F.array().cast("array<bigint>")
 
     def merge(s: Column, least: Column, p: Column) -> Column:
         """With the pair of tokens p and p + 1, counted from 1, as one token."""
         ids, ranks = s["ids"], s["ranks"]
-        left = F.when(p > 1, F.array(rank_of(F.get(ids, p - 2), least))).otherwise(none)
-        right = F.when(p < F.size(ranks), F.array(rank_of(least, F.get(ids, p + 1)))).otherwise(none)
+        n = F.size(ids)
+        left = F.when(p > 1, F.array(table.rank(F.get(ids, p - 2), least))).otherwise(none)
+        right = F.when(p < n - 1, F.array(table.rank(least, F.get(ids, p + 1)))).otherwise(none)
         return F.struct(
-            F.concat(F.slice(ids, F.lit(1), p - 1), F.array(least), F.slice(ids, p + 2, F.size(ids))).alias("ids"),
-            F.concat(F.slice(ranks, F.lit(1), F.greatest(p - 2, F.lit(0))), left, right, F.slice(ranks, p + 2, F.size(ids))).alias("ranks"),
+            F.concat(F.slice(ids, F.lit(1), p - 1), F.array(least), F.slice(ids, p + 2, n)).alias("ids"),
+            F.concat(F.slice(ranks, F.lit(1), F.greatest(p - 2, F.lit(0))), left, right, F.slice(ranks, p + 2, n)).alias("ranks"),
         )
 
     def step(s: Column, _: Column) -> Column:
         def of(least: Column) -> Column:
             merged = _let(F.array_position(s["ranks"], least).cast("int"), lambda p: merge(s, least, p))
-            return F.when(least < 2**31 - 1, merged).otherwise(s)
+            return F.when(least < NONE, merged).otherwise(s)
 
         return _let(F.array_min(s["ranks"]), of)
 
     n = F.size(word)
-    pairs = F.transform(F.sequence(F.lit(1), n - 1), lambda i: rank_of(F.get(word, i - 1), F.get(word, i)))
+    pairs = F.transform(F.sequence(F.lit(1), n - 1), lambda i: table.rank(F.get(word, i - 1), F.get(word, i)))
     start = F.struct(word.alias("ids"), pairs.alias("ranks"))
     folded = F.aggregate(F.sequence(F.lit(1), n - 1), start, step, lambda s: s["ids"])
     return F.when(n > 1, folded).otherwise(word)
@@ -152,7 +188,7 @@ def _ragged(values: np.ndarray, lengths: np.ndarray) -> pa.ListArray:
 
 def _blocks(ranks: Ranks, block_chars: int):
     """Arrow batches of documents -> one row for each block."""
-    one = np.array([ranks.rank[bytes([i])] for i in range(256)], dtype=np.int32)
+    one = np.array([ranks.rank[bytes([i])] for i in range(256)], dtype=np.int64)
 
     def block(ids: list, used: list, words: dict[str, int]) -> pa.RecordBatch:
         coded = [w.encode() for w in words]
@@ -200,7 +236,7 @@ def _documents(ranks: Ranks):
             for row in range(b.num_rows):
                 ids = b.column(0)[row].values
                 used, words, long = (b.column(i)[row].values for i in (1, 2, 3))
-                flat, at = words.flatten().to_numpy(zero_copy_only=False), words.offsets.to_numpy() - words.offsets[0].as_py()
+                flat, at = words.flatten().to_numpy(zero_copy_only=False).astype(np.int32), words.offsets.to_numpy() - words.offsets[0].as_py()
                 size = np.diff(at)
                 own = {x[0]: np.array(x[1:], np.int32) for x in long.to_pylist()}
                 out: dict[str, list] = {"n": [], "ids": [], "decoded": []}
@@ -224,7 +260,7 @@ def _documents(ranks: Ranks):
 
 def encode(docs: DataFrame, ranks: Ranks, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """doc_id, n_tokens, ids (little-endian unsigned 32-bit) and the digest of the decoded bytes."""
-    table = literal_map(ranks)
+    table = PairMap.of(ranks)
     blocks = docs.select("doc_id", "text").mapInArrow(_blocks(ranks, block_chars), _BLOCK)
     folded = blocks.select("doc_id", "used", F.transform("words", lambda w: fold(w, table)).alias("words"), "long")
     return folded.mapInArrow(_documents(ranks), "doc_id long, n_tokens long, ids binary, decoded_sha256 string")
