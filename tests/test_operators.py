@@ -134,3 +134,59 @@ def test_upsert_keeps_what_was_fetched(spark):
     new = spark.createDataFrame([(1, "A", "other"), (2, "B", "new"), (3, "C", None)], "id int, name string, text string")
     got = {r.id: (r.name, r.text) for r in aggregates.upsert(old, new, ["id"], ["text"]).collect()}
     assert got == {1: ("A", "body"), 2: ("B", "new"), 3: ("C", None)}
+
+
+def test_assignment_is_the_best_permutation():
+    from itertools import permutations
+
+    import numpy as np
+
+    from rostrum.operators import records
+
+    rng = np.random.default_rng(4)
+    for _ in range(40):
+        votes = rng.integers(0, 6, (rng.integers(1, 5), rng.integers(1, 5)))
+        got = records.best_assignment(votes.astype(float))
+        square = np.zeros((4, 4))
+        square[: votes.shape[0], : votes.shape[1]] = votes
+        best = max(sum(square[i, p[i]] for i in range(4)) for p in permutations(range(4)))
+        assert sum(votes[i, j] for i, j in got) == best
+        assert len({i for i, _ in got}) == len(got) == len({j for _, j in got})
+
+
+def test_linkage_and_redline():
+    import numpy as np
+
+    from rostrum.operators import records
+
+    a, b = np.array([1.0, 0.0]), np.array([0.0, 1.0])
+    near = np.array([0.9, 0.1]) / np.sqrt(0.82)
+    assert records.average_linkage(np.stack([a, b, near]), 0.3) == [0, 1, 0]
+    assert records.word_diff("a b c".split(), "a x c d".split()) == [("same", "a"), ("gone", "b"), ("new", "x"), ("same", "c"), ("new", "d")]
+
+
+def test_agenda(spark):
+    from rostrum.operators import records
+
+    text = "CONSENT\nC1  First  item\nwrapped title\nPage 1 of 2\nRecommendation: approve\n\nPublic Hearings:\nP 12 Second\nDepartment: x\nADJOURN\nafter"
+    files = spark.createDataFrame([(1, text), (2, ""), (3, None)], "id int, body string")
+    assert rows(records.agenda_items(files, "id", "body")) == [(1, 1, "C1", "consent", "First item wrapped title", "approve"), (1, 2, "P12", "public hearings", "Second", None)]
+
+
+def test_file_sources(spark, tmp_path):
+    from rostrum.sources import files
+
+    (tmp_path / "tab.txt").write_text("a\tTitle\t10\nbad line\nb\tOther\tNA\na\tAgain\t11\n")
+    assert rows(files.catalogue(spark, str(tmp_path / "tab.txt"))) == [("a", "Title", 10.0)]
+    (tmp_path / "turns.json").write_text('{"video_id": "v", "turns": [{"start": 0.0, "end": 1.5, "speaker": "S0"}]}\n')
+    assert rows(files.diarization(spark, str(tmp_path / "turns.json"))) == [("v", 0.0, 1.5, "S0")]
+    (tmp_path / "silence.txt").write_text("[x] silence_start: 1\n[x] silence_end: 2.5\n")
+    assert rows(files.silences(spark, str(tmp_path / "silence.txt"))) == [(2.5,)]
+    df = spark.createDataFrame([("v", 0, "a"), ("w", 0, "b")], "video_id string, idx int, text string")
+    files.reload_recordings(df, str(tmp_path / "u"))
+    files.reload_recordings(spark.createDataFrame([("w", 0, "c")], df.schema), str(tmp_path / "u"))
+    assert rows(spark.read.parquet(str(tmp_path / "u")).select("video_id", "text")) == [("v", "a"), ("w", "c")]
+    files.write_json_lines(df, str(tmp_path / "b"))
+    assert rows(files.restore_json_lines(spark, str(tmp_path / "b"), df, 2)) == rows(df)
+    spoken = spark.createDataFrame([("v", 0, 3661.5, 3662.0, "hi")], "video_id string, idx int, start double, end double, text string")
+    assert files.subtitles(spoken).first().value == "1\n01:01:01,500 --> 01:01:02,000\nhi\n"
