@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from itertools import combinations
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -110,19 +108,25 @@ def assign(votes: DataFrame, key: str, voice: str, name: str, n: str) -> DataFra
 
 
 def average_linkage(vectors: np.ndarray, threshold: float) -> list[int]:
-    """Cluster numbers by average-linkage agglomeration at a cosine distance."""
-    groups = [[i] for i in range(len(vectors))]
+    """Cluster numbers by average-linkage agglomeration at a cosine distance.
+
+    Joined clusters' distances are averages weighted by size, so that each join costs one row.
+    """
+    n = len(vectors)
     apart = 1 - vectors @ vectors.T
-    while len(groups) > 1:
-        best = min(((apart[np.ix_(a, b)].mean(), i, j) for (i, a), (j, b) in combinations(enumerate(groups), 2)))
-        if best[0] > threshold:
+    np.fill_diagonal(apart, np.inf)
+    size, root = np.ones(n), np.arange(n)
+    for _ in range(n - 1):
+        i, j = sorted(np.unravel_index(np.argmin(apart), apart.shape))
+        if apart[i, j] > threshold:
             break
-        groups[best[1]] += groups.pop(best[2])
-    out = [0] * len(vectors)
-    for no, g in enumerate(sorted(groups, key=min)):
-        for i in g:
-            out[i] = no
-    return out
+        row = (size[i] * apart[i] + size[j] * apart[j]) / (size[i] + size[j])
+        apart[i], apart[:, i] = row, row
+        apart[i, i] = np.inf
+        apart[j], apart[:, j] = np.inf, np.inf
+        size[i] += size[j]
+        root[root == j] = i
+    return np.unique(root, return_inverse=True)[1].tolist()
 
 
 def cluster_voices(voices: DataFrame, key: str, id_: str, vector: str, threshold: float = 0.30) -> DataFrame:

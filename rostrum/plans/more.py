@@ -43,9 +43,9 @@ def json_rows(t):
 
 
 @query("S17_answer_citations", """
-SELECT c.conv_id, string_agg(c.conv_id || ':' || c.turn, ';' ORDER BY c.turn) AS cites FROM conversations c WHERE c.turn % 2 = 0 GROUP BY 1""")
+SELECT c.conv_id, string_agg(c.conv_id || ':' || c.turn, ';' ORDER BY c.turn) AS cites FROM conversations c GROUP BY 1""")
 def answer_citations(t):
-    c = t("conversations").filter("turn % 2 = 0")
+    c = t("conversations")
     cites = F.array_sort(F.collect_list(F.struct("turn", "conv_id")))
     return c.groupBy("conv_id").agg(F.array_join(F.transform(cites, lambda x: F.concat_ws(":", x["conv_id"].cast("string"), x["turn"].cast("string"))), ";").alias("cites"))
 
@@ -114,9 +114,9 @@ def interval_join(t):
 
 
 @query("W7_candidate_ranking", """
-SELECT o_orderkey, n_nationkey FROM (SELECT o_orderkey, n_nationkey, row_number() OVER (PARTITION BY o_orderkey ORDER BY n_regionkey = o_custkey % 5 DESC, n_nationkey) AS rn FROM orders JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey % 5 = c_nationkey % 5 WHERE o_orderkey < 2000) WHERE rn = 1""")
+SELECT o_orderkey, n_nationkey FROM (SELECT o_orderkey, n_nationkey, row_number() OVER (PARTITION BY o_orderkey ORDER BY n_regionkey = o_custkey % 5 DESC, n_nationkey) AS rn FROM orders JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey % 5 = c_nationkey % 5) WHERE rn = 1""")
 def candidates(t):
-    o = t("orders").filter("o_orderkey < 2000").join(t("customer"), F.col("c_custkey") == F.col("o_custkey")).withColumn("k", F.col("c_nationkey") % 5)
+    o = t("orders").join(t("customer"), F.col("c_custkey") == F.col("o_custkey")).withColumn("k", F.col("c_nationkey") % 5)
     j = o.join(F.broadcast(t("nation").withColumn("k", F.col("n_nationkey") % 5)), "k")
     return I.top(j, ["o_orderkey"], [(F.col("n_regionkey") == F.col("o_custkey") % 5).desc(), F.asc("n_nationkey")]).select("o_orderkey", "n_nationkey")
 
@@ -141,10 +141,10 @@ def review_queue(t):
 
 
 @query("T22_code_in_title", r"""
-SELECT l_orderkey, l_linenumber, p.p_partkey FROM (SELECT DISTINCT l_orderkey, l_linenumber, regexp_extract('Item P' || l_partkey || ' and P' || (l_partkey + 1), 'P(\d+)', 1)::BIGINT AS code FROM lineitem WHERE l_orderkey < 3000) JOIN part p ON p.p_partkey = code AND p.p_size > 25""")
+SELECT l_orderkey, l_linenumber, p.p_partkey FROM (SELECT DISTINCT l_orderkey, l_linenumber, regexp_extract('Item P' || l_partkey || ' and P' || (l_partkey + 1), 'P(\d+)', 1)::BIGINT AS code FROM lineitem) JOIN part p ON p.p_partkey = code AND p.p_size > 25""")
 def code_in_title(t):
     title = F.concat(F.lit("Item P"), F.col("l_partkey"), F.lit(" and P"), F.col("l_partkey") + 1)
-    found = t("lineitem").filter("l_orderkey < 3000").select("l_orderkey", "l_linenumber", F.regexp_extract(title, r"P(\d+)", 1).cast("long").alias("code")).distinct()
+    found = t("lineitem").select("l_orderkey", "l_linenumber", F.regexp_extract(title, r"P(\d+)", 1).cast("long").alias("code")).distinct()
     return found.join(t("part").filter("p_size > 25"), F.col("p_partkey") == F.col("code")).select("l_orderkey", "l_linenumber", "p_partkey")
 
 
@@ -189,9 +189,9 @@ def scrub(t):
     return t("conversations").filter(F.length("text") > 40).select("conv_id", "turn", F.when(span.rlike("[a-z]{3}"), F.replace("text", span, F.lit(redaction.MARKER))).otherwise(F.col("text")).alias("answer"))
 
 
-@query("F5_arrays", "SELECT doc_id, len(string_split(substr(text, 1, 300), ' ')) AS n, list_contains(string_split(text, ' '), 'the') AS the FROM documents")
+@query("F5_arrays", "SELECT doc_id, len(string_split(text, ' ')) AS n, list_contains(string_split(text, ' '), 'the') AS the FROM documents")
 def arrays(t):
-    return t("documents").select("doc_id", F.size(F.split(F.substring("text", 1, 300), " ")).cast("long").alias("n"), F.array_contains(F.split("text", " "), "the").alias("the"))
+    return t("documents").select("doc_id", F.size(F.split("text", " ")).cast("long").alias("n"), F.array_contains(F.split("text", " "), "the").alias("the"))
 
 
 @query("F7_cosine", """
@@ -312,9 +312,9 @@ def published_is_derived(t):
     return t("conversations").filter((F.replace("text", F.lit("the"), F.lit("the")) != F.col("text")) | ((F.col("turn") == 1) & (F.replace("text", F.lit("e"), F.lit("")) != F.col("text")))).select("conv_id", "turn")
 
 
-@query("Z3_codes_per_meeting", "SELECT l_orderkey, string_agg(DISTINCT l_partkey::VARCHAR, ',' ORDER BY l_partkey::VARCHAR) AS codes FROM lineitem WHERE l_orderkey < 4000 GROUP BY 1")
+@query("Z3_codes_per_meeting", "SELECT l_orderkey, string_agg(DISTINCT l_partkey::VARCHAR, ',' ORDER BY l_partkey::VARCHAR) AS codes FROM lineitem GROUP BY 1")
 def codes(t):
-    g = t("lineitem").filter("l_orderkey < 4000").groupBy("l_orderkey").agg(F.array_sort(F.collect_set(F.col("l_partkey").cast("string"))).alias("c"))
+    g = t("lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_set(F.col("l_partkey").cast("string"))).alias("c"))
     return g.select("l_orderkey", F.array_join("c", ",").alias("codes"))
 
 
@@ -352,9 +352,9 @@ def disagreement(t):
     return hit.select("doc_id").join(t("labels"), "doc_id", "left_anti")
 
 
-@query("Z19_stranded_redactions", "SELECT conv_id, turn, substr(text, 5, 4) AS span FROM conversations WHERE length(text) > 10 AND contains(text, substr(text, 5, 4)) AND turn % 2 = 0")
+@query("Z19_stranded_redactions", "SELECT conv_id, turn, substr(text, 5, 4) AS span FROM conversations WHERE length(text) > 10 AND contains(text, substr(text, 5, 4))")
 def stranded(t):
-    c = t("conversations").filter("length(text) > 10 and turn % 2 = 0")
+    c = t("conversations").filter("length(text) > 10")
     spans = c.select("conv_id", "turn", F.substring("text", 5, 4).alias("span"))
     return redaction.stranded(c.select("conv_id", "turn", "text"), spans, ["conv_id", "turn"], "text", "span")
 

@@ -12,10 +12,10 @@ from rostrum.plans.registry import query
 
 
 @query("A10_ordered_json", """
-SELECT l_orderkey, to_json(list({'no': l_linenumber, 'part': l_partkey} ORDER BY l_linenumber, l_partkey)) AS items FROM lineitem WHERE l_orderkey < 500 GROUP BY 1""")
+SELECT l_orderkey, to_json(list({'no': l_linenumber, 'part': l_partkey} ORDER BY l_linenumber, l_partkey)) AS items FROM lineitem GROUP BY 1""")
 def ordered_json(t):
     item = F.struct(F.col("l_linenumber").alias("no"), F.col("l_partkey").alias("part"))
-    return t("lineitem").filter("l_orderkey < 500").groupBy("l_orderkey").agg(F.to_json(F.array_sort(F.collect_list(item))).alias("items"))
+    return t("lineitem").groupBy("l_orderkey").agg(F.to_json(F.array_sort(F.collect_list(item))).alias("items"))
 
 
 @query("A19_meeting_digest", """
@@ -205,11 +205,11 @@ def recent(t):
 
 
 @query("Z38_continuations", """
-SELECT conv_id, turn, coalesce(turn - lag(turn) OVER w <= 2 AND role = lag(role) OVER w, false) AS continued FROM conversations WHERE turn % 5 <> 1 WINDOW w AS (PARTITION BY conv_id ORDER BY turn)""")
+SELECT conv_id, turn, coalesce(turn - lag(turn) OVER w <= 2 AND role = lag(role) OVER w, false) AS continued FROM conversations WHERE role <> 'system' WINDOW w AS (PARTITION BY conv_id ORDER BY turn)""")
 def continuations(t):
     w = Window.partitionBy("conv_id").orderBy("turn")
     same = (F.col("turn") - F.lag("turn").over(w) <= 2) & (F.col("role") == F.lag("role").over(w))
-    return t("conversations").filter("turn % 5 <> 1").select("conv_id", "turn", F.coalesce(same, F.lit(False)).alias("continued"))
+    return t("conversations").filter("role <> 'system'").select("conv_id", "turn", F.coalesce(same, F.lit(False)).alias("continued"))
 
 
 @query("Z43_line_context", """

@@ -49,23 +49,23 @@ def bm25_top(t):
 
 
 @query("I27_bm25_refresh_equals_rebuild", rf"""
-WITH post AS (SELECT doc_id AS id, term, count(*) AS tf FROM (SELECT doc_id, unnest({_TOK.format("CASE WHEN doc_id % 10 = 3 THEN substr(text, 1, 200) ELSE text END")}) AS term FROM documents WHERE doc_id % 10 <> 7) GROUP BY 1, 2)
+WITH post AS (SELECT doc_id AS id, term, count(*) AS tf FROM (SELECT doc_id, unnest({_TOK.format("CASE WHEN source = 'src3' THEN reverse(text) ELSE text END")}) AS term FROM documents WHERE source <> 'src7') GROUP BY 1, 2)
 SELECT term, count(*) AS df FROM post GROUP BY 1""")
 def bm25_refresh(t):
-    docs = t("documents").select("doc_id", "text")
-    after = docs.filter("doc_id % 10 <> 7").withColumn("text", F.when(F.col("doc_id") % 10 == 3, F.substring("text", 1, 200)).otherwise(F.col("text")))
-    changed = docs.filter("doc_id % 10 in (3, 7)").select(F.col("doc_id").alias("id"))
+    docs = t("documents").select("doc_id", "text", "source")
+    after = docs.filter("source <> 'src7'").withColumn("text", F.when(F.col("source") == "src3", F.reverse("text")).otherwise(F.col("text")))
+    changed = docs.filter("source in ('src3', 'src7')").select(F.col("doc_id").alias("id"))
     return S.refreshed(_index(t), after, changed, "doc_id", "text").df
 
 
 _DENSE = """
-qv AS (SELECT vec_id AS qid, embedding AS q FROM embeddings WHERE vec_id % 50 = 0),
+qv AS (SELECT vec_id AS qid, embedding AS q FROM embeddings WHERE vec_id % 20 = 0),
 dn AS (SELECT qid, vec_id AS id, list_inner_product(q::DOUBLE[], embedding::DOUBLE[]) AS score FROM embeddings, qv)"""
 
 
 def _dense(t):
     v = t("embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
-    q = t("embeddings").filter("vec_id % 50 = 0").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("q"))
+    q = t("embeddings").filter("vec_id % 20 = 0").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("q"))
     return S.dense(v, q)
 
 
@@ -80,7 +80,7 @@ qv AS (SELECT item_id AS qid, embedding AS q FROM benchmark JOIN embeddings ON v
 dn AS (SELECT qid, vec_id AS id, round(list_inner_product(q::DOUBLE[], embedding::DOUBLE[]), 6) AS score FROM embeddings, qv),
 lex AS (SELECT qid, id, row_number() OVER (PARTITION BY qid ORDER BY round(score, 6) DESC, id) AS rank FROM bm QUALIFY rank <= 300),
 sem AS (SELECT qid, id, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rank FROM dn QUALIFY rank <= 300),
-thr AS (SELECT item_id AS qid, doc_id AS id, row_number() OVER (PARTITION BY item_id ORDER BY doc_id) AS rank FROM benchmark JOIN documents ON item_id % 20 = doc_id % 20 AND item_id % 3 = 0 QUALIFY rank <= 200),
+thr AS (SELECT item_id AS qid, doc_id AS id, row_number() OVER (PARTITION BY item_id ORDER BY doc_id) AS rank FROM benchmark JOIN documents ON item_id % 20 = doc_id % 20 QUALIFY rank <= 200),
 fu AS (SELECT qid, id, sum(1.0 / (60 + rank)) AS score, min((l, rank)) AS f FROM (
   SELECT qid, id, 0 AS l, rank FROM lex UNION ALL SELECT qid, id, 1, rank FROM sem UNION ALL SELECT qid, id, 2, rank FROM thr) GROUP BY 1, 2)"""
 
@@ -90,7 +90,7 @@ def _lists(t):
     v = t("embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
     q = t("benchmark").join(t("embeddings"), F.col("vec_id") == F.col("item_id")).select(F.col("item_id").alias("qid"), F.col("embedding").alias("q"))
     sem = S.ranked(S.dense(v, q).withColumn("score", F.round("score", 6)), 300)
-    keys = t("benchmark").filter("item_id % 3 = 0").select(F.col("item_id").alias("qid"), (F.col("item_id") % 20).alias("k"))
+    keys = t("benchmark").select(F.col("item_id").alias("qid"), (F.col("item_id") % 20).alias("k"))
     thr = t("documents").select(F.col("doc_id").alias("id"), (F.col("doc_id") % 20).alias("k")).join(keys, "k")
     w = Window.partitionBy("qid").orderBy("id")
     return lex, sem, thr.withColumn("rank", F.row_number().over(w)).filter("rank <= 200").select("qid", "id", "rank")
@@ -148,12 +148,12 @@ def first_seen(t):
 
 @query("A28_precision_and_mrr", f"""WITH {_POST},
 rk AS (SELECT qid, id, row_number() OVER (PARTITION BY qid ORDER BY round(score, 6) DESC, id) AS rank FROM bm QUALIFY rank <= 100),
-rl AS (SELECT qid, rank, contains(lower(d.text), lower(substr(b.text, 1, 30))) AS hit FROM rk JOIN documents d ON d.doc_id = rk.id JOIN benchmark b ON b.item_id = rk.qid)
+rl AS (SELECT qid, rank, contains(lower(d.text), lower(array_to_string(string_split(b.text, ' ')[1:8], ' '))) AS hit FROM rk JOIN documents d ON d.doc_id = rk.id JOIN benchmark b ON b.item_id = rk.qid)
 SELECT round(avg(p), 6) AS p10, round(avg(m), 6) AS mrr FROM (SELECT qid, count(*) FILTER (hit AND rank <= 10) / 10.0 AS p, coalesce(1.0 / min(rank) FILTER (hit), 0) AS m FROM rl GROUP BY 1)""")
 def retrieval_metrics(t):
     rank = S.ranked(S.bm25(_index(t), _queries(t)).withColumn("score", F.round("score", 6)), 100)
     d = t("documents").select(F.col("doc_id").alias("id"), F.lower("text").alias("dt"))
-    b = t("benchmark").select(F.col("item_id").alias("qid"), F.lower(F.substring("text", 1, 30)).alias("bt"))
+    b = t("benchmark").select(F.col("item_id").alias("qid"), F.lower(F.substring_index("text", " ", 8)).alias("bt"))
     hit = rank.join(d, "id").join(F.broadcast(b), "qid").withColumn("hit", F.contains("dt", "bt"))
     each = hit.groupBy("qid").agg(
         (F.count_if(F.col("hit") & (F.col("rank") <= 10)) / 10.0).alias("p"), F.coalesce(1.0 / F.min(F.when(F.col("hit"), F.col("rank"))), F.lit(0.0)).alias("m")

@@ -15,12 +15,12 @@ from rostrum.plans.registry import query
 
 @query("S3_upsert_keeps_fetched", """
 SELECT coalesce(o.p_partkey, n.p_partkey) AS p_partkey, coalesce(n.p_name, o.p_name) AS p_name, coalesce(o.p_size, n.p_size) AS p_size
-FROM (SELECT p_partkey, p_name, CASE WHEN p_partkey % 2 = 0 THEN p_size END AS p_size FROM part WHERE p_partkey < 1000) o
-FULL JOIN (SELECT p_partkey, upper(p_name) AS p_name, -1 AS p_size FROM part WHERE p_partkey >= 500) n USING (p_partkey)""")
+FROM (SELECT p_partkey, p_name, CASE WHEN p_partkey % 2 = 0 THEN p_size END AS p_size FROM part WHERE p_size < 30) o
+FULL JOIN (SELECT p_partkey, upper(p_name) AS p_name, -1 AS p_size FROM part WHERE p_size >= 10) n USING (p_partkey)""")
 def upsert(t):
     p = t("part").select("p_partkey", "p_name", "p_size")
-    old = p.filter("p_partkey < 1000").withColumn("p_size", F.when(F.col("p_partkey") % 2 == 0, F.col("p_size")))
-    new = p.filter("p_partkey >= 500").withColumn("p_name", F.upper("p_name")).withColumn("p_size", F.lit(-1))
+    old = p.filter("p_size < 30").withColumn("p_size", F.when(F.col("p_partkey") % 2 == 0, F.col("p_size")))
+    new = p.filter("p_size >= 10").withColumn("p_name", F.upper("p_name")).withColumn("p_size", F.lit(-1))
     return A.upsert(old, new, ["p_partkey"], keep=["p_size"])
 
 
@@ -56,9 +56,9 @@ def subtitle_clock(t):
 
 
 @query("S15_scoped_subset", """
-SELECT l_orderkey, l_linenumber, l_partkey, NULL::BIGINT AS l_suppkey FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'P' AND o_orderkey % 3 = 0)""")
+SELECT l_orderkey, l_linenumber, l_partkey, NULL::BIGINT AS l_suppkey FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'P')""")
 def scoped_subset(t):
-    kept = t("orders").filter("o_orderstatus = 'P' and o_orderkey % 3 = 0")
+    kept = t("orders").filter("o_orderstatus = 'P'")
     rows = t("lineitem").join(kept, F.col("l_orderkey") == F.col("o_orderkey"), "left_semi")
     return rows.select("l_orderkey", "l_linenumber", "l_partkey", F.lit(None).cast("long").alias("l_suppkey"))
 
@@ -350,11 +350,11 @@ def sort_policies(t):
 
 
 @query("K6_window_over_lists", """
-WITH r AS (SELECT conv_id, turn, row_number() OVER (ORDER BY conv_id, turn) - 1 AS i FROM conversations WHERE conv_id < 20)
+WITH r AS (SELECT conv_id, turn, row_number() OVER (ORDER BY conv_id, turn) - 1 AS i FROM conversations)
 SELECT conv_id, count(*) AS total, count(*) FILTER (i >= 30 AND i < 55) AS returned FROM r GROUP BY 1""")
 def window_over_lists(t):
     # entry counts are small beside their turns: the running sum goes over entries, the rows inside keep their own number
-    c = t("conversations").filter("conv_id < 20")
+    c = t("conversations")
     n = c.groupBy("conv_id").agg(F.count("*").alias("total"))
     before = F.coalesce(F.sum("total").over(Window.orderBy("conv_id").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     n = n.withColumn("at", before)

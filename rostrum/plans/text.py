@@ -65,26 +65,26 @@ def section_phase(t):
 
 
 @query("T28_phrase_to_pattern", r"""
-SELECT item_id, count(*) AS n FROM benchmark JOIN documents ON contains(text, substr(benchmark.text, 1, 12)) GROUP BY 1""".replace("contains(text,", "contains(documents.text,"))
+SELECT item_id, count(*) AS n FROM benchmark JOIN documents ON contains(text, array_to_string(string_split(benchmark.text, ' ')[1:2], ' ')) GROUP BY 1""".replace("contains(text,", "contains(documents.text,"))
 def phrase_hits(t):
-    heads = t("benchmark").select("item_id", F.substring("text", 1, 12).alias("h"))
+    heads = t("benchmark").select("item_id", F.substring_index("text", " ", 2).alias("h"))
     return t("documents").select("text").join(F.broadcast(heads), F.contains("text", "h")).groupBy("item_id").agg(F.count("*").alias("n"))
 
 
 @query("T30_phrase_grounding", """
-SELECT item_id, count(*) AS n_items, min(length(d.text)) AS shortest, arg_min(d.doc_id, (length(d.text), d.doc_id)) AS sample FROM benchmark b JOIN documents d ON contains(d.text, substr(b.text, 1, 40)) GROUP BY 1""")
+SELECT item_id, count(*) AS n_items, min(length(d.text)) AS shortest, arg_min(d.doc_id, (length(d.text), d.doc_id)) AS sample FROM benchmark b JOIN documents d ON contains(d.text, array_to_string(string_split(b.text, ' ')[1:8], ' ')) GROUP BY 1""")
 def grounding(t):
-    heads = t("benchmark").select("item_id", F.substring("text", 1, 40).alias("h"))
+    heads = t("benchmark").select("item_id", F.substring_index("text", " ", 8).alias("h"))
     hit = t("documents").select("doc_id", "text").join(F.broadcast(heads), F.contains("text", "h"))
     size = F.length("text").cast("long")
     return hit.groupBy("item_id").agg(F.count("*").alias("n_items"), F.min(size).alias("shortest"), F.min_by("doc_id", F.struct(size, "doc_id")).alias("sample"))
 
 
 @query("T31_triage", """
-WITH g AS (SELECT item_id, count(d.doc_id) AS n FROM benchmark b LEFT JOIN documents d ON contains(d.text, substr(b.text, 1, 8)) GROUP BY 1), n AS (SELECT count(*) AS total FROM documents)
+WITH g AS (SELECT item_id, count(d.doc_id) AS n FROM benchmark b LEFT JOIN documents d ON contains(d.text, array_to_string(string_split(b.text, ' ')[1:1], ' ')) GROUP BY 1), n AS (SELECT count(*) AS total FROM documents)
 SELECT item_id, n, n > 0 AND n <= greatest(50, total // 20) AS keep FROM g, n""")
 def triage(t):
-    heads = t("benchmark").select("item_id", F.substring("text", 1, 8).alias("h"))
+    heads = t("benchmark").select("item_id", F.substring_index("text", " ", 1).alias("h"))
     n = t("documents").select("text").join(F.broadcast(heads), F.contains("text", "h")).groupBy("item_id").agg(F.count("*").alias("n"))
     total = t("documents").agg(F.count("*").alias("total"))
     g = heads.select("item_id").join(n, "item_id", "left").select("item_id", F.coalesce("n", F.lit(0)).alias("n")).crossJoin(F.broadcast(total))
@@ -92,9 +92,9 @@ def triage(t):
 
 
 @query("T33_recall_probe", """
-SELECT d.doc_id FROM documents d WHERE NOT EXISTS (SELECT 1 FROM benchmark b WHERE contains(d.text, substr(b.text, 1, 40))) ORDER BY md5(d.doc_id::VARCHAR), d.doc_id LIMIT 25""")
+SELECT d.doc_id FROM documents d WHERE NOT EXISTS (SELECT 1 FROM benchmark b WHERE contains(d.text, array_to_string(string_split(b.text, ' ')[1:8], ' '))) ORDER BY md5(d.doc_id::VARCHAR), d.doc_id LIMIT 25""")
 def recall_probe(t):
-    heads = t("benchmark").select(F.substring("text", 1, 40).alias("h"))
+    heads = t("benchmark").select(F.substring_index("text", " ", 8).alias("h"))
     rest = t("documents").select("doc_id", "text").join(F.broadcast(heads), F.contains("text", "h"), "left_anti")
     return rest.select("doc_id").orderBy(F.md5(F.col("doc_id").cast("string").cast("binary")), "doc_id").limit(25)
 
@@ -109,12 +109,12 @@ _MAIL = r"'[A-Za-z0-9._]+@[A-Za-z0-9.]+\.[a-z]+'"
 
 
 @query("T42_protected", rf"""
-WITH p AS (SELECT DISTINCT unnest(regexp_extract_all(text, {_MAIL})) AS a FROM documents WHERE doc_id % 2 = 0),
+WITH p AS (SELECT DISTINCT unnest(regexp_extract_all(text, {_MAIL})) AS a FROM documents WHERE lang = 'en'),
 x AS (SELECT doc_id, unnest(regexp_extract_all(text, {_MAIL})) AS a FROM documents)
 SELECT doc_id, count(*) AS found, bool_and(a IN (SELECT a FROM p)) AS skip FROM x GROUP BY 1""")
 def protected(t):
     pattern = _MAIL.strip("'")
-    published = t("documents").filter("doc_id % 2 = 0")
+    published = t("documents").filter("lang = 'en'")
     return redaction.protected(t("documents"), published, "doc_id", "text", pattern)
 
 
@@ -193,17 +193,17 @@ def corrections(t):
 
 
 @query("T23_subject_text", r"""
-SELECT doc_id, array_to_string(list_slice(string_split_regex(trim(substr(text, 1, 400)), '\s+'), 1, 30), ' ') AS subject FROM documents""")
+SELECT doc_id, array_to_string(list_slice(string_split_regex(trim(text), '\s+'), 1, 30), ' ') AS subject FROM documents""")
 def subject_text(t):
-    return t("documents").select("doc_id", T.first_words(F.substring("text", 1, 400), 30).alias("subject"))
+    return t("documents").select("doc_id", T.first_words(F.col("text"), 30).alias("subject"))
 
 
 @query("T24_title_grounding", r"""
-WITH w AS (SELECT b.item_id, d.doc_id, list_distinct(regexp_extract_all(lower(substr(b.text, 1, 60)), '[\p{L}\p{N}]{3,}')) AS own, regexp_extract_all(lower(d.text), '[\p{L}\p{N}]{3,}') AS said FROM benchmark b JOIN documents d ON d.doc_id % 40 = b.item_id % 40)
+WITH w AS (SELECT b.item_id, d.doc_id, list_distinct(regexp_extract_all(lower(b.text), '[\p{L}\p{N}]{3,}')) AS own, regexp_extract_all(lower(d.text), '[\p{L}\p{N}]{3,}') AS said FROM benchmark b JOIN documents d ON d.doc_id % 40 = b.item_id % 40)
 SELECT item_id, doc_id, len(list_intersect(own, said)) AS spoken, round(len(list_intersect(own, said)) / len(own), 6) AS coverage FROM w WHERE len(own) > 0""")
 def title_grounding(t):
     words = lambda c: F.array_distinct(F.regexp_extract_all(F.lower(c), F.lit(r"([\p{L}\p{N}]{3,})"), F.lit(1)))
-    b = t("benchmark").select("item_id", words(F.substring("text", 1, 60)).alias("own"), (F.col("item_id") % 40).alias("k"))
+    b = t("benchmark").select("item_id", words(F.col("text")).alias("own"), (F.col("item_id") % 40).alias("k"))
     d = t("documents").select("doc_id", words(F.col("text")).alias("said"), (F.col("doc_id") % 40).alias("k"))
     n = F.size(F.array_intersect("own", "said")).cast("long")
     return d.join(F.broadcast(b), "k").filter(F.size("own") > 0).select("item_id", "doc_id", n.alias("spoken"), F.round(n / F.size("own"), 6).alias("coverage"))
