@@ -123,6 +123,33 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_secret_scan": op10_secret_scan,
 }
 
+
+
+def _secret_sql() -> str:
+    """The spans in DuckDB: gaps between matches and matches, added up."""
+
+    def spans(rule: secrets.Rule, no: int) -> str:
+        pattern = "'" + rule.pattern.replace("'", "''") + "'"
+        size = lambda what, to: f"coalesce(list_sum(list_transform({what}[1:{to}], lambda x: length(x))), 0)"
+        gaps, found, group = (f"string_split_regex(t, {pattern})", f"regexp_extract_all(t, {pattern}, 0)", f"regexp_extract_all(t, {pattern}, {rule.group})")
+        one = f"{{'s': ({size('g', 'i')} + {size('m', 'i - 1')})::BIGINT, 'no': {no}, 'e': ({size('g', 'i')} + {size('m', 'i')})::BIGINT, 'n': length(k[i])}}"
+        return (
+            f"SELECT doc_id, row, unnest(list_filter(list_transform(range(1, len(m) + 1), lambda i: {one}), lambda h: h.n >= {max(rule.least, 1)})) AS h "
+            f"FROM (SELECT doc_id, row, {gaps} AS g, {found} AS m, {group} AS k FROM d WHERE regexp_matches(t, {pattern}))"
+        )
+
+    names = "[" + ", ".join(f"'{r.name}'" for r in secrets.RULES) + "]"
+    text = f"string_agg({names}[h.no + 1] || ':' || h.s || ':' || h.e, ',' ORDER BY h.s, h.no, h.e)"
+    return f"""
+        WITH d AS (SELECT doc_id, row_number() OVER () AS row, coalesce(text, '') AS t FROM documents),
+        s AS ({" UNION ALL ".join(spans(r, i) for i, r in enumerate(secrets.RULES))}),
+        a AS (SELECT row, count(*) FILTER (h.no = 0) AS a, count(*) FILTER (h.no = 1) AS b, count(*) FILTER (h.no = 2) AS c,
+                     {text} FILTER (h.no < 3) AS base, {text} AS spans FROM s GROUP BY row)
+        SELECT doc_id, coalesce(a, 0) AS n_assign, coalesce(b, 0) AS n_access, coalesce(c, 0) AS n_hex,
+               sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN a USING (row)
+    """
+
+
 _FOLD = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 ORACLE_SQL: dict[str, str] = {
@@ -131,4 +158,5 @@ ORACLE_SQL: dict[str, str] = {
                doc_id = max(doc_id) OVER w AS kept, sha256(t) AS text_sha256
         FROM (SELECT doc_id, {_FOLD} AS t FROM documents) WINDOW w AS (PARTITION BY t)
     """,
+    "op10_secret_scan": _secret_sql(),
 }
