@@ -1,14 +1,18 @@
 """Byte-level BPE encoding and decoding with a given rank table.
 
-Texts are cut by the tokenizer's pattern and gathered in blocks of at most ``BLOCK_CHARS``
-characters.  A block carries its distinct words once, as arrays of byte tokens, and each
-document as indexes into them.  Spark higher-order functions then fold the ranked merges
-over every distinct word: the state holds the word's tokens and the rank of each
-neighbouring pair, each step merges the leftmost pair of least rank, and ranks come from a
+Texts are cut by the tokenizer's pattern.  Spark higher-order functions fold the ranked
+merges over arrays of byte tokens of distinct words: the state holds a word's tokens and the
+rank of each neighbouring pair, each step merges the leftmost pair of least rank, and ranks come from a
 literal map (a table without collisions, so that a lookup costs the same for any number of ranks).
-At last each document's tokens are put together and decoded by concatenating the binary
-pieces.  Nothing is shuffled, and a block's size bounds what a task holds; a text longer
-than a block is a block of its own.
+
+1. ``frequent_words`` counts all words and folds the most frequent ones, ``FREQUENT`` at most; this
+   table's size is bounded by that number and by ``LONG_WORD``, and it is broadcast.
+2. Documents are gathered in blocks of at most ``BLOCK_CHARS`` characters.  A block carries its
+   other distinct words once, and each document as indexes into both; those words are folded
+   in their block.  A text longer than a block is a block of its own.
+3. Each document's tokens are put together and decoded by concatenating the binary pieces.
+
+Only word counts are shuffled, and a block's size bounds what a task holds.
 
 A fold costs the square of a word's length.  Words of over ``LONG_WORD`` bytes (the cut
 leaves only unbroken runs of that length) are merged with a heap instead, by the same ranks.
@@ -23,18 +27,26 @@ from __future__ import annotations
 import base64
 import hashlib
 import heapq
+import io
 import json
+import uuid
+from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rostrum.llm import shared
+
 #: Characters of text in a block, and bytes from which a word is merged with a heap.
 BLOCK_CHARS, LONG_WORD = 12_000_000, 200
+#: Words at most that are folded once for all blocks, and the words that a task counts before it passes them on.
+FREQUENT, COUNTED = 1_000_000, 400_000
 #: Places in the literal rank map, first hashes that move a pair's place, and the number from which a rank is none.
 SLOTS, MOVES, NONE = 1 << 18, 1 << 15, 1 << 20
 _MIX = (668_265_263, 374_761_393, 461_845_907, 2_246_822_519)
@@ -62,6 +74,11 @@ class Ranks:
     def rank(self) -> dict[bytes, int]:
         return {p: i for i, p in enumerate(self.pieces)}
 
+    @cached_property
+    def one(self) -> np.ndarray:
+        """The token of each byte."""
+        return np.array([self.rank[bytes([i])] for i in range(256)], dtype=np.int64)
+
     @cached_property
     def pairs(self) -> dict[tuple[int, int], int]:
         """For each pair of tokens that together are a token: that token."""
@@ -186,9 +203,89 @@ def _ragged(values: np.ndarray, lengths: np.ndarray) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))
 
 
-def _blocks(ranks: Ranks, block_chars: int):
+def _count(ranks: Ranks):
+    """Arrow batches of documents -> word, n: counts of words, passed on in bounded tables."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import regex
+
+        cut, seen = regex.compile(ranks.pattern), Counter()
+
+        def flush() -> pa.RecordBatch:
+            out = pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], names=["word", "n"])
+            seen.clear()
+            return out
+
+        for b in batches:
+            for text in b.column(0):
+                seen.update(cut.findall(text.as_py() or ""))
+                if len(seen) > COUNTED:
+                    yield flush()
+        yield flush()
+
+    return run
+
+
+def _byte_tokens(ranks: Ranks):
+    """word -> word, tokens: the tokens of its bytes."""
+    one = ranks.one
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            coded = [w.encode() for w in b.column(0).to_pylist()]
+            tokens = _ragged(one[np.frombuffer(b"".join(coded), np.uint8)], np.array([len(w) for w in coded], np.int64))
+            yield pa.RecordBatch.from_arrays([b.column(0), tokens], names=["word", "tokens"])
+
+    return run
+
+
+def frequent_words(docs: DataFrame, ranks: Ranks, table: PairMap, most: int = FREQUENT) -> bytes:
+    """The most frequent words with their tokens, ``most`` at most, as an Arrow stream.
+
+    Words that are counted once, or are long, are never among them; of words that are equally
+    frequent all or none are.
+    """
+    wide = shared.partitions(docs.sparkSession)
+    parts = docs.select("text").mapInArrow(_count(ranks), "word string, n long").repartition(wide, "word")
+    counted = parts.groupBy("word").agg(F.sum("n").alias("n"))
+    counted, path = shared.stage(counted.filter((F.col("n") > 1) & (F.octet_length("word") <= LONG_WORD)), "word-counts")
+    ladder = counted.groupBy(F.least("n", F.lit(100_000)).alias("n")).agg(F.count("*").alias("words")).collect()  # 100,000 rows at most
+    total, least = 0, None
+    for row in sorted(ladder, key=lambda r: -r["n"]):
+        total += row["words"]
+        if total > most:
+            break
+        least = row["n"]
+    chosen = counted.filter(F.col("n") >= least) if least else counted.limit(0)
+    folded = chosen.select("word").mapInArrow(_byte_tokens(ranks), "word string, tokens array<bigint>")
+    got = folded.select("word", fold(F.col("tokens"), table).cast("array<int>").alias("tokens")).toArrow()
+    shared.drop(docs.sparkSession, path)
+    out = io.BytesIO()
+    with pa.ipc.new_stream(out, got.schema) as stream:
+        stream.write_table(got)
+    return out.getvalue()
+
+
+#: In a worker: the frequent words of the encoding at hand, by its name.
+_KNOWN: dict[str, tuple[dict[str, int], np.ndarray, np.ndarray]] = {}
+
+
+def _known(name: str, shipped: Broadcast) -> tuple[dict[str, int], np.ndarray, np.ndarray]:
+    """Places of the frequent words, their tokens, and where each word's tokens begin; built once in a worker."""
+    if name not in _KNOWN:
+        _KNOWN.clear()
+        got = pa.ipc.open_stream(shipped.value).read_all()
+        tokens = pa.concat_arrays(got.column(1).chunks) if got.num_rows else pa.array([], pa.list_(pa.int32()))
+        flat = tokens.flatten().to_numpy(zero_copy_only=False).astype(np.int32)
+        sizes = tokens.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+        places = {w: i for i, w in enumerate(got.column(0).to_pylist())}
+        _KNOWN[name] = places, flat, np.r_[0, np.cumsum(sizes)]
+    return _KNOWN[name]
+
+
+def _blocks(ranks: Ranks, block_chars: int, name: str, shipped: Broadcast):
     """Arrow batches of documents -> one row for each block."""
-    one = np.array([ranks.rank[bytes([i])] for i in range(256)], dtype=np.int64)
+    one = ranks.one
 
     def block(ids: list, used: list, words: dict[str, int]) -> pa.RecordBatch:
         coded = [w.encode() for w in words]
@@ -209,7 +306,8 @@ def _blocks(ranks: Ranks, block_chars: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import regex
 
-        cut = regex.compile(ranks.pattern)
+        cut, (places, _, _) = regex.compile(ranks.pattern), _known(name, shipped)
+        find, first = places.get, len(places)
         ids, used, words, held = [], [], {}, 0
         for b in batches:
             for doc_id, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
@@ -218,27 +316,32 @@ def _blocks(ranks: Ranks, block_chars: int):
                     yield block(ids, used, words)
                     ids, used, words, held = [], [], {}, 0
                 held += len(text)
-                found = cut.findall(text)
                 ids.append(doc_id)
-                used.append(np.array([words.setdefault(w, len(words)) for w in found], dtype=np.int32))
+                own = []
+                for w in cut.findall(text):
+                    at = find(w)
+                    own.append(first + words.setdefault(w, len(words)) if at is None else at)
+                used.append(np.array(own, dtype=np.int32))
         if ids:
             yield block(ids, used, words)
 
     return run
 
 
-def _documents(ranks: Ranks):
+def _documents(ranks: Ranks, name: str, shipped: Broadcast):
     """Blocks with folded words -> a row for each document: its tokens and the decoded bytes' digest."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = np.array(ranks.pieces, dtype=object)
+        pieces, (_, known, known_at) = np.array(ranks.pieces, dtype=object), _known(name, shipped)
+        first = len(known_at) - 1
         for b in batches:
             for row in range(b.num_rows):
                 ids = b.column(0)[row].values
                 used, words, long = (b.column(i)[row].values for i in (1, 2, 3))
                 flat, at = words.flatten().to_numpy(zero_copy_only=False).astype(np.int32), words.offsets.to_numpy() - words.offsets[0].as_py()
+                flat, at = np.concatenate([known, flat]), np.r_[known_at, at[1:] + known_at[-1]]
                 size = np.diff(at)
-                own = {x[0]: np.array(x[1:], np.int32) for x in long.to_pylist()}
+                own = {first + x[0]: np.array(x[1:], np.int32) for x in long.to_pylist()}
                 out: dict[str, list] = {"n": [], "ids": [], "decoded": []}
                 for k in range(len(used)):
                     u = used[k].values.to_numpy(zero_copy_only=False) if used[k].values is not None else np.zeros(0, np.int32)
@@ -258,9 +361,10 @@ def _documents(ranks: Ranks):
     return run
 
 
-def encode(docs: DataFrame, ranks: Ranks, block_chars: int = BLOCK_CHARS) -> DataFrame:
+def encode(docs: DataFrame, ranks: Ranks, block_chars: int = BLOCK_CHARS, frequent: int = FREQUENT) -> DataFrame:
     """doc_id, n_tokens, ids (little-endian unsigned 32-bit) and the digest of the decoded bytes."""
-    table = PairMap.of(ranks)
-    blocks = docs.select("doc_id", "text").mapInArrow(_blocks(ranks, block_chars), _BLOCK)
+    table, name = PairMap.of(ranks), uuid.uuid4().hex
+    shipped = docs.sparkSession.sparkContext.broadcast(frequent_words(docs, ranks, table, frequent))
+    blocks = docs.select("doc_id", "text").mapInArrow(_blocks(ranks, block_chars, name, shipped), _BLOCK)
     folded = blocks.select("doc_id", "used", F.transform("words", lambda w: fold(w, table)).alias("words"), "long")
-    return folded.mapInArrow(_documents(ranks), "doc_id long, n_tokens long, ids binary, decoded_sha256 string")
+    return folded.mapInArrow(_documents(ranks, name, shipped), "doc_id long, n_tokens long, ids binary, decoded_sha256 string")
