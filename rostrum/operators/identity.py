@@ -64,6 +64,26 @@ def affinity(voices: DataFrame, group: str, k: int = 3) -> DataFrame:
     return sims.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= k).groupBy("id").agg(F.avg("s").alias("similarity"))
 
 
+def grow_anchors(voices: DataFrame, seeds: DataFrame, assign: float = 0.70, promote: float = 0.85, rounds: int = 3, k: int = 3) -> DataFrame:
+    """id, name, similarity: voices (id, v) given to the person whose references they resemble most.
+
+    ``seeds`` (id, name) are voices that people have named; they always keep their names.  A
+    voice's similarity to a person is the mean of its ``k`` best references; from ``promote`` on it
+    becomes a reference itself in the next round.  References are a stated, small set.
+    """
+    own = seeds.join(voices, "id").select("name", F.col("v").alias("r"), F.col("id").alias("rid"))
+    refs, found = own, None
+    for _ in range(rounds):
+        sims = voices.join(F.broadcast(refs)).filter("id != rid").select("id", "name", cosine(F.col("v"), F.col("r")).alias("s"))
+        w = Window.partitionBy("id", "name").orderBy(F.desc("s"))
+        top = sims.withColumn("_k", F.row_number().over(w)).filter(F.col("_k") <= k).groupBy("id", "name").agg(F.avg("s").alias("similarity"))
+        best = top.withColumn("_rn", F.row_number().over(Window.partitionBy("id").orderBy(F.desc("similarity"), "name"))).filter("_rn = 1").drop("_rn")
+        free = best.join(seeds.select("id"), "id", "left_anti").filter(F.col("similarity") >= assign)
+        found = _checkpointed(free)
+        refs = own.unionByName(found.filter(F.col("similarity") >= promote).join(voices, "id").select("name", F.col("v").alias("r"), F.col("id").alias("rid")))
+    return found.unionByName(seeds.select("id", "name", F.lit(1.0).alias("similarity")))
+
+
 def _checkpointed(df: DataFrame) -> DataFrame:
     spark: SparkSession = df.sparkSession
     folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints"

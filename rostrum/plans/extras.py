@@ -346,3 +346,99 @@ def sentence_citations(t):
 @query("X6_back_pressure", "SELECT count(*) >= 100 AS stop FROM orders WHERE o_orderstatus = 'P'")
 def back_pressure(t):
     return t("orders").filter("o_orderstatus = 'P'").agg((F.count("*") >= 100).alias("stop"))
+
+
+@query("I7_anchor_growth")
+def anchor_growth(t):
+    """Names spread from seed voices (the first of each label) to voices that resemble them; tested on planted voices."""
+    v = t("embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"), "label")
+    seeds = v.groupBy("label").agg(F.min("id").alias("id")).select("id", F.concat(F.lit("P"), "label").alias("name"))
+    return D.grow_anchors(v.select("id", "v"), seeds, assign=0.3, promote=0.5)
+
+
+@query("I26_rebuild_one_recording", """
+SELECT source, doc_id, CASE WHEN source = 'src5' THEN md5(reverse(text)) ELSE md5(text) END AS h FROM documents""")
+def rebuild_one(t):
+    d = t("documents").select("source", "doc_id", "text")
+    again = d.filter("source = 'src5'").withColumn("text", F.reverse("text"))
+    both = d.filter("source <> 'src5'").unionByName(again)
+    return both.select("source", "doc_id", F.md5(F.col("text").cast("binary")).alias("h"))
+
+
+@query("T35_letters_in_a_run", r"""
+WITH m AS (SELECT conv_id, turn, regexp_matches(text, '(?i) the | der | la ') AS mark FROM conversations)
+SELECT conv_id, letter, min(turn) AS start_idx, max(turn) AS end_idx FROM (SELECT conv_id, turn, sum(CASE WHEN mark THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY turn) AS letter FROM m) WHERE letter > 0 GROUP BY 1, 2""")
+def letters_in_run(t):
+    mark = F.col("text").rlike(r"(?i) the | der | la ").cast("int")
+    w = Window.partitionBy("conv_id").orderBy("turn")
+    c = t("conversations").select("conv_id", "turn", F.sum(mark).over(w).alias("letter")).filter("letter > 0")
+    return c.groupBy("conv_id", "letter").agg(F.min("turn").alias("start_idx"), F.max("turn").alias("end_idx"))
+
+
+@query("Y7_reference_numbers", """
+SELECT l_orderkey, l_partkey, dense_rank() OVER (PARTITION BY l_orderkey ORDER BY f, l_partkey) AS no FROM (SELECT l_orderkey, l_partkey, min(l_linenumber) AS f FROM lineitem GROUP BY 1, 2)""")
+def reference_numbers(t):
+    f = t("lineitem").groupBy("l_orderkey", "l_partkey").agg(F.min("l_linenumber").alias("f"))
+    return f.select("l_orderkey", "l_partkey", F.dense_rank().over(Window.partitionBy("l_orderkey").orderBy("f", "l_partkey")).alias("no"))
+
+
+@query("Y4_spine_groups", """
+SELECT l_orderkey, g, min(l_linenumber) AS first, count(*) AS n FROM (SELECT *, sum(b) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_quantity, l_extendedprice) AS g FROM (
+  SELECT *, CASE WHEN l_returnflag IS DISTINCT FROM lag(l_returnflag) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_quantity, l_extendedprice) THEN 1 ELSE 0 END AS b FROM lineitem)) GROUP BY 1, 2""")
+def spine_groups(t):
+    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_quantity", "l_extendedprice")
+    new = (~F.col("l_returnflag").eqNullSafe(F.lag("l_returnflag").over(w)) | (F.row_number().over(w) == 1)).cast("long")
+    rows = t("lineitem").withColumn("b", new).withColumn("g", F.sum("b").over(w))
+    return rows.groupBy("l_orderkey", "g").agg(F.min("l_linenumber").alias("first"), F.count("*").alias("n"))
+
+
+@query("Z4_reground_titles", """
+SELECT p_partkey FROM part WHERE trim(replace(p_name, 'red', '')) IS DISTINCT FROM p_name""")
+def reground(t):
+    return t("part").filter(~F.trim(F.replace("p_name", F.lit("red"), F.lit(""))).eqNullSafe(F.col("p_name"))).select("p_partkey")
+
+
+@query("Z9_relabel_group", """
+SELECT vec_id, CASE WHEN label = 3 THEN 'renamed' ELSE 'L' || label END AS name FROM embeddings WHERE label <> 4""")
+def relabel(t):
+    e = t("embeddings").select("vec_id", "label")
+    moved = e.filter("label = 3").select("vec_id", F.lit("renamed").alias("name"))
+    rest = e.join(moved.select("vec_id"), "vec_id", "left_anti").filter("label <> 4")
+    return rest.select("vec_id", F.concat(F.lit("L"), "label").alias("name")).unionByName(moved)
+
+
+@query("Z34_change_classes", r"""
+SELECT kind, count(*) AS n FROM (SELECT CASE WHEN lower(was) = lower(now) THEN 'cosmetic' WHEN regexp_replace(was, '\d+', '#', 'g') = regexp_replace(now, '\d+', '#', 'g') THEN 'number' ELSE 'changed' END AS kind
+  FROM (SELECT c_name AS was, CASE WHEN c_custkey % 3 = 0 THEN upper(c_name) WHEN c_custkey % 3 = 1 THEN 'Customer#' || c_custkey ELSE 'Client' END AS now FROM customer)) GROUP BY 1""")
+def change_classes(t):
+    k = F.col("c_custkey") % 3
+    now = F.when(k == 0, F.upper("c_name")).when(k == 1, F.concat(F.lit("Customer#"), "c_custkey")).otherwise("Client")
+    plain = lambda c: F.regexp_replace(c, r"\d+", "#")
+    c = t("customer").select(F.col("c_name").alias("was"), now.alias("now"))
+    kind = F.when(F.lower("was") == F.lower("now"), "cosmetic").when(plain("was") == plain("now"), "number").otherwise("changed")
+    return c.groupBy(kind.alias("kind")).agg(F.count("*").alias("n"))
+
+
+@query("Z35_clip_sample", """
+SELECT source, doc_id FROM (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY md5(doc_id::VARCHAR)) AS rn FROM documents WHERE contains(text, 'the') AND doc_id NOT IN (SELECT doc_id FROM labels)) WHERE rn <= 3""")
+def clip_sample(t):
+    d = t("documents").filter(F.contains("text", F.lit("the"))).select("source", "doc_id").join(t("labels").select("doc_id"), "doc_id", "left_anti")
+    return I.top(d, ["source"], [F.md5(F.col("doc_id").cast("string").cast("binary"))], 3).select("source", "doc_id")
+
+
+@query("Z36_fact_recovery", r"""
+SELECT doc_id, len(list_distinct(regexp_extract_all(text, '\d+'))) AS facts, len(list_filter(list_distinct(regexp_extract_all(text, '\d+')), lambda x: contains(replace(text, '-', ''), x))) AS found FROM documents""")
+def fact_recovery(t):
+    facts = F.array_distinct(F.regexp_extract_all("text", F.lit(r"(\d+)"), F.lit(1)))
+    d = t("documents").select("doc_id", facts.alias("f"), F.replace("text", F.lit("-"), F.lit("")).alias("r"))
+    return d.select("doc_id", F.size("f").cast("long").alias("facts"), F.size(F.filter("f", lambda x: F.contains(F.col("r"), x))).cast("long").alias("found"))
+
+
+@query("F12_silence_windows")
+def silence_windows(t):
+    """Windows of a user's day cut at events, at most six hours long; tested against the plain loop."""
+    from rostrum.operators import passages as P
+
+    e = t("events").select("user_id", "event_id", F.lit("x").alias("who"), (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6 / 3600).alias("s"))
+    e = e.withColumn("e", F.col("s"))
+    return P.group_utterances(e, "user_id", "s", "e", "who").select("user_id", "event_id", "group_no")

@@ -190,3 +190,11 @@ def test_file_sources(spark, tmp_path):
     assert rows(files.restore_json_lines(spark, str(tmp_path / "b"), df, 2)) == rows(df)
     spoken = spark.createDataFrame([("v", 0, 3661.5, 3662.0, "hi")], "video_id string, idx int, start double, end double, text string")
     assert files.subtitles(spoken).first().value == "1\n01:01:01,500 --> 01:01:02,000\nhi\n"
+
+
+def test_anchors_grow_but_seeds_win(spark):
+    v = [(1, [1.0, 0.0]), (2, [0.9, 0.436]), (3, [0.62, 0.785]), (4, [0.0, 1.0]), (5, [-1.0, 0.0])]
+    voices = spark.createDataFrame(v, "id long, v array<double>")
+    seeds = spark.createDataFrame([(1, "Ann"), (4, "Bob")], "id long, name string")
+    got = {r.id: r.name for r in identity.grow_anchors(voices, seeds).collect()}
+    assert got == {1: "Ann", 2: "Ann", 3: "Bob", 4: "Bob"}
