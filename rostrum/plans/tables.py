@@ -353,14 +353,14 @@ def sort_policies(t):
 WITH r AS (SELECT conv_id, turn, row_number() OVER (ORDER BY conv_id, turn) - 1 AS i FROM conversations)
 SELECT conv_id, count(*) AS total, count(*) FILTER (i >= 30 AND i < 55) AS returned FROM r GROUP BY 1""")
 def window_over_lists(t):
-    # entry counts are small beside their turns: the running sum goes over entries, the rows inside keep their own number
-    c = t("conversations")
-    n = c.groupBy("conv_id").agg(F.count("*").alias("total"))
-    before = F.coalesce(F.sum("total").over(Window.orderBy("conv_id").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    n = n.withColumn("at", before)
+    """Turns 30 to 54 of all lists in order: entries outside the window stay, with nothing returned."""
     lo, hi = 30, 55
-    part = F.greatest(F.least(F.col("at") + F.col("total"), F.lit(hi)) - F.greatest("at", F.lit(lo)), F.lit(0))
-    return n.select("conv_id", "total", part.alias("returned"))
+    c = t("conversations").select("conv_id", "turn")
+    head = c.orderBy("conv_id", "turn").limit(hi)
+    place = F.row_number().over(Window.orderBy("conv_id", "turn")) - 1  # over the rows up to the window's end
+    part = head.withColumn("i", place).filter(F.col("i") >= lo).groupBy("conv_id").agg(F.count("*").alias("part"))
+    totals = c.groupBy("conv_id").agg(F.count("*").alias("total"))
+    return totals.join(part, "conv_id", "left").select("conv_id", "total", F.coalesce("part", F.lit(0)).alias("returned"))
 
 
 @query("K9_budgeted_prefix", """
