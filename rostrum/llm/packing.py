@@ -18,6 +18,7 @@ an empty result; extra columns are ignored.
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -48,27 +49,86 @@ class Encoder:
     """Token ids of texts; chunks between spaces and line breaks are encoded once and kept.
 
     The tokenizer drops white space and never merges across it, so that a text's ids are
-    those of its chunks in order.
+    those of its chunks in order.  New chunks are encoded many at a time, with a marker between
+    them that stands alone and so has the same ids everywhere; a chunk that holds the marker is
+    encoded by itself.  A chunk of plain Latin letters, digits and signs without an apostrophe is first cut
+    where the tokenizer cuts it, so that its parts are shared with other chunks.  Kept chunks are in two tables of bounded size: when the younger one is
+    full it takes the place of the older one.
     """
 
+    MARK = "\u2063"
+    PLAIN = re.compile(r"[!-&(-~\u00a1-\u017f]+")
+
     def __init__(self, definition: str):
+        import regex
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.seen = Tokenizer.from_str(definition), {}
+        self.special = [t.content for t in Tokenizer.from_str(definition).get_added_tokens_decoder().values()]
+        self.parts = regex.compile(r"\p{L}+|\p{N}|[^\s\p{L}\p{N}]+").findall
+        self.tokenizer = Tokenizer.from_str(definition)
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        self.mark = np.array(self.tokenizer.encode(self.MARK, add_special_tokens=False).ids, np.int32)
+
+    def _encode(self, chunks: list[str]) -> None:
+        for at in range(0, len(chunks), 20_000):
+            part = [c for c in chunks[at : at + 20_000] if self.MARK not in c]
+            for c in chunks[at : at + 20_000]:
+                if self.MARK in c:
+                    self.young[c] = np.array(self.tokenizer.encode(c, add_special_tokens=False).ids, np.int32).tobytes()
+            if not part:
+                continue
+            text = f" {self.MARK} ".join(part)
+            ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.int32)
+            k = len(self.mark)
+            here = np.ones(max(len(ids) - k + 1, 0), bool)
+            for i, x in enumerate(self.mark):
+                here &= ids[i : len(ids) - k + 1 + i] == x
+            ends = np.r_[np.flatnonzero(here), len(ids)]
+            if len(ends) != len(part):
+                raise ValueError("the marker's ids occur inside a chunk")
+            data, start = ids.tobytes(), 0
+            for c, end in zip(part, ends.tolist(), strict=True):
+                self.young[c] = data[4 * start : 4 * end]
+                start = end + k
 
     def __call__(self, texts: list[str | None]) -> list[np.ndarray]:
         chunks = [t.replace("\n", " ").split(" ") if t else [] for t in texts]
-        seen = self.seen
-        new = {c for own in chunks for c in own if c not in seen}
-        if len(seen) + len(new) > CACHE:
-            seen.clear()
-            new = {c for own in chunks for c in own}
-        new = list(new)
-        for at in range(0, len(new), 20_000):
-            part = new[at : at + 20_000]
-            for c, e in zip(part, self.tokenizer.encode_batch(part, add_special_tokens=False), strict=True):
-                seen[c] = np.array(e.ids, np.int32).tobytes()
-        return [np.frombuffer(b"".join([seen[c] for c in own]), np.int32) for own in chunks]
+        if len(self.young) > CACHE:
+            self.old, self.young = self.young, {}
+        young, old, new, cut = self.young, self.old, set(), {}
+
+        def known(c: str) -> bool:
+            if c in young:
+                return True
+            if (x := old.get(c)) is not None:
+                young[c] = x
+            return x is not None
+
+        for c in {c for own in chunks for c in own}:
+            if known(c):
+                continue
+            if self.PLAIN.fullmatch(c) and not any(t in c for t in self.special):
+                cut[c] = self.parts(c.lower())
+                new.update(u for u in cut[c] if not known(u))
+            else:
+                new.add(c)
+        self._encode(sorted(new))
+        for c, units in cut.items():
+            young[c] = b"".join([young[u] for u in units])
+        return [np.frombuffer(b"".join([young[c] for c in own]), np.int32) for own in chunks]
+
+
+#: In a worker: the encoder of the definition at hand.
+_ENCODERS: dict[str, Encoder] = {}
+
+
+def encoder_of(definition: str) -> Encoder:
+    """The worker's encoder, which keeps its chunks from task to task."""
+    if definition not in _ENCODERS:
+        _ENCODERS.clear()
+        _ENCODERS[definition] = Encoder(definition)
+    return _ENCODERS[definition]
 
 
 def vectorise(docs: DataFrame, definition: str, vocabulary: int, dimensions: int = DIMENSIONS, end: int = END) -> DataFrame:
@@ -77,7 +137,7 @@ def vectorise(docs: DataFrame, definition: str, vocabulary: int, dimensions: int
     names = [f"c{i}" for i in range(dimensions)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, table = Encoder(definition), projection(vocabulary, dimensions)
+        encoder, table = encoder_of(definition), projection(vocabulary, dimensions)
         for b in batches:
             at = 0
             while at < b.num_rows:
