@@ -97,7 +97,7 @@ class Shingler:
     shingle; without words the set is empty.
     """
 
-    def __init__(self, k: int = 5, limit: int = 400_000):
+    def __init__(self, k: int = 5, limit: int = 100_000):
         import xxhash
 
         self.k, self.limit, self.seen, self.hash = k, limit, {}, xxhash.xxh3_64_intdigest
