@@ -81,7 +81,7 @@ def _profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def profiles(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, set_id (digest of the set) and sig of every text; the last two null without words."""
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_profile, "doc_id long, n_shingles long, set_id binary, sig binary")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(shared.tidied(_profile), "doc_id long, n_shingles long, set_id binary, sig binary")
 
 
 # --- blocks and spanning forests -----------------------------------------------------------
@@ -152,7 +152,7 @@ def forest(rows: DataFrame, group: str, columns: list[str], near: Callable[[pd.D
                     start = at
         yield from flush()
 
-    return dealt.mapInPandas(run, shape)
+    return dealt.mapInPandas(shared.tidied(run), shape)
 
 
 # --- candidates -------------------------------------------------------------------------------
@@ -187,7 +187,7 @@ def _near_signatures(df: pd.DataFrame, find: Callable[[int], int]) -> Iterator[t
 
 def candidate_groups(classes: DataFrame) -> DataFrame:
     """Rows (node, component) of the classes (id, sig) that some signature within the distance links."""
-    keyed = classes.select("id", "sig").mapInArrow(_keys, "key long, id long")
+    keyed = classes.select("id", "sig").mapInArrow(shared.tidied(_keys), "key long, id long")
     shared_keys = keyed.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
     members = keyed.join(shared_keys, "key")
     members = members.withColumn("blocks", F.ceil(F.col("n") / BLOCK_SIGNATURES)).join(classes, "id")
@@ -238,7 +238,7 @@ def links(docs: DataFrame, groups: DataFrame, sizes: DataFrame) -> DataFrame:
     # several rows may repeat a member's id; of those any one has to do, and sets tell texts apart
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text")
     found = texts.join(F.broadcast(members) if few else members, "id")
-    sets = found.select("id", "component", "blocks", "text").mapInPandas(_sets, "id long, component long, blocks long, hashes binary")
+    sets = found.select("id", "component", "blocks", "text").mapInPandas(shared.tidied(_sets), "id long, component long, blocks long, hashes binary")
     return forest(blocked(sets, "component", "blocks", "id"), "component", ["id", "hashes"], _near_sets, "a long, b long")
 
 

@@ -157,7 +157,7 @@ def vectorise(docs: DataFrame, definition: str, vocabulary: int, dimensions: int
                 at += len(texts)
 
     schema = "doc_id long, ids binary, n long, " + ", ".join(f"{c} float" for c in names)
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, schema)
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(shared.tidied(run), schema)
 
 
 def hilbert(cells: np.ndarray, bits: int = CELL_BITS) -> np.ndarray:
@@ -258,7 +258,7 @@ def pack(docs: DataFrame, definition: str, vocabulary: int, length: int = LENGTH
             columns = list(zip(*out, strict=True)) or [[]] * len(names)
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=names)
 
-    return vectors.select("row", "doc_id", "ids").join(placed, "row").select("doc_id", "ids", "at").mapInArrow(cut, PIECES)
+    return vectors.select("row", "doc_id", "ids").join(placed, "row").select("doc_id", "ids", "at").mapInArrow(shared.tidied(cut), PIECES)
 
 
 def read_definition(path: str) -> tuple[str, int]:

@@ -165,4 +165,4 @@ def score(docs: DataFrame, detector: Detector | None) -> DataFrame:
             yield b.assign(score=s, predicted=(s >= 0.5).astype(np.int32))
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields)
-    return kept.mapInPandas(run, f"{schema}, score double, predicted int")
+    return kept.mapInPandas(shared.tidied(run), f"{schema}, score double, predicted int")
