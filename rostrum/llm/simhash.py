@@ -3,9 +3,8 @@
 A text's terms are its word shingles (a text with fewer words is one term); each occurrence
 has weight one, so a distinct term weighs its count.  Every term hashes to ``BITS`` bits and
 votes on each: the fingerprint's bit is set where the set bits have more than half of the
-votes.  Votes are counted natively: sixteen-bit lanes packed into longs are summed per
-document and segment of at most 32,767 terms, then unpacked and summed per document, so
-counts never overflow however long the text is.
+votes.  Votes are counted natively in one aggregation: two lanes of 32 bits are packed into
+a long, which holds the counts of any text that a string can be.
 
 ``within`` cuts fingerprints into ``blocks`` blocks.  Two fingerprints that differ in at
 most r bits agree on at least ``blocks`` - r whole blocks; for every choice of that many
@@ -30,9 +29,7 @@ from rostrum.llm import shared
 WORDS, BITS = 5, 128
 #: Hamming radius of the search, and blocks of its tables.
 RADIUS, BLOCKS = 6, 8
-LANES = 4  # of sixteen bits in a long
-_MASK = 0x0001000100010001
-_SEGMENT = 32_767
+_MASK = 0x0000000100000001
 
 
 def terms(text: Column, k: int = WORDS) -> Column:
@@ -54,22 +51,14 @@ def terms(text: Column, k: int = WORDS) -> Column:
 def fingerprints(rows: DataFrame, keys: list[str], text: str = "text", k: int = WORDS) -> DataFrame:
     """``keys`` and ``fingerprint`` (hexadecimal) for each distinct combination of ``keys``."""
     words = rows.select(*keys, terms(F.coalesce(F.col(text), F.lit("")), k).alias("t"))
-    each = words.select(*keys, F.posexplode_outer("t").alias("pos", "h0"))
-    each = each.select(*keys, F.coalesce(F.floor(F.col("pos") / _SEGMENT), F.lit(0)).alias("seg"), "h0", F.xxhash64("h0").alias("h1"))
-    step = 64 // LANES
+    each = words.select(*keys, F.explode_outer("t").alias("h0")).withColumn("h1", F.xxhash64("h0"))
     half = BITS // 64
-    packed = [F.sum(F.shiftright(F.col(f"h{w}"), s).bitwiseAND(F.lit(_MASK))).alias(f"v{w}_{s}") for w in range(half) for s in range(step)]
-    sums = each.groupBy(*keys, "seg").agg(F.count("h0").alias("n"), *packed)
-    # lane j of v_s counts bit j * step + s; the mask keeps lanes apart as a segment has fewer than 2^15 terms
-    votes = [
-        F.sum(F.shiftright(F.col(f"v{w}_{s}"), 16 * j).bitwiseAND(F.lit(0xFFFF))).alias(f"c{w}_{j * step + s}")
-        for w in range(half)
-        for s in range(step)
-        for j in range(LANES)
-    ]
-    counts = sums.groupBy(*keys).agg(F.sum("n").alias("n"), *votes)
+    # the sum of v_s counts bit s in its lower and bit s + 32 in its upper lane
+    packed = [F.sum(F.shiftright(F.col(f"h{w}"), s).bitwiseAND(F.lit(_MASK))).alias(f"v{w}_{s}") for w in range(half) for s in range(32)]
+    counts = each.groupBy(*keys).agg(F.count("h0").alias("n"), *packed)
+    votes = lambda w, b: F.shiftright(F.col(f"v{w}_{b % 32}"), 32 * (b // 32)).bitwiseAND(F.lit(0xFFFFFFFF))
     word = lambda w, lo: sum(
-        (F.when(F.col(f"c{w}_{lo + b}") * 2 > F.col("n"), F.lit(1 << b)).otherwise(F.lit(0)) for b in range(32)), F.lit(0).cast("long")
+        (F.when(votes(w, lo + b) * 2 > F.col("n"), F.lit(1 << b)).otherwise(F.lit(0)) for b in range(32)), F.lit(0).cast("long")
     )
     text_of = lambda c: F.lower(F.lpad(F.hex(c), 8, "0"))
     return counts.select(*keys, F.concat(*[text_of(word(w, lo)) for w in range(half) for lo in (32, 0)]).alias("fingerprint"))
