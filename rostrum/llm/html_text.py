@@ -14,7 +14,8 @@ shared lines go.  On a page with an article element, lines outside go as well.
 
 The parse is one pass.  Partners are found from narrow keys in ranges of (host, path, id):
 each range also gets copies of the rows just before and after it, so that a host with a third of
-all pages is split like any other.
+all pages is split like any other.  A page's text moves once, compressed, to meet its partner's
+lines, which come as 64-bit hashes; their collisions are left out of account.
 
 Edge cases: null html counts as empty and gives an empty text; a page without a partner (a
 host of one page) is judged by markup alone; repeated pages partner each other and keep
@@ -24,9 +25,11 @@ result; extra columns are ignored.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -126,7 +129,14 @@ def lines_of(html: str | None) -> list[tuple[str, bool, bool]]:
     return parser.out
 
 
-def shared_lines(a: list[str], b: list[str]) -> set[int]:
+def marks_of(lines: list[str]) -> list[int]:
+    """64-bit hashes that stand for the lines in a comparison."""
+    import xxhash
+
+    return np.array([xxhash.xxh3_64_intdigest(t) for t in lines], np.uint64).view(np.int64).tolist()
+
+
+def shared_lines(a: list, b: list) -> set[int]:
     """Places in ``a`` of the lines of a longest common subsequence with ``b`` (bit-parallel)."""
     lo = 0
     while lo < min(len(a), len(b)) and a[lo] == b[lo]:
@@ -142,7 +152,7 @@ def shared_lines(a: list[str], b: list[str]) -> set[int]:
     m = len(inner_b)
     if not m:
         return out
-    places: dict[str, int] = {}
+    places: dict = {}
     for j, x in enumerate(inner_b):
         places[x] = places.get(x, 0) | 1 << j
     full, v, rows = (1 << m) - 1, (1 << m) - 1, []
@@ -165,10 +175,10 @@ def shared_lines(a: list[str], b: list[str]) -> set[int]:
     return out
 
 
-def main_text(lines: list[tuple[str, bool, bool]], partner: list[str] | None) -> str:
-    """The lines that are article text, joined by line breaks."""
+def main_text(lines: list[tuple[str, bool, bool]], partner: list[int] | None) -> str:
+    """The lines that are article text, joined by line breaks; ``partner`` has the marks of the partner's lines."""
     has_article = any(article and not never for _, article, never in lines)
-    common = shared_lines([t for t, _, _ in lines], partner) if partner else set()
+    common = shared_lines(marks_of([t for t, _, _ in lines]), partner) if partner else set()
     keep = [
         text
         for i, (text, article, never) in enumerate(lines)
@@ -190,8 +200,11 @@ def _parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for at in range(0, len(b), 500):
             part = b.iloc[at : at + 500]
             found = [lines_of(h) for h in part["html"]]
+            texts = [[t for t, _, _ in x] for x in found]
             yield part.drop(columns="html").assign(
-                lines=[[t for t, _, _ in x] for x in found], flags=["".join(f"{int(a) + 2 * int(n)}" for _, a, n in x) for x in found]
+                lines=[zlib.compress("\n".join(x).encode()) for x in texts],
+                marks=[marks_of(x) for x in texts],
+                flags=["".join(f"{int(a) + 2 * int(n)}" for _, a, n in x) for x in found],
             )
 
 
@@ -199,7 +212,7 @@ def extract(pages: DataFrame, rows_each: int = 5_000) -> DataFrame:
     """page_id, url, text and partner_id for every page."""
     spark = pages.sparkSession
     rows = pages.select("page_id", "url", "html", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
-    parsed = rows.mapInPandas(_parse, "page_id long, url string, host string, path string, lines array<string>, flags string")
+    parsed = rows.mapInPandas(_parse, "page_id long, url string, host string, path string, lines binary, marks array<long>, flags string")
     parsed, _ = shared.stage(parsed.withColumn("row", F.monotonically_increasing_id()), "page-lines")
     # ranges of the order, by Spark's own sampling; staged, so that they can't change
     wide = shared.partitions(spark)
@@ -228,14 +241,15 @@ def extract(pages: DataFrame, rows_each: int = 5_000) -> DataFrame:
     chosen = both.withColumn("cp", F.coalesce(common("p"), F.lit(-1))).withColumn("cq", F.coalesce(common("q"), F.lit(-1)))
     partner = F.when((F.col("cp") < 0) & (F.col("cq") < 0), None).when(F.col("cp") >= F.col("cq"), F.col("p.row")).otherwise(F.col("q.row"))
     pairs = chosen.select("row", partner.alias("partner"))
-    other = parsed.select(F.col("row").alias("partner"), F.col("page_id").alias("partner_id"), F.col("lines").alias("partner_lines"))
-    joined = parsed.join(pairs, "row").join(other, "partner", "left").select("page_id", "url", "lines", "flags", "partner_id", "partner_lines")
+    other = parsed.select(F.col("row").alias("partner"), F.col("page_id").alias("partner_id"), F.col("marks").alias("partner_marks"))
+    pairs = pairs.join(other, "partner", "left").select("row", "partner_id", "partner_marks")
+    joined = parsed.select("row", "page_id", "url", "lines", "flags").join(pairs, "row").drop("row")
 
     def difference(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             texts = []
-            for lines, flags, theirs in zip(b["lines"], b["flags"], b["partner_lines"], strict=True):
-                own = [(t, f in "13", f in "23") for t, f in zip(lines, flags, strict=True)]
+            for lines, flags, theirs in zip(b["lines"], b["flags"], b["partner_marks"], strict=True):
+                own = [(t, f in "13", f in "23") for t, f in zip(zlib.decompress(lines).decode().split("\n"), flags, strict=bool(flags))]
                 texts.append(main_text(own, None if theirs is None else list(theirs)))
             yield pd.DataFrame({"page_id": b["page_id"], "url": b["url"], "text": texts, "partner_id": b["partner_id"]})
 
