@@ -7,6 +7,12 @@ heads and tails of a gap match outright.  Coverage is the share of the template'
 that are aligned.  A template that shares too few distinct words with the text to reach
 the threshold is skipped: its coverage can't be reached.
 
+A statement may stand anywhere: it is found wherever a longest common subsequence, which no
+alignment exceeds, reaches the threshold within SPREAD template lengths.  Words outside of that
+count for another statement: scattered over a long text, common words would cover short
+templates by chance.  Where patience alignment falls short of the words a statement's
+surroundings hold, the longest common subsequence gives the coverage.
+
 One pass over whole texts; templates are a small fixed table.  Edge cases: null and empty
 texts match nothing; repeated rows give repeated rows; an empty table gives an empty
 result; extra columns are ignored; of templates that cover equally, the first wins.
@@ -15,15 +21,18 @@ result; extra columns are ignored; of templates that cover equally, the first wi
 from __future__ import annotations
 
 import re
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from math import ceil
 
 import pandas as pd
 from pyspark.sql import DataFrame
 
 #: Coverage from which a template counts as found.
 THRESHOLD = 0.8
+#: Words in which a statement's needed words may lie, as a multiple of its template's.
+SPREAD = 4
 
 # Short license statements.
 TEMPLATES = {
@@ -92,34 +101,85 @@ def align(a: list[str], b: list[str]) -> list[tuple[int, int]]:
     return sorted(out)
 
 
-def coverage(text: list[str], template: list[str]) -> tuple[float, int, int]:
-    """Share of the template that is aligned, and the first and last aligned place in the text (-1 if none).
-
-    The template may stand anywhere: of repeated statements the alignment starts at each place of
-    the template's rarest word in the text, within as many words around it as it could span.
-    """
-    counts = Counter(text)
-    have = sum(min(n, counts[w]) for w, n in Counter(template).items())
-    if have < THRESHOLD * len(template):
-        return have / len(template) if len(template) else 0.0, -1, -1
-    rare = min((w for w in template if counts[w]), key=lambda w: (counts[w], template.index(w)))
-    best = (0.0, -1, -1)
-    reach = 2 * len(template)
-    for at in [i for i, w in enumerate(text) if w == rare]:
-        lo = max(0, at - reach)
-        pairs = align(text[lo : at + reach], template)
-        share = len(pairs) / len(template)
-        if share > best[0]:
-            best = (share, lo + pairs[0][0], lo + pairs[-1][0])
-            if share == 1.0:
+class Template:
+    """A template's words with the bit masks of their places, forwards and backwards."""
+
+    def __init__(self, own: list[str], threshold: float = THRESHOLD) -> None:
+        self.words, self.size, self.reach = own, len(own), SPREAD * len(own)
+        self.need = max(1, ceil(threshold * len(own) - 1e-9))
+        self.counts = Counter(own)
+        self.ahead: dict[str, int] = {}
+        self.back: dict[str, int] = {}
+        for j, w in enumerate(own):
+            self.ahead[w] = self.ahead.get(w, 0) | 1 << j
+            self.back[w] = self.back.get(w, 0) | 1 << len(own) - 1 - j
+
+    def reached(self, own: Iterable[str], masks: dict[str, int], goal: int) -> tuple[int, int]:
+        """Longest common subsequence with ``own`` (bit-parallel), and the words of ``own`` it takes; stops at ``goal``."""
+        full = v = (1 << self.size) - 1
+        best = taken = 0
+        for n, w in enumerate(own, 1):
+            u = v & masks[w]
+            v = ((v + u) | (v - u)) & full
+            if u and (length := self.size - v.bit_count()) > best:
+                best, taken = length, n
+                if best >= goal:
+                    break
+        return best, taken
+
+    def cores(self, own: list[str], at: list[int]) -> list[tuple[int, int]]:
+        """Disjoint shortest runs of ``own`` (the template's words in a text, at places ``at``) that cover what is needed.
+
+        Each ends as early as any after the one before, so no text has more disjoint ones.
+        """
+        out, x = [], 0
+        while x < len(at):
+            end = bisect_left(at, at[x] + self.reach)
+            best, taken = self.reached(own[x:end], self.ahead, self.need)
+            if best >= self.need:
+                end = x + taken
+                _, taken = self.reached(reversed(own[x:end]), self.back, self.need)
+                out.append((end - taken, end))
+                x = end
+                continue
+            # a later window has to hold as many further words as were missing
+            last = end + self.need - best - 1
+            if last >= len(at):
                 break
-    return best
+            x = max(x + 1, bisect_right(at, at[last] - self.reach))
+        return out
+
+    def statements(self, text: list[str]) -> list[tuple[float, int, int]]:
+        """(share of the template that is aligned, first and last aligned place in the text) of every statement."""
+        at = [i for i, w in enumerate(text) if w in self.ahead]
+        own = [text[i] for i in at]
+        cores = self.cores(own, at)
+        out, low = [], 0
+        for k, (start, end) in enumerate(cores):
+            lo = max(low, bisect_right(at, at[end - 1] - self.reach))
+            hi = min(cores[k + 1][0] if k + 1 < len(cores) else len(at), bisect_left(at, at[start] + self.reach))
+            part = own[lo:hi]
+            share = len(align(part, self.words))
+            held = Counter(part)
+            if share < sum(min(n, held[w]) for w, n in self.counts.items()):  # anchors crossed, or no word was unique
+                share, _ = self.reached(part, self.ahead, self.size)
+            _, taken = self.reached(part, self.ahead, share)
+            hi = lo + taken
+            _, taken = self.reached(reversed(own[lo:hi]), self.back, share)
+            out.append((share / self.size, at[hi - taken], at[hi - 1]))
+            low = hi
+        return out
+
+
+def coverage(text: list[str], template: list[str], threshold: float = THRESHOLD) -> tuple[float, int, int]:
+    """The best statement's share of the template and its first and last place (0 and -1 if none reaches the threshold)."""
+    return max(Template(template, threshold).statements(text) if template else [], key=lambda s: s[0], default=(0.0, -1, -1))
 
 
 def scan(docs: DataFrame, templates: dict[str, str] | None = None, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, license (null if none), coverage, first_word and last_word (-1 if none)."""
-    known = {k: words(v) for k, v in (templates or TEMPLATES).items()}
-    telling = {k: set(v) for k, v in known.items()}
+    known = {k: Template(words(v), threshold) for k, v in (templates or TEMPLATES).items()}
+    telling = {k: set(t.words) for k, t in known.items()}
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -129,11 +189,11 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, threshold: fl
                 held = set(own)
                 best = (0.0, -1, -1, None)
                 for name, t in known.items():
-                    if len(telling[name] - held) > (1 - threshold) * len(t):
+                    if len(telling[name] - held) > t.size - t.need:
                         continue
-                    share, first, last = coverage(own, t)
-                    if first >= 0 and share >= threshold and share > best[0]:
-                        best = (share, first, last, name)
+                    for share, first, last in t.statements(own):
+                        if share > best[0]:
+                            best = (share, first, last, name)
                 rows.append((doc_id, best[3], best[0], best[1], best[2]))
             yield pd.DataFrame(rows, columns=["doc_id", "license", "coverage", "first_word", "last_word"])
 

@@ -313,6 +313,46 @@ def test_license(docs, texts, none):
     assert [v for v in (lambda x: [x[i] for i in license.increasing(x)])([3, 1, 2, 5, 4])] in ([1, 2, 5], [1, 2, 4])
 
 
+def brute_common(a, b):
+    n = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+    for i, x in enumerate(a):
+        for j, y in enumerate(b):
+            n[i + 1][j + 1] = n[i][j] + 1 if x == y else max(n[i][j + 1], n[i + 1][j])
+    return n[-1][-1]
+
+
+def test_license_statements_against_all_windows():
+    rng = random.Random(8)
+    template = "a b c d b e".split()
+    for _ in range(150):
+        text = rng.choices("abcdefgh", k=rng.randrange(60))
+        for _ in range(rng.randrange(3)):
+            at = rng.randrange(len(text) + 1)
+            text[at:at] = [w for w in template if rng.random() < 0.9]
+        reach = license.SPREAD * len(template)
+        covered = lambda i, j: brute_common(text[i:j], template) >= 5
+        want, at = 0, 0  # disjoint windows, each ending as early as possible
+        for j in range(len(text) + 1):
+            if j > at and covered(max(at, j - reach), j):
+                want, at = want + 1, j
+        got = license.Template(template, 0.8).statements(text)
+        assert len(got) == want
+        at = 0
+        for share, first, last in got:
+            assert at <= first <= last and share * 6 == pytest.approx(brute_common(text[first : last + 1], template))
+            at = last + 1
+        assert license.coverage(text, template)[0] == max([s for s, _, _ in got], default=0)
+
+
+def test_license_far_from_its_rarest_word(spark):
+    line = "This program is licensed under the GNU General Public License, version 3."
+    long = " ".join([line, *["other words of prose"] * 100, "work", *["this is the text"] * 100])
+    got = license.scan(spark.createDataFrame([(1, long)], "doc_id long, text string")).collect()
+    assert (got[0].license, got[0].first_word, got[0].last_word) == ("GPL-3.0", 0, 11) and got[0].coverage == pytest.approx(11 / 12)
+    half = license.scan(spark.createDataFrame([(1, "one two x three")], "doc_id long, text string"), {"L": "one two three four five six"}, threshold=0.5).collect()
+    assert (half[0].license, half[0].coverage) == ("L", 0.5)
+
+
 def auc(score, y):
     order = np.argsort(np.argsort(score))
     return (order[y == 1].mean() - (sum(y) - 1) / 2) / (len(y) - sum(y))
