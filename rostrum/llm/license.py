@@ -15,7 +15,8 @@ surroundings hold, the longest common subsequence gives the coverage.
 
 One pass over whole texts; templates are a small fixed table.  Edge cases: null and empty
 texts match nothing; repeated rows give repeated rows; an empty table gives an empty
-result; extra columns are ignored; of templates that cover equally, the first wins.
+result; extra columns are ignored.  ``hits`` lists every statement of every template, in the
+order of the text; the other columns repeat the best (of equal ones the first template's).
 """
 
 from __future__ import annotations
@@ -46,6 +47,8 @@ TEMPLATES = {
     "MIT-grant": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files",
 }
 
+HIT = ["license", "coverage", "first_word", "last_word"]
+
 _WORD = re.compile(r"\w+(?:[.-]\w+)*")
 
 
@@ -176,25 +179,29 @@ def coverage(text: list[str], template: list[str], threshold: float = THRESHOLD)
     return max(Template(template, threshold).statements(text) if template else [], key=lambda s: s[0], default=(0.0, -1, -1))
 
 
+def hits_of(text: list[str], known: dict[str, Template]) -> list[tuple[str, float, int, int]]:
+    """(license, coverage, first word, last word) of every statement of every template, in the order of the text."""
+    held = set(text)
+    out = []
+    for name, t in known.items():
+        if len(t.ahead.keys() - held) <= t.size - t.need:
+            out += [(name, *s) for s in t.statements(text)]
+    return sorted(out, key=lambda h: h[2:])
+
+
 def scan(docs: DataFrame, templates: dict[str, str] | None = None, threshold: float = THRESHOLD) -> DataFrame:
-    """doc_id, license (null if none), coverage, first_word and last_word (-1 if none)."""
+    """doc_id, the best license (null if none), coverage, first_word and last_word (-1 if none), and all hits."""
     known = {k: Template(words(v), threshold) for k, v in (templates or TEMPLATES).items()}
-    telling = {k: set(t.words) for k, t in known.items()}
+    rank = {name: k for k, name in enumerate(known)}
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             rows = []
             for doc_id, text in zip(b["doc_id"], b["text"], strict=True):
-                own = words(text)
-                held = set(own)
-                best = (0.0, -1, -1, None)
-                for name, t in known.items():
-                    if len(telling[name] - held) > t.size - t.need:
-                        continue
-                    for share, first, last in t.statements(own):
-                        if share > best[0]:
-                            best = (share, first, last, name)
-                rows.append((doc_id, best[3], best[0], best[1], best[2]))
-            yield pd.DataFrame(rows, columns=["doc_id", "license", "coverage", "first_word", "last_word"])
-
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, license string, coverage double, first_word long, last_word long")
+                hits = hits_of(words(text), known)
+                best = min(hits, key=lambda h: (-h[1], rank[h[0]], h[2]), default=(None, 0.0, -1, -1))
+                rows.append((doc_id, *best, [dict(zip(HIT, h, strict=True)) for h in hits]))
+            yield pd.DataFrame(rows, columns=["doc_id", *HIT, "hits"])
+
+    fields = "license string, coverage double, first_word long, last_word long"
+    return docs.select("doc_id", "text").mapInPandas(run, f"doc_id long, {fields}, hits array<struct<{fields}>>")

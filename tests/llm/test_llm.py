@@ -353,6 +353,16 @@ def test_license_far_from_its_rarest_word(spark):
     assert (half[0].license, half[0].coverage) == ("L", 0.5)
 
 
+def test_license_reports_every_statement(spark):
+    mit, cc, gpl = (license.TEMPLATES[k] for k in ("MIT", "CC-BY-NC-4.0", "GPL-3.0"))
+    text = f"{mit} Some prose. {cc} More prose here. {mit} {mit} And {gpl}"
+    got = license.scan(spark.createDataFrame([(1, text), (2, "prose"), (3, None)], "doc_id long, text string"))
+    got = rows_of(got)
+    assert [(h.license, h.coverage, h.first_word) for h in got[1].hits] == [("MIT", 1.0, 0), ("CC-BY-NC-4.0", 1.0, 7), ("MIT", 1.0, 15), ("MIT", 1.0, 20), ("GPL-3.0", 1.0, 26)]
+    assert (got[1].license, got[1].first_word) == ("MIT", 0)
+    assert (got[2].license, got[2].hits, got[3].hits) == (None, [], [])
+
+
 def auc(score, y):
     order = np.argsort(np.argsort(score))
     return (order[y == 1].mean() - (sum(y) - 1) / 2) / (len(y) - sum(y))
