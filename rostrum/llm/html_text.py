@@ -8,7 +8,9 @@ lines, the lines are aligned by a longest common subsequence, and shared lines a
 Differencing alone deletes what two articles share and keeps boilerplate that differs, so
 markup takes part: each line knows whether it stands in an article or main element, and
 whether in an element that is never article text (menus, headers, footers, sidebars, notices,
-adverts, forms, comments).  Lines of the latter go whatever the partner has.  Shared lines
+adverts, forms, comments).  Class and id values tell by their whole words or known compounds,
+and a main element, or an article if the page has no other, counts inside of one so named.
+Lines that are never article text go whatever the partner has.  Shared lines
 inside an article stay, as pages of one host may well quote the same passage; all other
 shared lines go.  On a page with an article element, lines outside go as well.
 
@@ -40,32 +42,44 @@ from rostrum.llm import shared
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol p pre search section summary table tbody td tfoot th thead title tr ul".split())
 HIDDEN = frozenset("script style noscript template head title iframe object svg canvas select textarea button datalist audio video math".split())
-NEVER = frozenset("nav header footer aside form menu dialog search".split())
+NEVER = frozenset("nav header footer aside menu dialog search".split())
 ARTICLE = frozenset("article main".split())
 NEVER_ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog alertdialog menu menubar".split())
 NEVER_WORDS = frozenset("ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus footer gdpr header login masthead menu modal nav navbar navigation newsletter notice notices pagination popup promo promotion recommended related replies respond share sharing sidebar signup social sponsor sponsored subscribe toolbar widget".split())
+# words that may stand beside those in a compound, as in site-header or comments-section
+NEVER_BESIDE = frozenset("area articles bar block bottom box button buttons container global group inline items links list main page posts primary secondary section site slot stories top wrap wrapper".split())
 CLOSES_P = BLOCK - frozenset("body html head td th tr tbody thead tfoot".split())
 
 
+def marks_never(name: str) -> bool:
+    """Whether a class or id names an element that is never article text: all of its parts have to.
+
+    A part alone doesn't tell: has-sidebar, no-comments and header-fixed stand on wrappers of whole pages.
+    """
+    parts = [x for x in name.lower().replace("_", "-").split("-") if x and not x.isdecimal()]
+    return any(x in NEVER_WORDS for x in parts) and all(x in NEVER_WORDS or x in NEVER_BESIDE for x in parts)
+
+
 class _Lines(HTMLParser):
-    """Text lines of a page: (text, inside an article, never article text)."""
+    """Text lines of a page: (text, inside an article, never article text, in an article inside of such an element)."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.out: list[tuple[str, bool, bool]] = []
-        self.open: list[tuple[str, bool, bool, bool]] = []  # name, article, never, hidden
+        self.out: list[tuple[str, bool, bool, bool]] = []
+        # name, article, never, hidden, never by a class, id or form, and an article inside of that
+        self.open: list[tuple[str, bool, bool, bool, bool, bool]] = []
         self.held: list[str] = []
 
-    def _now(self) -> tuple[bool, bool, bool]:
-        return self.open[-1][1:] if self.open else (False, False, False)
+    def _now(self) -> tuple[bool, bool, bool, bool, bool]:
+        return self.open[-1][1:] if self.open else (False,) * 5
 
     def flush(self) -> None:
         if self.held:
             text = " ".join("".join(self.held).split())
             self.held.clear()
-            article, never, hidden = self._now()
+            article, never, hidden, named, doubt = self._now()
             if text and not hidden:
-                self.out.append((text, article, never))
+                self.out.append((text, article, never or named, doubt))
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         if tag in BLOCK:
@@ -77,15 +91,18 @@ class _Lines(HTMLParser):
         if tag in CLOSES_P:
             self._close_p()
         own = {k: v or "" for k, v in attrs}
-        article, never, hidden = self._now()
-        names = set(" ".join((own.get("class", ""), own.get("id", ""))).lower().replace("-", " ").replace("_", " ").split())
-        inner = article or tag in ARTICLE or own.get("role") in ("main", "article")
+        article, never, hidden, named, doubt = self._now()
+        main = tag == "main" or own.get("role") == "main"
+        starts = main or tag in ARTICLE or own.get("role") == "article"
+        if starts and named:  # a wrapper's name doesn't undo the article in it; comments are articles too, though
+            named, doubt = False, not main
+        by_name = tag == "form" or (tag not in ("body", "html", *ARTICLE) and any(map(marks_never, f"{own.get('class', '')} {own.get('id', '')}".split())))
         # an article's own heading block is part of it
-        aside = tag in NEVER or own.get("role") in NEVER_ROLES or (bool(names & NEVER_WORDS) and tag not in ("body", "html", *ARTICLE))
+        aside = tag in NEVER or own.get("role") in NEVER_ROLES
         gone = tag in HIDDEN or "hidden" in own or own.get("aria-hidden") == "true" or "display:none" in own.get("style", "").replace(" ", "").lower()
-        if not gone and not hidden and tag not in BLOCK and aside:
+        if not gone and not hidden and tag not in BLOCK and (aside or by_name):
             self.flush()
-        self.open.append((tag, inner, never or aside, hidden or gone))
+        self.open.append((tag, article or starts, never or aside, hidden or gone, named or by_name, doubt))
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         if tag in BLOCK:
@@ -109,7 +126,8 @@ class _Lines(HTMLParser):
             self.flush()
         for i in range(len(self.open) - 1, -1, -1):
             if self.open[i][0] == tag:
-                self.flush() if tag in BLOCK or self.open[i][2] != (i > 0 and self.open[i - 1][2]) else None
+                outer = self.open[i - 1] if i else (tag, *(False,) * 5)
+                self.flush() if tag in BLOCK or (self.open[i][2] or self.open[i][4]) != (outer[2] or outer[4]) else None
                 del self.open[i:]
                 return
             if self.open[i][0] in BLOCK and tag not in BLOCK:
@@ -121,12 +139,16 @@ class _Lines(HTMLParser):
 
 
 def lines_of(html: str | None) -> list[tuple[str, bool, bool]]:
-    """Text lines of a page in order, with their flags."""
+    """Text lines of a page in order, with their flags.
+
+    An article inside of an element named as never article text counts if the page has no other.
+    """
     parser = _Lines()
     parser.feed(html or "")
     parser.close()
     parser.flush()
-    return parser.out
+    other = any(article and not never and not doubt for _, article, never, doubt in parser.out)
+    return [(text, article, never or (doubt and other)) for text, article, never, doubt in parser.out]
 
 
 def marks_of(lines: list[str]) -> list[int]:

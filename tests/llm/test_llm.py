@@ -289,6 +289,24 @@ def test_html(spark):
     assert html_text.extract(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize(
+    "page",
+    [
+        '<div class="layout has-sidebar">{}<div class="sidebar">Side</div></div>',
+        '<div id="page" class="no-comments">{}</div>',
+        '<div class="content header-fixed">{}</div><div class="site-header">Top</div>',
+        '<div class="widget">{}</div>',
+        '<form id="whole">{}</form>',
+        '<div class="promo"><main><div class="ad">Buy</div>{}</main></div>',
+        '{}<div class="comments"><article>Nice!</article></div><section class="related-posts"><article>More</article></section>',
+    ],
+)
+def test_html_wrappers(page):
+    article = '<article><p>One</p><div class="post-share-content">Two</div><section id="related-work">Three</section><div class="comments-section">No</div><p>Four</p></article>'
+    lines = html_text.lines_of(f"<html><body>{page.format(article)}</body></html>")
+    assert html_text.main_text(lines, None) == "One\nTwo\nThree\nFour"
+
+
 def test_shared_lines_are_a_longest_common_subsequence():
     rng = random.Random(2)
     for _ in range(200):
