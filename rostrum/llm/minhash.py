@@ -4,9 +4,9 @@ A text's set is its distinct five-word shingles, as 64-bit hashes.  Its signatur
 ``CHUNKS`` chunks of ``WIDTH`` slots, each the low ``b`` = 16 bits of a minhash.  The
 signature distance is the number of slots that differ.  By the pigeonhole principle, two
 signatures at a distance of at most 2 * CHUNKS - 1 have a chunk with one error at most; for
-each chunk the index enumerates the places of that error, so the pair shares a key.  The
-join is therefore complete below that distance (which a pair with similarity 0.75 exceeds
-with a probability of about 3e-5, and even then it shares no key at 1e-8 only).
+each chunk the index enumerates the places of that error, so the pair shares a key.  Pairs
+that share a key are candidates up to the distance ``FAR``.  A pair with similarity 0.75 shares
+no key with a probability of 7.1e-9, and is farther apart than FAR with one of 1.1e-10.
 
 What each stage does:
 
@@ -43,6 +43,8 @@ from rostrum.llm import shared
 from rostrum.llm.graph import components
 
 CHUNKS, WIDTH = 14, 4
+#: Slots that may differ in a candidate pair: the loss by this distance has to stay far below that by the keys.
+FAR = 36
 #: Similarity of linked texts, in per cent.
 PERCENT = 75
 #: Signatures, and shingles, in a block of a task.
@@ -180,7 +182,7 @@ def _near_signatures(df: pd.DataFrame, find: Callable[[int], int]) -> Iterator[t
     sig = np.frombuffer(b"".join(df["sig"]), np.uint16).reshape(len(df), _SLOTS)
     for x in range(len(df) - 1):
         apart = (sig[x + 1 :] != sig[x]).sum(axis=1)
-        ys = np.flatnonzero(apart <= 2 * CHUNKS - 1) + x + 1
+        ys = np.flatnonzero(apart <= FAR) + x + 1
         if len(ys):
             yield x, ys
 

@@ -1,11 +1,13 @@
 """Every operator against a plain brute-force version, on tables full of edge cases."""
 
 import hashlib
+import math
 import random
 import re
 import zlib
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -116,6 +118,24 @@ def test_near_groups(docs, texts, none, monkeypatch, small_blocks):
     assert minhash.near_groups(none).count() == 0
 
 
+def test_near_groups_beyond_the_pigeonhole_distance():
+    """Two signatures that share a key and differ in 28 to FAR slots are candidates."""
+    rng = np.random.default_rng(4)
+    for apart in (27, 28, 32, minhash.FAR):
+        one = rng.integers(0, 2**15, minhash._SLOTS).astype(np.uint16)
+        other = one.copy()
+        other[-apart:] += 1
+        df = pd.DataFrame({"id": [1, 2], "sig": [one.tobytes(), other.tobytes()]})
+        assert [(x, list(ys)) for x, ys in minhash._near_signatures(df, lambda x: x)] == [(0, [1])]
+
+
+def test_near_groups_loss():
+    n, p = minhash._SLOTS, minhash.PERCENT / 100
+    by_keys = (1 - p**4 - 4 * p**3 * (1 - p)) ** minhash.CHUNKS
+    by_distance = sum(math.comb(n, k) * (1 - p) ** k * p ** (n - k) for k in range(minhash.FAR + 1, n + 1))
+    assert by_distance < by_keys / 10 and by_keys < 1e-8
+
+
 def test_components_of_a_path(spark):
     edges = [(i, i + 1) for i in range(60)] + [(100, 101), (101, 100), (7, 7), (None, 3)]
     got = rows_of(graph.components(spark.createDataFrame(edges, "a long, b long")), "node")
