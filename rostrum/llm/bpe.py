@@ -1,18 +1,20 @@
 """Byte-level BPE encoding and decoding with a given rank table.
 
 Texts are cut by the tokenizer's pattern.  Spark higher-order functions fold the ranked
-merges over arrays of byte tokens of distinct words: the state holds a word's tokens and the
-rank of each neighbouring pair, each step merges the leftmost pair of least rank, and ranks come from a
-literal map (a table without collisions, so that a lookup costs the same for any number of ranks).
+merges over arrays of byte tokens of distinct words: a word's state is one array whose elements hold the
+rank of a token's pair with the next one, its place and the token, so that the least element
+is the leftmost pair of least rank; each step merges it.  Ranks come from a literal map: a table
+by rows of left tokens, packed into each other, in which a lookup is two array accesses.
 
-1. ``frequent_words`` counts all words and folds the most frequent ones, ``FREQUENT`` at most; this
-   table's size is bounded by that number and by ``LONG_WORD``, and it is broadcast.
-2. Documents are gathered in blocks of at most ``BLOCK_CHARS`` characters.  A block carries its
-   other distinct words once, and each document as indexes into both; those words are folded
-   in their block.  A text longer than a block is a block of its own.
-3. Each document's tokens are put together and decoded by concatenating the binary pieces.
+1. ``_cut``: a task cuts its texts and keeps a running dictionary of the words it has met.  It
+   passes on rows of at most about ``ROW_WORDS`` new words, in their first state, with the documents that
+   need them, as indexes into the dictionary.
+2. The new words of every row are folded.
+3. ``_documents``: the next step of the same task keeps the dictionary's tokens, puts each document's
+   tokens together and decodes them by concatenating the binary pieces.
 
-Only word counts are shuffled, and a block's size bounds what a task holds.
+Nothing is shuffled, broadcast or collected, and a word is folded once in a task.  A dictionary is
+begun anew beyond ``DICTIONARY`` words, so that a task's memory is bounded but for a single text's own size.
 
 A fold costs the square of a word's length.  Words of over ``LONG_WORD`` bytes (the cut
 leaves only unbroken runs of that length) are merged with a heap instead, by the same ranks.
@@ -27,31 +29,30 @@ from __future__ import annotations
 import base64
 import hashlib
 import heapq
-import io
 import json
-import uuid
-from collections import Counter
+import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import cached_property
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
-from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rostrum.llm import shared
 
-#: Characters of text in a block, and bytes from which a word is merged with a heap.
-BLOCK_CHARS, LONG_WORD = 12_000_000, 200
-#: Words at most that are folded once for all blocks, and the words that a task counts before it passes them on.
-FREQUENT, COUNTED = 1_000_000, 400_000
-#: Places in the literal rank map, first hashes that move a pair's place, and the number from which a rank is none.
-SLOTS, MOVES, NONE = 1 << 18, 1 << 15, 1 << 20
-_MIX = (668_265_263, 374_761_393, 461_845_907, 2_246_822_519)
+#: New words in a row, words in a task's dictionary, and bytes from which a word is merged with a heap.
+ROW_WORDS, DICTIONARY, LONG_WORD = 20_000, 500_000, 4_096
+#: Characters of text in a row.
+ROW_CHARS = 2_000_000
+#: An element of a state: the pair's rank from bit 30 on, the token's place from bit 16 on, and the token.
+TOKEN_BITS, PLACE_BITS, RANK_BITS = 16, 14, 17
+#: From this number on, an element's pair isn't in the table.
+NONE = 1 << (TOKEN_BITS + PLACE_BITS + RANK_BITS)
 
-_BLOCK = "doc_id array<bigint>, used array<array<int>>, words array<array<bigint>>, long array<array<int>>"
+_ROW = "fresh boolean, words array<array<bigint>>, long array<array<int>>, docs array<struct<doc_id:bigint,used:binary>>"
 
 
 @dataclass(frozen=True)
@@ -113,54 +114,65 @@ class Ranks:
 
 @dataclass(frozen=True)
 class PairMap:
-    """The literal rank map: a table without collisions from pairs of tokens to tokens.
+    """The literal rank map: from pairs of tokens to tokens.
 
-    ``slots`` holds, at a pair's place, the pair and its token in one number; a pair's place is
-    its second hash moved by what ``moves`` has at its first hash.
+    The row of a left token begins at ``rows[left]`` of ``slots``; the right token's slot in it holds, for a pair
+    that is in the map, the left token and the pair's token.  Rows lie in each other's gaps.  Token ``edge``, one
+    more than there are, has no pairs.
     """
 
-    slots: Column
-    moves: Column
+    rows: np.ndarray
+    slots: np.ndarray
 
     @classmethod
     def of(cls, ranks: Ranks) -> PairMap:
-        slots, moves = place_pairs(ranks.pairs)
-        literal = lambda x, kind: F.from_json(F.lit(json.dumps(x.tolist(), separators=(",", ":"))), f"array<{kind}>")  # noqa: E731  parsed once, by constant folding
-        return cls(literal(slots, "bigint"), literal(moves, "bigint"))
-
-    def rank(self, a: Column, b: Column) -> Column:
-        """The token that a pair merges to, or a number from ``NONE`` on."""
-        first = F.shiftright(a * _MIX[0] + b * _MIX[1], 11).bitwiseAND(F.lit(MOVES - 1)).cast("int")
-        second = F.shiftright(a * _MIX[2] + b * _MIX[3], 9)
-        place = (second + F.get(self.moves, first)).bitwiseAND(F.lit(SLOTS - 1)).cast("int")
-        # the pair cancels out where it is the one in the slot
-        return F.get(self.slots, place).bitwiseXOR(F.shiftleft(a, 40) + F.shiftleft(b, 20))
-
-
-def place_pairs(pairs: dict[tuple[int, int], int]) -> tuple[np.ndarray, np.ndarray]:
-    """Slots and moves for ``PairMap``: the pairs of a full bucket are placed first, each bucket by the least move that fits."""
-    keys = np.array([(a, b, t) for (a, b), t in pairs.items()], dtype=np.int64).reshape(-1, 3)
-    a, b = keys[:, 0], keys[:, 1]
-    first = (a * _MIX[0] + b * _MIX[1]) >> 11 & (MOVES - 1)
-    second = (a * _MIX[2] + b * _MIX[3]) >> 9 & (SLOTS - 1)
-    moves, slots = np.zeros(MOVES, np.int64), np.full(SLOTS, ((1 << 40) - 1) << 20, np.int64)
-    taken = np.zeros(SLOTS, bool)
-    order = np.argsort(first, kind="stable")
-    starts = np.flatnonzero(np.r_[True, np.diff(first[order]) != 0]) if len(keys) else []
-    buckets = np.split(order, starts[1:]) if len(keys) else []
-    for own in sorted(buckets, key=len, reverse=True):
-        if len(set(second[own].tolist())) < len(own):
-            raise ValueError("two pairs have the same hashes")
-        for move in range(SLOTS):
-            at = second[own] + move & (SLOTS - 1)
-            if not taken[at].any():
-                break
-        else:
-            raise ValueError("the table is too small")
-        taken[at] = True
-        moves[first[own[0]]] = move
-        slots[at] = a[own] << 40 | b[own] << 20 | keys[own, 2]
-    return slots, moves
+        n = len(ranks.pieces)
+        if n >= 1 << TOKEN_BITS:
+            raise ValueError(f"more than {(1 << TOKEN_BITS) - 1} tokens")
+        keys = np.array([(a, b, t) for (a, b), t in ranks.pairs.items()], np.int64).reshape(-1, 3)
+        keys = keys[np.lexsort((keys[:, 1], keys[:, 0]))]
+        starts = np.flatnonzero(np.r_[True, np.diff(keys[:, 0]) != 0]) if len(keys) else []
+        own = np.split(keys, starts[1:]) if len(keys) else []
+        free, rows = np.ones(len(keys) * 4 + 8 * (n + 4096), bool), np.zeros(n + 1, np.int64)
+        slots = np.full(len(free), ((1 << TOKEN_BITS) - 1) << RANK_BITS, np.int64)
+        window = 4096
+        for row in sorted(own, key=len, reverse=True):  # the fullest rows first, each at the first place that fits
+            right, at = row[:, 1], 0
+            while True:
+                fits = free[right[0] + at : right[0] + at + window].copy()
+                for b in right[1:]:
+                    fits &= free[b + at : b + at + window]
+                    if not fits.any():
+                        break
+                if fits.any():
+                    at += int(fits.argmax())
+                    break
+                at += window
+                if at + window + n >= len(free):
+                    raise ValueError("the table is too small")
+            free[right + at] = False
+            slots[right + at] = row[:, 0] << RANK_BITS | row[:, 2]
+            rows[row[0, 0]] = at
+        end = int(np.flatnonzero(~free).max(initial=-1)) + 1
+        rows[n] = end  # the edge's row is behind all others
+        return cls(rows, slots[: end + n + 1])
+
+    @property
+    def edge(self) -> int:
+        return len(self.rows) - 1
+
+    def of_bytes(self, tokens: np.ndarray) -> np.ndarray:
+        """Ranks of pairs of neighbours, as ``rank`` gives them; 0 behind the last."""
+        if not len(tokens):
+            return np.zeros(0, np.int64)
+        return np.append(self.slots[self.rows[tokens[:-1]] + tokens[1:]] ^ tokens[:-1] << RANK_BITS, 0)
+
+    def literal(self) -> Callable[[Column, Column], Column]:
+        """``rank(left, right)``: the token that a pair merges to, or a number of more than RANK_BITS bits."""
+        of = lambda x: F.from_json(F.lit(json.dumps(x.tolist(), separators=(",", ":"))), "array<bigint>")  # noqa: E731  parsed once, by constant folding
+        rows, slots = of(self.rows), of(self.slots)
+        # the left token cancels out where it is the slot's owner
+        return lambda a, b: F.get(slots, (F.get(rows, a.cast("int")) + b).cast("int")).bitwiseXOR(F.shiftleft(a, RANK_BITS))
 
 
 def _let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -168,203 +180,183 @@ def _let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def fold(word: Column, table: PairMap) -> Column:
-    """The tokens of a word, given as an array of byte tokens."""
-    none = F.array().cast("array<bigint>")
+def fold(state: Column, rank: Callable[[Column, Column], Column]) -> Column:
+    """The state of a word after all merges; edges stand before its first and behind its last token."""
+    token, low = F.lit((1 << TOKEN_BITS) - 1), F.lit((1 << TOKEN_BITS + PLACE_BITS) - 1)
+    place, up = F.lit(((1 << PLACE_BITS) - 1) << TOKEN_BITS), TOKEN_BITS + PLACE_BITS
+    n = F.size(state)
 
     def merge(s: Column, least: Column, p: Column) -> Column:
-        """With the pair of tokens p and p + 1, counted from 1, as one token."""
-        ids, ranks = s["ids"], s["ranks"]
-        n = F.size(ids)
-        left = F.when(p > 1, F.array(table.rank(F.get(ids, p - 2), least))).otherwise(none)
-        right = F.when(p < n - 1, F.array(table.rank(least, F.get(ids, p + 1)))).otherwise(none)
-        return F.struct(
-            F.concat(F.slice(ids, F.lit(1), p - 1), F.array(least), F.slice(ids, p + 2, n)).alias("ids"),
-            F.concat(F.slice(ranks, F.lit(1), F.greatest(p - 2, F.lit(0))), left, right, F.slice(ranks, p + 2, n)).alias("ranks"),
-        )
+        """With the tokens at p and p + 1, counted from 1, as one token."""
+        before, own = F.get(s, p - 2), F.shiftright(least, up)
+        left = F.shiftleft(rank(before.bitwiseAND(token), own), up) + before.bitwiseAND(low)
+        merged = F.shiftleft(rank(own, F.get(s, p + 1).bitwiseAND(token)), up) + least.bitwiseAND(place) + own
+        return F.concat(F.slice(s, F.lit(1), p - 2), F.array(left, merged), F.slice(s, p + 2, n))
 
     def step(s: Column, _: Column) -> Column:
         def of(least: Column) -> Column:
-            merged = _let(F.array_position(s["ranks"], least).cast("int"), lambda p: merge(s, least, p))
+            merged = _let(F.array_position(s, least).cast("int"), lambda p: merge(s, least, p))
             return F.when(least < NONE, merged).otherwise(s)
 
-        return _let(F.array_min(s["ranks"]), of)
+        return _let(F.array_min(s), of)
 
-    n = F.size(word)
-    pairs = F.transform(F.sequence(F.lit(1), n - 1), lambda i: table.rank(F.get(word, i - 1), F.get(word, i)))
-    start = F.struct(word.alias("ids"), pairs.alias("ranks"))
-    folded = F.aggregate(F.sequence(F.lit(1), n - 1), start, step, lambda s: s["ids"])
-    return F.when(n > 1, folded).otherwise(word)
+    # n - 3 merges at most: two edges, and a token is left
+    return F.when(n > 3, F.aggregate(F.sequence(F.lit(1), n - 3), state, step)).otherwise(state)
 
 
-def _ragged(values: np.ndarray, lengths: np.ndarray) -> pa.ListArray:
-    offsets = np.zeros(len(lengths) + 1, np.int32)
-    np.cumsum(lengths, out=offsets[1:])
-    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))
+def tokens_of(states: Column) -> Column:
+    """The tokens of folded words, without edges."""
+    return F.transform(states, lambda s: F.transform(F.slice(s, F.lit(2), F.size(s) - 2), lambda x: x.bitwiseAND(F.lit((1 << TOKEN_BITS) - 1)).cast("int")))
 
 
-def _count(ranks: Ranks):
-    """Arrow batches of documents -> word, n: counts of words, passed on in bounded tables."""
+def states_of(words: list[bytes], one: np.ndarray, table: PairMap) -> pa.ListArray:
+    """The first states of words: an edge, the byte tokens with their pairs' ranks, an edge."""
+    size = np.array([len(w) for w in words], np.int64)
+    start = np.cumsum(size) - size
+    flat = one[np.frombuffer(b"".join(words), np.uint8)]
+    nothing = (1 << RANK_BITS + TOKEN_BITS) - 1  # the greatest rank
+    ranks = table.of_bytes(flat)
+    ranks[(start + size - 1)[size > 0]] = nothing  # a word's last token has no pair
+    place = np.arange(len(flat)) - np.repeat(start, size) + 1
+    out = np.full(len(flat) + 2 * len(words), nothing << TOKEN_BITS + PLACE_BITS | table.edge, np.int64)
+    inner = np.arange(len(flat)) + 2 * np.repeat(np.arange(len(words)), size) + 1
+    out[inner] = ranks << TOKEN_BITS + PLACE_BITS | place << TOKEN_BITS | flat
+    offsets = np.zeros(len(words) + 1, np.int32)
+    np.cumsum(size + 2, out=offsets[1:])
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(out))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import regex
 
-        cut, seen = regex.compile(ranks.pattern), Counter()
+class Cutter:
+    """Cuts texts by the pattern.  Texts of Latin letters, which the standard library's engine cuts twice as fast, go there."""
 
-        def flush() -> pa.RecordBatch:
-            out = pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], names=["word", "n"])
-            seen.clear()
-            return out
+    # The members below U+02B0 of the classes of letters, of numbers and of white space.
+    LETTER, NUMBER, SPACE = "A-Za-z\u00aa\u00b5\u00ba\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u02af", "0-9\u00b2\u00b3\u00b9\u00bc-\u00be", r"\t-\r \x85\xa0"
 
-        for b in batches:
-            for text in b.column(0):
-                seen.update(cut.findall(text.as_py() or ""))
-                if len(seen) > COUNTED:
-                    yield flush()
-        yield flush()
+    def __init__(self, pattern: str):
+        import regex
 
-    return run
+        self.any = regex.compile(pattern).findall
+        self.latin = re.compile("[\x00-\x1b\x20-\u02af]*").fullmatch
+        own = pattern.replace(r"[^\s\p{L}\p{N}]", f"[^{self.SPACE}{self.LETTER}{self.NUMBER}]")
+        for name, members in ((r"\p{L}", f"[{self.LETTER}]"), (r"\p{N}", f"[{self.NUMBER}]"), (r"\s", f"[{self.SPACE}]"), (r"\S", f"[^{self.SPACE}]")):
+            own = own.replace(name, members)
+        # a pattern with other classes than these is left to the general engine
+        self.fast = re.compile(own).findall if "\\" not in own.replace(self.SPACE, "") else None
+
+    def __call__(self, text: str) -> list[str]:
+        return self.fast(text) if self.fast and self.latin(text) else self.any(text)
 
 
-def _byte_tokens(ranks: Ranks):
-    """word -> word, tokens: the tokens of its bytes."""
+def _cut(ranks: Ranks, table: PairMap):
+    """Arrow batches of documents -> rows of new words and of documents as places in the task's dictionary."""
     one = ranks.one
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cut = Cutter(ranks.pattern)
+        words: dict[str, int] = {}
+        fresh, sent, docs, held = True, 0, [], 0
+
+        def row() -> pa.RecordBatch:
+            nonlocal fresh, sent, held
+            new = [w.encode() for w in islice(words, sent, None)]
+            long = [i for i, w in enumerate(new) if len(w) > LONG_WORD]
+            done = [[sent + i, *ranks.merge(one[np.frombuffer(new[i], np.uint8)].tolist())] for i in long]  # place, tokens
+            for i in long:
+                new[i] = b""
+            each = [
+                pa.array([fresh]),
+                _one_list(states_of(new, one, table)),
+                _one_list(pa.array(done, pa.list_(pa.int32()))),
+                _one_list(pa.StructArray.from_arrays([pa.array([d for d, _ in docs], pa.int64()), pa.array([u for _, u in docs], pa.binary())], ["doc_id", "used"])),
+            ]
+            fresh, sent, held = False, len(words), 0
+            docs.clear()
+            return pa.RecordBatch.from_arrays(each, names=["fresh", "words", "long", "docs"])
+
         for b in batches:
-            coded = [w.encode() for w in b.column(0).to_pylist()]
-            tokens = _ragged(one[np.frombuffer(b"".join(coded), np.uint8)], np.array([len(w) for w in coded], np.int64))
-            yield pa.RecordBatch.from_arrays([b.column(0), tokens], names=["word", "tokens"])
+            for doc_id, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                text = text.as_py() or ""
+                own, find = [], words.setdefault
+                for w in cut(text):
+                    own.append(find(w, len(words)))
+                docs.append((doc_id, np.array(own, np.int32).tobytes()))
+                held += len(text)
+                if held >= ROW_CHARS or len(words) - sent >= ROW_WORDS:
+                    yield row()
+                if len(words) > DICTIONARY:
+                    if docs:
+                        yield row()
+                    words.clear()
+                    fresh, sent = True, 0
+        if docs:
+            yield row()
 
     return run
 
 
-def frequent_words(docs: DataFrame, ranks: Ranks, table: PairMap, most: int = FREQUENT) -> bytes:
-    """The most frequent words with their tokens, ``most`` at most, as an Arrow stream.
+def _one_list(values: pa.Array) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
 
-    Words that are counted once, or are long, are never among them; of words that are equally
-    frequent all or none are.
-    """
-    wide = shared.partitions(docs.sparkSession)
-    parts = docs.select("text").mapInArrow(_count(ranks), "word string, n long").repartition(wide, "word")
-    counted = parts.groupBy("word").agg(F.sum("n").alias("n"))
-    counted, path = shared.stage(counted.filter((F.col("n") > 1) & (F.octet_length("word") <= LONG_WORD)), "word-counts")
-    ladder = counted.groupBy(F.least("n", F.lit(100_000)).alias("n")).agg(F.count("*").alias("words")).collect()  # 100,000 rows at most
-    total, least = 0, None
-    for row in sorted(ladder, key=lambda r: -r["n"]):
-        total += row["words"]
-        if total > most:
-            break
-        least = row["n"]
-    chosen = counted.filter(F.col("n") >= least) if least else counted.limit(0)
-    folded = chosen.select("word").mapInArrow(_byte_tokens(ranks), "word string, tokens array<bigint>")
-    got = folded.select("word", fold(F.col("tokens"), table).cast("array<int>").alias("tokens")).toArrow()
-    shared.drop(docs.sparkSession, path)
-    out = io.BytesIO()
-    with pa.ipc.new_stream(out, got.schema) as stream:
-        stream.write_table(got)
-    return out.getvalue()
-
-
-#: In a worker: the frequent words of the encoding at hand, by its name.
-_KNOWN: dict[str, tuple[dict[str, int], np.ndarray, np.ndarray]] = {}
-
-
-def _known(name: str, shipped: Broadcast) -> tuple[dict[str, int], np.ndarray, np.ndarray]:
-    """Places of the frequent words, their tokens, and where each word's tokens begin; built once in a worker."""
-    if name not in _KNOWN:
-        _KNOWN.clear()
-        got = pa.ipc.open_stream(shipped.value).read_all()
-        tokens = pa.concat_arrays(got.column(1).chunks) if got.num_rows else pa.array([], pa.list_(pa.int32()))
-        flat = tokens.flatten().to_numpy(zero_copy_only=False).astype(np.int32)
-        sizes = tokens.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
-        places = {w: i for i, w in enumerate(got.column(0).to_pylist())}
-        _KNOWN[name] = places, flat, np.r_[0, np.cumsum(sizes)]
-    return _KNOWN[name]
-
-
-def _blocks(ranks: Ranks, block_chars: int, name: str, shipped: Broadcast):
-    """Arrow batches of documents -> one row for each block."""
-    one = ranks.one
 
-    def block(ids: list, used: list, words: dict[str, int]) -> pa.RecordBatch:
-        coded = [w.encode() for w in words]
-        long = [i for i, w in enumerate(coded) if len(w) > LONG_WORD]
-        done = [[i, *ranks.merge(one[np.frombuffer(coded[i], np.uint8)].tolist())] for i in long]  # word, its tokens
-        for i in long:
-            coded[i] = b""
-        flat = one[np.frombuffer(b"".join(coded), np.uint8)]
-        each = [
-            pa.array(ids, pa.int64()),
-            _ragged(np.concatenate([np.zeros(0, np.int32), *used]), np.array([len(u) for u in used], np.int64)),
-            _ragged(flat, np.array([len(w) for w in coded], np.int64)),
-            pa.array(done, pa.list_(pa.int32())),
-        ]
-        rows = [pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x) for x in each]
-        return pa.RecordBatch.from_arrays(rows, names=["doc_id", "used", "words", "long"])
+class _Tokens:
+    """A growing table of words' tokens."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import regex
+    def __init__(self):
+        self.flat, self.at, self.words, self.used = np.zeros(1 << 16, np.int32), np.zeros(1 << 14, np.int64), 0, 0
 
-        cut, (places, _, _) = regex.compile(ranks.pattern), _known(name, shipped)
-        find, first = places.get, len(places)
-        ids, used, words, held = [], [], {}, 0
-        for b in batches:
-            for doc_id, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                text = text.as_py() or ""
-                if ids and held + len(text) > block_chars:
-                    yield block(ids, used, words)
-                    ids, used, words, held = [], [], {}, 0
-                held += len(text)
-                ids.append(doc_id)
-                own = []
-                for w in cut.findall(text):
-                    at = find(w)
-                    own.append(first + words.setdefault(w, len(words)) if at is None else at)
-                used.append(np.array(own, dtype=np.int32))
-        if ids:
-            yield block(ids, used, words)
+    def add(self, tokens: np.ndarray, sizes: np.ndarray) -> None:
+        self.flat = self._room(self.flat, self.used + len(tokens))
+        self.at = self._room(self.at, self.words + len(sizes) + 1)
+        self.flat[self.used : self.used + len(tokens)] = tokens
+        self.at[self.words + 1 : self.words + 1 + len(sizes)] = self.used + np.cumsum(sizes)
+        self.words, self.used = self.words + len(sizes), self.used + len(tokens)
 
-    return run
+    @staticmethod
+    def _room(a: np.ndarray, n: int) -> np.ndarray:
+        if n <= len(a):
+            return a
+        out = np.zeros(max(n, 2 * len(a)), a.dtype)
+        out[: len(a)] = a
+        return out
+
+    def of(self, words: np.ndarray) -> np.ndarray:
+        start = self.at[words]
+        n = self.at[words + 1] - start
+        return self.flat[np.repeat(start - np.cumsum(n) + n, n) + np.arange(n.sum())]
 
 
-def _documents(ranks: Ranks, name: str, shipped: Broadcast):
-    """Blocks with folded words -> a row for each document: its tokens and the decoded bytes' digest."""
+def _documents(ranks: Ranks):
+    """Rows with folded words -> a row for each document: its tokens and the decoded bytes' digest."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces, (_, known, known_at) = np.array(ranks.pieces, dtype=object), _known(name, shipped)
-        first = len(known_at) - 1
+        pieces, known, long = np.array(ranks.pieces, dtype=object), _Tokens(), {}
         for b in batches:
             for row in range(b.num_rows):
-                ids = b.column(0)[row].values
-                used, words, long = (b.column(i)[row].values for i in (1, 2, 3))
-                flat, at = words.flatten().to_numpy(zero_copy_only=False).astype(np.int32), words.offsets.to_numpy() - words.offsets[0].as_py()
-                flat, at = np.concatenate([known, flat]), np.r_[known_at, at[1:] + known_at[-1]]
-                size = np.diff(at)
-                own = {first + x[0]: np.array(x[1:], np.int32) for x in long.to_pylist()}
-                out: dict[str, list] = {"n": [], "ids": [], "decoded": []}
-                for k in range(len(used)):
-                    u = used[k].values.to_numpy(zero_copy_only=False) if used[k].values is not None else np.zeros(0, np.int32)
-                    if own and any(w in own for w in u.tolist()):
-                        got = np.concatenate([own.get(w, flat[at[w] : at[w + 1]]) for w in u.tolist()])
+                if b.column(0)[row].as_py():
+                    known, long = _Tokens(), {}
+                words, done, docs = (b.column(i)[row].values for i in (1, 2, 3))
+                known.add(words.flatten().to_numpy(zero_copy_only=False), words.value_lengths().to_numpy(zero_copy_only=False))
+                long |= {x[0]: np.array(x[1:], np.int32) for x in done.to_pylist()}
+                n, ids, decoded = [], [], []
+                for used in docs.field("used"):
+                    places = np.frombuffer(used.as_buffer(), np.int32)
+                    if long and not long.keys().isdisjoint(places.tolist()):
+                        got = np.concatenate([long[w] if w in long else known.of(np.array([w])) for w in places.tolist()])
                     else:
-                        n = size[u]
-                        got = flat[np.repeat(at[u] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())] if len(u) else np.zeros(0, np.int32)
-                    out["n"].append(len(got))
-                    out["ids"].append(got.astype("<u4").tobytes())
-                    out["decoded"].append(hashlib.sha256(b"".join(pieces[got])).hexdigest())
-                yield pa.RecordBatch.from_arrays(
-                    [ids.cast(pa.int64()), pa.array(out["n"], pa.int64()), pa.array(out["ids"], pa.binary()), pa.array(out["decoded"], pa.string())],
-                    names=["doc_id", "n_tokens", "ids", "decoded_sha256"],
-                )
+                        got = known.of(places)
+                    n.append(len(got))
+                    ids.append(got.astype("<u4").tobytes())
+                    decoded.append(hashlib.sha256(b"".join(pieces[got].tolist())).hexdigest())
+                out = [docs.field("doc_id"), pa.array(n, pa.int64()), pa.array(ids, pa.binary()), pa.array(decoded, pa.string())]
+                yield pa.RecordBatch.from_arrays(out, names=["doc_id", "n_tokens", "ids", "decoded_sha256"])
 
     return run
 
 
-def encode(docs: DataFrame, ranks: Ranks, block_chars: int = BLOCK_CHARS, frequent: int = FREQUENT) -> DataFrame:
+def encode(docs: DataFrame, ranks: Ranks) -> DataFrame:
     """doc_id, n_tokens, ids (little-endian unsigned 32-bit) and the digest of the decoded bytes."""
-    table, name = PairMap.of(ranks), uuid.uuid4().hex
-    shipped = docs.sparkSession.sparkContext.broadcast(frequent_words(docs, ranks, table, frequent))
-    blocks = docs.select("doc_id", "text").mapInArrow(_blocks(ranks, block_chars, name, shipped), _BLOCK)
-    folded = blocks.select("doc_id", "used", F.transform("words", lambda w: fold(w, table)).alias("words"), "long")
-    return folded.mapInArrow(_documents(ranks, name, shipped), "doc_id long, n_tokens long, ids binary, decoded_sha256 string")
+    table = PairMap.of(ranks)
+    rank = table.literal()
+    cut = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(shared.tidied(_cut(ranks, table)), _ROW)
+    folded = cut.select("fresh", tokens_of(F.transform("words", lambda w: fold(w, rank))).alias("words"), "long", "docs")
+    return folded.mapInArrow(shared.tidied(_documents(ranks)), "doc_id long, n_tokens long, ids binary, decoded_sha256 string")

@@ -231,19 +231,37 @@ def test_block_tables_find_all(spark):
     assert got == {(f"{a:032x}", f"{b:032x}") for i, a in enumerate(own) for b in own[i + 1 :] if (a ^ b).bit_count() <= 6}
 
 
-def test_bpe(spark, docs, texts, none):
+@pytest.mark.parametrize("small", [False, True])
+def test_bpe(spark, docs, texts, none, monkeypatch, small):
     tiktoken = pytest.importorskip("tiktoken")
+    if small:
+        for name, value in (("ROW_WORDS", 5), ("ROW_CHARS", 300), ("DICTIONARY", 12), ("LONG_WORD", 7)):
+            monkeypatch.setattr(bpe, name, value)
     ranks = bpe.Ranks.read(queries.tokenizer_path("byte_bpe_multi_50k.tiktoken"))
     plain = tiktoken.Encoding("own", pat_str=ranks.pattern, mergeable_ranks=ranks.rank, special_tokens={})
-    got = rows_of(bpe.encode(docs, ranks, block_chars=2000))
-    for i, t in enumerate(texts):
+    more = [(-1, "abcab" * 120 + "\u4e2d\u6587" * 50), (-2, "ab\x1c\x1d cd\u2028 \u00a0x\u0301"), (-3, "aaaaaaaaaa " * 3), (None, "x")]
+    rows = docs.select("doc_id", "text").unionByName(spark.createDataFrame(more, "doc_id long, text string"))
+    got = rows_of(bpe.encode(rows, ranks))
+    for i, t in [*((i * 10, t) for i, t in enumerate(texts)), *more]:
         want = plain.encode_ordinary(t or "")
-        r = got[i * 10]
+        r = got[i]
         assert bytes(r.ids) == np.array(want, "<u4").tobytes() and r.n_tokens == len(want)
         assert r.decoded_sha256 == hashlib.sha256((t or "").encode()).hexdigest()
     assert bpe.encode(none, ranks).count() == 0
 
 
+def test_bpe_cutter():
+    regex = pytest.importorskip("regex")
+    from public_tokenizers import PATTERN
+
+    cut, plain = bpe.Cutter(PATTERN), regex.compile(PATTERN)
+    assert cut.fast is not None and bpe.Cutter(r"\d+|\D").fast is None
+    for code in range(0x300):
+        c = chr(code)
+        for t in (c, f" {c}", f"a{c}b", f"1{c}{c} {c}x", f"'s{c}", f"{c} {c}  {c}"):
+            assert cut(t) == plain.findall(t), (t,)
+
+
 def test_packing(spark, docs, texts, none):
     tokenizers = pytest.importorskip("tokenizers")
     definition, vocabulary = packing.read_definition(queries.tokenizer_path("word_bpe_49k.json"))
