@@ -8,8 +8,9 @@ and never by a digest.  Strides grow fourfold, so the number of rounds is logari
 the longest text, and only texts that still share a whole prefix move again.
 
 A group's count and survivor come from a partially aggregated ``groupBy``: a group that
-holds a third of all rows reaches its reducer as one row per map task.  The join that
-hands the counts back is a plain equi-join, which adaptive execution splits when skewed.
+holds a third of all rows reaches its reducer as one row per map task.  The counts go back in an equi-join, but for
+groups of so many rows that there can be few of them: these are broadcast, and their rows dealt evenly.
+Groups are named by numbers of their own, never by an id.
 
 Edge cases: a null text is an empty one, and all empty texts are one group; repeated rows
 and repeated ids are members like any others; an empty table gives an empty result; extra
@@ -27,6 +28,8 @@ from rostrum.llm import shared
 
 #: Bytes in the first digit, and the factor by which digits grow.
 FIRST_STRIDE, GROWTH = 64, 4
+#: Bytes at most of the digits that are broadcast.
+HOT_BYTES = 32 << 20
 
 OUT = ["doc_id", "keep_id", "group_size", "kept", "text_sha256"]
 
@@ -41,7 +44,7 @@ def exact_groups(docs: DataFrame, first_stride: int = FIRST_STRIDE, growth: int
     body = F.encode(shared.fold_ascii_col(F.coalesce(F.col("text"), F.lit(""))), "UTF-8")
     rows = docs.select("doc_id", body.alias("rest")).select(
         "doc_id",
-        F.octet_length("rest").cast("string").alias("grp"),  # the length is the leading digit
+        F.octet_length("rest").cast("long").alias("grp"),  # the length is the leading digit
         "rest",
         F.sha2("rest", 256).alias("text_sha256"),
     )
@@ -49,24 +52,23 @@ def exact_groups(docs: DataFrame, first_stride: int = FIRST_STRIDE, growth: int
     stride, last = first_stride, None
     while True:
         digit = F.substring("rest", 1, stride)
-        groups = (
-            rows.groupBy("grp", digit.alias("digit"))
-            .agg(F.count(F.lit(1)).alias("n"), F.max("doc_id").alias("top"))
-            .filter("n > 1")
-        )
-        split = rows.withColumn("digit", digit).join(groups, ["grp", "digit"], "left")
+        groups = rows.groupBy("grp", digit.alias("digit")).agg(F.count(F.lit(1)).alias("n"), F.max("doc_id").alias("top")).filter("n > 1")
+        # staged, so that a group keeps its number, which is its name in the next round
+        groups, groups_path = shared.stage(groups.withColumn("next", F.monotonically_increasing_id()), "radix-groups")
+        held = groups.agg(F.sum("n"), F.sum(F.col("n") * F.octet_length("digit"))).first()
+        split = shared.join_counted(rows.withColumn("digit", digit), groups.withColumn("size", F.col("n")), ["grp", "digit"], held[0] or 0, (held[1] or 0) // HOT_BYTES)
         ended = F.octet_length("rest") <= stride
         result = split.select(
             "doc_id",
-            F.coalesce("top", "doc_id").alias("keep_id"),
-            F.coalesce("n", F.lit(1)).cast("long").alias("group_size"),
+            F.when(F.col("size").isNull(), F.col("doc_id")).otherwise(F.col("top")).alias("keep_id"),
+            F.coalesce("size", F.lit(1)).cast("long").alias("group_size"),
             "text_sha256",
-            # names the group in the next round: its largest id, or without ids its bytes so far
-            F.coalesce(F.col("top").cast("string"), F.concat("grp", F.lit("/"), F.hex("digit"))).alias("grp"),
+            F.col("next").alias("grp"),
             # what is left to compare; null once the group is a singleton or has ended
-            F.when(F.col("n").isNotNull() & ~ended, F.substring("rest", stride + 1, 2**31 - 1 - stride)).alias("rest"),
+            F.when(F.col("size").isNotNull() & ~ended, F.substring("rest", stride + 1, 2**31 - 1 - stride)).alias("rest"),
         )
         table, path = shared.stage(result, "radix")
+        shared.drop(spark, groups_path)
         if last:
             shared.drop(spark, last)
         done.append(table.filter("rest is null"))
@@ -83,8 +85,9 @@ def exact_groups(docs: DataFrame, first_stride: int = FIRST_STRIDE, growth: int
 def keep_one(docs: DataFrame) -> DataFrame:
     """The documents without exact copies, with all columns of ``docs``.
 
-    Of equal texts the row with the largest id stays.  Ids are expected to be unique; of
-    rows that share the surviving id and the text, all stay.
+    Of equal texts the row with the largest id stays, or one of those rows per repetition of that id; null ids
+    are the least.  A row is told from others with its id by its text.
     """
-    gone = exact_groups(docs).filter("not kept").select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    gone = exact_groups(docs).filter("not kept").select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha"))
+    own = F.sha2(F.encode(shared.fold_ascii_col(F.coalesce(docs["text"], F.lit(""))), "UTF-8"), 256)
+    return docs.join(gone.distinct(), docs["doc_id"].eqNullSafe(F.col("__id")) & (own == F.col("__sha")), "left_anti")

@@ -24,6 +24,9 @@ from pyspark.sql import functions as F
 #: Used only where the cluster names no checkpoint folder, as in tests.
 FALLBACK_DIR = "/tmp/checkpoints"
 
+#: Rows up to which a key isn't hot in any case.
+HOT_ROWS = 200
+
 #: A-Z only; every other letter keeps its case.
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
@@ -64,6 +67,24 @@ def drop(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def join_counted(left: DataFrame, right: DataFrame, on: list[str], rows: int, least: int = 0) -> DataFrame:
+    """Left equi-join with a ``right`` of one row for each key, whose column ``n`` tells how many rows of ``left`` have it.
+
+    ``rows`` is the number of rows of ``left``, or more.  Keys with over a quarter of a task's share of them (and over
+    ``least``, for rows so wide that fewer have to be sent) are broadcast: 4 times the shuffle width at most, as
+    no more keys can have so many rows; their rows are then dealt evenly.  The others meet in a shuffle.
+    """
+    most = max(HOT_ROWS, rows // (4 * partitions(left.sparkSession)), least)
+    values = [c for c in right.columns if c not in (*on, "n")]
+    of = F.struct(*values)
+    hot = right.filter(F.col("n") > most).select(*on, of.alias("__hot"))
+    cold = right.filter(F.col("n") <= most).select(*on, F.lit(0).cast("long").alias("__salt"), of.alias("__cold"))
+    salt = F.when(F.col("__hot").isNull(), F.lit(0)).otherwise(F.monotonically_increasing_id() + 1)
+    dealt = left.join(F.broadcast(hot), on, "left").withColumn("__salt", salt).join(cold, [*on, "__salt"], "left")
+    found = F.coalesce("__hot", "__cold")
+    return dealt.select(*left.columns, *[found[c].alias(c) for c in values])
+
+
 def partitions(spark: SparkSession) -> int:
     """The session's shuffle width: the unit in which work is split."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
