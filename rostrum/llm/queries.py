@@ -86,7 +86,7 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return minhash.near_groups(_table(spark, sf_dir, "documents"))
+    return minhash.near_groups(_table(spark, sf_dir, "documents")).drop("text_hash")
 
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,7 +7,7 @@ import re
 import zlib
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -125,8 +125,9 @@ def test_near_groups_beyond_the_pigeonhole_distance():
         one = rng.integers(0, 2**15, minhash._SLOTS).astype(np.uint16)
         other = one.copy()
         other[-apart:] += 1
-        df = pd.DataFrame({"id": [1, 2], "sig": [one.tobytes(), other.tobytes()]})
-        assert [(x, list(ys)) for x, ys in minhash._near_signatures(df, lambda x: x)] == [(0, [1])]
+        for rows in ([one, other], [one, other, one]):
+            got = minhash._near_signatures(pa.array([r.tobytes() for r in rows]), np.array([0]), np.array([len(rows)]))
+            assert [g.tolist() for g in got] == ([[0], [1]] if len(rows) == 2 else [[0, 0], [1, 2]])
 
 
 def test_near_groups_loss():
@@ -136,6 +137,42 @@ def test_near_groups_loss():
     assert by_distance < by_keys / 10 and by_keys < 1e-8
 
 
+@pytest.mark.parametrize("hot", [False, True])
+def test_repeated_ids(spark, monkeypatch, hot):
+    """Rows are told apart by their texts where they repeat an id."""
+    if hot:
+        monkeypatch.setattr(shared, "HOT_ROWS", 1)
+    a, b, c = (" ".join(f"{x}{i}" for i in range(30)) for x in "abc")
+    rows = [(1, a), (1, b), (7, b), (9, a), (7, c), (None, b), (5, None), (5, ""), *[(k, a + " z") for k in range(20, 40)]]
+    df = spark.createDataFrame([(i, t, 1, 2, "x") for i, t in rows], "doc_id long, text string, hits int, __key int, `a.b` string")
+    got = sorted((r.doc_id or 0, r.component_id, r.kept) for r in minhash.near_groups(df).collect())
+    want = [(0, 1, False), (1, 1, True), (1, 1, True), (5, 5, True), (5, 5, True), (7, 1, False), (7, 7, True), (9, 1, False)]
+    assert got == [*want, *[(k, 1, False) for k in range(20, 40)]]
+    kept = minhash.keep_one(df)
+    assert sorted((r.doc_id, r.text) for r in kept.filter("text != ''").collect()) == [(1, a), (1, b), (7, c)] and kept.columns == df.columns
+    x, y, p, q = "a" * 64 + "z" * 10, "b" * 64 + "z" * 10, "a" * 63 + "q" + "z" * 10, "A" * 64 + "z" * 10
+    rows = [(5, x), (5, x), (5, y), (5, y), (5, p), (2, q), (None, x), (None, "n" * 80), (None, "n" * 80), *[(k, "hot" * 40) for k in range(100, 130)]]
+    df = spark.createDataFrame([(i, t, 1, 2, "x") for i, t in rows], "doc_id long, text string, hits int, __key int, `a.b` string")
+    for stride in (4, 64):
+        got = {(r.doc_id, r.keep_id, r.group_size, r.kept, r.text_sha256) for r in exact_dedup.exact_groups(df, stride).collect()}
+        groups = {}
+        for i, t in rows:
+            groups.setdefault(t.lower(), []).append(i)
+        want = set()
+        for t, ids in groups.items():
+            top = max((i for i in ids if i is not None), default=None)
+            want |= {(i, top, len(ids), i == top, hashlib.sha256(t.encode()).hexdigest()) for i in ids}
+        assert got == want
+    kept = exact_dedup.keep_one(df)
+    assert kept.columns == df.columns
+    assert sorted((r.doc_id or 0, r.text) for r in kept.collect()) == sorted([(5, x), (5, x), (5, y), (5, y), (5, p), (0, "n" * 80), (0, "n" * 80), (129, "hot" * 40)])
+
+
+def test_components_that_do_not_converge(spark):
+    with pytest.raises(RuntimeError):
+        graph.components(spark.createDataFrame([(i, i + 1) for i in range(30)], "a long, b long"), max_rounds=1)
+
+
 def test_components_of_a_path(spark):
     edges = [(i, i + 1) for i in range(60)] + [(100, 101), (101, 100), (7, 7), (None, 3)]
     got = rows_of(graph.components(spark.createDataFrame(edges, "a long, b long")), "node")
