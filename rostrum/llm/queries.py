@@ -53,35 +53,37 @@ def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = simhash.with_next(_table(spark, sf_dir, "documents"))
-    docs = docs.withColumn("edited", simhash.edited(F.col("text"), F.col("next_text")))
-    same = ["key", "next_key", "doc_id", "n_chars", "edited_sha256"]
-    both = docs.select(
-        "key",
-        "next_key",
-        "doc_id",
-        F.char_length("text").cast("long").alias("n_chars"),
-        F.sha2(F.encode("edited", "UTF-8"), 256).alias("edited_sha256"),
-        F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("text").alias("t")), F.struct(F.lit(1).alias("side"), F.col("edited").alias("t")))).alias("s"),
-    )
-    prints = simhash.fingerprints(both.select(*same, "s.side", F.col("s.t").alias("text")), [*same, "side"])
-    of = lambda side: F.max(F.when(F.col("side") == side, F.col("fingerprint")))
-    rows, _ = shared.stage(prints.groupBy(*same).agg(of(0).alias("fingerprint"), of(1).alias("edited_fingerprint")), "prints")
-    following = rows.select(F.col("key").alias("next_key"), F.col("fingerprint").alias("next_fingerprint"))
+    docs = _table(spark, sf_dir, "documents")
+    order, _ = shared.stage(simhash.order_of(docs), "simhash-next")
+    texts = simhash.with_next(docs, order)
+    edited = simhash.edited(F.col("text"), F.col("head"))
+    key = ["id", "hash", "edited_sha256"]
+    sides = F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("text")), F.struct(F.lit(1).alias("side"), edited.alias("text"))))
+    both = texts.select("id", "hash", F.sha2(F.encode(edited, "UTF-8"), 256).alias("edited_sha256"), sides.alias("s"))
+    votes = simhash.votes(both.select(*key, "s.side", "s.text"), [*key, "side"])
+    # a fingerprint as longs: the two of each part
+    longs = {side: [f"{side}_{part}_{x}" for part in range(2) for x in ("hi", "lo")] for side in ("own", "edit")}
+    of = lambda side, part, x: F.max(F.when((F.col("side") == side) & (F.col("part") == part), F.col(x)))
+    each = votes.groupBy(*key).agg(*[of(i, part, x).alias(f"{side}_{part}_{x}") for i, side in enumerate(longs) for part in range(2) for x in ("hi", "lo")])
+    rows, _ = shared.stage(each.join(order, ["id", "hash"]), "simhash-prints")
+    following = rows.select(F.col("id").alias("next_id"), F.col("hash").alias("next_hash"), *[F.col(c).alias(f"next_{c}") for c in longs["own"]])
     # searches: every id divisible by 20, against all fingerprints
-    asked = rows.filter("doc_id % 20 = 0").select("fingerprint")
-    hits = simhash.within(rows.select("fingerprint"), asked).groupBy(F.col("a").alias("fingerprint")).agg(F.count("*").alias("hits"))
-    out = rows.join(following, "next_key", "left").join(hits, "fingerprint", "left")
-    near = lambda c: simhash.likeness(F.col("fingerprint"), F.col(c))
-    return out.select(
+    words = rows.select(F.col("own_1_hi").alias("hi"), F.col("own_1_lo").alias("lo"), "repeats", "doc_id")
+    found = simhash.within(words.select("hi", "lo", F.explode(F.sequence(F.lit(1), "repeats"))), words.filter("doc_id % 20 = 0"))
+    hits = found.groupBy(F.col("a_hi").alias("own_1_hi"), F.col("a_lo").alias("own_1_lo")).agg((F.sum("b_rows") - 1).alias("others"), F.max(F.when(F.col("distance") == 0, F.col("b_rows"))).alias("n"))
+    hits, _ = shared.stage(hits, "simhash-hits")
+    out = shared.join_counted(rows.join(following, ["next_id", "next_hash"]), hits, ["own_1_hi", "own_1_lo"], rows.count())
+    cols = lambda names: [F.col(c) for c in names]
+    own, edit, ahead = cols(longs["own"]), cols(longs["edit"]), cols(f"next_{c}" for c in longs["own"])
+    return out.withColumn("copy", F.explode(F.sequence(F.lit(1), "repeats"))).select(
         "doc_id",
         "n_chars",
         "edited_sha256",
-        "fingerprint",
-        "edited_fingerprint",
-        near("edited_fingerprint").alias("near_edited"),
-        near("next_fingerprint").alias("near_next"),
-        F.when(F.col("doc_id") % 20 == 0, F.coalesce("hits", F.lit(0))).cast("long").alias("n_within"),
+        simhash.hexadecimal(own).alias("fingerprint"),
+        simhash.hexadecimal(edit).alias("edited_fingerprint"),
+        simhash.likeness(own, edit).alias("near_edited"),
+        simhash.likeness(own, ahead).alias("near_next"),
+        F.when(F.col("doc_id") % 20 == 0, F.col("others")).alias("n_within"),
     )
 
 

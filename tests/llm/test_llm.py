@@ -229,43 +229,81 @@ def test_simhash(spark, docs, texts, none, tmp_path):
     for i, t in enumerate(texts):
         same.setdefault(fold(t), set()).add(got[i * 10].fingerprint)
     assert all(len(v) == 1 for v in same.values())
-    prints = {i: int(r.fingerprint, 16) for i, r in got.items()}
+    prints = {i: int(r.fingerprint[32:], 16) for i, r in got.items()}
     for i, r in got.items():
         if i % 20 == 0:
-            assert r.n_within == len({p for p in prints.values() if p != prints[i] and (p ^ prints[i]).bit_count() <= 6})
-    every = simhash.within(docs.select(F.lit("0" * 32).alias("fingerprint")))
-    assert every.count() == 0
-    assert simhash.with_next(none).count() == 0
+            assert r.n_within == sum((p ^ prints[i]).bit_count() <= simhash.RADIUS for p in prints.values()) - 1
+    near = lambda a, b: max(0, math.cos(math.pi * (a ^ b).bit_count() / 128))
+    for i, r in got.items():
+        ours, theirs = ([int(x[k : k + 32], 16) for k in (0, 32)] for x in (r.fingerprint, r.edited_fingerprint))
+        assert r.near_edited == pytest.approx(sum(map(near, ours, theirs)) / 2)
+    assert simhash.order_of(none).count() == 0 and simhash.with_next(none, simhash.order_of(none)).count() == 0
+
+
+def test_simhash_repeats(spark, tmp_path):
+    """Repeated ids and rows, null ids, and long texts."""
+    rows = [(7, "seven seven a b c d"), (7, "seven seven a b c d"), (3, "x " * 5000), (3, "other " * 40), (None, "nil"), (None, "nil"), (None, None), (9, "")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = queries.op7_simhash(spark, str(tmp_path)).collect()
+    assert sorted((r.doc_id or 0, r.n_chars) for r in got) == sorted((i or 0, len(t or "")) for i, t in rows)
+    one = spark.createDataFrame(rows[:1], "doc_id long, text string")
+    one.write.parquet(str(tmp_path / "one" / "documents.parquet"))
+    (r,) = queries.op7_simhash(spark, str(tmp_path / "one")).collect()
+    assert r.edited_sha256 == hashlib.sha256(b"seven seven aseven ").hexdigest() and r.near_next == 1
 
 
 def test_simhash_votes(spark):
     """Against votes counted one by one, from the same term hashes."""
-    df = spark.createDataFrame([(1, "a b c d e f g h a b c d e f q " * 3), (2, "one two")], "id long, text string")
-    own = df.select("id", F.explode(simhash.terms(F.col("text"))).alias("h0")).withColumn("h1", F.xxhash64("h0")).collect()
-    got = rows_of(simhash.fingerprints(df, ["id"]), "id")
-    for k in (1, 2):
-        words = [(r.h0 & (2**64 - 1), r.h1 & (2**64 - 1)) for r in own if r.id == k]
-        want = 0
-        for w in range(2):
-            want <<= 64
-            want |= sum(1 << b for b in range(64) if 2 * sum(x[w] >> b & 1 for x in words) > len(words))
-        assert got[k].fingerprint == f"{want:032x}"
+    df = spark.createDataFrame([(1, "a b c d e f g h a b c d e f q " * 3), (2, "one two"), (3, "")], "id long, text string")
+    own = df.select("id", F.posexplode(simhash.terms(F.col("text"))).alias("part", "t")).select("id", "part", F.explode("t").alias("h0"))
+    own = own.withColumn("h1", F.xxhash64("h0")).collect()
+    got = {(r.id, r.part): r for r in simhash.votes(df, ["id"]).collect()}
+    assert len(got) == 6
+    for (k, part), r in got.items():
+        words = [(x.h0 & (2**64 - 1), x.h1 & (2**64 - 1)) for x in own if (x.id, x.part) == (k, part)]
+        want = [sum(1 << b for b in range(64) if 2 * sum(x[w] >> b & 1 for x in words) > len(words)) for w in range(2)]
+        assert [r.hi & (2**64 - 1), r.lo & (2**64 - 1)] == want
+
+
+def longs_of(p):
+    return [(x & (2**63 - 1)) - (x & 2**63) for x in (p >> 64, p & (2**64 - 1))]
 
 
 def test_block_tables_find_all(spark):
     rng = random.Random(3)
-    prints = [rng.getrandbits(128) for _ in range(20)]
+    prints = [rng.getrandbits(128) for _ in range(20)] + [0, 0]
     for p in prints[:10]:
-        for k in range(9):
+        for k in range(13):
             q = p
             for b in rng.sample(range(128), k):
                 q ^= 1 << b
             prints.append(q)
-    df = spark.createDataFrame([(f"{p:032x}",) for p in prints], "fingerprint string")
-    got = {(r.a, r.b) for r in simhash.within(df).collect()}
-    assert simhash.within(df).count() == len(got)
+    df = spark.createDataFrame([tuple(longs_of(p)) for p in prints], "hi long, lo long")
+    join = lambda r, side: (r[f"{side}_hi"] & (2**64 - 1)) << 64 | r[f"{side}_lo"] & (2**64 - 1)
+    rows = simhash.within(df).collect()
+    got = {frozenset((join(r, "a"), join(r, "b"))): r.distance for r in rows}
     own = sorted(set(prints))
-    assert got == {(f"{a:032x}", f"{b:032x}") for i, a in enumerate(own) for b in own[i + 1 :] if (a ^ b).bit_count() <= 6}
+    assert len(rows) == len(got)
+    assert got == {frozenset((a, b)): (a ^ b).bit_count() for i, a in enumerate(own) for b in own[i + 1 :] if (a ^ b).bit_count() <= simhash.RADIUS}
+    rows = simhash.within(df, df.limit(3)).collect()
+    want = [(p, q, prints.count(q)) for p in prints[:3] for q in own if (p ^ q).bit_count() <= simhash.RADIUS]
+    assert sorted((join(r, "a"), join(r, "b"), r.b_rows) for r in rows) == sorted(want)
+
+
+def test_simhash_recall_on_near_copies(spark):
+    """Texts with one word in forty changed, whose shingle similarity is about 0.78: nine in ten are within the radius."""
+    rng = random.Random(9)
+    words, weights = [f"w{i}" for i in range(4000)], [1 / (i + 1) for i in range(4000)]  # as frequent as words of prose
+    rows = []
+    for k in range(60):
+        own = rng.choices(words, weights, k=240)
+        other = list(own)
+        for at in range(10, 240, 40):
+            other[at] = rng.choice(words)
+        rows += [(2 * k, " ".join(own)), (2 * k + 1, " ".join(other))]
+    got = {r.id: r for r in simhash.votes(spark.createDataFrame(rows, "id long, text string"), ["id"]).filter("part = 1").collect()}
+    apart = [sum(((getattr(got[2 * k], x) ^ getattr(got[2 * k + 1], x)) & (2**64 - 1)).bit_count() for x in ("hi", "lo")) for k in range(60)]
+    assert sum(a <= simhash.RADIUS for a in apart) >= 54
 
 
 @pytest.mark.parametrize("small", [False, True])
