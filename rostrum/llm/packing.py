@@ -18,6 +18,7 @@ an empty result; extra columns are ignored.
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
 from collections.abc import Iterator
@@ -45,27 +46,39 @@ def projection(vocabulary: int, dimensions: int = DIMENSIONS, seed: int = 11) ->
     return np.random.default_rng(seed).choice(np.array([-1.0, 1.0], np.float32), (vocabulary, dimensions))
 
 
+# The normaliser and the cut that chunks may be shared under.
+_NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
+_CUT = {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True}
+
+
 class Encoder:
     """Token ids of texts; chunks between spaces and line breaks are encoded once and kept.
 
-    The tokenizer drops white space and never merges across it, so that a text's ids are
-    those of its chunks in order.  New chunks are encoded many at a time, with a marker between
+    This holds for tokenizers that drop white space and never merge across it, so that a text's ids are
+    those of its chunks in order; the definition tells, and by any other one texts are encoded whole.  New
+    chunks are encoded many at a time, with a marker between
     them that stands alone and so has the same ids everywhere; a chunk that holds the marker is
-    encoded by itself.  A chunk of plain Latin letters, digits and signs without an apostrophe is first cut
-    where the tokenizer cuts it, so that its parts are shared with other chunks.  Kept chunks are in two tables of bounded size: when the younger one is
+    encoded by itself.  Chunks of plain Latin letters, digits and signs without an apostrophe are first cut
+    where the tokenizer cuts them, so that their parts are shared with other chunks.  Kept chunks are in two tables of bounded size: when the younger one is
     full it takes the place of the older one.
     """
 
     MARK = "\u2063"
-    PLAIN = re.compile(r"[!-&(-~\u00a1-\u017f]+")
+    # the letters, and of the other signs those that are neither a letter, a number nor white space, below U+0180
+    LETTERS = "a-z\u00aa\u00b5\u00ba\u00df-\u00f6\u00f8-\u017f"
 
     def __init__(self, definition: str):
-        import regex
         from tokenizers import Tokenizer
 
-        self.special = [t.content for t in Tokenizer.from_str(definition).get_added_tokens_decoder().values()]
-        self.parts = regex.compile(r"\p{L}+|\p{N}|[^\s\p{L}\p{N}]+").findall
+        known = json.loads(definition)
+        cuts = (known.get("pre_tokenizer") or {}).get("pretokenizers", [])
+        self.by_chunk = known.get("normalizer") == _NORMALIZER and bool(cuts) and cuts[0] == _CUT and not known.get("post_processor")
         self.tokenizer = Tokenizer.from_str(definition)
+        special = {t.content[0] for t in self.tokenizer.get_added_tokens_decoder().values()}
+        signs = "".join(re.escape(chr(c)) for c in range(0x21, 0x7F) if not chr(c).isalnum() and chr(c) != "'" and chr(c) not in special)
+        # chunks that no special token can be in, and the parts of a lower-cased list of them
+        self.plain = re.compile(f"[A-Z\u00c0-\u00d6\u00d8-\u00de{self.LETTERS}0-9{signs}]+").fullmatch
+        self.parts = re.compile(f"\n|[{self.LETTERS}\u0307]+|[0-9]|[{signs}]+").findall
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
         self.mark = np.array(self.tokenizer.encode(self.MARK, add_special_tokens=False).ids, np.int32)
@@ -92,30 +105,30 @@ class Encoder:
                 self.young[c] = data[4 * start : 4 * end]
                 start = end + k
 
+    def _missing(self, chunks: set[str]) -> set[str]:
+        """Of these, the chunks without ids; those of the older table move to the younger one."""
+        missing = chunks - self.young.keys()
+        for c in missing & self.old.keys():
+            self.young[c] = self.old[c]
+        return missing - self.old.keys()
+
     def __call__(self, texts: list[str | None]) -> list[np.ndarray]:
+        if not self.by_chunk:
+            return [np.array(e.ids, np.int32) for e in self.tokenizer.encode_batch_fast([t or "" for t in texts], add_special_tokens=False)]
         chunks = [t.replace("\n", " ").split(" ") if t else [] for t in texts]
         if len(self.young) > CACHE:
             self.old, self.young = self.young, {}
-        young, old, new, cut = self.young, self.old, set(), {}
-
-        def known(c: str) -> bool:
-            if c in young:
-                return True
-            if (x := old.get(c)) is not None:
-                young[c] = x
-            return x is not None
-
-        for c in {c for own in chunks for c in own}:
-            if known(c):
-                continue
-            if self.PLAIN.fullmatch(c) and not any(t in c for t in self.special):
-                cut[c] = self.parts(c.lower())
-                new.update(u for u in cut[c] if not known(u))
-            else:
-                new.add(c)
-        self._encode(sorted(new))
-        for c, units in cut.items():
-            young[c] = b"".join([young[u] for u in units])
+        young = self.young
+        new = self._missing(set().union(*chunks))
+        plain = [c for c in new if self.plain(c)]
+        parts = self.parts("\n".join(plain).lower())
+        self._encode(sorted(self._missing({*parts} - {"\n"}) | new.difference(plain)))
+        young["\n"] = b"\n"  # stands between chunks here only, as no chunk holds it
+        ids, own = [young[u] for u in parts], iter(plain)
+        start = 0
+        for end in [*(i for i, u in enumerate(parts) if u == "\n"), len(parts)] if plain else []:
+            young[next(own)] = ids[start] if end == start + 1 else b"".join(ids[start:end])
+            start = end + 1
         return [np.frombuffer(b"".join([young[c] for c in own]), np.int32) for own in chunks]
 
 
@@ -263,7 +276,6 @@ def pack(docs: DataFrame, definition: str, vocabulary: int, length: int = LENGTH
 
 def read_definition(path: str) -> tuple[str, int]:
     """A tokenizer's definition and the size of its vocabulary."""
-    import json
     from pathlib import Path
 
     text = Path(path).read_text(encoding="utf-8")

@@ -364,6 +364,23 @@ def test_packing(spark, docs, texts, none):
     assert packing.pack(none, definition, vocabulary).count() == 0
 
 
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_packing_encoder(texts, monkeypatch, name):
+    """Any definition's ids, also where chunks can't be shared."""
+    tokenizers = pytest.importorskip("tokenizers")
+    monkeypatch.setattr(packing, "CACHE", 50)
+    definition, _ = packing.read_definition(queries.tokenizer_path(name))
+    plain, own = tokenizers.Tokenizer.from_str(definition), packing.Encoder(definition)
+    assert own.by_chunk == (name == "word_bpe_49k.json")
+    rng = random.Random(4)
+    signs = [chr(c) for c in range(1, 0x250)] + list("  \n\n''<|>ab12") + ["\u2063", "\u0301", "\u65e5", "<|startoftext|>", "<|endoftext|>", "'s"]
+    more = ["".join(rng.choices(signs, k=rng.randrange(60))) for _ in range(1500)]
+    for at in range(0, len(more), 300):
+        part = [*texts, *more[at : at + 300]]
+        for t, x in zip(part, own(part), strict=True):
+            assert x.tolist() == plain.encode(t or "", add_special_tokens=False).ids, (t,)
+
+
 def test_hilbert_is_a_curve():
     side = 1 << 2
     cells = np.array([[a, b, c] for a in range(side) for b in range(side) for c in range(side)])
