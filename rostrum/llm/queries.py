@@ -60,21 +60,17 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = ["id", "hash", "edited_sha256"]
     sides = F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("text")), F.struct(F.lit(1).alias("side"), edited.alias("text"))))
     both = texts.select("id", "hash", F.sha2(F.encode(edited, "UTF-8"), 256).alias("edited_sha256"), sides.alias("s"))
-    votes = simhash.votes(both.select(*key, "s.side", "s.text"), [*key, "side"])
-    # a fingerprint as longs: the two of each part
-    longs = {side: [f"{side}_{part}_{x}" for part in range(2) for x in ("hi", "lo")] for side in ("own", "edit")}
-    of = lambda side, part, x: F.max(F.when((F.col("side") == side) & (F.col("part") == part), F.col(x)))
-    each = votes.groupBy(*key).agg(*[of(i, part, x).alias(f"{side}_{part}_{x}") for i, side in enumerate(longs) for part in range(2) for x in ("hi", "lo")])
+    prints = simhash.fingerprints(both.select(*key, "s.side", "s.text"), [*key, "side"])
+    of = lambda side, x: F.max(F.when(F.col("side") == side, F.col(x)))
+    each = prints.groupBy(*key).agg(of(0, "hi").alias("hi"), of(0, "lo").alias("lo"), of(1, "hi").alias("edited_hi"), of(1, "lo").alias("edited_lo"))
     rows, _ = shared.stage(each.join(order, ["id", "hash"]), "simhash-prints")
-    following = rows.select(F.col("id").alias("next_id"), F.col("hash").alias("next_hash"), *[F.col(c).alias(f"next_{c}") for c in longs["own"]])
+    following = rows.select(F.col("id").alias("next_id"), F.col("hash").alias("next_hash"), F.col("hi").alias("next_hi"), F.col("lo").alias("next_lo"))
     # searches: every id divisible by 20, against all fingerprints
-    words = rows.select(F.col("own_1_hi").alias("hi"), F.col("own_1_lo").alias("lo"), "repeats", "doc_id")
-    found = simhash.within(words.select("hi", "lo", F.explode(F.sequence(F.lit(1), "repeats"))), words.filter("doc_id % 20 = 0"))
-    hits = found.groupBy(F.col("a_hi").alias("own_1_hi"), F.col("a_lo").alias("own_1_lo")).agg((F.sum("b_rows") - 1).alias("others"), F.max(F.when(F.col("distance") == 0, F.col("b_rows"))).alias("n"))
+    found = simhash.within(rows.select("hi", "lo", F.explode(F.sequence(F.lit(1), "repeats"))), rows.filter("doc_id % 20 = 0").select("hi", "lo"))
+    hits = found.groupBy(F.col("a_hi").alias("hi"), F.col("a_lo").alias("lo")).agg((F.sum("b_rows") - 1).alias("others"), F.max(F.when(F.col("distance") == 0, F.col("b_rows"))).alias("n"))
     hits, _ = shared.stage(hits, "simhash-hits")
-    out = shared.join_counted(rows.join(following, ["next_id", "next_hash"]), hits, ["own_1_hi", "own_1_lo"], rows.count())
-    cols = lambda names: [F.col(c) for c in names]
-    own, edit, ahead = cols(longs["own"]), cols(longs["edit"]), cols(f"next_{c}" for c in longs["own"])
+    out = shared.join_counted(rows.join(following, ["next_id", "next_hash"]), hits, ["hi", "lo"], rows.count())
+    own, edit, ahead = ([F.col(f"{side}hi"), F.col(f"{side}lo")] for side in ("", "edited_", "next_"))
     return out.withColumn("copy", F.explode(F.sequence(F.lit(1), "repeats"))).select(
         "doc_id",
         "n_chars",

@@ -1,12 +1,10 @@
 """SimHash fingerprints, and all fingerprints within a Hamming radius by permuted block tables.
 
-A fingerprint has two parts of ``BITS`` bits.  The terms of one are word shingles (a text with fewer
-words is one term), those of the other are single words; each occurrence has weight one, so a
-distinct term weighs its count.  Every term hashes to ``BITS`` bits and votes on each: a bit is set
-where the set bits have more than half of the votes.  Votes are counted natively in one
-aggregation: two lanes of 32 bits are packed into a long, which holds the counts of any text that a string
-can be.  Shingles tell texts of one language apart; words, whose counts an edit hardly changes, bring near copies
-together, so that the search is over the words' part.
+A text's terms are its word shingles (a text with fewer words is one term); each occurrence
+has weight one, so a distinct term weighs its count.  Every term hashes to ``BITS`` bits and
+votes on each: the fingerprint's bit is set where the set bits have more than half of the
+votes.  Votes are counted natively in one aggregation: two lanes of 32 bits are packed into
+a long, which holds the counts of any text that a string can be.
 
 ``within`` cuts fingerprints into ``blocks`` blocks.  Two fingerprints that differ in at
 most r bits agree on at least ``blocks`` - r whole blocks; for every choice of that many
@@ -27,45 +25,46 @@ from pyspark.sql import functions as F
 
 from rostrum.llm import shared
 
-#: Words in the terms of each part, and bits of a part.
-TERMS, BITS = (5, 1), 128
-#: Hamming radius of the search, and blocks of its tables: of near copies (shingle similarity 0.75 and more)
-#: with different texts, 96 % differ in at most 9 bits of the words' part.
-RADIUS, BLOCKS = 9, 11
+#: Words in a term, and bits of a fingerprint.
+WORDS, BITS = 5, 128
+#: Hamming radius of the search, and blocks of its tables.
+RADIUS, BLOCKS = 6, 8
 _MASK = 0x0000000100000001
 
 
-def terms(text: Column) -> Column:
-    """For each part the array of its term hashes."""
+def terms(text: Column, k: int = WORDS) -> Column:
+    """Array of the hashes of a text's terms."""
     words = F.filter(F.split(shared.fold_ascii_col(text), r"[\x20\x09-\x0D]+"), lambda w: w != "")
     codes = F.transform(words, lambda w: F.xxhash64(w))
 
-    def shingles(c: Column, k: int) -> Column:
+    def shingles(c: Column) -> Column:
         starts = F.sequence(F.lit(0), F.greatest(F.size(c) - k, F.lit(0)))
         return F.transform(starts, lambda i: F.xxhash64(*[F.get(c, i + j) for j in range(k)]))
 
     def of(c: Column) -> Column:
-        none = F.array().cast("array<bigint>")
-        return F.array(*[F.when(F.size(c) > 0, c if k == 1 else shingles(c, k)).otherwise(none) for k in TERMS])
+        return F.when(F.size(c) > 0, shingles(c)).otherwise(F.array().cast("array<bigint>"))
 
     # the codes are bound once: a lambda would work out an outer expression again for every shingle
     return F.get(F.transform(F.array(codes), of), F.lit(0))
 
 
-def votes(rows: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
-    """``keys``, part, and the part's bits as two longs, hi and lo, for each distinct combination of ``keys``.
+def fingerprints(rows: DataFrame, keys: list[str], text: str = "text", k: int = WORDS) -> DataFrame:
+    """``keys`` and the fingerprint as two longs, hi and lo, for each distinct combination of ``keys``.
 
     Rows that are already dealt by some of the keys aren't shuffled.
     """
-    parts = rows.select(*keys, F.posexplode(terms(F.coalesce(F.col(text), F.lit("")))).alias("part", "t"))
-    each = parts.select(*keys, "part", F.explode_outer("t").alias("h0")).withColumn("h1", F.when(F.col("h0").isNotNull(), F.xxhash64("h0")))
+    words = rows.select(*keys, terms(F.coalesce(F.col(text), F.lit("")), k).alias("t"))
+    each = words.select(*keys, F.explode_outer("t").alias("h0")).withColumn("h1", F.when(F.col("h0").isNotNull(), F.xxhash64("h0")))
     # the sum of v_s counts bit s in its lower and bit s + 32 in its upper lane
     packed = [F.sum(F.shiftright(F.col(f"h{w}"), s).bitwiseAND(F.lit(_MASK))).alias(f"v{w}_{s}") for w in range(BITS // 64) for s in range(32)]
-    counts = each.groupBy(*keys, "part").agg(F.count("h0").alias("n"), *packed)
-    held = lambda w, b: F.shiftright(F.col(f"v{w}_{b % 32}"), 32 * (b // 32)).bitwiseAND(F.lit(0xFFFFFFFF))
-    bit = lambda b: F.lit((1 << b) - (1 << 64 if b == 63 else 0)).cast("long")
-    word = lambda w: sum((F.when(held(w, b) * 2 > F.col("n"), bit(b)).otherwise(F.lit(0).cast("long")) for b in range(1, 64)), F.when(held(w, 0) * 2 > F.col("n"), bit(0)).otherwise(F.lit(0).cast("long")))
-    return counts.select(*keys, "part", word(0).alias("hi"), word(1).alias("lo"))
+    counts = each.groupBy(*keys).agg(F.count("h0").alias("n"), *packed)
+
+    def bit(w: int, b: int) -> Column:
+        votes = F.shiftright(F.col(f"v{w}_{b % 32}"), 32 * (b // 32)).bitwiseAND(F.lit(0xFFFFFFFF))
+        return F.when(votes * 2 > F.col("n"), F.lit(1 << b if b < 63 else -(1 << 63))).otherwise(F.lit(0)).cast("long")
+
+    word = lambda w: sum((bit(w, b) for b in range(1, 64)), bit(w, 0))
+    return counts.select(*keys, word(0).alias("hi"), word(1).alias("lo"))
 
 
 def hexadecimal(longs: list[Column]) -> Column:
@@ -80,12 +79,8 @@ def distance(a: list[Column], b: list[Column]) -> Column:
 
 
 def likeness(a: list[Column], b: list[Column]) -> Column:
-    """Mean over the parts of the estimated cosine of two texts' term vectors: 1 for equal fingerprints, 0 from half of the bits on.
-
-    Each list has the two longs of every part.
-    """
-    parts = [F.greatest(F.cos(F.lit(3.141592653589793) * distance(a[i : i + 2], b[i : i + 2]) / BITS), F.lit(0.0)) for i in range(0, len(a), 2)]
-    return sum(parts[1:], parts[0]) / len(parts)
+    """Estimated cosine of two texts' term vectors, from 0 to 1: 1 for equal fingerprints, 0 from half of the bits on."""
+    return F.greatest(F.cos(F.lit(3.141592653589793) * distance(a, b) / BITS), F.lit(0.0))
 
 
 def block_bounds(blocks: int) -> list[tuple[int, int, int]]:
@@ -132,7 +127,8 @@ def within(prints: DataFrame, queries: DataFrame | None = None, radius: int = RA
         low = rest.bitwiseAND(-rest)
         first, rest = first + low, rest - low
     masks = F.array(*[F.lit(sum(1 << i for i in t)) for t in tables])
-    pairs = left.join(right, "key").filter(near <= radius)
+    # both sides grow with the data: neither is broadcast
+    pairs = left.hint("merge").join(right.hint("merge"), "key").filter(near <= radius)
     if queries is None:
         pairs = pairs.filter((a[0] < b[0]) | ((a[0] == b[0]) & (a[1] < b[1])))
     return pairs.filter(F.get(masks, F.col("a_no")) == first).select("a_hi", "a_lo", "b_hi", "b_lo", near.alias("distance"), "b_rows")
@@ -176,7 +172,7 @@ def with_next(docs: DataFrame, order: DataFrame) -> DataFrame:
     # one shuffle, read for the texts and for their starts
     texts = docs.select(*row_key(docs), F.coalesce(docs["text"], F.lit("")).alias("text")).repartition("id", "hash").dropDuplicates(["id", "hash"])
     asked = order.select(F.col("next_id").alias("id"), F.col("next_hash").alias("hash"), F.col("id").alias("for_id"), F.col("hash").alias("for_hash"), F.floor(F.col("n_chars") / 3).cast("int").alias("cut"))
-    heads = texts.join(asked, ["id", "hash"]).select(F.col("for_id").alias("id"), F.col("for_hash").alias("hash"), F.substring("text", F.lit(1), F.col("cut")).alias("head"))
+    heads = texts.hint("merge").join(asked, ["id", "hash"]).select(F.col("for_id").alias("id"), F.col("for_hash").alias("hash"), F.substring("text", F.lit(1), F.col("cut")).alias("head"))
     return texts.join(heads, ["id", "hash"], "left")
 
 
