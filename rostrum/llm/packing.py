@@ -36,7 +36,7 @@ LENGTH, END = 4096, 2
 #: Dimensions of the curve, and bits of a cell's place on each.
 DIMENSIONS, CELL_BITS = 4, 5
 #: Chunks of text whose tokens a worker keeps.
-CACHE = 300_000
+CACHE = 350_000
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
@@ -155,7 +155,7 @@ def vectorise(docs: DataFrame, definition: str, vocabulary: int, dimensions: int
             at = 0
             while at < b.num_rows:
                 texts, held = [], 0
-                while at + len(texts) < b.num_rows and held < 4_000_000:
+                while at + len(texts) < b.num_rows and held < 6_000_000:
                     texts.append(b.column(1)[at + len(texts)].as_py())
                     held += len(texts[-1] or "")
                 ids, coords, n = [], [], []
