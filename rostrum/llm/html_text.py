@@ -10,18 +10,18 @@ markup takes part: each line knows whether it stands in an article or main eleme
 whether in an element that is never article text (menus, headers, footers, sidebars, notices,
 adverts, forms, comments).  Class and id values tell by their whole words or known compounds,
 and a main element, or an article if the page has no other, counts inside of one so named.
-Lines that are never article text go whatever the partner has.  Shared lines
-inside an article stay, as pages of one host may well quote the same passage; all other
-shared lines go.  On a page with an article element, lines outside go as well.
+Lines that are never article text go whatever the partner has.  Inside an article, shared lines
+that are nothing but links go; other shared lines stay, as pages of one host may well quote the same passage.
+Outside of articles all shared lines go, and on a page with an article the other lines as well.
 
 The parse is one pass.  Partners are found from narrow keys in ranges of (host, path, id):
 each range also gets copies of the rows just before and after it, so that a host with a third of
-all pages is split like any other.  A page's text moves once, compressed, to meet its partner's
-lines, which come as 64-bit hashes; their collisions are left out of account.
+all pages is split like any other.  A page's lines move once, compressed, to the place of its key; from there
+their 64-bit hashes go to the page that it is partner of.  Collisions of hashes are left out of account.
 
 Edge cases: null html counts as empty and gives an empty text; a page without a partner (a
-host of one page) is judged by markup alone; repeated pages partner each other and keep
-their articles; urls that can't be parsed, or null, are one host; an empty table gives an empty
+host of one page) is judged by markup alone; rows that repeat id, url and html are one page, with
+a result for each row; pages with one text and different ids partner each other and keep their articles; urls that can't be parsed, or null, are one host; an empty table gives an empty
 result; extra columns are ignored.
 """
 
@@ -33,6 +33,7 @@ from html.parser import HTMLParser
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -61,14 +62,15 @@ def marks_never(name: str) -> bool:
 
 
 class _Lines(HTMLParser):
-    """Text lines of a page: (text, inside an article, never article text, in an article inside of such an element)."""
+    """Text lines of a page: (text, inside an article, never article text, in an article inside of such an element, all in links)."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.out: list[tuple[str, bool, bool, bool]] = []
+        self.out: list[tuple[str, bool, bool, bool, bool]] = []
         # name, article, never, hidden, never by a class, id or form, and an article inside of that
         self.open: list[tuple[str, bool, bool, bool, bool, bool]] = []
         self.held: list[str] = []
+        self.plain = False  # whether the line at hand has text outside of links
 
     def _now(self) -> tuple[bool, bool, bool, bool, bool]:
         return self.open[-1][1:] if self.open else (False,) * 5
@@ -76,10 +78,11 @@ class _Lines(HTMLParser):
     def flush(self) -> None:
         if self.held:
             text = " ".join("".join(self.held).split())
+            linked, self.plain = not self.plain, False
             self.held.clear()
             article, never, hidden, named, doubt = self._now()
             if text and not hidden:
-                self.out.append((text, article, never or named, doubt))
+                self.out.append((text, article, never or named, doubt, linked))
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         if tag in BLOCK:
@@ -136,10 +139,14 @@ class _Lines(HTMLParser):
     def handle_data(self, data: str) -> None:
         if not self._now()[2]:
             self.held.append(data)
+            self.plain = self.plain or not (data.isspace() or any(x[0] == "a" for x in self.open))
 
 
-def lines_of(html: str | None) -> list[tuple[str, bool, bool]]:
-    """Text lines of a page in order, with their flags.
+Line = tuple[str, bool, bool, bool]
+
+
+def lines_of(html: str | None) -> list[Line]:
+    """Text lines of a page in order: (text, inside an article, never article text, all in links).
 
     An article inside of an element named as never article text counts if the page has no other.
     """
@@ -147,15 +154,15 @@ def lines_of(html: str | None) -> list[tuple[str, bool, bool]]:
     parser.feed(html or "")
     parser.close()
     parser.flush()
-    other = any(article and not never and not doubt for _, article, never, doubt in parser.out)
-    return [(text, article, never or (doubt and other)) for text, article, never, doubt in parser.out]
+    other = any(article and not never and not doubt for _, article, never, doubt, _ in parser.out)
+    return [(text, article, never or (doubt and other), linked) for text, article, never, doubt, linked in parser.out]
 
 
-def marks_of(lines: list[str]) -> list[int]:
+def marks_of(lines: list[str]) -> np.ndarray:
     """64-bit hashes that stand for the lines in a comparison."""
     import xxhash
 
-    return np.array([xxhash.xxh3_64_intdigest(t) for t in lines], np.uint64).view(np.int64).tolist()
+    return np.array([xxhash.xxh3_64_intdigest(t) for t in lines], np.uint64)
 
 
 def shared_lines(a: list, b: list) -> set[int]:
@@ -197,14 +204,14 @@ def shared_lines(a: list, b: list) -> set[int]:
     return out
 
 
-def main_text(lines: list[tuple[str, bool, bool]], partner: list[int] | None) -> str:
+def main_text(lines: list[Line], partner: list[int] | None) -> str:
     """The lines that are article text, joined by line breaks; ``partner`` has the marks of the partner's lines."""
-    has_article = any(article and not never for _, article, never in lines)
-    common = shared_lines(marks_of([t for t, _, _ in lines]), partner) if partner else set()
+    has_article = any(article and not never for _, article, never, _ in lines)
+    common = shared_lines(marks_of([x[0] for x in lines]).tolist(), partner) if partner else set()
     keep = [
         text
-        for i, (text, article, never) in enumerate(lines)
-        if not never and (article or (not has_article and i not in common))
+        for i, (text, article, never, linked) in enumerate(lines)
+        if not never and ((article and not (linked and i in common)) or (not has_article and i not in common))
     ]
     return "\n".join(keep)
 
@@ -217,62 +224,91 @@ def path_of(url: Column) -> Column:
     return F.regexp_extract(F.coalesce(url, F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)", 1)
 
 
-def _parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def packed(lines: list[Line]) -> bytes:
+    """A page's lines as bytes: their number, their marks, their flags, and the compressed texts."""
+    texts = [x[0] for x in lines]
+    flags = bytes(a + 2 * n + 4 * k for _, a, n, k in lines)
+    return len(lines).to_bytes(4, "big") + marks_of(texts).tobytes() + flags + zlib.compress("\n".join(texts).encode())
+
+
+def unpacked(page: bytes) -> list[Line]:
+    n = int.from_bytes(page[:4], "big")
+    flags, texts = page[4 + 8 * n : 4 + 9 * n], zlib.decompress(page[4 + 9 * n :]).decode().split("\n")
+    return [(t, bool(f & 1), bool(f & 2), bool(f & 4)) for t, f in zip(texts, flags, strict=bool(n))]
+
+
+def _marks(page: Column) -> Column:
+    """The marks in a packed page."""
+    n = F.conv(F.hex(F.substring(page, 1, 4)), 16, 10).cast("int")
+    return F.substring(page, F.lit(5), n * 8)
+
+
+def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        for at in range(0, len(b), 500):
-            part = b.iloc[at : at + 500]
-            found = [lines_of(h) for h in part["html"]]
-            texts = [[t for t, _, _ in x] for x in found]
-            yield part.drop(columns="html").assign(
-                lines=[zlib.compress("\n".join(x).encode()) for x in texts],
-                marks=[marks_of(x) for x in texts],
-                flags=["".join(f"{int(a) + 2 * int(n)}" for _, a, n in x) for x in found],
-            )
-
-
-def extract(pages: DataFrame, rows_each: int = 5_000) -> DataFrame:
-    """page_id, url, text and partner_id for every page."""
+        for at in range(0, b.num_rows, 500):
+            part = b.slice(at, 500)
+            pages = pa.array([packed(lines_of(h.as_py())) for h in part.column(2)], pa.binary())
+            yield pa.RecordBatch.from_arrays([*part.columns[:2], pages], names=["id", "hash", "page"])
+
+
+def common_prefix(a: Column, b: Column) -> Column:
+    """Characters that two strings begin with alike, by halving steps."""
+    most = F.least(F.char_length(a), F.char_length(b))
+    halves = F.sequence(F.floor(F.log2(F.greatest(most, F.lit(1)))).cast("int"), F.lit(0), F.lit(-1))
+
+    def step(n: Column, i: Column) -> Column:
+        on = n + F.call_function("shiftleft", F.lit(1), i)
+        return F.when((on <= most) & (F.substring(a, F.lit(1), on) == F.substring(b, F.lit(1), on)), on).otherwise(n)
+
+    return F.aggregate(halves, F.lit(0), step)
+
+
+def partners(pages: DataFrame) -> DataFrame:
+    """id, hash, page_id, url, repeats, and of the page at the nearest URL of the host: partner, partner_hash, partner_id.
+
+    Rows that repeat id, url and html are one page.  The last three are null on a host of one page.
+    """
     spark = pages.sparkSession
-    rows = pages.select("page_id", "url", "html", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
-    parsed = rows.mapInPandas(_parse, "page_id long, url string, host string, path string, lines binary, marks array<long>, flags string")
-    parsed, _ = shared.stage(parsed.withColumn("row", F.monotonically_increasing_id()), "page-lines")
+    rows = pages.select(*page_key(pages), F.col("page_id").cast("long").alias("page_id"), "url", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
+    rows = rows.groupBy(*rows.columns).agg(F.count("*").alias("repeats"))
     # ranges of the order, by Spark's own sampling; staged, so that they can't change
-    wide = shared.partitions(spark)
-    order = ["host", "path", "page_id", "row"]
-    narrow = parsed.select(*order).repartitionByRange(wide, *order).withColumn("range", F.spark_partition_id())
+    order = ["host", "path", "id", "hash"]
+    narrow = rows.repartitionByRange(shared.partitions(spark), *order).withColumn("range", F.spark_partition_id())
     narrow, _ = shared.stage(narrow, "page-order")
-    key = F.struct(*order)
-    ends = narrow.groupBy("range").agg(F.min(key).alias("first"), F.max(key).alias("last"))  # a row for each range
+    page = F.struct(*order, "page_id")
+    ends = narrow.groupBy("range").agg(F.min(page).alias("first"), F.max(page).alias("last"))  # a row for each range
     by_range = Window.orderBy("range")
     ends = ends.select(F.lag("last").over(by_range).alias("before"), F.lead("first").over(by_range).alias("after"), "range")
     copies = ends.select("range", F.explode(F.array_compact(F.array("before", "after"))).alias("k")).select("range", "k.*", F.lit(True).alias("copy"))
-    dealt = narrow.withColumn("copy", F.lit(False)).unionByName(copies)
+    dealt = narrow.withColumn("copy", F.lit(False)).unionByName(copies, allowMissingColumns=True)
     w = Window.partitionBy("range").orderBy(*order)
-    near = lambda f: f(F.struct("host", "path", "row")).over(w)
-    both = dealt.select("row", "host", "path", "copy", "page_id", near(F.lag).alias("p"), near(F.lead).alias("q")).filter("not copy")
-
-    def common(side: str) -> Column:
-        """Characters that both paths begin with; -1 on another host."""
-        same = F.aggregate(
-            F.sequence(F.lit(1), F.greatest(F.least(F.char_length("path"), F.char_length(f"{side}.path"), F.lit(200)), F.lit(1))),
-            F.lit(0),
-            lambda n, i: F.when((n == i - 1) & (F.substring(F.col("path"), F.lit(1), i) == F.substring(F.col(f"{side}.path"), F.lit(1), i)), i).otherwise(n),
-        )
-        return F.when(F.col(f"{side}.host") == F.col("host"), same).otherwise(-1)
-
-    chosen = both.withColumn("cp", F.coalesce(common("p"), F.lit(-1))).withColumn("cq", F.coalesce(common("q"), F.lit(-1)))
-    partner = F.when((F.col("cp") < 0) & (F.col("cq") < 0), None).when(F.col("cp") >= F.col("cq"), F.col("p.row")).otherwise(F.col("q.row"))
-    pairs = chosen.select("row", partner.alias("partner"))
-    other = parsed.select(F.col("row").alias("partner"), F.col("page_id").alias("partner_id"), F.col("marks").alias("partner_marks"))
-    pairs = pairs.join(other, "partner", "left").select("row", "partner_id", "partner_marks")
-    joined = parsed.select("row", "page_id", "url", "lines", "flags").join(pairs, "row").drop("row")
+    both = dealt.select("*", F.lag(page).over(w).alias("p"), F.lead(page).over(w).alias("q")).filter("not copy")
+    shares = lambda side: F.when(F.col(f"{side}.host") == F.col("host"), common_prefix(F.col("path"), F.col(f"{side}.path"))).otherwise(-1)
+    chosen = both.withColumn("cp", shares("p")).withColumn("cq", shares("q"))
+    best = F.when((F.col("cp") < 0) & (F.col("cq") < 0), None).when(F.col("cp") >= F.col("cq"), F.col("p")).otherwise(F.col("q"))
+    chosen = chosen.withColumn("best", best)
+    return chosen.select("id", "hash", "page_id", "url", "repeats", F.col("best.id").alias("partner"), F.col("best.hash").alias("partner_hash"), F.col("best.page_id").alias("partner_id"))
+
+
+def page_key(pages: DataFrame) -> list[Column]:
+    """The columns id and hash: the id (null: the least long) and a hash of url and html tell rows apart."""
+    return [F.coalesce(pages["page_id"].cast("long"), F.lit(-(2**63))).alias("id"), F.xxhash64(pages["url"], pages["html"]).alias("hash")]
+
+
+def extract(pages: DataFrame) -> DataFrame:
+    """page_id, url, text and partner_id for every page."""
+    pairs, _ = shared.stage(partners(pages), "page-partners")
+    parsed = pages.select(*page_key(pages), pages["html"].alias("html")).mapInArrow(shared.tidied(_parse), "id long, hash long, page binary")
+    # one shuffle, read for the pages and for the marks that their partners ask for
+    parsed = parsed.repartition("id", "hash").dropDuplicates(["id", "hash"])
+    asked = pairs.filter("partner is not null").select(F.col("partner").alias("id"), F.col("partner_hash").alias("hash"), F.col("id").alias("for_id"), F.col("hash").alias("for_hash"))
+    marks = parsed.hint("merge").join(asked, ["id", "hash"]).select(F.col("for_id").alias("id"), F.col("for_hash").alias("hash"), _marks(F.col("page")).alias("marks"))
+    joined = parsed.hint("merge").join(pairs, ["id", "hash"]).join(marks, ["id", "hash"], "left")
 
     def difference(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            texts = []
-            for lines, flags, theirs in zip(b["lines"], b["flags"], b["partner_marks"], strict=True):
-                own = [(t, f in "13", f in "23") for t, f in zip(zlib.decompress(lines).decode().split("\n"), flags, strict=bool(flags))]
-                texts.append(main_text(own, None if theirs is None else list(theirs)))
-            yield pd.DataFrame({"page_id": b["page_id"], "url": b["url"], "text": texts, "partner_id": b["partner_id"]})
+            texts = [main_text(unpacked(p), None if m is None else np.frombuffer(m, np.uint64).tolist()) for p, m in zip(b["page"], b["marks"], strict=True)]
+            yield b.drop(columns=["page", "marks"]).assign(text=texts)
 
-    return joined.mapInPandas(difference, "page_id long, url string, text string, partner_id long")
+    found = joined.select("page_id", "url", "partner_id", "repeats", "page", "marks").mapInPandas(difference, "page_id long, url string, partner_id long, repeats long, text string")
+    return found.withColumn("copy", F.explode(F.sequence(F.lit(1), "repeats"))).select("page_id", "url", "text", "partner_id")

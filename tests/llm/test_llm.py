@@ -400,6 +400,59 @@ def test_html(spark):
     assert html_text.extract(df.limit(0)).count() == 0
 
 
+def brute_pages(rows):
+    """Partner and text of each page: neighbours in the order of URLs, all lines compared."""
+    own = {}
+    for page_id, url, html in rows:
+        host, path = re.match(r"https?://([^/?#]*)([^?#]*)", url).groups()
+        own[page_id] = (host.lower(), path, page_id, html_text.lines_of(html))
+    order = sorted(own.values(), key=lambda x: x[:3])
+    out = {}
+    for i, (host, path, page_id, lines) in enumerate(order):
+        best, partner = -1, None
+        for j in (i - 1, i + 1):
+            if 0 <= j < len(order) and order[j][0] == host:
+                k = 0
+                while k < min(len(path), len(order[j][1])) and path[k] == order[j][1][k]:
+                    k += 1
+                if k > best:
+                    best, partner = k, order[j]
+        theirs = [x[0] for x in partner[3]] if partner else []
+        n, a = [[0] * (len(theirs) + 1) for _ in range(len(lines) + 1)], [x[0] for x in lines]
+        for x in range(len(a)):
+            for y in range(len(theirs)):
+                n[x + 1][y + 1] = n[x][y] + 1 if a[x] == theirs[y] else max(n[x][y + 1], n[x + 1][y])
+        common, x, y = set(), len(a), len(theirs)
+        while x and y:
+            if a[x - 1] == theirs[y - 1]:
+                common.add(x - 1)
+                x, y = x - 1, y - 1
+            elif n[x - 1][y] >= n[x][y - 1]:
+                x -= 1
+            else:
+                y -= 1
+        article = any(art and not never for _, art, never, _ in lines)
+        kept = [t for k, (t, art, never, linked) in enumerate(lines) if not never and (not (linked and k in common) if art else not article and k not in common)]
+        out[page_id] = (partner[2] if partner else None, "\n".join(kept))
+    return out
+
+
+def test_html_against_all_pages(spark):
+    """Whole extraction by brute force: long common paths, articles with links, pages without articles, very long pages."""
+    rng = random.Random(6)
+    rows = []
+    for k in range(60):
+        path = "/".join(["x" * rng.choice([1, 150, 250]), rng.choice("ab") * rng.choice([1, 120]), str(rng.randrange(40))])
+        lines = [f"<p>line {rng.randrange(400)} of {k}</p>" for _ in range(rng.choice([3, 3, 2000]))]
+        lines[1:1] = ['<p><a href="/s">Share this</a></p>', f'<p><a href="/s">Link {k}</a></p>', "<p>Quoted by all</p>"]
+        body = "".join(lines)
+        rows.append((k, f"http://h{rng.randrange(3)}.org/{path}", f"<body><div>Site</div>{f'<article>{body}</article>' if k % 2 else body}<div>Foot</div></body>"))
+    df = spark.createDataFrame([(*r, "x", 1) for r in rows], "page_id long, url string, html string, host string, row int").repartition(5)
+    got = {r.page_id: (r.partner_id, r.text) for r in html_text.extract(df).collect()}
+    assert got == brute_pages(rows)
+    assert "Share this" not in got[1][1] and "Link 1" in got[1][1] and "Quoted by all" in got[1][1]
+
+
 @pytest.mark.parametrize(
     "page",
     [
