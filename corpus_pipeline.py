@@ -15,7 +15,7 @@ from rostrum.llm.queries import tokenizer_path
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality ranker accepts."""
     ranker = quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return quality.score(docs, ranker).filter("predicted = 1").select(*docs.columns)
+    return quality.score(docs, ranker).filter("predicted = 1").select(*[f"`{c}`" for c in docs.columns])
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

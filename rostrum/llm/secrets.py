@@ -14,7 +14,7 @@ give the positions.
 
 Edge cases: null text counts as empty and has no spans; a null id is a key like any other;
 rows with the same id share candidates, which verification settles; an empty table gives
-an empty result; extra columns are ignored.
+an empty result; extra columns stay as they are, whatever their names.
 """
 
 from __future__ import annotations
@@ -185,21 +185,25 @@ def _spans(rule: Rule, no: int, text: Column) -> Column:
     return F.when(F.regexp_like(text, F.lit(rule.pattern)), all_of).otherwise(none)
 
 
-def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """``docs`` with ``hits`` appended: array of (start, no, end) sorted, ``no`` the rule's place in ``rules``."""
+def _found(docs: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
+    """row (all columns of ``docs``), text and hits; names of the input can't clash with these."""
     queries = {r.name: q for r in rules if frozenset() not in (q := trigram_query(r.pattern))}
-    columns = [F.col(f"`{c}`") for c in docs.columns if c != "hits"]
-    text = F.coalesce("text", F.lit(""))
     none = F.array().cast("array<struct<start:int,no:int,end:int>>")
-    flagged = docs
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.coalesce("text", F.lit("")).alias("text"), _key().alias("key"))
     if queries:
         index = postings(docs, sorted({t for q in queries.values() for c in q for t in c}))
         able, _ = shared.stage(candidates(index, queries), "secret-candidates")
         few = able.count() <= BROADCAST_ROWS
-        able = able.select(F.col("key").alias("__key"), F.col("rules").alias("__rules"))
-        flagged = docs.withColumn("__key", _key()).join(F.broadcast(able) if few else able, "__key", "left")
-    parts = [F.when(F.array_contains("__rules", r.name), _spans(r, i, text)).otherwise(none) if r.name in queries else _spans(r, i, text) for i, r in enumerate(rules)]
-    return flagged.select(*columns, F.array_sort(F.concat(*parts)).alias("hits"))
+        rows = rows.join(F.broadcast(able) if few else able, "key", "left")
+    spans = [_spans(r, i, F.col("text")) for i, r in enumerate(rules)]
+    parts = [F.when(F.array_contains("rules", r.name), own).otherwise(none) if r.name in queries else own for r, own in zip(rules, spans, strict=True)]
+    return rows.select("row", "text", F.array_sort(F.concat(*parts)).alias("hits"))
+
+
+def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, name: str = "hits") -> DataFrame:
+    """``docs`` with the column ``name``, in the place of one so called: array of (start, no, end) sorted, ``no`` the rule's place in ``rules``."""
+    kept = [F.col("row")[c].alias(c) for c in docs.columns if c != name]
+    return _found(docs, rules).select(*kept, F.col("hits").alias(name))
 
 
 def listed(hits: Column, rules: tuple[Rule, ...] = RULES) -> Column:
@@ -209,7 +213,10 @@ def listed(hits: Column, rules: tuple[Rule, ...] = RULES) -> Column:
 
 
 def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES, marker: str = "[secret]") -> DataFrame:
-    """``docs`` with the spans that ``scan`` finds replaced by ``marker``; spans that overlap become one."""
+    """``docs`` with the spans that ``scan`` finds replaced by ``marker``; spans that overlap become one.
+
+    All other columns are as they were, whatever their names.
+    """
     text = F.col("text")
 
     def step(state: Column, h: Column) -> Column:
@@ -222,5 +229,6 @@ def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES, marker: str = "[sec
 
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
     whole = F.aggregate("hits", start, step, lambda s: F.concat(s["out"], F.substring(text, s["at"] + 1, F.char_length(text))))
-    found = scan(docs, rules)
-    return found.withColumn("text", F.when(F.size("hits") > 0, whole).otherwise(text)).select(*[f"`{c}`" for c in docs.columns])
+    own = F.col("row")["text"]
+    clean = F.when(F.size("hits") > 0, whole).otherwise(own)
+    return _found(docs, rules).select(*[(clean if c == "text" else F.col("row")[c]).alias(c) for c in docs.columns])

@@ -32,6 +32,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
 from rostrum.llm import shared
 
@@ -154,15 +155,17 @@ def fit(docs: DataFrame, labels: DataFrame, max_positive: int = MAX_POSITIVE, ma
 
 
 def score(docs: DataFrame, detector: Detector | None) -> DataFrame:
-    """``docs`` with columns score and predicted appended."""
-    fields = [f for f in docs.schema.fields if f.name not in ("score", "predicted")]
-    kept = docs.select(*[f"`{f.name}`" for f in fields])
+    """``docs`` with columns score and predicted appended, in the place of any so called; other columns stay, whatever their names."""
+    names = [c for c in docs.columns if c not in ("score", "predicted")]
+    # numbered, as names with dots can't be handed to Python
+    kept = docs.select(*[F.col(f"`{c}`") for c in names]).toDF(*[f"c{i}" for i in range(len(names))])
+    body = f"c{names.index('text')}"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen: dict[str, float] = {}
         for b in batches:
-            s = np.array([0.0 if detector is None else detector.score(t, seen) for t in b["text"]], dtype=float)
+            s = np.array([0.0 if detector is None else detector.score(t, seen) for t in b[body]], dtype=float)
             yield b.assign(score=s, predicted=(s >= 0.5).astype(np.int32))
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields)
-    return kept.mapInPandas(shared.tidied(run), f"{schema}, score double, predicted int")
+    schema = StructType([*kept.schema.fields, StructField("score", DoubleType()), StructField("predicted", IntegerType())])
+    return kept.mapInPandas(shared.tidied(run), schema).toDF(*names, "score", "predicted")

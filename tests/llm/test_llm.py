@@ -206,6 +206,27 @@ def test_secret_spans(docs, texts, none, monkeypatch, limit):
     assert clean[50].key == "k" and set(clean[50].asDict()) == set(docs.columns)
 
 
+def test_columns_with_clashing_names(spark):
+    """Other columns come back as they were."""
+    names = ["doc_id", "text", "hits", "__key", "key", "rules", "row", "a.b", "label"]
+    rows = [(k, f"token=abcdef{k} x", 7, "k", "y", "r", 5, "dotted", k % 2) for k in range(40)]
+    df = spark.createDataFrame(rows, names)
+    clean = secrets.redact(df)
+    assert clean.columns == names and clean.dtypes == df.dtypes
+    assert sorted(map(tuple, clean.collect())) == [(r[0], "[secret] x", *r[2:]) for r in rows]
+    found = secrets.scan(df, name="spans")
+    assert found.columns == [*names, "spans"] and found.filter("hits = 7 AND __key = 'k' AND size(spans) = 1").count() == 40
+    for module, label in ((quality, "quality"), (toxicity, "toxic")):
+        model = module.fit(df, df.selectExpr("doc_id", f"label AS {label}"))
+        scored = module.score(df, model)
+        assert scored.columns == [*names, "score", "predicted"]
+        assert sorted(tuple(r)[: len(names)] for r in scored.collect()) == rows
+        again = module.score(scored, model)
+        assert again.columns == scored.columns and again.count() == 40
+    kept = corpus_pipeline.keep_good(spark, df, "/root/testdata/sf0.001")
+    assert kept.columns == names
+
+
 def test_trigram_queries():
     assert secrets.trigram_query(secrets.BASE[2].pattern) == secrets.ANY
     assert secrets.trigram_query(r"AKIA[A-Z0-9]{16,}") == frozenset([frozenset(["aki", "kia"])])
