@@ -268,12 +268,12 @@ def reach(t):
 
 
 @query("A15_daily_arrivals", """
-SELECT ts::DATE AS day, count(*) AS arrived, count(*) FILTER (event_type = 'purchase') AS kept, count(*) FILTER (event_type = 'error') AS failed, count(DISTINCT CASE WHEN user_id % 10 <> 0 THEN user_id END) AS people, count(*) FILTER (user_id % 10 = 0) AS blind, round(avg(value), 4) AS mean FROM events GROUP BY 1""")
+SELECT ts::DATE AS day, count(*) AS arrived, count(*) FILTER (event_type = 'purchase') AS kept, count(*) FILTER (event_type = 'error') AS failed, count(DISTINCT CASE WHEN user_id % 10 <> 0 THEN user_id END) AS people, count(*) FILTER (user_id % 10 = 0) AS blind, sum(round(value * 10000)::BIGINT)::BIGINT / (10000::DOUBLE * count(value)) AS mean FROM events GROUP BY 1""")
 def daily_arrivals(t):
     kind = F.col("event_type")
     asker = F.when(F.col("user_id") % 10 != 0, F.col("user_id"))
     return t("events").groupBy(F.to_date("ts").alias("day")).agg(
-        F.count("*").alias("arrived"), F.count_if(kind == "purchase").alias("kept"), F.count_if(kind == "error").alias("failed"), F.countDistinct(asker).alias("people"), F.count_if(asker.isNull()).alias("blind"), F.round(F.avg("value"), 4).alias("mean")
+        F.count("*").alias("arrived"), F.count_if(kind == "purchase").alias("kept"), F.count_if(kind == "error").alias("failed"), F.countDistinct(asker).alias("people"), F.count_if(asker.isNull()).alias("blind"), (F.sum(F.round(F.col("value") * 10000).cast("long")) / (F.lit(10000.0) * F.count("value"))).alias("mean")
     )
 
 
