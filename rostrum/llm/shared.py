@@ -78,7 +78,9 @@ def join_counted(left: DataFrame, right: DataFrame, on: list[str], rows: int, le
     values = [c for c in right.columns if c not in (*on, "n")]
     of = F.struct(*values)
     hot = right.filter(F.col("n") > most).select(*on, of.alias("__hot"))
-    cold = right.filter(F.col("n") <= most).select(*on, F.lit(0).cast("long").alias("__salt"), of.alias("__cold"))
+    # always 0, but not a constant: the optimizer would turn that into a filter and deal rows by ``on`` alone
+    zero = F.when(F.col("n") > most, F.lit(1)).otherwise(F.lit(0)).cast("long").alias("__salt")
+    cold = right.filter(F.col("n") <= most).select(*on, zero, of.alias("__cold"))
     salt = F.when(F.col("__hot").isNull(), F.lit(0)).otherwise(F.monotonically_increasing_id() + 1)
     dealt = left.join(F.broadcast(hot), on, "left").withColumn("__salt", salt).join(cold, [*on, "__salt"], "left")
     found = F.coalesce("__hot", "__cold")
