@@ -56,7 +56,8 @@ def exact_groups(docs: DataFrame, first_stride: int = FIRST_STRIDE, growth: int
         # staged, so that a group keeps its number, which is its name in the next round
         groups, groups_path = shared.stage(groups.withColumn("next", F.monotonically_increasing_id()), "radix-groups")
         held = groups.agg(F.sum("n"), F.sum(F.col("n") * F.octet_length("digit"))).first()
-        split = shared.join_counted(rows.withColumn("digit", digit), groups.withColumn("size", F.col("n")), ["grp", "digit"], held[0] or 0, (held[1] or 0) // HOT_BYTES)
+        # a merge join at every size: the groups grow with the input, so that sending them holds for small tables only
+        split = shared.join_counted(rows.withColumn("digit", digit), groups.withColumn("size", F.col("n")), ["grp", "digit"], held[0] or 0, (held[1] or 0) // HOT_BYTES, "merge")
         ended = F.octet_length("rest") <= stride
         result = split.select(
             "doc_id",

@@ -67,12 +67,13 @@ def drop(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
-def join_counted(left: DataFrame, right: DataFrame, on: list[str], rows: int, least: int = 0) -> DataFrame:
+def join_counted(left: DataFrame, right: DataFrame, on: list[str], rows: int, least: int = 0, strategy: str | None = None) -> DataFrame:
     """Left equi-join with a ``right`` of one row for each key, whose column ``n`` tells how many rows of ``left`` have it.
 
     ``rows`` is the number of rows of ``left``, or more.  Keys with over a quarter of a task's share of them (and over
     ``least``, for rows so wide that fewer have to be sent) are broadcast: 4 times the shuffle width at most, as
-    no more keys can have so many rows; their rows are then dealt evenly.  The others meet in a shuffle.
+    no more keys can have so many rows; their rows are then dealt evenly.  The others meet in a shuffle, by the
+    join hint ``strategy`` also where ``right`` would be small enough to be sent.
     """
     most = max(HOT_ROWS, rows // (4 * partitions(left.sparkSession)), least)
     values = [c for c in right.columns if c not in (*on, "n")]
@@ -81,6 +82,8 @@ def join_counted(left: DataFrame, right: DataFrame, on: list[str], rows: int, le
     # always 0, but not a constant: the optimizer would turn that into a filter and deal rows by ``on`` alone
     zero = F.when(F.col("n") > most, F.lit(1)).otherwise(F.lit(0)).cast("long").alias("__salt")
     cold = right.filter(F.col("n") <= most).select(*on, zero, of.alias("__cold"))
+    if strategy:
+        cold = cold.hint(strategy)
     salt = F.when(F.col("__hot").isNull(), F.lit(0)).otherwise(F.monotonically_increasing_id() + 1)
     dealt = left.join(F.broadcast(hot), on, "left").withColumn("__salt", salt).join(cold, [*on, "__salt"], "left")
     found = F.coalesce("__hot", "__cold")
