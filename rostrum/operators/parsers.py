@@ -87,6 +87,93 @@ def spoken_numbers(rows: DataFrame, text: str, out: str) -> DataFrame:
     return rows.withColumn(out, parse(text))
 
 
+# Scales and ordinal words.
+SCALES = {"thousand": 1_000, "million": 1_000_000, "billion": 1_000_000_000}
+ORDINALS = {w: i for i, w in enumerate("first second third fourth fifth sixth seventh eighth ninth tenth eleventh twelfth thirteenth fourteenth fifteenth sixteenth seventeenth eighteenth nineteenth".split(), 1)} | {
+    f"{w[:-1]}ieth": n for w, n in TENS.items()
+}
+
+
+def _small(words: list[str], at: int) -> tuple[int | None, int]:
+    """A number below 100 at a place, and the place after it."""
+    w = words[at] if at < len(words) else ""
+    if w in TENS:
+        unit = ONES.get(words[at + 1], 0) if at + 1 < len(words) else 0
+        return (TENS[w] + unit, at + 2) if 0 < unit < 10 else (TENS[w], at + 1)
+    return (ONES[w], at + 1) if w in ONES else (None, at)
+
+
+def _ordinal(n: int) -> str:
+    return f"{n}{'th' if n % 100 in (11, 12, 13) else {1: 'st', 2: 'nd', 3: 'rd'}.get(n % 10, 'th')}"
+
+
+def _number(words: list[str], at: int) -> tuple[str | None, int]:
+    """The longest number at a place as digits, and the place after it."""
+    total, group, start, peek = 0, 0, at, lambda i: words[i] if i < len(words) else ""
+    least = float("inf")  # scales fall from left to right
+    while True:
+        small, after = _small(words, at)
+        if small is None:
+            small, after = (ORDINALS[peek(at)], at + 1) if peek(at) in ORDINALS else (None, at)
+            if small is not None and group % 100 == 0:
+                return _ordinal(total + group + small), after
+            break
+        if group % 100:
+            break
+        group, at = group + small, after
+        if peek(at) in ORDINALS and ORDINALS[peek(at)] < 10 and small >= 20 and small % 10 == 0:
+            return _ordinal(total + group + ORDINALS[peek(at)]), at + 1
+        # two numbers of two digits, the first from 13 to 20: a year
+        if not total and group == small and 13 <= small <= 20:
+            pair, end = _small(words, at)
+            if pair is not None and pair >= 10 and peek(end) not in SCALES and peek(end) != "hundred":
+                return f"{small}{pair}", end
+        if peek(at) == "hundred" and 0 < group < 100:
+            group, at = group * 100, at + 1
+            if peek(at) == "and" and (_small(words, at + 1)[0] is not None or peek(at + 1) in ORDINALS):
+                at += 1
+        if peek(at) in SCALES and SCALES[peek(at)] < least and group:
+            least = SCALES[peek(at)]
+            total, group, at = total + group * least, 0, at + 1
+            if peek(at) == "and" and _small(words, at + 1)[0] is not None:
+                at += 1
+        elif group % 100:
+            break
+    if at == start:
+        return None, at
+    digits = []
+    if peek(at) == "point":
+        i = at + 1
+        while ONES.get(peek(i), 10) < 10:
+            digits.append(str(ONES[peek(i)]))
+            i += 1
+        at = i if digits else at
+    return f"{total + group}{'.' if digits else ''}{''.join(digits)}", at
+
+
+def read_numbers(said: str | None) -> str | None:
+    """Number words as digits: scales, hundreds, ordinals, decimals after "point" and years said as two pairs; null stays null."""
+    if said is None:
+        return None
+    own = said.split()
+    words, out, at = [w.lower() for w in own], [], 0
+    while at < len(words):
+        number, after = _number(words, at)
+        out.append(own[at] if number is None else number)
+        at = at + 1 if number is None else after
+    return " ".join(out)
+
+
+def numbers_read(rows: DataFrame, text: str, out: str) -> DataFrame:
+    """Spoken numbers of a column, scales, ordinals, decimals and years included, as digits."""
+
+    @F.pandas_udf("string")
+    def read(s: pd.Series) -> pd.Series:
+        return s.map(read_numbers, na_action="ignore")
+
+    return rows.withColumn(out, read(text))
+
+
 _END = re.compile(r"(?<=[.!?])\s+(?=[A-ZÀ-Þ])")
 # Abbreviations that end no sentence.
 ABBREVIATIONS = frozenset("mr mrs ms dr st vs jr sr inc co dept gov".split())

@@ -6,7 +6,6 @@ import pandas as pd
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from rostrum.functions import text as T
 from rostrum.operators import identity as D
 from rostrum.operators import intervals as I
 from rostrum.operators import parsers
@@ -27,17 +26,6 @@ def agenda(t):
     return R.agenda_items(files, "s_nationkey", "text")
 
 
-@query("T17_item_disambiguation", """
-SELECT p_partkey AS mention_id, p_partkey AS item_id, 'title' AS how FROM part""")
-def disambiguation(t):
-    """Three items share each code; the title's leading words tell them apart."""
-    m = t("part").select(F.col("p_partkey").alias("mention_id"), F.col("p_partkey").alias("k"), F.concat("p_name", F.lit(" a b")).alias("title"), F.lit("s").alias("section"))
-    kinds = F.explode(F.array(*[F.struct(F.lit(i).alias("seq"), F.lit(x).alias("tail")) for i, x in enumerate((" b c", " a b", " a c"))]))
-    i = t("part").select(F.col("p_partkey").alias("k"), "p_name", kinds.alias("x"))
-    items = i.select("k", (F.col("k") - 10_000_000 * (1 - F.col("x.seq"))).alias("item_id"), F.col("x.seq").alias("seq"), F.concat("p_name", "x.tail").alias("item_title"), F.lit("s").alias("item_section"))
-    return R.disambiguate(m, items, ["k"])
-
-
 @query("T18_bulk_disposition", """
 SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN l_linenumber IN (2, 4) THEN 'continued' WHEN l_linenumber <= 5 THEN 'approved' END AS outcome FROM lineitem""")
 def bulk(t):
@@ -100,12 +88,6 @@ def daily_token(t):
     return t("events").select("event_id", F.when(F.col("user_id") % 10 != 0, F.substring(F.sha2(body.cast("binary"), 256), 1, 32)).alias("asker"))
 
 
-@query("T56_quote_gate", "SELECT conv_id, turn FROM conversations WHERE length(substr(text, 3, 20)) >= 12 AND contains(text, substr(text, 3, 20)) AND turn > 0")
-def quote_gate(t):
-    q = F.substring("text", 3, 20)
-    return t("conversations").filter((F.length(q) >= 12) & F.contains("text", q) & (F.col("turn") > 0)).select("conv_id", "turn")
-
-
 @query("T53_word_redline")
 def redline(t):
     """Word differences of neighbouring part names by a longest common subsequence; tested against difflib."""
@@ -119,18 +101,6 @@ def redline(t):
     return pairs.select("p_partkey", diff("was", "p_name").alias("diff"))
 
 
-@query("T11_T51_sentence_counts", "SELECT conv_id, turn, 1 AS some FROM conversations WHERE length(trim(text)) > 0")
-def sentence_counts(t):
-    """Every line that isn't empty has a sentence."""
-    c = t("conversations").select("conv_id", "turn", "text")
-
-    @F.pandas_udf("int")
-    def some(s: pd.Series) -> pd.Series:
-        return s.map(lambda x: int(bool(parsers.sentences_of(x))) if x else 0).astype("int32")
-
-    return c.select("conv_id", "turn", some("text").alias("some")).filter("some = 1")
-
-
 @query("I2_average_linkage")
 def linkage(t):
     """Voices of each label agglomerated at a cosine distance; tested on planted clusters."""
@@ -196,13 +166,6 @@ def overrides(t):
     return claims(t).filter("method = 'override'").join(lines, ["video_id", "end_idx"], "left_anti").select("id", "end_idx")
 
 
-@query("V17_schema_matches", "SELECT 'none' AS column_name WHERE false")
-def schema_matches(t):
-    declared = {"r_regionkey", "r_name"}
-    found = [(c,) for c in sorted(declared ^ set(t("region").columns))]
-    return t("region").sparkSession.createDataFrame(found, "column_name string")
-
-
 @query("V21_lost_speech", """
 SELECT user_id AS k, round(sum(value), 2) AS lost FROM events e WHERE NOT EXISTS (SELECT 1 FROM events w WHERE w.user_id = e.user_id AND w.event_id <> e.event_id AND w.ts::DATE = e.ts::DATE) GROUP BY 1""")
 def lost_speech(t):
@@ -330,13 +293,6 @@ def ordinary(t):
     return t("part").select(word.alias("word")).distinct().filter(F.regexp_replace("word", "s+$", "").isin("ring", "bolt", "widget"))
 
 
-@query("Z17_apply_and_revert", "SELECT conv_id, turn, text AS reverted FROM conversations")
-def apply_and_revert(t):
-    """Applied and reverted redactions leave the raw text: a revert recomputes from it."""
-    c = t("conversations").select("conv_id", "turn", "text")
-    return c.withColumn("published", F.replace("text", F.substring("text", 5, 9), F.lit("[redacted]"))).select("conv_id", "turn", F.col("text").alias("reverted"))
-
-
 @query("Z40_sentence_citations", r"SELECT conv_id, turn, regexp_extract_all('A [' || turn || '] b [' || (turn + 1) || '].', '\[(\d+)\]', 1)[2]::BIGINT AS last FROM conversations")
 def sentence_citations(t):
     s = F.concat(F.lit("A ["), F.col("turn"), F.lit("] b ["), F.col("turn") + 1, F.lit("]."))

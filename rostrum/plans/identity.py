@@ -44,12 +44,6 @@ def claim_resolution(t):
     return resolved(t)
 
 
-@query("V20_resolution_is_current", f"WITH {_RESOLVED} SELECT * FROM rs WHERE false")
-def resolution_is_current(t):
-    """Two computations of the same resolution differ in no row."""
-    return resolved(t).exceptAll(resolved(t))
-
-
 @query("A26_resolver_comparison", f"""WITH {_RESOLVED},
 o AS (SELECT conv_id AS video_id, turn AS idx, 'N' || (conv_id % 5) AS was FROM conversations WHERE turn % 3 <> 2)
 SELECT CASE WHEN was IS NULL THEN 'gained' WHEN name_text IS NULL THEN 'lost' WHEN was = name_text THEN 'same' ELSE 'changed' END AS bucket, count(*) AS n FROM rs FULL JOIN o USING (video_id, idx) WHERE was IS NOT NULL OR name_text IS NOT NULL GROUP BY 1""")

@@ -6,7 +6,6 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from rostrum.functions import text as T
-from rostrum.operators import aggregates as A
 from rostrum.operators import intervals as I
 from rostrum.operators import redaction
 from rostrum.operators import search as S
@@ -84,11 +83,6 @@ def procedural(t):
     return t("conversations").select("conv_id", "turn", ((F.size(F.split(F.trim("text"), r"\s+")) <= 4) & F.lower("text").rlike(r"^(the|and|of)?[a-z .]*$")).alias("procedural"))
 
 
-@query("P19_projection_split", "SELECT doc_id, lang FROM documents")
-def projection(t):
-    return t("documents").select("doc_id", "lang")
-
-
 @query("J9_one_row_statistics", "SELECT doc_id, round(n_chars / a, 6) AS relative FROM documents, (SELECT avg(n_chars) AS a FROM documents)")
 def one_row(t):
     d = t("documents").select("doc_id", "n_chars")
@@ -294,12 +288,6 @@ def labels_honoured(t):
     return t("labels").filter("quality = 0").join(t("documents").filter("n_chars > 1000"), "doc_id", "left_semi").select("doc_id")
 
 
-@query("V16_speaker_agrees", "SELECT a.conv_id, a.turn FROM conversations a JOIN conversations b ON b.conv_id = a.conv_id AND b.turn = a.turn + 1 WHERE a.role IS NOT DISTINCT FROM b.role")
-def speaker_agrees(t):
-    w = Window.partitionBy("conv_id").orderBy("turn")
-    return t("conversations").withColumn("n", F.lead("role").over(w)).filter(F.col("role").eqNullSafe(F.col("n"))).select("conv_id", "turn")
-
-
 @query("V18_redaction_gone", "SELECT conv_id, turn FROM conversations WHERE length(text) > 60 AND contains(replace(text, substr(text, 5, 3), '[redacted]'), substr(text, 5, 2))")
 def redaction_gone(t):
     c = t("conversations").filter(F.length("text") > 60)
@@ -307,11 +295,6 @@ def redaction_gone(t):
     return c.filter(F.contains(left, F.substring("text", 5, 2))).select("conv_id", "turn")
 
 
-@query("V19_published_is_derived", "SELECT conv_id, turn FROM conversations WHERE replace(text, 'the', 'the') <> text OR (turn = 1 AND replace(text, 'e', '') <> text)")
-def published_is_derived(t):
-    return t("conversations").filter((F.replace("text", F.lit("the"), F.lit("the")) != F.col("text")) | ((F.col("turn") == 1) & (F.replace("text", F.lit("e"), F.lit("")) != F.col("text")))).select("conv_id", "turn")
-
-
 @query("Z3_codes_per_meeting", "SELECT l_orderkey, string_agg(DISTINCT l_partkey::VARCHAR, ',' ORDER BY l_partkey::VARCHAR) AS codes FROM lineitem GROUP BY 1")
 def codes(t):
     g = t("lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_set(F.col("l_partkey").cast("string"))).alias("c"))
@@ -352,13 +335,6 @@ def disagreement(t):
     return hit.select("doc_id").join(t("labels"), "doc_id", "left_anti")
 
 
-@query("Z19_stranded_redactions", "SELECT conv_id, turn, substr(text, 5, 4) AS span FROM conversations WHERE length(text) > 10 AND contains(text, substr(text, 5, 4))")
-def stranded(t):
-    c = t("conversations").filter("length(text) > 10")
-    spans = c.select("conv_id", "turn", F.substring("text", 5, 4).alias("span"))
-    return redaction.stranded(c.select("conv_id", "turn", "text"), spans, ["conv_id", "turn"], "text", "span")
-
-
 @query("Z21_disagreement_lanes", """
 SELECT l_orderkey, l_suppkey FROM (SELECT l_orderkey, l_suppkey, row_number() OVER (PARTITION BY l_orderkey, l_suppkey ORDER BY l_shipdate DESC, l_linenumber) AS rn FROM lineitem WHERE l_returnflag = 'R') WHERE rn = 1 AND (l_orderkey, l_suppkey) NOT IN (SELECT l_orderkey, l_suppkey FROM lineitem WHERE l_returnflag = 'A')""")
 def lanes(t):
@@ -394,14 +370,6 @@ def target_rank(t):
     return S.ranked(got.withColumn("score", F.round("score", 6)), 200).filter(F.col("id").isin(7, 11, 13, 17, 19)).select("id", "rank")
 
 
-@query("U8_schema_drift", "SELECT 'n_comment' AS column_name, 'missing' AS state UNION ALL SELECT 'n_regionkey', 'extra'")
-def schema_drift(t):
-    """Columns of a table against its declaration."""
-    live, declared = set(t("nation").columns), {"n_nationkey", "n_name", "n_comment"}
-    found = [(c, "missing") for c in sorted(declared - live)] + [(c, "extra") for c in sorted(live - declared)]
-    return t("nation").sparkSession.createDataFrame(found, "column_name string, state string")
-
-
 @query("X5_state_transitions", """
 SELECT o_orderkey, CASE WHEN o_orderkey % 6 = 5 THEN 'failed' WHEN o_orderstatus = 'O' THEN 'claimable' WHEN o_orderstatus = 'P' THEN 'running' ELSE 'done' END AS state FROM orders""")
 def transitions(t):

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from rostrum.operators import subjects as S
@@ -89,8 +88,3 @@ SELECT s.slug, count(*) AS n FROM (VALUES ('a', '(?i)ring'), ('b', '(?i)^blue'))
 def theta(t):
     flat = [("a", None, "(?i)ring"), ("b", None, "(?i)^blue")]
     return S.membership(t("part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("text")), flat).groupBy("slug").agg(F.count("*").alias("n"))
-
-
-@query("V11_rollup_is_current", f"WITH {_MEMBERS} SELECT slug, id FROM mem WHERE false")
-def rollup_is_current(t):
-    return members(t).subtract(members(t))

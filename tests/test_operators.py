@@ -198,3 +198,37 @@ def test_anchors_grow_but_seeds_win(spark):
     seeds = spark.createDataFrame([(1, "Ann"), (4, "Bob")], "id long, name string")
     got = {r.id: r.name for r in identity.grow_anchors(voices, seeds).collect()}
     assert got == {1: "Ann", 2: "Ann", 3: "Bob", 4: "Bob"}
+
+
+def test_drift_of_stored_rows(spark):
+    from rostrum.operators import checks
+
+    of = lambda rows: spark.createDataFrame(rows, "k int, v string")
+    got = checks.drift(of([(1, "a"), (2, None), (3, "c"), (5, None)]), of([(1, "a"), (2, "b"), (4, "d"), (5, None)]), ["k"], ["v"])
+    assert {(r.k, r.state) for r in got.collect()} == {(2, "changed"), (3, "extra"), (4, "missing")}
+    assert checks.drift(of([]), of([]), ["k"]).count() == 0
+
+
+def test_numbers_read():
+    from rostrum.operators.parsers import read_numbers
+
+    said = {
+        "nineteen ninety nine and twenty twenty four": "1999 and 2024",
+        "Five thousand three hundred and forty two": "5342",
+        "the twenty first of may": "the 21st of may",
+        "three point one four percent": "3.14 percent",
+        "two million five hundred thousand": "2500000",
+        "one hundred and third street": "103rd street",
+        "the eleventh hour, point taken": "the 11th hour, point taken",
+        "hundred": "hundred",
+        "": "",
+    }
+    assert {k: read_numbers(k) for k in said} == said
+    assert read_numbers(None) is None
+
+
+def test_folded_names(spark):
+    from rostrum.operators import checks
+
+    df = spark.createDataFrame([("The Mayor Lee",), ("Dr. Mary Wu ",), ("Drew Day",), (None,)], "n string")
+    assert [r[0] for r in df.select(checks.folded_name(df["n"])).collect()] == ["lee", "mary wu", "drew day", None]
