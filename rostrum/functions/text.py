@@ -100,3 +100,9 @@ def occurrences(text: Column, span: Column) -> Column:
 
 def first_words(text: Column, n: int) -> Column:
     return F.array_join(F.slice(F.split(F.trim(text), r"\s+"), 1, n), " ")
+
+
+def dissenters(sentence: Column) -> Column:
+    """The names before "voting nay", "voting no", "dissenting" or "opposed" in an outcome sentence, after its tally; an empty array if there are none."""
+    names = F.regexp_extract(sentence, r"(?i)\d+\s*-\s*\d+[,;:]?\s*\(?(.+?)\s+(?:voting (?:nay|no)|dissenting|opposed)\b", 1)
+    return F.filter(F.split(names, r"(?i)\s*,\s*and\s+|\s*,\s*|\s+and\s+"), lambda n: n != "")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -48,3 +48,24 @@ def quoted_names(claims: DataFrame, lines: DataFrame, known: DataFrame, key: lis
 def continuation(rows: DataFrame, first: Column, keep: list[str]) -> DataFrame:
     """Rows in which only the columns ``keep`` have values, but on the first page."""
     return rows.select(*[F.col(c) if c in keep else F.when(first, F.col(c)).alias(c) for c in rows.columns])
+
+
+def tiling(spans: DataFrame, key: list[str], start: str, end: str) -> DataFrame:
+    """key, start, end, issue: spans of a key that end before they start ('unordered'), share an index with an earlier one ('overlap') or leave one out before them ('hole')."""
+    earlier = Window.partitionBy(*key).orderBy(start, end).rowsBetween(Window.unboundedPreceding, -1)
+    s, e, upto = F.col(start), F.col(end), F.max(end).over(earlier)
+    issues = F.array(F.when(e < s, "unordered"), F.when(s <= upto, "overlap"), F.when(s > upto + 1, "hole"))
+    return spans.withColumn("issues", F.array_compact(issues)).select(*key, start, end, F.explode("issues").alias("issue"))
+
+
+def redaction_issues(applied: DataFrame, lines: DataFrame, key: list[str], raw: str, published: str, shortest: int = 3, longest: int = 40) -> DataFrame:
+    """key, issue: applied redactions (span, before) that are still shown, that their raw line lacks, whose span is no plausible one, or whose raw line has changed since."""
+    j = applied.join(lines.select(*key, F.col(raw).alias("_raw"), F.col(published).alias("_published")), key)
+    size = F.length("span")
+    found = F.array(
+        F.when(F.contains("_published", "span"), "gone_from_transcript"),
+        F.when(~F.contains("_raw", "span"), "unfindable"),
+        F.when((size < shortest) | (size > longest), "span_is_plausible"),
+        F.when(~F.col("before").eqNullSafe(F.col("_raw")), "raw_preserved"),
+    )
+    return j.select(*key, F.explode(F.array_compact(found)).alias("issue"))

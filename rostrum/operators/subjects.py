@@ -53,3 +53,22 @@ def shortest_window(counts: DataFrame, key: str, year: str, n: str, share: float
     fit = a.join(b, key).filter((F.col("lo") <= F.col("hi")) & (F.col("_to") - F.col("_before") >= share * F.col("_all")))
     best = F.min(F.struct((F.col("hi") - F.col("lo")).alias("w"), "lo", "hi"))
     return fit.groupBy(key).agg(best.alias("b")).select(key, "b.lo", "b.hi")
+
+
+def walk(edges: DataFrame, depth: int) -> DataFrame:
+    """id, depth, path of a tree (id, parent, items) of at most ``depth`` levels: in the order of ``path`` it is walked depth first, children with most items first, ties by id."""
+    step = F.concat(F.lpad((F.lit(10**9 - 1) - F.col("items")).cast("string"), 9, "0"), F.lit(":"), F.col("id"))
+    level = edges.filter("parent is null").select("id", F.lit(0).alias("depth"), step.alias("path"))
+    out = level
+    for d in range(1, depth):
+        up = level.select(F.col("id").alias("parent"), F.col("path").alias("_up"))
+        level = edges.join(up, "parent").select("id", F.lit(d).alias("depth"), F.concat("_up", F.lit("/"), step).alias("path"))
+        out = out.unionByName(level)
+    return out
+
+
+def curated(subjects: DataFrame, terms: DataFrame, decisions: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Subjects (slug, status) and terms (slug, phrase, status) after decisions (slug, decision), which pass on to those terms that are still proposed."""
+    s = subjects.join(decisions, "slug", "left").withColumn("status", F.coalesce("decision", "status")).drop("decision")
+    after = F.when(F.col("status") == "proposed", F.coalesce("decision", "status")).otherwise(F.col("status"))
+    return s, terms.join(decisions, "slug", "left").withColumn("status", after).drop("decision")

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from rostrum.functions import text as T
 from rostrum.operators import checks as C
 from rostrum.operators import identity as D
 from rostrum.operators import intervals as I
 from rostrum.operators import parsers, redaction
 from rostrum.operators import records as R
+from rostrum.operators import subjects as S
 from rostrum.plans.identity import _RESOLVED, claims, resolved
 from rostrum.plans.registry import query
 from rostrum.plans.subjects import _MEMBERS, members
@@ -188,3 +190,72 @@ def sentences(t):
     """Sentences of texts with abbreviations and initials."""
     text = F.concat(F.lit("Mr. "), F.col("c_name"), F.lit(" spoke."), F.repeat(F.lit(" Then J. Doe of St. Mary left!"), (F.col("c_custkey") % 3).cast("int")))
     return parsers.sentences(t("customer").select("c_custkey", text.alias("text")), "c_custkey", "text")
+
+
+@query("V3_spans_tile", """
+WITH s AS (SELECT conv_id, min(turn) - CASE WHEN turn // 3 % 4 = 1 AND conv_id % 2 = 0 THEN 1 ELSE 0 END AS start_idx, max(turn) - CASE WHEN (conv_id + turn // 3) % 7 = 3 THEN 1 ELSE 0 END AS end_idx FROM conversations GROUP BY conv_id, turn // 3),
+b AS (SELECT *, (SELECT max(x.end_idx) FROM s x WHERE x.conv_id = s.conv_id AND (x.start_idx < s.start_idx OR x.start_idx = s.start_idx AND x.end_idx < s.end_idx)) AS upto FROM s)
+SELECT conv_id, start_idx, end_idx, 'unordered' AS issue FROM b WHERE end_idx < start_idx UNION ALL SELECT conv_id, start_idx, end_idx, 'overlap' FROM b WHERE start_idx <= upto UNION ALL SELECT conv_id, start_idx, end_idx, 'hole' FROM b WHERE start_idx > upto + 1""")
+def spans_tile(t):
+    """Spans of three lines, some begun too early and some ended too early."""
+    no = F.floor(F.col("turn") / 3)
+    g = t("conversations").groupBy("conv_id", no.alias("no")).agg(F.min("turn").alias("s"), F.max("turn").alias("e"))
+    early = F.when((F.col("no") % 4 == 1) & (F.col("conv_id") % 2 == 0), 1).otherwise(0)
+    short = F.when((F.col("conv_id") + F.col("no")) % 7 == 3, 1).otherwise(0)
+    return C.tiling(g.select("conv_id", (F.col("s") - early).alias("start_idx"), (F.col("e") - short).alias("end_idx")), ["conv_id"], "start_idx", "end_idx")
+
+
+@query("V18_redaction_gone", f"""
+WITH r AS (SELECT conv_id, turn, text AS raw, CASE turn % 5 WHEN 0 THEN 'zz9' || turn WHEN 1 THEN substr(text, 5, 2) ELSE substr(text, 5, 12) END AS span, CASE WHEN (conv_id + turn) % 6 = 0 THEN text || '.' ELSE text END AS before FROM conversations WHERE length(text) > 20),
+p AS (SELECT *, CASE WHEN (conv_id + turn) % 4 = 0 THEN raw ELSE replace(raw, span, {_MARK}) END AS published FROM r)
+SELECT conv_id, turn, 'gone_from_transcript' AS issue FROM p WHERE contains(published, span) UNION ALL SELECT conv_id, turn, 'unfindable' FROM p WHERE NOT contains(raw, span)
+UNION ALL SELECT conv_id, turn, 'span_is_plausible' FROM p WHERE length(span) NOT BETWEEN 3 AND 40 UNION ALL SELECT conv_id, turn, 'raw_preserved' FROM p WHERE before <> raw""")
+def redaction_gone(t):
+    """Applied redactions of which some were never published, some aren't in their line, some are too short, and some lines changed since."""
+    key = ["conv_id", "turn"]
+    c = _lines(t).filter("length(text) > 20")
+    i, both = F.col("turn"), F.col("conv_id") + F.col("turn")
+    span = F.when(i % 5 == 0, F.concat(F.lit("zz9"), i)).when(i % 5 == 1, F.substring("text", 5, 2)).otherwise(F.substring("text", 5, 12))
+    spans = c.select(*key, F.lit(1).alias("id"), span.alias("span"), F.when(both % 6 == 0, F.concat("text", F.lit("."))).otherwise(F.col("text")).alias("before"))
+    lines = redaction.republished(c, spans.filter(both % 4 != 0), key, "text", "id", "span")
+    return C.redaction_issues(spans, lines, key, "text", "published")
+
+
+@query("Z12_curate_cascade", """
+WITH d(slug, decision) AS (VALUES (1, 'dropped'), (2, 'kept'), (3, 'dropped'))
+SELECT 'subject' AS kind, r_name AS name, coalesce(decision, 'proposed') AS status FROM region LEFT JOIN d ON slug = r_regionkey
+UNION ALL SELECT 'term', n_name, CASE WHEN n_nationkey % 3 = 0 THEN 'live' ELSE coalesce(decision, 'proposed') END FROM nation LEFT JOIN d ON slug = n_regionkey""")
+def cascade(t):
+    """Decisions on subjects reach their proposed terms and leave live ones alone."""
+    decisions = t("region").sparkSession.createDataFrame([(1, "dropped"), (2, "kept"), (3, "dropped")], "slug int, decision string")
+    s = t("region").select(F.col("r_regionkey").alias("slug"), "r_name", F.lit("proposed").alias("status"))
+    n = t("nation").select(F.col("n_regionkey").alias("slug"), F.col("n_name").alias("phrase"), F.when(F.col("n_nationkey") % 3 == 0, "live").otherwise("proposed").alias("status"))
+    s, n = S.curated(s, n, F.broadcast(decisions))
+    return s.select(F.lit("subject").alias("kind"), F.col("r_name").alias("name"), "status").unionByName(n.select(F.lit("term").alias("kind"), F.col("phrase").alias("name"), "status"))
+
+
+@query("Y2_tree_walk", """
+WITH RECURSIVE s AS (SELECT 's' || s_suppkey AS id, 'n' || s_nationkey AS parent, s_suppkey % 10 AS items FROM supplier),
+n AS (SELECT 'n' || n_nationkey AS id, 'r' || n_regionkey AS parent, coalesce((SELECT sum(items) FROM s WHERE s.parent = 'n' || n_nationkey), 0)::BIGINT AS items FROM nation),
+e AS (SELECT * FROM s UNION ALL SELECT * FROM n UNION ALL SELECT 'r' || r_regionkey, NULL, coalesce((SELECT sum(items) FROM n WHERE n.parent = 'r' || r_regionkey), 0)::BIGINT FROM region),
+w AS (SELECT id, 0 AS depth, lpad((999999999 - items)::VARCHAR, 9, '0') || ':' || id AS path FROM e WHERE parent IS NULL UNION ALL SELECT e.id, w.depth + 1, w.path || '/' || lpad((999999999 - items)::VARCHAR, 9, '0') || ':' || e.id FROM e JOIN w ON e.parent = w.id)
+SELECT id, depth, path FROM w""")
+def tree_walk(t):
+    """Regions, nations and suppliers as a tree, walked by their sums of items."""
+    k = lambda p, c: F.concat(F.lit(p), F.col(c))
+    s = t("supplier").select(k("s", "s_suppkey").alias("id"), k("n", "s_nationkey").alias("parent"), (F.col("s_suppkey") % 10).alias("items"))
+    summed = lambda df: df.groupBy(F.col("parent").alias("id")).agg(F.sum("items").alias("items"))
+    n = t("nation").select(k("n", "n_nationkey").alias("id"), k("r", "n_regionkey").alias("parent")).join(summed(s), "id", "left").fillna(0, ["items"])
+    r = t("region").select(k("r", "r_regionkey").alias("id"), F.lit(None).cast("string").alias("parent")).join(summed(n), "id", "left").fillna(0, ["items"])
+    return S.walk(s.unionByName(n).unionByName(r), 3)
+
+
+@query("T49_dissenters", """
+SELECT c_custkey, unnest(['Lee', 'Wu-Ng ' || c_custkey, 'Mary Anderson'][1:(c_custkey % 4)::INT]) AS name FROM customer WHERE c_custkey % 4 > 0""")
+def dissenters(t):
+    """Outcome sentences without a dissenter, with one, two and three."""
+    k = F.col("c_custkey")
+    ng = F.concat(F.lit("Wu-Ng "), k)
+    said = F.when(k % 4 == 0, F.lit("Motion carried 5-0")).when(k % 4 == 1, F.lit("Motion carried 4-1, Lee voting nay.")).when(k % 4 == 2, F.concat(F.lit("Approved 3-2 (Lee and "), ng, F.lit(" dissenting)")))
+    said = said.otherwise(F.concat(F.lit("Motion failed 2 - 3; Lee, "), ng, F.lit(", and Mary Anderson voting no")))
+    return t("customer").select("c_custkey", F.explode(T.dissenters(said)).alias("name"))

@@ -69,12 +69,6 @@ def edit_offsets(t):
     return t("part").filter(F.contains("p_name", F.lit("ring"))).select("p_partkey", (at - 1).alias("start"), (at + 3).alias("end"), F.lit("ring").alias("was"), F.lit("band").alias("now"))
 
 
-@query("T49_dissenters", r"SELECT o_orderkey, regexp_extract('Motion carried 4-1, Clerk' || o_custkey || ' voting nay', '(\w+) voting nay', 1) AS name FROM orders")
-def dissenters(t):
-    s = F.concat(F.lit("Motion carried 4-1, Clerk"), F.col("o_custkey"), F.lit(" voting nay"))
-    return t("orders").select("o_orderkey", F.regexp_extract(s, r"(\w+) voting nay", 1).alias("name"))
-
-
 @query("T52_spoken_form", r"SELECT p_partkey, replace(replace(p_brand, '#', ' number '), 'Brand', 'brand') || ' costs ' || floor(p_retailprice)::BIGINT || ' dollars' AS said FROM part")
 def spoken_form(t):
     said = parsers.corrected(F.col("p_brand"), [("#", " number "), ("Brand", "brand")])
@@ -189,13 +183,6 @@ def silence_points(t):
     return lines.select("event_id", F.element_at(F.split("value", r"\s+"), -1).cast("double").alias("at"))
 
 
-@query("Y2_tree_walk", """
-SELECT 'r' || r_regionkey || '/' || n_name AS path FROM region JOIN nation ON n_regionkey = r_regionkey""")
-def tree_walk(t):
-    j = t("nation").join(F.broadcast(t("region")), F.col("n_regionkey") == F.col("r_regionkey"))
-    return j.select(F.concat(F.lit("r"), "r_regionkey", F.lit("/"), "n_name").alias("path"))
-
-
 @query("Y5_outcome_tally", "SELECT l_returnflag AS outcome, count(*) AS n FROM lineitem GROUP BY 1")
 def tally(t):
     return t("lineitem").groupBy(F.col("l_returnflag").alias("outcome")).agg(F.count("*").alias("n"))

@@ -261,11 +261,6 @@ def incremental(t):
     return old.join(new, ["conv_id", "turn"]).filter("was <> now").select("conv_id", "turn")
 
 
-@query("V3_spans_ordered", "SELECT l_orderkey, l_linenumber, l_partkey FROM lineitem WHERE l_discount * 100 > l_quantity")
-def spans_ordered(t):
-    return t("lineitem").filter(F.col("l_discount") * 100 > F.col("l_quantity")).select("l_orderkey", "l_linenumber", "l_partkey")
-
-
 @query("V7_stranded_claims", "SELECT event_id FROM events WHERE event_type = 'signup' AND ts < TIMESTAMP '2024-01-30' - INTERVAL 6 HOUR AND value > 90")
 def stranded_claims(t):
     return t("events").filter("event_type = 'signup' and value > 90").filter(F.col("ts") < F.expr("timestamp_ntz '2024-01-30' - interval 6 hours")).select("event_id")
@@ -288,13 +283,6 @@ def labels_honoured(t):
     return t("labels").filter("quality = 0").join(t("documents").filter("n_chars > 1000"), "doc_id", "left_semi").select("doc_id")
 
 
-@query("V18_redaction_gone", "SELECT conv_id, turn FROM conversations WHERE length(text) > 60 AND contains(replace(text, substr(text, 5, 3), '[redacted]'), substr(text, 5, 2))")
-def redaction_gone(t):
-    c = t("conversations").filter(F.length("text") > 60)
-    left = F.replace("text", F.substring("text", 5, 3), F.lit(redaction.MARKER))
-    return c.filter(F.contains(left, F.substring("text", 5, 2))).select("conv_id", "turn")
-
-
 @query("Z3_codes_per_meeting", "SELECT l_orderkey, string_agg(DISTINCT l_partkey::VARCHAR, ',' ORDER BY l_partkey::VARCHAR) AS codes FROM lineitem GROUP BY 1")
 def codes(t):
     g = t("lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_set(F.col("l_partkey").cast("string"))).alias("c"))
@@ -315,11 +303,6 @@ def reference(t):
     return t("embeddings").groupBy("label").agg(F.count("*").alias("n"), F.round(F.sum(F.get("embedding", F.lit(0)).cast("double")), 5).alias("first"))
 
 
-@query("Z12_curate_cascade", "SELECT n_nationkey, CASE WHEN n_regionkey IN (1, 3) THEN 'dropped' ELSE 'kept' END AS status FROM nation")
-def cascade(t):
-    return t("nation").select("n_nationkey", F.when(F.col("n_regionkey").isin(1, 3), "dropped").otherwise("kept").alias("status"))
-
-
 @query("Z15_proposals_without_duplicates", """
 SELECT DISTINCT conv_id, turn, substr(text, 5, 6) AS span FROM conversations WHERE length(text) > 20 AND (conv_id, substr(text, 5, 6)) NOT IN (SELECT conv_id, substr(text, 5, 6) FROM conversations WHERE turn = 0)""")
 def proposals(t):
