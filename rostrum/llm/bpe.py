@@ -298,42 +298,15 @@ def _one_list(values: pa.Array) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
 
 
-class _Tokens:
-    """A growing table of words' tokens."""
-
-    def __init__(self):
-        self.flat, self.at, self.words, self.used = np.zeros(1 << 16, np.int32), np.zeros(1 << 14, np.int64), 0, 0
-
-    def add(self, tokens: np.ndarray, sizes: np.ndarray) -> None:
-        self.flat = self._room(self.flat, self.used + len(tokens))
-        self.at = self._room(self.at, self.words + len(sizes) + 1)
-        self.flat[self.used : self.used + len(tokens)] = tokens
-        self.at[self.words + 1 : self.words + 1 + len(sizes)] = self.used + np.cumsum(sizes)
-        self.words, self.used = self.words + len(sizes), self.used + len(tokens)
-
-    @staticmethod
-    def _room(a: np.ndarray, n: int) -> np.ndarray:
-        if n <= len(a):
-            return a
-        out = np.zeros(max(n, 2 * len(a)), a.dtype)
-        out[: len(a)] = a
-        return out
-
-    def of(self, words: np.ndarray) -> np.ndarray:
-        start = self.at[words]
-        n = self.at[words + 1] - start
-        return self.flat[np.repeat(start - np.cumsum(n) + n, n) + np.arange(n.sum())]
-
-
 def _documents(ranks: Ranks):
     """Rows with folded words -> a row for each document: its tokens and the decoded bytes' digest."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces, known, long = np.array(ranks.pieces, dtype=object), _Tokens(), {}
+        pieces, known, long = np.array(ranks.pieces, dtype=object), shared.Lists(), {}
         for b in batches:
             for row in range(b.num_rows):
                 if b.column(0)[row].as_py():
-                    known, long = _Tokens(), {}
+                    known, long = shared.Lists(), {}
                 words, done, docs = (b.column(i)[row].values for i in (1, 2, 3))
                 known.add(words.flatten().to_numpy(zero_copy_only=False), words.value_lengths().to_numpy(zero_copy_only=False))
                 long |= {x[0]: np.array(x[1:], np.int32) for x in done.to_pylist()}

@@ -22,6 +22,7 @@ import json
 import re
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -35,8 +36,8 @@ from rostrum.llm import shared
 LENGTH, END = 4096, 2
 #: Dimensions of the curve, and bits of a cell's place on each.
 DIMENSIONS, CELL_BITS = 4, 5
-#: Chunks of text whose tokens a worker keeps.
-CACHE = 350_000
+#: Characters of text that are encoded at a time, characters of known words a worker keeps, and those added for each word.
+CHARS, ROOM, WORD_ROOM = 3_000_000, 16_000_000, 20
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
@@ -46,24 +47,23 @@ def projection(vocabulary: int, dimensions: int = DIMENSIONS, seed: int = 11) ->
     return np.random.default_rng(seed).choice(np.array([-1.0, 1.0], np.float32), (vocabulary, dimensions))
 
 
-# The normaliser and the cut that chunks may be shared under.
+# The normaliser and the cuts that words may be shared under.
 _NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
 _CUT = {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True}
+_BYTES = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}
 
 
 class Encoder:
-    """Token ids of texts; chunks between spaces and line breaks are encoded once and kept.
+    """Token ids of texts; the tokenizer's model is asked once for each word, and known words are kept.
 
     This holds for tokenizers that drop white space and never merge across it, so that a text's ids are
-    those of its chunks in order; the definition tells, and by any other one texts are encoded whole.  New
-    chunks are encoded many at a time, with a marker between
-    them that stands alone and so has the same ids everywhere; a chunk that holds the marker is
-    encoded by itself.  Chunks of plain Latin letters, digits and signs without an apostrophe are first cut
-    where the tokenizer cuts them, so that their parts are shared with other chunks.  Kept chunks are in two tables of bounded size: when the younger one is
-    full it takes the place of the older one.
+    those of its chunks in order; the definition tells, and by any other one texts are encoded whole.  Texts of
+    plain Latin letters, digits and signs are cut into words by the tokenizer's own pattern; of other texts, and
+    of those with a special token, so are the plain chunks, and each other chunk is encoded by the whole
+    tokenizer.  Long texts are cut at white space, so that only ids grow with a text.  The table of known words is
+    begun anew when it is full.
     """
 
-    MARK = "\u2063"
     # the letters, and of the other signs those that are neither a letter, a number nor white space, below U+0180
     LETTERS = "a-z\u00aa\u00b5\u00ba\u00df-\u00f6\u00f8-\u017f"
 
@@ -72,64 +72,92 @@ class Encoder:
 
         known = json.loads(definition)
         cuts = (known.get("pre_tokenizer") or {}).get("pretokenizers", [])
-        self.by_chunk = known.get("normalizer") == _NORMALIZER and bool(cuts) and cuts[0] == _CUT and not known.get("post_processor")
+        self.by_word = known.get("normalizer") == _NORMALIZER and cuts == [_CUT, _BYTES] and not known.get("post_processor")
         self.tokenizer = Tokenizer.from_str(definition)
-        special = {t.content[0] for t in self.tokenizer.get_added_tokens_decoder().values()}
-        signs = "".join(re.escape(chr(c)) for c in range(0x21, 0x7F) if not chr(c).isalnum() and chr(c) != "'" and chr(c) not in special)
-        # chunks that no special token can be in, and the parts of a lower-cased list of them
-        self.plain = re.compile(f"[A-Z\u00c0-\u00d6\u00d8-\u00de{self.LETTERS}0-9{signs}]+").fullmatch
-        self.parts = re.compile(f"\n|[{self.LETTERS}\u0307]+|[0-9]|[{signs}]+").findall
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
-        self.mark = np.array(self.tokenizer.encode(self.MARK, add_special_tokens=False).ids, np.int32)
-
-    def _encode(self, chunks: list[str]) -> None:
-        for at in range(0, len(chunks), 20_000):
-            part = [c for c in chunks[at : at + 20_000] if self.MARK not in c]
-            for c in chunks[at : at + 20_000]:
-                if self.MARK in c:
-                    self.young[c] = np.array(self.tokenizer.encode(c, add_special_tokens=False).ids, np.int32).tobytes()
-            if not part:
-                continue
-            text = f" {self.MARK} ".join(part)
-            ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.int32)
-            k = len(self.mark)
-            here = np.ones(max(len(ids) - k + 1, 0), bool)
-            for i, x in enumerate(self.mark):
-                here &= ids[i : len(ids) - k + 1 + i] == x
-            ends = np.r_[np.flatnonzero(here), len(ids)]
-            if len(ends) != len(part):
-                raise ValueError("the marker's ids occur inside a chunk")
-            data, start = ids.tobytes(), 0
-            for c, end in zip(part, ends.tolist(), strict=True):
-                self.young[c] = data[4 * start : 4 * end]
-                start = end + k
-
-    def _missing(self, chunks: set[str]) -> set[str]:
-        """Of these, the chunks without ids; those of the older table move to the younger one."""
-        missing = chunks - self.young.keys()
-        for c in missing & self.old.keys():
-            self.young[c] = self.old[c]
-        return missing - self.old.keys()
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        signs = "".join(re.escape(chr(c)) for c in range(0x21, 0x7F) if not chr(c).isalnum())
+        self.latin = re.compile(f"[A-Z\u00c0-\u00d6\u00d8-\u00de{self.LETTERS}0-9{signs} \t-\r]*").fullmatch
+        self.words = re.compile(f"[{self.LETTERS}]+|[0-9]|'s|'t|'re|'ve|'m|'ll|'d|[{signs}]+").findall
+        # bytes as the letters that stand for them: printable ones for themselves, the others from U+0100 on
+        shown = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+        self.letters = {b: 0x100 + i for i, b in enumerate(b for b in range(256) if b not in shown)}
+        self._clear()
+
+    def _clear(self) -> None:
+        self.places: dict[str, int] = {}
+        self.tokens, self.held = shared.Lists(), 0
+
+    def _plain(self, text: str) -> bool:
+        return self.latin(text) is not None and not any(s in text for s in self.special)
+
+    def _units(self, text: str) -> list[str]:
+        """A text's words; a chunk that isn't plain is a unit with a space before it."""
+        if self._plain(text):
+            return self.words(text.lower())
+        out: list[str] = []
+        for chunk in text.replace("\n", " ").split(" "):
+            if self._plain(chunk):
+                out += self.words(chunk.lower())
+            else:
+                out.append(" " + chunk)
+        return out
+
+    def _learn(self, units: list[str]) -> None:
+        whole = iter(self.tokenizer.encode_batch_fast([u for u in units if u[0] == " "], add_special_tokens=False))
+        shown = (u if u[0] == " " or u.isascii() else u.encode().decode("latin-1").translate(self.letters) for u in units)
+        cut = self.tokenizer.model.tokenize
+        ids = [next(whole).ids if u[0] == " " else [t.id for t in cut(u)] for u in shown]
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
+        self.tokens.add(np.fromiter(chain.from_iterable(ids), np.int32, int(sizes.sum())), sizes)
+        self.places.update(zip(units, range(len(self.places), len(self.places) + len(units)), strict=True))
+        self.held += sum(map(len, units)) + WORD_ROOM * len(units)
+
+    def _encode(self, texts: list[str]) -> list[np.ndarray]:
+        if self.held > ROOM:
+            self._clear()
+        units: list[str] = []
+        ends = [0]
+        for t in texts:
+            units += self._units(t)
+            ends.append(len(units))
+        found = pa.array(units, pa.large_string()).dictionary_encode()
+        distinct = found.dictionary.to_numpy(zero_copy_only=False).tolist()
+        if new := [u for u in distinct if u not in self.places]:
+            self._learn(new)
+        words = np.array([self.places[u] for u in distinct], np.int64)[found.indices.to_numpy()]
+        bounds = np.append(0, np.cumsum(self.tokens.sizes(words)))[ends]
+        ids = self.tokens.of(words)
+        return [ids[start:end] for start, end in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
 
     def __call__(self, texts: list[str | None]) -> list[np.ndarray]:
-        if not self.by_chunk:
+        if not self.by_word:
             return [np.array(e.ids, np.int32) for e in self.tokenizer.encode_batch_fast([t or "" for t in texts], add_special_tokens=False)]
-        chunks = [t.replace("\n", " ").split(" ") if t else [] for t in texts]
-        if len(self.young) > CACHE:
-            self.old, self.young = self.young, {}
-        young = self.young
-        new = self._missing(set().union(*chunks))
-        plain = [c for c in new if self.plain(c)]
-        parts = self.parts("\n".join(plain).lower())
-        self._encode(sorted(self._missing({*parts} - {"\n"}) | new.difference(plain)))
-        young["\n"] = b"\n"  # stands between chunks here only, as no chunk holds it
-        ids, own = [young[u] for u in parts], iter(plain)
-        start = 0
-        for end in [*(i for i, u in enumerate(parts) if u == "\n"), len(parts)] if plain else []:
-            young[next(own)] = ids[start] if end == start + 1 else b"".join(ids[start:end])
-            start = end + 1
-        return [np.frombuffer(b"".join([young[c] for c in own]), np.int32) for own in chunks]
+        out: list[list[np.ndarray]] = [[] for _ in texts]
+        part, owners, held = [], [], 0
+        for owner, text in enumerate(texts):
+            for piece in pieces_of(text or "", CHARS):
+                part.append(piece)
+                owners.append(owner)
+                held += len(piece)
+                if held >= CHARS:
+                    for o, x in zip(owners, self._encode(part), strict=True):
+                        out[o].append(x)
+                    part, owners, held = [], [], 0
+        for o, x in zip(owners, self._encode(part), strict=True):
+            out[o].append(x)
+        return [x[0] if len(x) == 1 else np.concatenate(x) for x in out]
+
+
+def pieces_of(text: str, size: int) -> Iterator[str]:
+    """The text in pieces of at most ``size`` characters, cut at spaces and line breaks only; longer where there is none."""
+    start = 0
+    while len(text) - start > size:
+        at = max(text.rfind(" ", start, start + size), text.rfind("\n", start, start + size))
+        if at <= start:
+            at = min((i for i in (text.find(" ", start + 1), text.find("\n", start + 1)) if i > 0), default=len(text))
+        yield text[start:at]
+        start = at
+    yield text[start:]
 
 
 #: In a worker: the encoder of the definition at hand.
@@ -137,7 +165,7 @@ _ENCODERS: dict[str, Encoder] = {}
 
 
 def encoder_of(definition: str) -> Encoder:
-    """The worker's encoder, which keeps its chunks from task to task."""
+    """The worker's encoder, which keeps its words from task to task."""
     if definition not in _ENCODERS:
         _ENCODERS.clear()
         _ENCODERS[definition] = Encoder(definition)
@@ -155,7 +183,7 @@ def vectorise(docs: DataFrame, definition: str, vocabulary: int, dimensions: int
             at = 0
             while at < b.num_rows:
                 texts, held = [], 0
-                while at + len(texts) < b.num_rows and held < 6_000_000:
+                while at + len(texts) < b.num_rows and held < CHARS:
                     texts.append(b.column(1)[at + len(texts)].as_py())
                     held += len(texts[-1] or "")
                 ids, coords, n = [], [], []

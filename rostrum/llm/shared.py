@@ -120,6 +120,37 @@ def tidied(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator
     return wrapped
 
 
+class Lists:
+    """A growing table of lists of tokens, those of words, say; each is known by its place."""
+
+    def __init__(self):
+        self.flat, self.at, self.words, self.used = np.zeros(1 << 16, np.int32), np.zeros(1 << 14, np.int64), 0, 0
+
+    def add(self, tokens: np.ndarray, sizes: np.ndarray) -> None:
+        self.flat = self._room(self.flat, self.used + len(tokens))
+        self.at = self._room(self.at, self.words + len(sizes) + 1)
+        self.flat[self.used : self.used + len(tokens)] = tokens
+        self.at[self.words + 1 : self.words + 1 + len(sizes)] = self.used + np.cumsum(sizes)
+        self.words, self.used = self.words + len(sizes), self.used + len(tokens)
+
+    @staticmethod
+    def _room(a: np.ndarray, n: int) -> np.ndarray:
+        if n <= len(a):
+            return a
+        out = np.zeros(max(n, 2 * len(a)), a.dtype)
+        out[: len(a)] = a
+        return out
+
+    def sizes(self, words: np.ndarray) -> np.ndarray:
+        return self.at[words + 1] - self.at[words]
+
+    def of(self, words: np.ndarray) -> np.ndarray:
+        """The lists at these places, one after another."""
+        start = self.at[words]
+        n = self.at[words + 1] - start
+        return self.flat[np.repeat(start - np.cumsum(n) + n, n) + np.arange(n.sum())]
+
+
 # --- word shingles ---------------------------------------------------------------
 
 #: Words are runs of anything but space and the ASCII controls tab to carriage return.

@@ -368,12 +368,13 @@ def test_packing(spark, docs, texts, none):
 
 @pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
 def test_packing_encoder(texts, monkeypatch, name):
-    """Any definition's ids, also where chunks can't be shared."""
+    """Any definition's ids, also where words can't be shared, in long texts and with a full table of words."""
     tokenizers = pytest.importorskip("tokenizers")
-    monkeypatch.setattr(packing, "CACHE", 50)
+    monkeypatch.setattr(packing, "ROOM", 2_000)
+    monkeypatch.setattr(packing, "CHARS", 700)
     definition, _ = packing.read_definition(queries.tokenizer_path(name))
     plain, own = tokenizers.Tokenizer.from_str(definition), packing.Encoder(definition)
-    assert own.by_chunk == (name == "word_bpe_49k.json")
+    assert own.by_word == (name == "word_bpe_49k.json")
     rng = random.Random(4)
     signs = [chr(c) for c in range(1, 0x250)] + list("  \n\n''<|>ab12") + ["\u2063", "\u0301", "\u65e5", "<|startoftext|>", "<|endoftext|>", "'s"]
     more = ["".join(rng.choices(signs, k=rng.randrange(60))) for _ in range(1500)]
