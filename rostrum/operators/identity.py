@@ -107,5 +107,5 @@ def components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 50) -> Data
         changed = after.join(labels.withColumnRenamed("component", "was"), "id").filter("component != was").limit(1).count()
         labels = after
         if not changed:
-            break
-    return labels
+            return labels
+    raise RuntimeError(f"components have not settled in {max_rounds} rounds")

@@ -33,11 +33,19 @@ def containing(points: DataFrame, spans: DataFrame, key: list[str], idx: str, st
     return points.join(s, [*on, F.col(idx).between(F.col(start), F.col(end))], how).drop(*[f"_{k}" for k in key])
 
 
-def overlapping_pairs(spans: DataFrame, key: list[str], id_: str, start: str, end: str) -> DataFrame:
-    """Pairs (id_a < id_b) of one key's spans that share an index."""
-    a = spans.select(*key, F.col(id_).alias("id_a"), F.col(start).alias("_s"), F.col(end).alias("_e"))
-    b = spans.select(*key, F.col(id_).alias("id_b"), F.col(start).alias("_s2"), F.col(end).alias("_e2"))
-    return a.join(b, key).filter("id_a < id_b and _s <= _e2 and _s2 <= _e").select(*key, "id_a", "id_b")
+def overlapping_pairs(spans: DataFrame, key: list[str], id_: str, start: str, end: str, width: int = 64) -> DataFrame:
+    """Pairs (id_a < id_b) of one key's spans that share an index.
+
+    Spans meet in blocks of ``width`` indexes, which should be about a span's length, so that a key's spans are not all
+    held against each other; a pair is made in the block of its later start only.
+    """
+    block = lambda c: F.floor(c / F.lit(width)).cast("long")
+    blocks = F.explode(F.sequence(block(F.col(start)), block(F.greatest(start, end)))).alias("_block")
+    dealt = spans.filter(F.col(start).isNotNull() & F.col(end).isNotNull()).select(*key, F.col(id_), F.col(start), F.col(end), blocks)
+    a = dealt.select(*key, "_block", F.col(id_).alias("id_a"), F.col(start).alias("_s"), F.col(end).alias("_e"))
+    b = dealt.select(*key, "_block", F.col(id_).alias("id_b"), F.col(start).alias("_s2"), F.col(end).alias("_e2"))
+    pairs = a.join(b, [*key, "_block"]).filter("id_a < id_b and _s <= _e2 and _s2 <= _e")
+    return pairs.filter(F.col("_block") == block(F.greatest("_s", "_s2"))).select(*key, "id_a", "id_b")
 
 
 def as_of(points: DataFrame, spans: DataFrame, key: list[str], idx: str, start: str, end: str, value: str) -> DataFrame:

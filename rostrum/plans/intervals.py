@@ -48,14 +48,13 @@ def containment(t):
 
 _WIDE = """
 wide AS (SELECT l_suppkey AS k, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey, l_quantity, l_extendedprice) AS id,
-  epoch(l_shipdate)::BIGINT // 86400 AS s, epoch(l_shipdate)::BIGINT // 86400 + l_quantity::BIGINT AS e FROM lineitem WHERE l_linenumber = 1 AND l_returnflag = 'R')"""
+  epoch(l_shipdate)::BIGINT // 86400 AS s, epoch(l_shipdate)::BIGINT // 86400 + l_quantity::BIGINT AS e FROM lineitem)"""
 
 
 def wide(t):
     day = F.floor(F.unix_timestamp(F.col("l_shipdate").cast("timestamp")) / 86400).cast("long")
     w = Window.partitionBy("l_suppkey").orderBy("l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_extendedprice")
-    rows = t("lineitem").filter("l_linenumber = 1 and l_returnflag = 'R'")
-    return rows.select(F.col("l_suppkey").alias("k"), F.row_number().over(w).alias("id"), day.alias("s"), (day + F.col("l_quantity").cast("long")).alias("e"))
+    return t("lineitem").select(F.col("l_suppkey").alias("k"), F.row_number().over(w).alias("id"), day.alias("s"), (day + F.col("l_quantity").cast("long")).alias("e"))
 
 
 @query("J3_overlap_pairs", f"""WITH {_WIDE}

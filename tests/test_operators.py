@@ -1,7 +1,9 @@
 """Operators on small hand-written frames: the scenarios that their rules exist for."""
 
 import difflib
+import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from rostrum.functions import text as T
@@ -28,6 +30,15 @@ def test_uncovered(spark):
     assert rows(intervals.uncovered(speech, none, ["k"], "s", "e", 2.0)) == [("v", 0.0, 10.0), ("v", 20.0, 30.0)]
 
 
+def test_overlapping_pairs_against_all_pairs(spark):
+    rng = random.Random(3)
+    spans = [(rng.choice("vw"), i, s := rng.randrange(-300, 300), s + rng.choice([-5, 0, 1, 40, 64, 500])) for i in range(150)]
+    spans += [("v", 900, None, 4), ("v", 901, 4, None), (None, 902, 0, 9), ("w", 903, 64, 64), ("w", 904, 64, 64)]
+    got = rows(intervals.overlapping_pairs(spark.createDataFrame(spans, "k string, id int, s int, e int"), ["k"], "id", "s", "e"))
+    whole = [x for x in spans if None not in x]
+    assert got == sorted((a[0], a[1], b[1]) for a in whole for b in whole if a[0] == b[0] and a[1] < b[1] and a[2] <= b[3] and b[2] <= a[3])
+
+
 def test_merged_uses_the_furthest_end(spark):
     spans = spark.createDataFrame([("v", 0, 100), ("v", 5, 10), ("v", 90, 95), ("v", 161, 170)], "k string, s int, e int")
     assert rows(intervals.merged(spans, ["k"], "s", "e", 60)) == [("v", 0, 100, 3), ("v", 161, 170, 1)]
@@ -49,6 +60,8 @@ def test_components(spark):
     nodes = spark.createDataFrame([(i,) for i in range(12)], "id long")
     edges = spark.createDataFrame([(i, i + 1) for i in range(6)] + [(9, 8)], "a long, b long")
     assert rows(identity.components(nodes, edges)) == [*((i, 0) for i in range(7)), (7, 7), (8, 8), (9, 8), (10, 10), (11, 11)]
+    with pytest.raises(RuntimeError):
+        identity.components(nodes, edges, max_rounds=1)
 
 
 def test_bm25_micro_corpus(spark):
