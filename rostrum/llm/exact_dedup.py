@@ -8,13 +8,13 @@ and never by a digest.  Strides grow fourfold, so the number of rounds is logari
 the longest text, and only texts that still share a whole prefix move again.
 
 A group's count and survivor come from a partially aggregated ``groupBy``: a group that
-holds a third of all rows reaches its reducer as one row per map task.  The counts go back in an equi-join, but for
+holds a third of all rows reaches its reducer as one row per map task.  The counts go back in a merge join, but for
 groups of so many rows that there can be few of them: these are broadcast, and their rows dealt evenly.
 Groups are named by numbers of their own, never by an id.
 
 Edge cases: a null text is an empty one, and all empty texts are one group; repeated rows
 and repeated ids are members like any others; an empty table gives an empty result; extra
-columns are ignored.  Letters other than A-Z keep their case.
+columns are ignored by ``exact_groups`` and kept by ``keep_one``.  Letters other than A-Z keep their case.
 """
 
 from __future__ import annotations
@@ -84,11 +84,11 @@ def exact_groups(docs: DataFrame, first_stride: int = FIRST_STRIDE, growth: int
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The documents without exact copies, with all columns of ``docs``.
+    """The documents without exact copies, with all columns of ``docs``, whatever their names.
 
     Of equal texts the row with the largest id stays, or one of those rows per repetition of that id; null ids
     are the least.  A row is told from others with its id by its text.
     """
-    gone = exact_groups(docs).filter("not kept").select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha"))
-    own = F.sha2(F.encode(shared.fold_ascii_col(F.coalesce(docs["text"], F.lit(""))), "UTF-8"), 256)
-    return docs.join(gone.distinct(), docs["doc_id"].eqNullSafe(F.col("__id")) & (own == F.col("__sha")), "left_anti")
+    gone = exact_groups(docs).filter("not kept").select("doc_id", "text_sha256").distinct()
+    own = F.sha2(F.encode(shared.fold_ascii_col(F.coalesce(F.col("text"), F.lit(""))), "UTF-8"), 256)
+    return shared.without(docs, gone, {"doc_id": F.col("doc_id"), "text_sha256": own})

@@ -19,6 +19,9 @@ each range also gets copies of the rows just before and after it, so that a host
 all pages is split like any other.  A page's lines move once, compressed, to the place of its key; from there
 their 64-bit hashes go to the page that it is partner of.  Collisions of hashes are left out of account.
 
+Malformed markup never raises: comments, declarations and elements without an end reach to the
+end of the page, and unknown declarations are comments.
+
 Edge cases: null html counts as empty and gives an empty text; a page without a partner (a
 host of one page) is judged by markup alone; rows that repeat id, url and html are one page, with
 a result for each row; pages with one text and different ids partner each other and keep their articles; urls that can't be parsed, or null, are one host; an empty table gives an empty
@@ -27,6 +30,7 @@ result; extra columns are ignored.
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 from html.parser import HTMLParser
@@ -62,7 +66,14 @@ def marks_never(name: str) -> bool:
 
 
 class _Lines(HTMLParser):
-    """Text lines of a page: (text, inside an article, never article text, in an article inside of such an element, all in links)."""
+    """Text lines of a page: (text, inside an article, never article text, in an article inside of such an element, all in links).
+
+    The page is fed whole, so that what has no end ends with the page.
+    """
+
+    # How comments end in HTML.
+    COMMENT_END = re.compile(r"--!?>")
+    COMMENT_EMPTY = re.compile(r"<!---?>")
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
@@ -70,6 +81,7 @@ class _Lines(HTMLParser):
         # name, article, never, hidden, never by a class, id or form, and an article inside of that
         self.open: list[tuple[str, bool, bool, bool, bool, bool]] = []
         self.held: list[str] = []
+        self.where: tuple[bool, bool, bool, bool, bool] | None = None  # what held of the place where the line's text began
         self.plain = False  # whether the line at hand has text outside of links
 
     def _now(self) -> tuple[bool, bool, bool, bool, bool]:
@@ -80,13 +92,40 @@ class _Lines(HTMLParser):
             text = " ".join("".join(self.held).split())
             linked, self.plain = not self.plain, False
             self.held.clear()
-            article, never, hidden, named, doubt = self._now()
-            if text and not hidden:
+            # hidden text is never held: an element that is open by now may be, as an unclosed script, and tells nothing of the line
+            (article, never, _, named, doubt), self.where = self.where or self._now(), None
+            if text:
                 self.out.append((text, article, never or named, doubt, linked))
 
+    def parse_comment(self, i: int, report: int = 1) -> int:
+        """The end of a comment; one without an end takes all that is left."""
+        end = self.COMMENT_END.search(self.rawdata, i + 4)
+        if self.COMMENT_EMPTY.match(self.rawdata, i):
+            end = self.COMMENT_EMPTY.match(self.rawdata, i)
+        return end.end() if end else len(self.rawdata)
+
+    def parse_bogus_comment(self, i: int, report: int = 1) -> int:
+        """A declaration, marked section or instruction is passed over up to the next sign for greater, or to the end."""
+        end = self.rawdata.find(">", i + 2)
+        return end + 1 if end >= 0 else len(self.rawdata)
+
+    parse_pi = parse_bogus_comment
+
+    def parse_starttag(self, i: int) -> int:
+        """The end of a tag; one that the page's end cuts short is no text."""
+        end = super().parse_starttag(i)
+        return end if end >= 0 else len(self.rawdata)
+
+    def parse_endtag(self, i: int) -> int:
+        end = super().parse_endtag(i)
+        return end if end >= 0 else len(self.rawdata)
+
+    def parse_html_declaration(self, i: int) -> int:
+        return self.parse_bogus_comment(i)
+
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         if tag in BLOCK:
-            self.flush()
+            self.end_line()
         elif tag == "br":
             self.held.append(" ")
         if tag in VOID:
@@ -109,10 +148,15 @@ class _Lines(HTMLParser):
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         if tag in BLOCK:
-            self.flush()
+            self.end_line()
         elif tag == "br":
             self.held.append(" ")
 
+    def end_line(self) -> None:
+        """Blocks end the line, but for those in hidden elements."""
+        if not self._now()[2]:
+            self.flush()
+
     def _close_p(self) -> None:
         """An open paragraph ends where another block begins; inline elements left open in it end too."""
         for i in range(len(self.open) - 1, -1, -1):
@@ -121,24 +165,27 @@ class _Lines(HTMLParser):
                 self.flush()
                 del self.open[i:]
                 return
-            if name in BLOCK:
+            if name in BLOCK or name in HIDDEN:
                 return
 
     def handle_endtag(self, tag: str) -> None:
         if tag in BLOCK:
-            self.flush()
+            self.end_line()
         for i in range(len(self.open) - 1, -1, -1):
             if self.open[i][0] == tag:
                 outer = self.open[i - 1] if i else (tag, *(False,) * 5)
-                self.flush() if tag in BLOCK or (self.open[i][2] or self.open[i][4]) != (outer[2] or outer[4]) else None
+                self.end_line() if tag in BLOCK or (self.open[i][2] or self.open[i][4]) != (outer[2] or outer[4]) else None
                 del self.open[i:]
                 return
             if self.open[i][0] in BLOCK and tag not in BLOCK:
                 return  # an inline element that isn't open in this block
 
     def handle_data(self, data: str) -> None:
-        if not self._now()[2]:
+        now = self._now()
+        if not now[2]:
             self.held.append(data)
+            if self.where is None and not data.isspace():
+                self.where = now
             self.plain = self.plain or not (data.isspace() or any(x[0] == "a" for x in self.open))
 
 

@@ -302,7 +302,6 @@ def near_groups(docs: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The documents without near copies, with all columns of ``docs``: of each group the rows with the least id stay."""
-    gone = near_groups(docs).filter("not kept").select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).distinct()
-    same = docs["doc_id"].cast("long").eqNullSafe(F.col("__id")) & (text_hash(docs["text"]) == F.col("__hash"))
-    return docs.join(gone, same, "left_anti")
+    """The documents without near copies, with all columns of ``docs``, whatever their names: of each group the rows with the least id stay."""
+    gone = near_groups(docs).filter("not kept").select("doc_id", "text_hash").distinct()
+    return shared.without(docs, gone, {"doc_id": F.col("doc_id").cast("long"), "text_hash": text_hash(F.col("text"))})

@@ -64,8 +64,9 @@ class Encoder:
     begun anew when it is full.
     """
 
-    # the letters, and of the other signs those that are neither a letter, a number nor white space, below U+0180
-    LETTERS = "a-z\u00aa\u00b5\u00ba\u00df-\u00f6\u00f8-\u017f"
+    # the letters, and of the other signs those that are neither a letter, a number nor white space, below U+0180;
+    # U+0130 isn't one, as its lower case is two code points
+    LETTERS = "a-z\u00aa\u00b5\u00ba\u00df-\u00f6\u00f8-\u012f\u0131-\u017f"
 
     def __init__(self, definition: str):
         from tokenizers import Tokenizer

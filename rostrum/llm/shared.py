@@ -15,6 +15,7 @@ import re
 import uuid
 import zlib
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -90,6 +91,17 @@ def join_counted(left: DataFrame, right: DataFrame, on: list[str], rows: int, le
     return dealt.select(*left.columns, *[found[c].alias(c) for c in values])
 
 
+def without(docs: DataFrame, gone: DataFrame, keys: dict[str, Column]) -> DataFrame:
+    """The rows of ``docs`` whose ``keys``, by ``gone``'s names, aren't in ``gone``; nulls are equal.
+
+    The row travels in a struct, so that no column of ``docs`` can clash with a key.
+    """
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.struct(*[k.alias(name) for name, k in keys.items()]).alias("of"))
+    named = gone.select(F.struct(*keys).alias("gone"))
+    left = reduce(lambda a, b: a & b, [F.col(f"of.{k}").eqNullSafe(F.col(f"gone.{k}")) for k in keys])
+    return rows.join(named, left, "left_anti").select(*[F.col("row")[c].alias(c) for c in docs.columns])
+
+
 def partitions(spark: SparkSession) -> int:
     """The session's shuffle width: the unit in which work is split."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

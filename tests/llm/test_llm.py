@@ -71,6 +71,20 @@ def test_exact_groups(docs, texts, none):
     assert exact_dedup.keep_one(docs).count() == len(groups)
 
 
+CLASHING = "doc_id long, text string, __id long, __sha string, __hash long, `a.b` int, row string, `of` int, gone int, text_sha256 string, text_hash long"
+
+
+@pytest.mark.parametrize("keep_one", [exact_dedup.keep_one, minhash.keep_one])
+def test_keep_one_with_clashing_names(spark, keep_one):
+    body = "one two three four five six seven"
+    rows = [(i, t, 7, "s", 8, 9, "r", 10, 11, "x", 12) for i, t in [(1, body), (2, body), (None, body), (4, "other"), (5, None)]]
+    df = spark.createDataFrame(rows, CLASHING)
+    got = keep_one(df)
+    assert got.columns == df.columns
+    kept = 2 if keep_one is exact_dedup.keep_one else 1
+    assert sorted((r for r in got.collect()), key=lambda r: r.doc_id) == sorted((r for r in df.collect() if r.doc_id in (kept, 4, 5)), key=lambda r: r.doc_id)
+
+
 def test_exact_groups_without_ids(spark):
     rows = [(None, "x" * 200), (None, "x" * 200), (3, "x" * 200), (None, "y" * 200), (None, "y" * 200), (3, "x" * 200)]
     got = exact_dedup.exact_groups(spark.createDataFrame(rows, "doc_id long, text string"), first_stride=16).collect()
@@ -366,6 +380,17 @@ def test_packing(spark, docs, texts, none):
     assert packing.pack(none, definition, vocabulary).count() == 0
 
 
+def test_packing_letters():
+    """Every code point below U+0180 alone, at a word's start, inside and at its end, as the tokenizers library has it."""
+    tokenizers = pytest.importorskip("tokenizers")
+    definition, _ = packing.read_definition(queries.tokenizer_path("word_bpe_49k.json"))
+    plain, own = tokenizers.Tokenizer.from_str(definition), packing.Encoder(definition)
+    texts = [x for c in map(chr, range(0x180)) for x in (c, f"{c}stan is big", f"na{c}ve 12 it's", f"end{c} of", f"A{c} {c}B {c}{c}")]
+    texts += ["\u0130stanbul is big", "na\u00efve \u00dcn\u00ef \u0130zmir 12"]
+    for text, ids in zip(texts, own(texts), strict=True):
+        assert ids.tolist() == plain.encode(text, add_special_tokens=False).ids, repr(text)
+
+
 @pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
 def test_packing_encoder(texts, monkeypatch, name):
     """Any definition's ids, also where words can't be shared, in long texts and with a full table of words."""
@@ -400,6 +425,42 @@ PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{{}}</style><script
 <footer>&copy; {0}</footer></body>"""
 
 
+@pytest.mark.parametrize(
+    "html, text",
+    [
+        ("<article><p>a</p><![foo[ x ]]></article>", "a"),
+        ("<article><p>a</p><![ ></article><p>b", "a"),
+        ("<article><p>a</p><![CDATA[ x ]]><p>b</p></article>", "a\nb"),
+        ("<article><p>a<script>var x", "a"),
+        ("<article><p>a<style>p {", "a"),
+        ("<article><p>a<button><div>x</div></button> b</p>", "a b"),
+        ("<article><p>a</p><!-- x <p>b</p>", "a"),
+        ("<article><p>a</p><!--><p>b</p><!-- c --!><p>d</p></article>", "a\nb\nd"),
+        ("<article><p>a</p><a href='x", "a"),
+        ("<article><p>a</p></artic", "a"),
+        ("<article><p>a</p><?php echo 1", "a"),
+        ("<!DOCTYPE", ""),
+        ("<article><p>1 < 2 &amp; 3 &l</p></article>", "1 < 2 & 3 &l"),
+    ],
+)
+def test_html_malformed(html, text):
+    assert html_text.main_text(html_text.lines_of(html), None) == text
+
+
+def test_html_raises_on_no_input():
+    rng = random.Random(8)
+    whole = PAGE.format(1)
+    odd = ["<", ">", "<![", "<!", "<!--", "-->", "]]>", "</", "<?", "&#", "&", "'", '"', "=", "/>", "<script", "</script", "<article>", "\0", "\ud800", "<a b=", "<![if IE]>", "<!DOCTYPE", "<p/", "\r"]
+    for _ in range(10_000):
+        page = list(whole[rng.randrange(200) :])
+        for _ in range(rng.randrange(1, 8)):
+            at = rng.randrange(len(page))
+            kind = rng.randrange(3)
+            page[at : at + (kind and rng.randrange(1, 30))] = [] if kind == 1 else [rng.choice(odd)]
+        lines = html_text.lines_of("".join(page))
+        assert all(text == " ".join(text.split()) and text for text, *_ in lines)
+
+
 def test_html(spark):
     plain = "<html><body><div>Site name</div><div>Story {0}</div><div>About us</div></body></html>"
     rows = [
