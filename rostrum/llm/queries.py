@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rostrum.llm import bpe, exact_dedup, html_text, license, minhash, packing, quality, secrets, shared, simhash, toxicity
+from rostrum.llm import bpe, exact_dedup, html_text, license, merkle, minhash, packing, quality, resample, rules, secrets, shared, simhash, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -108,6 +108,25 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    fields = {f: docs[f] for f in merkle.FIELDS}
+    bare = merkle.leaf(fields | {"text": F.replace(docs["text"], F.lit("\n"), F.lit(""))})
+    tampered = F.when(F.crc32(docs["doc_id"].cast("string").cast("binary")) % 2 == 0, bare)
+    found = merkle.proofs(merkle.build(docs, claimed=tampered), whole=False)
+    return found.select("doc_id", "leaf", "subroot", "root", F.col("proof").alias("proof_sha256"), "folded_root", "verified")
+
+
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample.draw(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op13_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    forest = rules.fit(docs, _table(spark, sf_dir, "labels"))
+    return rules.judge(rules.measure(docs), forest)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op2_html_extraction": op2_html_extraction,
@@ -119,6 +138,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_minhash_dedup": op8_minhash_dedup,
     "op9_quality": op9_quality,
     "op10_secret_scan": op10_secret_scan,
+    "op11_merkle_manifest": op11_merkle_manifest,
+    "op12_importance_resampling": op12_importance_resampling,
+    "op13_quality_rules": op13_quality_rules,
 }
 
 
@@ -148,6 +170,71 @@ def _secret_sql() -> str:
     """
 
 
+#: CRC-32 in DuckDB: the table of its 256 remainders by rule, and the sum over the bytes of a string.
+_CRC_TABLE = """
+    crc AS (SELECT list_transform(range(256), lambda x: list_reduce(range(8),
+        lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, x)) AS tab)"""
+
+
+def _crc(of: str) -> str:
+    """The unsigned CRC-32 of a string column, where the one row of crc is joined."""
+    code = f"hex(encode({of}))"
+    octets = f"list_transform(range(length({code}) // 2), lambda i: ('0x' || substr({code}, 2 * i + 1, 2))::BIGINT)"
+    return f"xor(4294967295, list_reduce({octets}, lambda c, b: xor(c >> 8, tab[(xor(c, b) & 255) + 1]), 4294967295))"
+
+
+def _merkle_sql() -> str:
+    field = lambda c: f"coalesce(octet_length(encode({c}::VARCHAR)) || ':' || {c}::VARCHAR, '-')"
+    leaf = lambda text: "sha256(" + " || ".join(map(field, ("doc_id", "source", "lang", "n_chars", text))) + ")"
+    climb = lambda at: f"""
+        UNION ALL SELECT t, lvl + 1, i // 3, (n + 2) // 3, sha256(string_agg(h, '' ORDER BY i)) FROM {at} WHERE n > 1 GROUP BY t, lvl, i // 3, n"""
+    runs = lambda of: f"(SELECT t, lvl, i // 3 AS j, string_agg(h, '' ORDER BY i) AS s FROM {of} WHERE n > 1 GROUP BY t, lvl, i // 3)"
+    return f"""
+        WITH RECURSIVE {_CRC_TABLE},
+        leaves AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id, leaf) - 1 AS i, count(*) OVER (PARTITION BY source) AS n, dense_rank() OVER (ORDER BY source NULLS FIRST) - 1 AS t
+          FROM (SELECT doc_id, source, {leaf('text')} AS leaf, {leaf("replace(text, chr(10), '')")} AS bare, {_crc('doc_id::VARCHAR')} % 2 = 0 AS tampered FROM documents, crc)),
+        up(t, lvl, i, n, h) AS (SELECT t, 0, i, n, leaf FROM leaves{climb('up')}),
+        subroots AS (SELECT t, h FROM up WHERE n = 1),
+        top(t, lvl, i, n, h) AS (SELECT 0, 0, t, (SELECT count(*) FROM subroots), h FROM subroots{climb('top')}),
+        runs AS (SELECT t, lvl, j, s FROM {runs('up')}),
+        outers AS (SELECT lvl, j, s FROM {runs('top')}),
+        fold(doc_id, leaf, t, lvl, i, f, proof) AS (
+          SELECT doc_id, leaf, t, 0, i, CASE WHEN tampered THEN bare ELSE leaf END, '' FROM leaves
+          UNION ALL
+          SELECT doc_id, leaf, fold.t, fold.lvl + 1, i // 3, sha256(substr(s, 1, (i % 3) * 64) || f || substr(s, (i % 3) * 64 + 65)), proof || substr(s, 1, (i % 3) * 64) || substr(s, (i % 3) * 64 + 65)
+          FROM fold JOIN runs ON runs.t = fold.t AND runs.lvl = fold.lvl AND runs.j = fold.i // 3),
+        below AS (SELECT doc_id, leaf, t, arg_max(f, lvl) AS f, arg_max(proof, lvl) AS proof FROM fold GROUP BY doc_id, leaf, t),
+        above(doc_id, leaf, t, lvl, i, f, proof) AS (
+          SELECT doc_id, leaf, t, 0, t, f, proof FROM below
+          UNION ALL
+          SELECT doc_id, leaf, t, above.lvl + 1, i // 3, sha256(substr(s, 1, (i % 3) * 64) || f || substr(s, (i % 3) * 64 + 65)), proof || substr(s, 1, (i % 3) * 64) || substr(s, (i % 3) * 64 + 65)
+          FROM above JOIN outers ON outers.lvl = above.lvl AND outers.j = above.i // 3),
+        ends AS (SELECT doc_id, leaf, t, arg_max(f, lvl) AS f, arg_max(proof, lvl) AS proof FROM above GROUP BY doc_id, leaf, t)
+        SELECT doc_id, leaf, subroots.h AS subroot, root.h AS root, sha256(proof) AS proof_sha256, f AS folded_root, f = root.h AS verified
+        FROM ends JOIN subroots USING (t), (SELECT h FROM top WHERE n = 1) AS root
+    """
+
+
+def _resample_sql() -> str:
+    words = rf"regexp_extract_all({_FOLD}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+    return f"""
+        WITH {_CRC_TABLE},
+        d AS (SELECT doc_id, {words} AS w FROM documents), b AS (SELECT {words} AS w FROM benchmark),
+        buckets AS (SELECT word, {_crc('word')} % {resample.BUCKETS} AS bucket FROM (SELECT DISTINCT unnest(w) AS word FROM (SELECT w FROM d UNION ALL SELECT w FROM b)), crc),
+        own AS (SELECT doc_id, bucket, count(*) AS n FROM (SELECT doc_id, unnest(w) AS word FROM d) JOIN buckets USING (word) GROUP BY 1, 2),
+        s AS (SELECT bucket, sum(n) AS s FROM own GROUP BY 1),
+        t AS (SELECT bucket, count(*) AS t FROM (SELECT unnest(w) AS word FROM b) JOIN buckets USING (word) GROUP BY 1),
+        totals AS (SELECT (SELECT coalesce(sum(s), 0) FROM s) AS a, (SELECT coalesce(sum(t), 0) FROM t) AS z),
+        gains AS (SELECT bucket, floor(1000.0::DOUBLE * ln((coalesce(t, 0) + 1)::DOUBLE * (a + {resample.BUCKETS})::DOUBLE / ((s + 1)::DOUBLE * (z + {resample.BUCKETS})::DOUBLE)))::BIGINT AS gain FROM s LEFT JOIN t USING (bucket), totals),
+        sums AS (SELECT doc_id, sum(n * gain)::BIGINT AS total FROM own JOIN gains USING (bucket) GROUP BY 1),
+        weights AS (SELECT doc_id, len(w) AS n, CASE WHEN len(w) = 0 THEN 0 ELSE (total - ((total % len(w)) + len(w)) % len(w)) // len(w) END AS weight FROM d LEFT JOIN sums USING (doc_id)),
+        scores AS (SELECT *, weight + floor(-1000.0::DOUBLE * ln(-ln((('0x' || sha256('{resample.SEED}:' || doc_id)[1:8])::BIGINT::DOUBLE + 0.5) / 4294967296.0::DOUBLE)))::BIGINT AS score FROM weights),
+        ranks AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS rank, count(*) OVER () AS able FROM scores WHERE n >= {resample.LEAST_WORDS})
+        SELECT doc_id, n::BIGINT AS n_features, weight::BIGINT AS weight, score::BIGINT AS score, CASE WHEN rank <= {resample.PERCENT} * able // 100 THEN rank END AS rank
+        FROM scores LEFT JOIN ranks USING (doc_id)
+    """
+
+
 _FOLD = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 ORACLE_SQL: dict[str, str] = {
@@ -157,4 +244,6 @@ ORACLE_SQL: dict[str, str] = {
         FROM (SELECT doc_id, {_FOLD} AS t FROM documents) WINDOW w AS (PARTITION BY t)
     """,
     "op10_secret_scan": _secret_sql(),
+    "op11_merkle_manifest": _merkle_sql(),
+    "op12_importance_resampling": _resample_sql(),
 }

@@ -19,7 +19,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Used only where the cluster names no checkpoint folder, as in tests.
@@ -102,6 +102,24 @@ def without(docs: DataFrame, gone: DataFrame, keys: dict[str, Column]) -> DataFr
     return rows.join(named, left, "left_anti").select(*[F.col("row")[c].alias(c) for c in docs.columns])
 
 
+def numbered(rows: DataFrame, group: list[str], order: list[str], name: str) -> tuple[DataFrame, str]:
+    """``rows`` with pos (from 0, in the order within its group) and size (of the group), and the path of the staged table.
+
+    Rows are sorted in ranges of (group, order); counts of each group in each range, added up, give the places, so that a
+    group of any size is split.  Ties are in the order of arrival.
+    """
+    by = [*group, *order, "__tie"]
+    tied = rows.withColumn("__tie", F.monotonically_increasing_id())  # splits even equal rows
+    ranged = tied.repartitionByRange(partitions(rows.sparkSession), *by).sortWithinPartitions(*by).drop("__tie")
+    ranged, path = stage(ranged.select("*", F.spark_partition_id().alias("__range"), F.monotonically_increasing_id().alias("__seq")), name)
+    counts = ranged.groupBy("__range", *group).agg(F.count(F.lit(1)).alias("__n"), F.min("__seq").alias("__first"))
+    w = Window.partitionBy(*group) if group else Window.partitionBy(F.lit(0))  # a row for each range and group in it
+    before = F.coalesce(F.sum("__n").over(w.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    counts = counts.select("__range", *group, "__first", before.alias("__before"), F.sum("__n").over(w).alias("size"))
+    found = ranged.join(counts, ["__range", *group])
+    return found.select(*rows.columns, (F.col("__seq") - F.col("__first") + F.col("__before")).alias("pos"), "size"), path
+
+
 def partitions(spark: SparkSession) -> int:
     """The session's shuffle width: the unit in which work is split."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
