@@ -125,6 +125,56 @@ def hybrid(lexical: DataFrame, semantic: DataFrame, thread: DataFrame, attribute
     return rows.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= limit).drop("_slot", "lexical", "first")
 
 
+def positions(docs: DataFrame, id_: str, text: str) -> DataFrame:
+    """id, term, pos: positional postings."""
+    return docs.select(F.col(id_).alias("id"), F.posexplode(T.tokens(F.col(text))).alias("pos", "term"))
+
+
+def cover_density(places: DataFrame, q: DataFrame, weight: float = 0.1) -> DataFrame:
+    """qid, id, covers, score of the documents that hold all terms of a query (qid, term), by positional postings.
+
+    A cover is a window that holds all terms and no smaller such window.  Each adds ``weight``, divided by one
+    more than the words in it that no term matches.  A sweep over a document's occurrences keeps the last place of each
+    term: a window ends where an occurrence is the first of its term since the window's start.
+    """
+    numbered = q.select("qid", "term").distinct().withColumn("t", F.row_number().over(Window.partitionBy("qid").orderBy("term")) - 1)
+    numbered = numbered.withColumn("k", F.count("*").over(Window.partitionBy("qid")))
+    hits = places.join(numbered, "term").groupBy("qid", "id", "k").agg(F.collect_list(F.struct("pos", "t")).alias("all"), F.countDistinct("t").alias("held"))
+    hits = hits.filter("held = k").select("qid", "id", "k", F.array_sort("all").alias("all"))  # a document's occurrences of the query's terms
+
+    def step(state: Column, x: Column) -> Column:
+        was = F.get(state["at"], x["t"])
+        put = lambda a, value: F.transform(a, lambda old, j: F.when(j == x["t"], value).otherwise(old))
+        at, no = put(state["at"], x["pos"]), put(state["no"], state["i"])
+        low, first = F.array_min(at), F.array_min(no)
+        ends = (low >= 0) & (was < low)
+        noise = (x["pos"] - low) - (state["i"] - first)
+        return F.struct(
+            at.alias("at"),
+            no.alias("no"),
+            (state["i"] + 1).alias("i"),
+            (state["n"] + F.when(ends, 1).otherwise(0)).alias("n"),
+            (state["s"] + F.when(ends, F.lit(weight) / (1 + noise)).otherwise(0.0)).alias("s"),
+        )
+
+    none = F.array_repeat(F.lit(-1), F.col("k").cast("int"))
+    start = F.struct(none.alias("at"), none.alias("no"), F.lit(0).alias("i"), F.lit(0).alias("n"), F.lit(0.0).alias("s"))
+    swept = hits.select("qid", "id", F.aggregate("all", start, step).alias("c"))
+    return swept.select("qid", "id", F.col("c.n").cast("long").alias("covers"), F.col("c.s").alias("score"))
+
+
+def thread_hits(keys: DataFrame, asked: DataFrame, most: int = 200) -> DataFrame:
+    """qid, id, rank: rows that share a key (kind, key) with a query, in the order in which the query's keys first bring them.
+
+    ``keys`` (id, kind, key), ``asked`` (qid, kind, key).  Of each key the first ``most`` ids count, so that a common key is short
+    before it meets the queries; a query's keys are taken by kind and key.
+    """
+    first = Window.partitionBy("kind", "key").orderBy("id")
+    short = keys.select("id", "kind", "key").distinct().withColumn("_n", F.row_number().over(first)).filter(F.col("_n") <= most).drop("_n")
+    met = short.join(asked.select("qid", "kind", "key").distinct(), ["kind", "key"]).groupBy("qid", "id").agg(F.min(F.struct("kind", "key")).alias("first"))
+    return met.select("qid", "id", F.row_number().over(Window.partitionBy("qid").orderBy("first", "id")).alias("rank"))
+
+
 def loosened(terms: DataFrame, q: DataFrame, n_docs: DataFrame, share: float = 0.2, most: int = 8) -> DataFrame:
     """OR search with a floor on discriminating terms: qid, id, matched, floor.
 

@@ -36,27 +36,6 @@ def bulk(t):
     return j.select("l_orderkey", "l_linenumber", "l_partkey", out.alias("outcome"))
 
 
-@query("T4_cover_density", r"""
-SELECT doc_id, min(length(m)) AS tightest FROM (SELECT doc_id, unnest(regexp_extract_all(text, 'the[^.]{0,40}of')) AS m FROM documents) GROUP BY 1""")
-def cover_density(t):
-    hits = F.regexp_extract_all("text", F.lit("(the[^.]{0,40}of)"), F.lit(1))
-    return t("documents").select("doc_id", F.explode(hits).alias("m")).groupBy("doc_id").agg(F.min(F.length("m").cast("long")).alias("tightest"))
-
-
-@query("T8_thread_retrieval", """
-SELECT b.item_id AS qid, d.doc_id AS id FROM benchmark b JOIN documents d ON split_part(b.text, ' ', 1) = split_part(d.text, ' ', 1)""")
-def threads(t):
-    first = F.substring_index("text", " ", 1).alias("k")
-    return t("documents").select(F.col("doc_id").alias("id"), first).join(F.broadcast(t("benchmark").select(F.col("item_id").alias("qid"), first)), "k").select("qid", "id")
-
-
-@query("T29_vocabulary_tree", r"SELECT p_partkey FROM part WHERE regexp_matches(p_name, '(?i)\b(ring|bolt)\b')")
-def vocabulary_tree(t):
-    """A theme's effective pattern is the union of its descendants' phrases."""
-    union = r"(?i)\b(" + "|".join(["ring", "bolt"]) + r")\b"
-    return t("part").filter(F.col("p_name").rlike(union)).select("p_partkey")
-
-
 @query("T32_sentence_case", "SELECT p_partkey, upper(substr(p_name, 1, 1)) || lower(substr(p_name, 2)) AS title FROM part")
 def sentence_case(t):
     return t("part").select("p_partkey", F.concat(F.upper(F.substring("p_name", 1, 1)), F.lower(F.substring("p_name", 2, 10_000))).alias("title"))
@@ -267,13 +246,6 @@ def evidence_pack(t):
     return j.groupBy("conv_id", "role").agg(F.count("*").alias("lines"), F.max(F.when(F.col("quality") == 1, 1).otherwise(0)).alias("labelled"))
 
 
-@query("Z39_empty_searches", "SELECT item_id, count(doc_id) AS hits FROM benchmark b LEFT JOIN documents d ON contains(d.text, b.text) GROUP BY 1 HAVING count(doc_id) = 0")
-def empty_searches(t):
-    q = t("benchmark").select("item_id", F.col("text").alias("q"))
-    hit = t("documents").select("text").join(F.broadcast(q), F.contains("text", "q")).select("item_id").distinct()
-    return q.select("item_id").join(hit, "item_id", "left_anti").withColumn("hits", F.lit(0))
-
-
 @query("Z44_ordinary_words", "SELECT DISTINCT split_part(p_name, ' ', 2) AS word FROM part WHERE rtrim(split_part(p_name, ' ', 2), 's') IN ('ring', 'bolt', 'widget')")
 def ordinary(t):
     word = F.get(F.split("p_name", " "), F.lit(1))

@@ -6,7 +6,9 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from rostrum.functions import text as T
+from rostrum.operators import parsers
 from rostrum.operators import search as S
+from rostrum.operators import vectors as V
 from rostrum.plans.registry import query
 
 _TOK = r"regexp_extract_all(lower({}), '[\p{{L}}\p{{N}}]+')"
@@ -63,16 +65,71 @@ qv AS (SELECT vec_id AS qid, embedding AS q FROM embeddings WHERE vec_id % 20 =
 dn AS (SELECT qid, vec_id AS id, list_inner_product(q::DOUBLE[], embedding::DOUBLE[]) AS score FROM embeddings, qv)"""
 
 
-def _dense(t):
+def _vectors(t):
     v = t("embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
-    q = t("embeddings").filter("vec_id % 20 = 0").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("q"))
-    return S.dense(v, q)
+    return v, v.filter("id % 20 = 0").select(F.col("id").alias("qid"), F.col("v").alias("q"))
 
 
 @query("K2_vector_top", f"""WITH {_DENSE}
 SELECT qid, id, round(score, 6) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 6) DESC, id) AS rank FROM dn) WHERE rank <= 10""")
 def vector_top(t):
-    return S.ranked(_dense(t).withColumn("score", F.round("score", 6)), 10)
+    return V.exact(*_vectors(t), 10)
+
+
+@query("K2_vector_index")
+def vector_index(t):
+    """The same search by an index of cells; its recall against the exact one is tested."""
+    v, q = _vectors(t)
+    index = V.build(v)
+    return V.search(index, q, 40, V.probes_for(index, q, 40))
+
+
+@query("T4_cover_density", rf"""
+WITH q AS (SELECT qid, term FROM (SELECT item_id AS qid, unnest(list_distinct({_TOK.format('text')}[1:3])) AS term FROM benchmark)), k AS (SELECT qid, count(*) AS k FROM q GROUP BY 1),
+w AS (SELECT doc_id AS id, {_TOK.format('text')} AS w FROM documents), p AS (SELECT id, unnest(w) AS term, unnest(range(len(w))) AS pos FROM w),
+o AS (SELECT qid, id, term, pos FROM p JOIN q USING (term)),
+b AS (SELECT e.qid, e.id, e.term, e.pos, x.term AS other, max(x.pos) AS last, max(x.pos) FILTER (x.pos < e.pos) AS before FROM o e JOIN o x ON x.qid = e.qid AND x.id = e.id AND x.pos <= e.pos GROUP BY 1, 2, 3, 4, 5),
+c AS (SELECT qid, id, pos, min(last) AS lo, max(before) FILTER (other = term) AS was FROM b JOIN k USING (qid) GROUP BY qid, id, term, pos HAVING count(*) = max(k)),
+v AS (SELECT c.qid, c.id, c.pos, c.lo, count(*) AS n FROM c JOIN o ON o.qid = c.qid AND o.id = c.id AND o.pos BETWEEN c.lo AND c.pos WHERE was IS NULL OR was < lo GROUP BY 1, 2, 3, 4),
+s AS (SELECT qid, id, count(*) AS covers, round(sum(0.1::DOUBLE / (1 + (pos - lo) - (n - 1))), 6) AS score FROM v GROUP BY 1, 2)
+SELECT qid, id, covers, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rank FROM s QUALIFY rank <= 20""")
+def cover_density(t):
+    """Of the documents that hold the first three words of an item, those where the words stand densest."""
+    asked = t("benchmark").select(F.col("item_id").alias("qid"), F.explode(F.array_distinct(F.slice(T.tokens(F.col("text")), 1, 3))).alias("term"))
+    places = S.positions(t("documents"), "doc_id", "text")
+    return S.ranked(S.cover_density(places, asked).withColumn("score", F.round("score", 6)), 20)
+
+
+# Addresses are keys of one thread wherever they occur; topics are curated patterns.
+_KEYS = {"mail": r"[A-Za-z0-9._]+@[A-Za-z0-9.]+\.[a-z]+", "phone": r"\+1 \(\d{3}\) \d{3}-\d{4}"}
+TOPICS = {"licences": r"(?i)apache license|general public license|mit license|creative commons", "that-and": r"(?i)\bthat and\b", "with-the": r"(?i)\bwith.{0,12}\bthe for\b", "for-as": r"(?i)\bfor as\b"}
+_TOPIC_SQL = "(VALUES " + ", ".join(f"('{k}', '{v}')" for k, v in TOPICS.items()) + ") AS topics(key, rx)"
+
+
+def _thread_keys(rows, id_):
+    """id, kind, key of the texts: addresses, and the topics that they touch."""
+    keys = parsers.thread_keys(rows, id_, "text", _KEYS).select(F.col(id_).alias("id"), "kind", "key")
+    topics = F.array_compact(F.array(*[F.when(F.col("text").rlike(v), F.lit(k)) for k, v in TOPICS.items()]))
+    return keys.unionByName(rows.select(F.col(id_).alias("id"), F.lit("topic").alias("kind"), F.explode(topics).alias("key")))
+
+
+def _keys_sql(table, id_):
+    each = [f"SELECT {id_} AS id, '{kind}' AS kind, unnest(list_distinct(regexp_extract_all(text, '{rx}'))) AS key FROM {table}" for kind, rx in _KEYS.items()]
+    return " UNION ALL ".join([*each, f"SELECT {id_}, 'topic', key FROM {table} JOIN {_TOPIC_SQL} ON regexp_matches(text, rx)"])
+
+
+def _threads_sql(asked):
+    return f"""tk AS ({_keys_sql('documents', 'doc_id')}), short AS (SELECT * FROM tk QUALIFY row_number() OVER (PARTITION BY kind, key ORDER BY id) <= 200), asked AS ({asked}),
+met AS (SELECT asked.id AS qid, short.id, min(kind || ':' || key) AS f FROM short JOIN asked USING (kind, key) GROUP BY 1, 2),
+thr AS (SELECT qid, id, row_number() OVER (PARTITION BY qid ORDER BY f, id) AS rank FROM met)"""
+
+
+@query("T8_thread_retrieval", f"""WITH {_threads_sql("SELECT * FROM tk WHERE id % 20 = 0")}
+SELECT qid, id, rank FROM thr""")
+def threads(t):
+    """Documents that share an address or a topic with every twentieth one."""
+    keys = _thread_keys(t("documents"), "doc_id")
+    return S.thread_hits(keys, keys.filter("id % 20 = 0").withColumnRenamed("id", "qid"))
 
 
 _LISTS = f"""{_POST},
@@ -80,20 +137,17 @@ qv AS (SELECT item_id AS qid, embedding AS q FROM benchmark JOIN embeddings ON v
 dn AS (SELECT qid, vec_id AS id, round(list_inner_product(q::DOUBLE[], embedding::DOUBLE[]), 6) AS score FROM embeddings, qv),
 lex AS (SELECT qid, id, row_number() OVER (PARTITION BY qid ORDER BY round(score, 6) DESC, id) AS rank FROM bm QUALIFY rank <= 300),
 sem AS (SELECT qid, id, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rank FROM dn QUALIFY rank <= 300),
-thr AS (SELECT item_id AS qid, doc_id AS id, row_number() OVER (PARTITION BY item_id ORDER BY doc_id) AS rank FROM benchmark JOIN documents ON item_id % 20 = doc_id % 20 QUALIFY rank <= 200),
+{_threads_sql(_keys_sql('benchmark', 'item_id'))},
 fu AS (SELECT qid, id, sum(1.0 / (60 + rank)) AS score, min((l, rank)) AS f FROM (
   SELECT qid, id, 0 AS l, rank FROM lex UNION ALL SELECT qid, id, 1, rank FROM sem UNION ALL SELECT qid, id, 2, rank FROM thr) GROUP BY 1, 2)"""
 
 
 def _lists(t):
     lex = S.ranked(S.bm25(_index(t), _queries(t)).withColumn("score", F.round("score", 6)), 300)
-    v = t("embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
+    v, _ = _vectors(t)
     q = t("benchmark").join(t("embeddings"), F.col("vec_id") == F.col("item_id")).select(F.col("item_id").alias("qid"), F.col("embedding").alias("q"))
-    sem = S.ranked(S.dense(v, q).withColumn("score", F.round("score", 6)), 300)
-    keys = t("benchmark").select(F.col("item_id").alias("qid"), (F.col("item_id") % 20).alias("k"))
-    thr = t("documents").select(F.col("doc_id").alias("id"), (F.col("doc_id") % 20).alias("k")).join(keys, "k")
-    w = Window.partitionBy("qid").orderBy("id")
-    return lex, sem, thr.withColumn("rank", F.row_number().over(w)).filter("rank <= 200").select("qid", "id", "rank")
+    asked = _thread_keys(t("benchmark"), "item_id").withColumnRenamed("id", "qid")
+    return lex, V.exact(v, q, 300), S.thread_hits(_thread_keys(t("documents"), "doc_id"), asked)
 
 
 @query("T6_reciprocal_rank_fusion", f"""WITH {_LISTS}
@@ -154,7 +208,7 @@ def retrieval_metrics(t):
     rank = S.ranked(S.bm25(_index(t), _queries(t)).withColumn("score", F.round("score", 6)), 100)
     d = t("documents").select(F.col("doc_id").alias("id"), F.lower("text").alias("dt"))
     b = t("benchmark").select(F.col("item_id").alias("qid"), F.lower(F.substring_index("text", " ", 8)).alias("bt"))
-    hit = rank.join(d, "id").join(F.broadcast(b), "qid").withColumn("hit", F.contains("dt", "bt"))
+    hit = rank.join(d, "id").join(b, "qid").withColumn("hit", F.contains("dt", "bt"))
     each = hit.groupBy("qid").agg(
         (F.count_if(F.col("hit") & (F.col("rank") <= 10)) / 10.0).alias("p"), F.coalesce(1.0 / F.min(F.when(F.col("hit"), F.col("rank"))), F.lit(0.0)).alias("m")
     )

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from rostrum.functions import text as T
-from rostrum.operators import parsers, redaction
+from rostrum.operators import parsers, phrases, redaction
 from rostrum.plans.registry import query
 
 
@@ -64,39 +64,96 @@ def section_phase(t):
     return parsers.mapped(t("part").select("p_partkey", "p_type"), "p_type", "phase", {"ECONOMY": "consent", "SMALL": "regular", "PROMO": "public_hearing"}, "other").select("p_partkey", "phase")
 
 
-@query("T28_phrase_to_pattern", r"""
-SELECT item_id, count(*) AS n FROM benchmark JOIN documents ON contains(text, array_to_string(string_split(benchmark.text, ' ')[1:2], ' ')) GROUP BY 1""".replace("contains(text,", "contains(documents.text,"))
+#: Phrases and texts as words in order, each with a space on both sides, in SQL.
+_WORDS = r"(' ' || array_to_string(regexp_extract_all(lower({}), '[\p{{L}}\p{{N}}]+'), ' ') || ' ')"
+_HEAD = r"(' ' || array_to_string(regexp_extract_all(lower({}), '[\p{{L}}\p{{N}}]+')[1:{}], ' ') || ' ')"
+
+
+def _phrases(t, n):
+    """The first words of the benchmark's items as phrases."""
+    return t("benchmark").select(F.col("item_id").alias("pid"), F.array_join(F.slice(T.tokens(F.col("text")), 1, n), " ").alias("phrase"))
+
+
+def _texts(t):
+    return t("documents").select(F.col("doc_id").alias("id"), "text")
+
+
+@query("T28_phrase_to_pattern", f"""
+SELECT item_id, count(*) AS n FROM benchmark b JOIN documents d ON contains({_WORDS.format('d.text')}, {_HEAD.format('b.text', 2)}) GROUP BY 1""")
 def phrase_hits(t):
-    heads = t("benchmark").select("item_id", F.substring_index("text", " ", 2).alias("h"))
-    return t("documents").select("text").join(F.broadcast(heads), F.contains("text", "h")).groupBy("item_id").agg(F.count("*").alias("n"))
+    return phrases.matches(_texts(t), _phrases(t, 2)).groupBy(F.col("pid").alias("item_id")).agg(F.count("*").alias("n"))
 
 
-@query("T30_phrase_grounding", """
-SELECT item_id, count(*) AS n_items, min(length(d.text)) AS shortest, arg_min(d.doc_id, (length(d.text), d.doc_id)) AS sample FROM benchmark b JOIN documents d ON contains(d.text, array_to_string(string_split(b.text, ' ')[1:8], ' ')) GROUP BY 1""")
+@query("T30_phrase_grounding", f"""
+WITH p AS (SELECT item_id, {_HEAD.format('text', 3)} AS p FROM benchmark),
+i AS (SELECT item_id, count(*) AS n, arg_min(doc_id, (length(text), doc_id)) AS sample FROM p JOIN documents d ON contains({_WORDS.format('d.text')}, p) GROUP BY 1),
+l AS (SELECT item_id, count(*) AS n FROM p JOIN conversations c ON contains({_WORDS.format('c.text')}, p) GROUP BY 1)
+SELECT item_id, coalesce(i.n, 0) AS n_items, coalesce(l.n, 0) AS n_lines, sample FROM p LEFT JOIN i USING (item_id) LEFT JOIN l USING (item_id)""")
 def grounding(t):
-    heads = t("benchmark").select("item_id", F.substring_index("text", " ", 8).alias("h"))
-    hit = t("documents").select("doc_id", "text").join(F.broadcast(heads), F.contains("text", "h"))
-    size = F.length("text").cast("long")
-    return hit.groupBy("item_id").agg(F.count("*").alias("n_items"), F.min(size).alias("shortest"), F.min_by("doc_id", F.struct(size, "doc_id")).alias("sample"))
+    lines = t("conversations").select((F.col("conv_id") * 1_000_000 + F.col("turn")).alias("id"), "text")
+    return phrases.grounded(_phrases(t, 3), _texts(t), lines).withColumnRenamed("pid", "item_id")
 
 
-@query("T31_triage", """
-WITH g AS (SELECT item_id, count(d.doc_id) AS n FROM benchmark b LEFT JOIN documents d ON contains(d.text, array_to_string(string_split(b.text, ' ')[1:1], ' ')) GROUP BY 1), n AS (SELECT count(*) AS total FROM documents)
-SELECT item_id, n, n > 0 AND n <= greatest(50, total // 20) AS keep FROM g, n""")
+@query("T31_triage", f"""
+WITH p AS (SELECT item_id, item_id % 7 = 0 AS negative, {_HEAD.format('text', 1)} AS p FROM benchmark), n AS (SELECT count(*) AS total FROM documents),
+i AS (SELECT item_id, count(*) AS n FROM p JOIN documents d ON contains({_WORDS.format('d.text')}, p) GROUP BY 1),
+l AS (SELECT item_id, count(*) AS n FROM p JOIN conversations c ON contains({_WORDS.format('c.text')}, p) GROUP BY 1)
+SELECT item_id, negative, coalesce(i.n, 0) AS n_items, coalesce(l.n, 0) AS n_lines, coalesce(i.n, 0) + coalesce(l.n, 0) > 0 AND (negative OR coalesce(i.n, 0) <= greatest(50, total // 20)) AS keep
+FROM p LEFT JOIN i USING (item_id) LEFT JOIN l USING (item_id), n""")
 def triage(t):
-    heads = t("benchmark").select("item_id", F.substring_index("text", " ", 1).alias("h"))
-    n = t("documents").select("text").join(F.broadcast(heads), F.contains("text", "h")).groupBy("item_id").agg(F.count("*").alias("n"))
-    total = t("documents").agg(F.count("*").alias("total"))
-    g = heads.select("item_id").join(n, "item_id", "left").select("item_id", F.coalesce("n", F.lit(0)).alias("n")).crossJoin(F.broadcast(total))
-    return g.select("item_id", "n", ((F.col("n") > 0) & (F.col("n") <= F.greatest(F.lit(50), F.floor(F.col("total") / 20)))).alias("keep"))
+    lines = t("conversations").select((F.col("conv_id") * 1_000_000 + F.col("turn")).alias("id"), "text")
+    counts = phrases.grounded(_phrases(t, 1), _texts(t), lines).drop("sample").withColumn("negative", F.col("pid") % 7 == 0)
+    return phrases.triaged(counts, t("documents").agg(F.count("*").alias("total"))).withColumnRenamed("pid", "item_id")
 
 
-@query("T33_recall_probe", """
-SELECT d.doc_id FROM documents d WHERE NOT EXISTS (SELECT 1 FROM benchmark b WHERE contains(d.text, array_to_string(string_split(b.text, ' ')[1:8], ' '))) ORDER BY md5(d.doc_id::VARCHAR), d.doc_id LIMIT 25""")
+@query("T33_recall_probe", f"""
+SELECT d.doc_id FROM documents d WHERE NOT EXISTS (SELECT 1 FROM benchmark b WHERE contains({_WORDS.format('d.text')}, {_HEAD.format('b.text', 8)})) ORDER BY md5(d.doc_id::VARCHAR), d.doc_id LIMIT 25""")
 def recall_probe(t):
-    heads = t("benchmark").select(F.substring_index("text", " ", 8).alias("h"))
-    rest = t("documents").select("doc_id", "text").join(F.broadcast(heads), F.contains("text", "h"), "left_anti")
-    return rest.select("doc_id").orderBy(F.md5(F.col("doc_id").cast("string").cast("binary")), "doc_id").limit(25)
+    return phrases.unmatched(_texts(t), _phrases(t, 8), 25).withColumnRenamed("id", "doc_id")
+
+
+# A tree of subjects that the parts' names give: a theme, a subject for each noun, and one for each name under its noun.
+# A noun's subject leaves out the first of its names; "red" names stand under the theme as well, with no parent's phrases.
+_TREE = """
+names AS (SELECT DISTINCT p_name AS name, split_part(p_name, ' ', 2) AS noun, split_part(p_name, ' ', 1) AS adj FROM part),
+tree AS (SELECT 'goods' AS slug, NULL AS parent UNION SELECT noun, 'goods' FROM names UNION SELECT 'name ' || name, noun FROM names UNION SELECT 'adj ' || adj, 'goods' FROM names),
+terms AS (SELECT DISTINCT noun AS slug, noun AS phrase, false AS negative FROM names UNION SELECT 'name ' || name, adj, false FROM names UNION SELECT 'adj ' || adj, adj, false FROM names
+  UNION SELECT noun, min(name), true FROM names GROUP BY noun)"""
+
+
+def subject_tree(t):
+    """(slug, parent) and (slug, phrase, negative)."""
+    word = lambda i: F.get(F.split("p_name", " "), F.lit(i))
+    names = t("part").select(F.col("p_name").alias("name"), word(0).alias("adj"), word(1).alias("noun")).distinct()
+    slug = lambda kind, c: F.concat(F.lit(f"{kind} "), F.col(c))
+    goods, no, yes = F.lit("goods"), F.lit(False), F.lit(True)
+    root = t("region").limit(1).select(goods.alias("slug"), F.lit(None).cast("string").alias("parent"))
+    tree = root.union(names.select("noun", goods)).union(names.select(slug("name", "name"), "noun")).union(names.select(slug("adj", "adj"), goods)).distinct()
+    terms = names.select(F.col("noun").alias("slug"), F.col("noun").alias("phrase"), no.alias("negative")).union(names.select(slug("name", "name"), "adj", no)).union(names.select(slug("adj", "adj"), "adj", no))
+    return tree, terms.union(names.groupBy("noun").agg(F.min("name").alias("m")).select("noun", "m", yes)).distinct()
+
+
+@query("T29_vocabulary_tree", f"""
+WITH RECURSIVE {_TREE},
+under AS (SELECT slug, slug AS below FROM tree UNION SELECT under.slug, tree.slug FROM under JOIN tree ON tree.parent = under.below),
+own AS (SELECT DISTINCT slug, negative, p_partkey AS id FROM terms JOIN part ON contains(' ' || p_name || ' ', ' ' || phrase || ' ')),
+eff AS (SELECT DISTINCT under.slug, id FROM own JOIN under ON below = own.slug WHERE NOT negative)
+SELECT slug, count(*) AS items, min(id) AS first, sum(id)::BIGINT AS checksum FROM eff JOIN tree USING (slug)
+WHERE NOT EXISTS (SELECT 1 FROM own WHERE negative AND own.slug = eff.slug AND own.id = eff.id)
+  AND (parent IS NULL OR NOT EXISTS (SELECT 1 FROM terms WHERE terms.slug = parent AND NOT negative) OR EXISTS (SELECT 1 FROM own WHERE NOT negative AND own.slug = parent AND own.id = eff.id))
+GROUP BY 1""")
+def vocabulary_tree(t):
+    """Effective phrases are those of a subject and of all under it, exclusions the subject's own, and a child's item has to be its parent's by the parent's own phrases."""
+    tree, terms = subject_tree(t)
+    found = phrases.subjects_of(t("part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("text")), tree, terms)
+    return found.groupBy("slug").agg(F.count("*").alias("items"), F.min("id").alias("first"), F.sum("id").alias("checksum"))
+
+
+@query("Z39_empty_searches", f"""
+SELECT item_id, 0 AS hits FROM benchmark b WHERE NOT EXISTS (SELECT 1 FROM documents d WHERE contains({_WORDS.format('d.text')}, {_HEAD.format('b.text', 12)}))""")
+def empty_searches(t):
+    asked = _phrases(t, 12)
+    return asked.join(phrases.matches(_texts(t), asked), "pid", "left_anti").select(F.col("pid").alias("item_id"), F.lit(0).alias("hits"))
 
 
 @query("T41_candidates", r"""
