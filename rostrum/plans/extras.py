@@ -26,16 +26,6 @@ def agenda(t):
     return R.agenda_items(files, "s_nationkey", "text")
 
 
-@query("T18_bulk_disposition", """
-SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN l_linenumber IN (2, 4) THEN 'continued' WHEN l_linenumber <= 5 THEN 'approved' END AS outcome FROM lineitem""")
-def bulk(t):
-    """A bulk motion over items 1 to 5 whose exceptions have an outcome of their own."""
-    motion = t("lineitem").sparkSession.createDataFrame([(1, 5, "approved", [2, 4], "continued")], "lo int, hi int, rest string, named array<int>, treated string")
-    j = t("lineitem").join(F.broadcast(motion), F.col("l_linenumber").between(F.col("lo"), F.col("hi")), "left")
-    out = F.when(F.array_contains("named", F.col("l_linenumber").cast("int")), F.col("treated")).otherwise(F.col("rest"))
-    return j.select("l_orderkey", "l_linenumber", "l_partkey", out.alias("outcome"))
-
-
 @query("T32_sentence_case", "SELECT p_partkey, upper(substr(p_name, 1, 1)) || lower(substr(p_name, 2)) AS title FROM part")
 def sentence_case(t):
     return t("part").select("p_partkey", F.concat(F.upper(F.substring("p_name", 1, 1)), F.lower(F.substring("p_name", 2, 10_000))).alias("title"))

@@ -274,12 +274,6 @@ def citations(t):
     return parsers.checked_citations(rows, seen, ["conv_id", "turn"], ["conv_id"], "answer", "n")
 
 
-@query("T14_minutes_sentences")
-def minutes(t):
-    """Paragraph-wise sentences of documents by the line state machine of the minutes parser."""
-    return parsers.sentences(t("documents"), "doc_id", "text")
-
-
 @query("T19_roster_lines", r"""
 SELECT c_custkey, regexp_extract(c_name, '([A-Za-z]+)#(\d+)', 1) AS title, regexp_extract(c_name, '([A-Za-z]+)#(\d+)', 2)::BIGINT AS seat FROM customer""")
 def roster_lines(t):
