@@ -337,13 +337,3 @@ def fact_recovery(t):
     facts = F.array_distinct(F.regexp_extract_all("text", F.lit(r"(\d+)"), F.lit(1)))
     d = t("documents").select("doc_id", facts.alias("f"), F.replace("text", F.lit("-"), F.lit("")).alias("r"))
     return d.select("doc_id", F.size("f").cast("long").alias("facts"), F.size(F.filter("f", lambda x: F.contains(F.col("r"), x))).cast("long").alias("found"))
-
-
-@query("F12_silence_windows")
-def silence_windows(t):
-    """Windows of a user's day cut at events, at most six hours long; tested against the plain loop."""
-    from rostrum.operators import passages as P
-
-    e = t("events").select("user_id", "event_id", F.lit("x").alias("who"), (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6 / 3600).alias("s"))
-    e = e.withColumn("e", F.col("s"))
-    return P.group_utterances(e, "user_id", "s", "e", "who").select("user_id", "event_id", "group_no")

@@ -117,17 +117,60 @@ def interval_merge(t):
     return I.merged(e, ["k"], "s", "f", 0)
 
 
-@query("W14_utterance_groups")
+_SPANS = """rows AS (SELECT user_id AS k, event_id, event_type AS who, epoch_us(ts) / 1e6 / 3600 AS s, epoch_us(ts) / 1e6 / 3600 + 0.5 AS e FROM events),
+nos AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY s, e, who, event_id) AS i FROM rows)"""
+
+
+@query("W14_utterance_groups", f"""
+WITH RECURSIVE {_SPANS},
+run(k, event_id, i, no, opened, who, e) AS (
+  SELECT k, event_id, i, 0, s, who, e FROM nos WHERE i = 1
+  UNION ALL
+  SELECT k, event_id, i, CASE WHEN fresh THEN no + 1 ELSE no END, CASE WHEN fresh THEN s ELSE opened END, who, e FROM (
+    SELECT nos.*, run.no, run.opened, nos.who <> run.who OR nos.s - run.e >= 2.0 OR run.e - run.opened >= 30.0 AS fresh FROM run JOIN nos ON nos.k = run.k AND nos.i = run.i + 1))
+SELECT k AS user_id, event_id, no::BIGINT AS group_no FROM run""")
 def utterance_groups(t):
-    """Events of a user as utterances: groups end at another type, a gap or the cap; tested against the plain loop."""
+    """Events of a user as utterances, in hours: groups end at another type, a gap or after the cap."""
     e = t("events").select("user_id", "event_type", "event_id", (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6 / 3600).alias("s"))
     e = e.withColumn("e", F.col("s") + 0.5)
     return P.group_utterances(e.select("user_id", "event_id", "event_type", "s", "e"), "user_id", "s", "e", "event_type").select("user_id", "event_id", "group_no")
 
 
-@query("W15_passages")
+@query("F12_silence_windows", f"""
+WITH RECURSIVE turns AS (SELECT user_id AS k, event_id, epoch_us(ts) / 1e6 / 600 AS s, epoch_us(ts) / 1e6 / 600 + event_id % 60 AS e, epoch_us(ts) / 1e6 / 600 + event_id % 7 AS z FROM events),
+ends AS (SELECT k, max(e) AS duration FROM turns GROUP BY 1),
+fresh AS (SELECT *, CASE WHEN s <= max(e) OVER (PARTITION BY k ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) + 0.4 THEN 0 ELSE 1 END AS f FROM turns),
+stretch AS (SELECT k, greatest(min(s) - 0.25, 0) AS a, least(max(e) + 0.25, max(duration)) AS b FROM (SELECT *, sum(f) OVER (PARTITION BY k ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS g FROM fresh) JOIN ends USING (k) GROUP BY k, g),
+quiet AS (SELECT k, a, b, list_sort(list(z)) AS q FROM stretch JOIN turns USING (k) WHERE z BETWEEN a AND b GROUP BY 1, 2, 3),
+run(k, a, b, q, start, cut) AS (
+  SELECT stretch.k, stretch.a, stretch.b, coalesce(q, []), NULL::DOUBLE, stretch.a FROM stretch LEFT JOIN quiet USING (k, a, b)
+  UNION ALL
+  SELECT k, a, b, q, cut, CASE WHEN len(near) > 0 THEN near[len(near) // 2 + 1] ELSE cut + 24.0 END
+  FROM (SELECT *, list_filter(q, lambda x: x >= cut + 12.0 AND x <= cut + 24.0) AS near FROM run WHERE b - cut > 24.0)),
+rests AS (SELECT k, a, b, max(cut) AS start FROM run GROUP BY 1, 2, 3)
+SELECT k AS user_id, round(start, 4) AS start, round(cut, 4) AS "end" FROM run WHERE start IS NOT NULL UNION ALL SELECT k, round(start, 4), round(b, 4) FROM rests WHERE b - start > 0.2""")
+def silence_windows(t):
+    """Stretches of a user's events, in units of ten minutes, cut at the middle one of the moments that could be silences."""
+    at = F.unix_micros(F.col("ts").cast("timestamp")) / 1e6 / 600
+    turns = t("events").select("user_id", "event_id", at.alias("s"), (at + F.col("event_id") % 60).alias("e"), (at + F.col("event_id") % 7).alias("at"))
+    speech = I.merged(turns, ["user_id"], "s", "e", 0.4).select("user_id", F.col("s").alias("start"), F.col("e").alias("end"))
+    ends = turns.groupBy("user_id").agg(F.max("e").alias("duration"))
+    found = P.windows(speech.join(ends, "user_id"), turns, "user_id")
+    return found.select("user_id", F.round("start", 4).alias("start"), F.round("end", 4).alias("end"))
+
+
+@query("W15_passages", r"""
+WITH RECURSIVE l AS (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS i, coalesce(role, 'Unidentified') AS who, coalesce(text, '') AS body, len(regexp_extract_all(coalesce(text, ''), '\S+')) AS n FROM conversations),
+run(conv_id, i, no, opens, who, short, words) AS (
+  SELECT conv_id, i, 0, i, who, n < 12, n FROM l WHERE i = 1
+  UNION ALL
+  SELECT conv_id, i, CASE WHEN fresh THEN no + 1 ELSE no END, CASE WHEN fresh THEN i ELSE opens END, CASE WHEN fresh THEN own ELSE who END, CASE WHEN fresh THEN n < 12 ELSE short END, CASE WHEN fresh THEN n ELSE words + n END
+  FROM (SELECT run.conv_id, l.i, l.n, l.who AS own, run.no, run.opens, run.who, run.short, run.words, run.words >= 140 OR CASE WHEN run.short THEN l.n >= 12 ELSE l.who <> run.who END AS fresh FROM run JOIN l ON l.conv_id = run.conv_id AND l.i = run.i + 1)),
+p AS (SELECT run.conv_id, run.no, run.i, run.opens, l.turn, l.who, l.body, run.short, lag(l.who) OVER (PARTITION BY run.conv_id, run.no ORDER BY run.i) AS was, max(run.words) OVER (PARTITION BY run.conv_id, run.no) AS total FROM run JOIN l ON l.conv_id = run.conv_id AND l.i = run.i),
+g AS (SELECT conv_id, min(turn) AS start_idx, max(turn) AS end_idx, bool_or(short) OR max(total) < 35 AS exchange, arg_min(who, i) AS who, string_agg(body, ' ' ORDER BY i) AS plain, string_agg(CASE WHEN was = who THEN body ELSE who || ': ' || body END, ' ' ORDER BY i) AS named FROM p GROUP BY conv_id, no)
+SELECT conv_id, start_idx, end_idx, CASE WHEN exchange THEN '(exchange)' ELSE who END AS speaker, CASE WHEN exchange THEN named ELSE plain END AS text FROM g WHERE len(regexp_extract_all(CASE WHEN exchange THEN named ELSE plain END, '\S+')) >= 12""")
 def passages(t):
-    """Passages of conversations with the running word caps; tested against hand-written recordings."""
+    """Passages of conversations with the running word caps."""
     return P.build(t("conversations"), "conv_id", "turn", "role", "text")
 
 

@@ -114,13 +114,13 @@ def test_outcomes_dates_and_clocks(spark):
     assert [r[0] for r in df.select(T.seconds_of(F.col("s"))).collect()] == [3990.0, 390.0, 30.0]
 
 
-def test_passages():
+def test_passages(spark):
     long = "one two three four five six seven eight nine ten eleven twelve "
     lines = [(0, "A", long * 4), (1, "A", long), (2, "B", "yes"), (3, "A", "no"), (4, "A", "well"), (5, "B", long)]
-    got = passages.passages_of(lines)
-    assert [g[:3] for g in got] == [(0, 1, "A"), (2, 4, "(exchange)"), (5, 5, "(exchange)")]
-    assert got[1][3] == "B: yes A: no well"
-    assert passages.grouped([(0, 1, "A"), (1.5, 20, "A"), (21, 29, "A"), (29.5, 31, "A"), (31, 32, "B"), (40, 41, "B")]) == [0, 0, 0, 1, 2, 3]
+    df = spark.createDataFrame([("r", *x) for x in lines], "rec string, idx int, who string, body string")
+    got = passages.build(df, "rec", "idx", "who", "body", least=1).orderBy("start_idx").collect()
+    assert [tuple(g)[1:4] for g in got] == [(0, 1, "A"), (2, 4, "(exchange)"), (5, 5, "(exchange)")]
+    assert got[1].text == "B: yes A: no well"
 
 
 def test_parsers(spark):
