@@ -261,15 +261,6 @@ def anchor_growth(t):
     return D.grow_anchors(v.select("id", "v"), seeds, assign=0.3, promote=0.5)
 
 
-@query("I26_rebuild_one_recording", """
-SELECT source, doc_id, CASE WHEN source = 'src5' THEN md5(reverse(text)) ELSE md5(text) END AS h FROM documents""")
-def rebuild_one(t):
-    d = t("documents").select("source", "doc_id", "text")
-    again = d.filter("source = 'src5'").withColumn("text", F.reverse("text"))
-    both = d.filter("source <> 'src5'").unionByName(again)
-    return both.select("source", "doc_id", F.md5(F.col("text").cast("binary")).alias("h"))
-
-
 @query("T35_letters_in_a_run", r"""
 WITH m AS (SELECT conv_id, turn, regexp_matches(text, '(?i) the | der | la ') AS mark FROM conversations)
 SELECT conv_id, letter, min(turn) AS start_idx, max(turn) AS end_idx FROM (SELECT conv_id, turn, sum(CASE WHEN mark THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY turn) AS letter FROM m) WHERE letter > 0 GROUP BY 1, 2""")

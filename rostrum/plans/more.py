@@ -30,12 +30,6 @@ def unit_vectors(t):
     return v.select("vec_id", F.round(norm, 3).alias("norm"))
 
 
-@query("S10_bulk_load", "SELECT conv_id AS video_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS idx, text, text AS text_raw FROM conversations")
-def bulk_load(t):
-    w = Window.partitionBy("conv_id").orderBy("turn")
-    return t("conversations").select(F.col("conv_id").alias("video_id"), (F.row_number().over(w) - 1).alias("idx"), "text", F.col("text").alias("text_raw"))
-
-
 @query("S13_json_rows", "SELECT o_orderkey, '{\"key\":' || o_orderkey || ',\"status\":\"' || o_orderstatus || '\"}' AS json FROM orders")
 def json_rows(t):
     return t("orders").select("o_orderkey", F.to_json(F.struct(F.col("o_orderkey").alias("key"), F.col("o_orderstatus").alias("status"))).alias("json"))

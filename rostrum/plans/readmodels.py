@@ -159,8 +159,9 @@ def silence_windows(t):
     return found.select("user_id", F.round("start", 4).alias("start"), F.round("end", 4).alias("end"))
 
 
-@query("W15_passages", r"""
-WITH RECURSIVE l AS (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS i, coalesce(role, 'Unidentified') AS who, coalesce(text, '') AS body, len(regexp_extract_all(coalesce(text, ''), '\S+')) AS n FROM conversations),
+#: Passages of the lines {} (conv_id, turn, role, text).
+PASSAGES = r"""
+WITH RECURSIVE l AS (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS i, coalesce(role, 'Unidentified') AS who, coalesce(text, '') AS body, len(regexp_extract_all(coalesce(text, ''), '\S+')) AS n FROM {}),
 run(conv_id, i, no, opens, who, short, words) AS (
   SELECT conv_id, i, 0, i, who, n < 12, n FROM l WHERE i = 1
   UNION ALL
@@ -168,7 +169,10 @@ run(conv_id, i, no, opens, who, short, words) AS (
   FROM (SELECT run.conv_id, l.i, l.n, l.who AS own, run.no, run.opens, run.who, run.short, run.words, run.words >= 140 OR CASE WHEN run.short THEN l.n >= 12 ELSE l.who <> run.who END AS fresh FROM run JOIN l ON l.conv_id = run.conv_id AND l.i = run.i + 1)),
 p AS (SELECT run.conv_id, run.no, run.i, run.opens, l.turn, l.who, l.body, run.short, lag(l.who) OVER (PARTITION BY run.conv_id, run.no ORDER BY run.i) AS was, max(run.words) OVER (PARTITION BY run.conv_id, run.no) AS total FROM run JOIN l ON l.conv_id = run.conv_id AND l.i = run.i),
 g AS (SELECT conv_id, min(turn) AS start_idx, max(turn) AS end_idx, bool_or(short) OR max(total) < 35 AS exchange, arg_min(who, i) AS who, string_agg(body, ' ' ORDER BY i) AS plain, string_agg(CASE WHEN was = who THEN body ELSE who || ': ' || body END, ' ' ORDER BY i) AS named FROM p GROUP BY conv_id, no)
-SELECT conv_id, start_idx, end_idx, CASE WHEN exchange THEN '(exchange)' ELSE who END AS speaker, CASE WHEN exchange THEN named ELSE plain END AS text FROM g WHERE len(regexp_extract_all(CASE WHEN exchange THEN named ELSE plain END, '\S+')) >= 12""")
+SELECT conv_id, start_idx, end_idx, CASE WHEN exchange THEN '(exchange)' ELSE who END AS speaker, CASE WHEN exchange THEN named ELSE plain END AS text FROM g WHERE len(regexp_extract_all(CASE WHEN exchange THEN named ELSE plain END, '\S+')) >= 12"""
+
+
+@query("W15_passages", PASSAGES.format("conversations"))
 def passages(t):
     """Passages of conversations with the running word caps."""
     return P.build(t("conversations"), "conv_id", "turn", "role", "text")

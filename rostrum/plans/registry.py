@@ -31,7 +31,7 @@ def query(name: str, sql: str | None = None) -> Callable[[Callable], Query]:
 
 
 def _load() -> None:
-    from rostrum.plans import checks, extras, identity, intervals, more, readmodels, records, search, streams, subjects, tables, text  # noqa: F401
+    from rostrum.plans import checks, extras, identity, intervals, more, readmodels, records, search, stores, streams, subjects, tables, text  # noqa: F401
 
 
 def queries() -> dict[str, Query]:
