@@ -37,7 +37,7 @@ LENGTH, END = 4096, 2
 #: Dimensions of the curve, and bits of a cell's place on each.
 DIMENSIONS, CELL_BITS = 4, 5
 #: Characters of text that are encoded at a time, characters of known words a worker keeps, and those added for each word.
-CHARS, ROOM, WORD_ROOM = 3_000_000, 16_000_000, 20
+CHARS, ROOM, WORD_ROOM = 3_000_000, 24_000_000, 20
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
@@ -47,6 +47,26 @@ def projection(vocabulary: int, dimensions: int = DIMENSIONS, seed: int = 11) ->
     return np.random.default_rng(seed).choice(np.array([-1.0, 1.0], np.float32), (vocabulary, dimensions))
 
 
+#: Bits of a dimension in a packed vector, and tokens whose packed vectors may be added up.
+LANE = 16
+LANE_TOKENS = (1 << LANE - 1) - 1
+
+
+def packed_projection(table: np.ndarray) -> np.ndarray:
+    """The signed vectors of four dimensions at most as whole numbers: a lane for each, with 0 for -1 and 2 for 1."""
+    lanes = (table + 1).astype(np.int64) << (LANE * np.arange(table.shape[1], dtype=np.int64))
+    return lanes.sum(axis=1).view(np.uint64)
+
+
+def project(ids: np.ndarray, packed: np.ndarray, dimensions: int) -> np.ndarray:
+    """The sum of the vectors of tokens, four of them in one addition."""
+    out = np.full(dimensions, -len(ids), np.int64)
+    for at in range(0, len(ids), LANE_TOKENS):
+        total = int(packed[ids[at : at + LANE_TOKENS]].sum())
+        out += [total >> LANE * d & (1 << LANE) - 1 for d in range(dimensions)]
+    return out.astype(np.float32)
+
+
 # The normaliser and the cuts that words may be shared under.
 _NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
 _CUT = {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True}
@@ -180,6 +200,7 @@ def vectorise(docs: DataFrame, definition: str, vocabulary: int, dimensions: int
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, table = encoder_of(definition), projection(vocabulary, dimensions)
+        lanes = packed_projection(table) if dimensions * LANE <= 64 else None
         for b in batches:
             at = 0
             while at < b.num_rows:
@@ -189,7 +210,7 @@ def vectorise(docs: DataFrame, definition: str, vocabulary: int, dimensions: int
                     held += len(texts[-1] or "")
                 ids, coords, n = [], [], []
                 for x in encoder(texts):
-                    v = table[x].sum(axis=0) if len(x) < 1_000_000 else np.bincount(x, minlength=vocabulary).astype(np.float32) @ table
+                    v = np.bincount(x, minlength=vocabulary).astype(np.float32) @ table if lanes is None else project(x, lanes, dimensions)
                     coords.append(v / max(float(np.sqrt(len(x))), 1.0))
                     ids.append(np.append(x, end).astype(width).tobytes())
                     n.append(len(x) + 1)

@@ -380,6 +380,14 @@ def test_packing(spark, docs, texts, none):
     assert packing.pack(none, definition, vocabulary).count() == 0
 
 
+@pytest.mark.parametrize("n", [0, 1, 500, packing.LANE_TOKENS, 200_000])
+@pytest.mark.parametrize("dimensions", [1, 3, 4])
+def test_packing_projection(n, dimensions):
+    rng = np.random.default_rng(n)
+    table, ids = packing.projection(100, dimensions), rng.integers(0, 3 if n % 2 else 100, n)
+    assert np.array_equal(packing.project(ids, packing.packed_projection(table), dimensions), table[ids].sum(axis=0))
+
+
 def test_packing_letters():
     """Every code point below U+0180 alone, at a word's start, inside and at its end, as the tokenizers library has it."""
     tokenizers = pytest.importorskip("tokenizers")
