@@ -107,39 +107,6 @@ def assign(votes: DataFrame, key: str, voice: str, name: str, n: str) -> DataFra
     return votes.groupBy(key).applyInPandas(run, ", ".join(f"{c} {kinds[c]}" for c in (key, voice, name)))
 
 
-def average_linkage(vectors: np.ndarray, threshold: float) -> list[int]:
-    """Cluster numbers by average-linkage agglomeration at a cosine distance.
-
-    Joined clusters' distances are averages weighted by size, so that each join costs one row.
-    """
-    n = len(vectors)
-    apart = 1 - vectors @ vectors.T
-    np.fill_diagonal(apart, np.inf)
-    size, root = np.ones(n), np.arange(n)
-    for _ in range(n - 1):
-        i, j = sorted(np.unravel_index(np.argmin(apart), apart.shape))
-        if apart[i, j] > threshold:
-            break
-        row = (size[i] * apart[i] + size[j] * apart[j]) / (size[i] + size[j])
-        apart[i], apart[:, i] = row, row
-        apart[i, i] = np.inf
-        apart[j], apart[:, j] = np.inf, np.inf
-        size[i] += size[j]
-        root[root == j] = i
-    return np.unique(root, return_inverse=True)[1].tolist()
-
-
-def cluster_voices(voices: DataFrame, key: str, id_: str, vector: str, threshold: float = 0.30) -> DataFrame:
-    """key, id, cluster: the voices of each recording (a group of a few dozen) agglomerated."""
-
-    def run(df: pd.DataFrame) -> pd.DataFrame:
-        df = df.sort_values(id_)
-        return pd.DataFrame({key: df[key], id_: df[id_], "cluster": average_linkage(np.stack(df[vector].to_list()).astype(float), threshold)})
-
-    kinds = dict(voices.dtypes)
-    return voices.select(key, id_, vector).groupBy(key).applyInPandas(run, f"{key} {kinds[key]}, {id_} {kinds[id_]}, cluster long")
-
-
 def word_diff(a: list[str], b: list[str]) -> list[tuple[str, str]]:
     """('same' | 'gone' | 'new', word) by a longest common subsequence of words."""
     n = np.zeros((len(a) + 1, len(b) + 1), int)

@@ -58,10 +58,11 @@ def _block_best(k: int):
 
 def _in_blocks(members: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """qid, id, score: the best ``k`` of each query over the members (cell, id, v) of the cells that it asks (cell, qid, q)."""
+    queries = queries.select(*[F.col(c).alias(c) for c in ("cell", "qid", "q")])  # may come from the members themselves
     part = lambda n, size: F.ceil(F.col(n) / size).cast("int")
     m = members.groupBy("cell").agg(F.count("*").alias("nm"))
     q = queries.groupBy("cell").agg(F.count("*").alias("nq"))
-    sizes = F.broadcast(m.join(q, "cell").select("cell", part("nm", BLOCK).alias("ms"), part("nq", QUERIES).alias("qs")))  # a row for each cell: CELLS at most
+    sizes = m.join(q, "cell").select("cell", part("nm", BLOCK).alias("ms"), part("nq", QUERIES).alias("qs"))
     each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     dealt = lambda c, n: F.pmod(F.xxhash64(c), F.col(n)).cast("int")
     own = members.join(sizes, "cell").select("cell", dealt("id", "ms").alias("mb"), each("qs").alias("qb"), "id", "v")
@@ -78,6 +79,40 @@ def exact(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     return _in_blocks(vectors.filter("v is not null").select(one, "id", "v"), queries.filter("q is not null").select(one, "qid", "q"), k)
 
 
+def linked(voices: DataFrame, group: str, threshold: float, max_rounds: int = 60) -> DataFrame:
+    """group, id, cluster: unit vectors (group, id, v) agglomerated by average linkage up to a cosine distance; a cluster is named by its least id.
+
+    The mean similarity of two clusters' members is the product of the clusters' mean vectors, so that a cluster is one vector and
+    no table of pairs is kept.  In each round all clusters that are each other's nearest join, which average linkage allows in any
+    order; the nearest are found in blocks.  Similarities count to ``DIGITS`` digits, ties by id.
+    """
+    spark = voices.sparkSession
+    keyed = voices.filter("v is not null").select(F.col(group).alias("cell"), "id", F.col("v").cast("array<double>").alias("v"))
+    clusters, path = staging.stage(keyed.withColumn("size", F.lit(1.0)), "linkage")
+    of = keyed.select("cell", "id", F.col("id").alias("cluster"))
+    for _ in range(max_rounds):
+        means, means_path = staging.stage(clusters.select("cell", "id", F.transform("v", lambda x: x / F.col("size")).alias("v")), "linkage-means")
+        # the cluster itself may be among its nearest two
+        best = _in_blocks(means, means.select("cell", F.col("id").alias("qid"), F.col("v").alias("q")), 2).filter("id != qid")
+        near = best.groupBy("qid").agg(F.min_by(F.struct("id", "score"), "rank").alias("n")).select("qid", "n.id", "n.score").filter(F.col("score") >= 1 - threshold)
+        near, near_path = staging.stage(near, "linkage-near")
+        back = near.select(F.col("qid").alias("id"), F.col("id").alias("qid"))
+        joins, joins_path = staging.stage(near.filter("qid > id").join(back, ["id", "qid"], "left_semi").select(F.col("qid").alias("from"), F.col("id").alias("to")), "linkage-joins")
+        staging.drop(spark, near_path)
+        staging.drop(spark, means_path)
+        if not joins.limit(1).count():
+            return of.withColumnRenamed("cell", group)
+        of, _ = staging.stage(of.join(joins, of["cluster"] == joins["from"], "left").select("cell", of["id"], F.coalesce("to", "cluster").alias("cluster")), "linkage-of")
+        moved = clusters.join(joins, clusters["id"] == joins["from"], "left").select("cell", F.coalesce("to", "id").alias("id"), "v", "size")
+        added = moved.select("cell", "id", "size", F.posexplode("v").alias("i", "x")).groupBy("cell", "id", "i").agg(F.sum("x").alias("x"), F.sum("size").alias("size"))
+        after = added.groupBy("cell", "id").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda p: p["x"]).alias("v"), F.first("size").alias("size"))
+        clusters, after_path = staging.stage(after.select("cell", "id", "v", "size"), "linkage")
+        staging.drop(spark, path)
+        staging.drop(spark, joins_path)
+        path = after_path
+    raise RuntimeError(f"clusters still join after {max_rounds} rounds")
+
+
 def fitted(sample: np.ndarray, cells: int, rounds: int = ROUNDS, seed: int = 5) -> np.ndarray:
     """Centroids of unit length, by spherical k-means; an empty cell begins anew at the vector that fits its own worst."""
     rng = np.random.default_rng(seed)

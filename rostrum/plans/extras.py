@@ -11,6 +11,7 @@ from rostrum.operators import intervals as I
 from rostrum.operators import parsers
 from rostrum.operators import records as R
 from rostrum.operators import search as S
+from rostrum.operators import vectors as V
 from rostrum.plans.identity import _RESOLVED, resolved
 from rostrum.plans.registry import query
 
@@ -66,9 +67,9 @@ def redline(t):
 
 @query("I2_average_linkage")
 def linkage(t):
-    """Voices of each label agglomerated at a cosine distance; tested on planted clusters."""
-    v = t("embeddings").withColumn("k", F.col("label").cast("long"))
-    return R.cluster_voices(v, "k", "vec_id", "embedding", 0.8)
+    """Voices of each label agglomerated at a cosine distance; tested against the dense version."""
+    v = t("embeddings").select(F.col("label").cast("long").alias("k"), F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
+    return V.linked(v, "k", 0.8).withColumnRenamed("id", "vec_id")
 
 
 @query("I4_one_to_one_assignment")

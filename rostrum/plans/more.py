@@ -164,12 +164,6 @@ def names_in_lines(t):
     return t("conversations").select("conv_id", "turn", F.regexp_extract("text", r"(?i:of the|la|der) ([A-ZÀ-Þ]?[a-z]{3,})", 1).alias("name"))
 
 
-@query("T38_near_misses", """
-SELECT a.p_name AS word, count(*) AS n FROM part a GROUP BY 1 HAVING count(*) < 80""")
-def rare_spellings(t):
-    return t("part").groupBy(F.col("p_name").alias("word")).agg(F.count("*").alias("n")).filter("n < 80")
-
-
 @query("T45_answer_scrub", """
 SELECT conv_id, turn, CASE WHEN regexp_matches(substr(text, 5, 24), '[a-z]{3}') THEN replace(text, substr(text, 5, 24), '[redacted]') ELSE text END AS answer FROM conversations WHERE length(text) > 40""")
 def scrub(t):
@@ -320,18 +314,6 @@ def lanes(t):
     return li.filter("l_returnflag = 'R'").select("l_orderkey", "l_suppkey").distinct().join(record, ["l_orderkey", "l_suppkey"], "left_anti")
 
 
-@query("Z31_retranscription_swap", """
-SELECT event_id, user_id FROM events WHERE NOT (user_id % 3 = 0 AND epoch(ts) + value / 2 BETWEEN epoch(TIMESTAMP '2024-01-10') - 0.75 AND epoch(TIMESTAMP '2024-01-12') + 0.75)
-UNION ALL SELECT -event_id, user_id FROM events WHERE user_id % 3 = 0 AND ts BETWEEN TIMESTAMP '2024-01-10' AND TIMESTAMP '2024-01-12'""")
-def swap(t):
-    at = F.unix_micros(F.col("ts").cast("timestamp")) / 1e6
-    lo, hi = 1_704_844_800, 1_705_017_600
-    e = t("events").select("event_id", "user_id", at.alias("at"), "value")
-    gone = (F.col("user_id") % 3 == 0) & (F.col("at") + F.col("value") / 2).between(lo - 0.75, hi + 0.75)
-    fresh = e.filter((F.col("user_id") % 3 == 0) & F.col("at").between(lo, hi)).select((-F.col("event_id")).alias("event_id"), "user_id")
-    return e.filter(~gone).select("event_id", "user_id").unionByName(fresh)
-
-
 @query("Z32_redate_undated", """
 SELECT o_orderkey, coalesce(CASE WHEN o_orderkey % 4 <> 0 THEN strftime(o_orderdate, '%Y-%m-%d') END, '2000-02-03') AS date FROM orders""")
 def redate(t):
