@@ -73,11 +73,11 @@ def test_sounds(spark):
 def test_planted_mishearings(spark):
     table = lambda rows: spark.createDataFrame(rows, "word string, n long")
     written = table([("wellfield", 9), ("starkey", 5), ("sikhenes", 4), ("purvis", 4), ("rare", 2), ("meeting", 50), ("stirkey", 1)])
-    spoken = table([("welfeld", 3), ("wellfeeld", 2), ("starkie", 4), ("stirkey", 7), ("sickenes", 1), ("pervious", 68), ("meeting", 70), ("rair", 5)])
+    spoken = table([("welfeld", 3), ("wellfeeld", 2), ("starcky", 4), ("stirkey", 7), ("sickenes", 1), ("pervious", 68), ("meeting", 70), ("rair", 5)])
     ordinary = spark.createDataFrame([("meeting",)], "word string")
     got = {r.term: (r.n_written, r.heard, r.variants) for r in lexicon.never_right(written, spoken, ordinary).collect()}
     # one heard once only, one said too often to be a mishearing, one written too seldom, one variant that the record has
-    assert got == {"wellfield": (9, 5, "welfeld:3, wellfeeld:2"), "starkey": (5, 4, "starkie:4")}
+    assert got == {"wellfield": (9, 5, "welfeld:3, wellfeeld:2"), "starkey": (5, 4, "starcky:4")}
 
 
 @pytest.mark.parametrize("least", [0.85, 0.7])
