@@ -96,14 +96,6 @@ def guarded_majority(t):
     return D.cluster_majority(rows, "cluster", "name").filter("name <> 'P3'")
 
 
-@query("I13_self_claims", r"""
-SELECT conv_id, turn, CASE WHEN n >= 4 THEN 'self' ELSE 'self_weak' END AS method FROM (SELECT conv_id, turn, text, count(*) OVER (PARTITION BY conv_id, role ORDER BY turn RANGE BETWEEN 6 PRECEDING AND 6 FOLLOWING) AS n FROM conversations) WHERE regexp_matches(text, '(?i)\bthat\b')""")
-def self_claims(t):
-    w = Window.partitionBy("conv_id", "role").orderBy("turn").rangeBetween(-6, 6)
-    c = t("conversations").withColumn("n", F.count("*").over(w)).filter(F.col("text").rlike(r"(?i)\bthat\b"))
-    return c.select("conv_id", "turn", F.when(F.col("n") >= 4, "self").otherwise("self_weak").alias("method"))
-
-
 @query("I15_person_linking", "SELECT s_suppkey, c_custkey FROM supplier JOIN customer ON lower(replace(s_name, 'Supplier', 'Customer')) = lower(c_name)")
 def linking(t):
     k = F.lower(F.replace("s_name", F.lit("Supplier"), F.lit("Customer"))).alias("k")

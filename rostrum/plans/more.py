@@ -158,12 +158,6 @@ def day_groups(t):
     return c.groupBy(F.date_format("o_orderdate", "yyyy-MM-dd").alias("day"), F.col("o_orderpriority").alias("kind")).agg(F.count("*").alias("n"), F.bool_and(F.col("c") == 1).alias("sure"))
 
 
-@query("T34_names_in_lines", r"""
-SELECT conv_id, turn, regexp_extract(text, '(?i:of the|la|der) ([A-ZÀ-Þ]?[a-z]{3,})', 1) AS name FROM conversations""")
-def names_in_lines(t):
-    return t("conversations").select("conv_id", "turn", F.regexp_extract("text", r"(?i:of the|la|der) ([A-ZÀ-Þ]?[a-z]{3,})", 1).alias("name"))
-
-
 @query("T45_answer_scrub", """
 SELECT conv_id, turn, CASE WHEN regexp_matches(substr(text, 5, 24), '[a-z]{3}') THEN replace(text, substr(text, 5, 24), '[redacted]') ELSE text END AS answer FROM conversations WHERE length(text) > 40""")
 def scrub(t):

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from rostrum.operators import lexicon as L
+from rostrum.operators import names as N
 from rostrum.operators import repair
 from rostrum.plans.registry import query
 
@@ -95,3 +97,96 @@ def retranscribed(t):
     out = repair.swapped(words, segments, new_words, new_segments, gaps, "user_id")
     both = [df.select(F.lit(kind).alias("kind"), "id", "user_id", F.floor("start").alias("start"), F.floor("end").alias("end")) for kind, df in zip(("word", "segment"), out, strict=True)]
     return both[0].unionByName(both[1])
+
+
+# What is said at each order of a customer: introductions, the podium form, prompts, letters, queues, and lines without a name.
+_FIRST, _LAST = "Ann Ron Nancy Élan Uh Pat".split(), "Oakley McBride Starkey O'Neil Hazelwood Mariano".split()
+_SAID = [
+    "Good evening. My name is {n} and I live here.",
+    "Uh {n}, 6400 Madison Street, and I have been sworn.",
+    "Please state your name and address. My name is  {n}.",
+    "The next email is from {n}. My name is {n}, I am writing to you.",
+    "{n}, 12 Oak Avenue.",
+    "my name is Um {n} St. James",
+    "Thank you. {n}, followed by {m}. And then Okay {n} and {m}.",
+    "I spoke with {n} yesterday.",
+    "And {m}.",
+    "Next up we have Mr. Chairman {m}",
+    "We have heard {l} before.",
+    "Nothing from the next individual, Clerk {n}, Commissioner.",
+]
+_NAMED = {"{n}": "f || ' ' || l", "{m}": "'Nancy ' || l", "{l}": "l"}
+
+
+def _list(words):
+    return "[" + ", ".join(_q(w) for w in words) + "]"
+
+
+def _q(pattern):
+    return "'" + pattern.replace("'", "''") + "'"
+
+
+def _line_sql(text):
+    out = "'" + text.replace("'", "''") + "'"
+    for mark, value in _NAMED.items():
+        out = f"replace({out}, '{mark}', {value})"
+    return out
+
+
+_LINES = f"""
+o AS (SELECT o_custkey AS rec, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) - 1 AS idx, {_list(_FIRST)}[o_orderkey % {len(_FIRST)} + 1] AS f, {_list(_LAST)}[o_custkey % {len(_LAST)} + 1] AS l FROM orders),
+lines AS (SELECT rec, idx, CASE WHEN rec % 3 = 0 OR idx < 4 THEN 'V1' ELSE 'V' || o_orderkey % 3 END AS label, trim(regexp_replace(CASE o_orderkey % {len(_SAID)} {' '.join(f'WHEN {i} THEN {_line_sql(x)}' for i, x in enumerate(_SAID))} END, '\\s+', ' ', 'g')) AS text FROM o)"""
+
+
+def said_lines(t):
+    """rec, idx, label, text."""
+    w = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
+    pick = lambda words, key: F.get(F.array(*[F.lit(x) for x in words]), (F.col(key) % len(words)).cast("int"))
+    o = t("orders").select(F.col("o_custkey").alias("rec"), "o_orderkey", (F.row_number().over(w) - 1).cast("long").alias("idx"), pick(_FIRST, "o_orderkey").alias("f"), pick(_LAST, "o_custkey").alias("l"))
+    text = pick(_SAID, "o_orderkey")
+    for mark, value in (("{n}", F.concat_ws(" ", "f", "l")), ("{m}", F.concat(F.lit("Nancy "), "l")), ("{l}", F.col("l"))):
+        text = F.replace(text, F.lit(mark), value)
+    label = F.when((F.col("rec") % 3 == 0) | (F.col("idx") < 4), "V1").otherwise(F.concat(F.lit("V"), F.col("o_orderkey") % 3))
+    return o.select("rec", "idx", label.alias("label"), N.squeezed(text).alias("text"))
+
+
+def _in(words):
+    return "(" + ", ".join(f"'{w}'" for w in words) + ")"
+
+
+_NAME = f"CASE WHEN regexp_extract(text, {_q(N.SAYS)}, 1) <> '' THEN regexp_extract(text, {_q(N.SAYS)}, 1) WHEN regexp_matches(text, {_q(N.SWORN)}) THEN regexp_extract(text, {_q(N.PODIUM)}, 1) END"
+_FOUND = f"""named AS (SELECT *, CASE WHEN length(nm) >= 4 AND len(string_split(nm, ' ')) <= 3 THEN nm END AS name FROM (SELECT *, {_NAME} AS nm FROM lines))"""
+
+
+@query("T34_names_in_lines", f"""WITH {_LINES}, {_FOUND},
+parts AS (SELECT rec, idx, part, unnest(range(len(part))) AS i FROM (SELECT rec, idx, string_split_regex(text, {_q(N.QUEUE_SPLIT)}) AS part FROM lines WHERE regexp_matches(text, {_q(N.QUEUE_CUE)}) OR regexp_matches(text, {_q(N.QUEUE_BARE)}))),
+c AS (SELECT rec, idx, i, k, string_split_regex(n, '\\s+') AS tk FROM (SELECT rec, idx, i, unnest(regexp_extract_all(part[i + 1], {_q(N.QUEUE_NAME)})) AS n, unnest(range(len(regexp_extract_all(part[i + 1], {_q(N.QUEUE_NAME)})))) AS k FROM parts)),
+a AS (SELECT rec, idx, i, k, CASE WHEN p IS NULL OR p = 0 THEN [] ELSE tk[p:] END AS tk FROM (SELECT *, list_position(list_transform(tk, lambda x: lower(x) NOT IN {_in(N.FILLERS)}), true) AS p FROM c)),
+b AS (SELECT rec, idx, i, k, CASE WHEN p IS NULL OR p = 0 THEN [] ELSE tk[1:len(tk) - p + 1] END AS tk FROM (SELECT *, list_position(list_transform(list_reverse(tk), lambda x: lower(x) NOT IN {_in(N.NO_LAST)}), true) AS p FROM a)),
+d AS (SELECT rec, idx, i, k, array_to_string(tk, ' ') AS n, len(tk) AS words FROM b WHERE len(tk) BETWEEN 1 AND 3 AND length(array_to_string(tk, ' ')) >= 4 AND lower(tk[1]) NOT IN {_in(N.NO_FIRST)} AND lower(tk[1]) NOT IN {_in(N.TITLES)} AND len(list_filter(tk, lambda x: NOT regexp_matches(x, '^\\p{{Lu}}\\p{{L}}+$'))) = 0),
+e AS (SELECT rec, idx, i, CASE WHEN i = 0 THEN arg_max(n, k) FILTER (words >= 2) ELSE arg_min(n, k) END AS n FROM d GROUP BY 1, 2, 3),
+q AS (SELECT rec, idx, string_agg(n, ', ' ORDER BY i) AS queue FROM e WHERE n IS NOT NULL GROUP BY 1, 2)
+SELECT rec, idx, name, queue FROM named LEFT JOIN q USING (rec, idx) WHERE name IS NOT NULL OR queue IS NOT NULL""")
+def names_in_lines(t):
+    """The names that lines say of their speakers, and the queues that they read out."""
+    lines = said_lines(t).select("rec", "idx", N.said_name(F.col("text")).alias("name"), F.nullif(F.array_join(N.queued(F.col("text")), ", "), F.lit("")).alias("queue"))
+    return lines.filter("name is not null or queue is not null")
+
+
+@query("I13_self_claims", f"""WITH {_LINES}, {_FOUND},
+runs AS (SELECT *, idx - row_number() OVER (PARTITION BY rec, label ORDER BY idx) AS run, count(*) OVER (PARTITION BY rec, label ORDER BY idx RANGE BETWEEN 6 PRECEDING AND 6 FOLLOWING) AS near FROM named),
+r AS (SELECT *, min(idx) OVER w AS run_lo, max(idx) OVER w AS run_hi, bool_or(regexp_matches(text, {_q(N.READING_RUN)})) OVER w AS reads FROM runs WINDOW w AS (PARTITION BY rec, label, run)),
+held AS (SELECT DISTINCT rec, 'V1' AS label, 'mariano' AS known FROM lines WHERE rec % 4 = 0),
+letters AS (SELECT DISTINCT rec, 5 AS lo, 7 AS hi FROM lines WHERE rec % 5 = 0),
+m AS (SELECT r.*, lo, hi, known, CASE WHEN regexp_matches(text, {_q(N.READING)}) OR reads THEN 'read_aloud' WHEN regexp_matches(CASE WHEN regexp_matches(text, {_q(N.SAYS)}) THEN regexp_extract(text, {_q('^(.*?)' + N.SAYS)}, 1) ELSE '' END, {_q(N.PROMPTED)}) THEN 'prompted'
+  WHEN known IS NOT NULL AND NOT contains(lower(name), known) THEN 'board_voice' WHEN near >= 4 THEN 'self' ELSE 'self_weak' END AS method,
+  (SELECT count(*) FROM lines x WHERE x.rec = r.rec AND contains(lower(x.text), lower(string_split(r.name, ' ')[-1]))) AS heard
+  FROM r LEFT JOIN held USING (rec, label) LEFT JOIN letters ON letters.rec = r.rec AND r.idx BETWEEN lo AND hi WHERE name IS NOT NULL)
+SELECT rec, idx, label, name, method, CASE WHEN method = 'read_aloud' THEN coalesce(lo, idx) ELSE run_lo END AS lo, CASE WHEN method = 'read_aloud' THEN coalesce(hi, idx) ELSE run_hi END AS hi, method IN ('self', 'self_weak') AND heard > 1 AS corroborated FROM m""")
+def self_claims(t):
+    """What becomes of each self-introduction, by the guards in their order; every fourth customer's first voice is known as a board member's."""
+    lines = said_lines(t)
+    recs = lines.select("rec").distinct()
+    held = recs.filter("rec % 4 = 0").select("rec", F.lit("V1").alias("label"), F.lit("Mariano").alias("name"))
+    letters = recs.filter("rec % 5 = 0").select("rec", F.lit(5).cast("long").alias("lo"), F.lit(7).cast("long").alias("hi"))
+    return N.self_claims(lines, held, letters)
