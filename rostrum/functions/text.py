@@ -106,3 +106,19 @@ def dissenters(sentence: Column) -> Column:
     """The names before "voting nay", "voting no", "dissenting" or "opposed" in an outcome sentence, after its tally; an empty array if there are none."""
     names = F.regexp_extract(sentence, r"(?i)\d+\s*-\s*\d+[,;:]?\s*\(?(.+?)\s+(?:voting (?:nay|no)|dissenting|opposed)\b", 1)
     return F.filter(F.split(names, r"(?i)\s*,\s*and\s+|\s*,\s*|\s+and\s+"), lambda n: n != "")
+
+
+def quote(text: Column, pattern: str, most: int = 240) -> Column:
+    """The sentence around the first match of a pattern, at most ``most`` characters and an ellipsis; with an ellipsis before a text's fragment.
+
+    A sentence reaches from one full stop to the next; without a match the text's beginning is quoted.
+    """
+    before, match = F.regexp_extract(text, rf"(?s)^(.*?)({pattern})", 1), F.regexp_extract(text, rf"(?s)^(.*?)({pattern})", 2)
+    lead = F.regexp_extract(before, r"(?s)([^.]*)$", 1)
+    rest = F.substring(text, F.length(before) + F.length(match) + 1, F.length(text))
+    tail = F.regexp_extract(rest, r"(?s)^([^.]*\.?)", 1)
+    whole = F.regexp_replace(F.concat(lead, match, tail), r"^\s+|\s+$", "")
+    cut = F.when(F.length(whole) > most, F.concat(F.regexp_replace(F.substring(whole, 1, most), r"\s+$", ""), F.lit("…"))).otherwise(whole)
+    fragment = ~F.contains(before, F.lit(".")) & whole.rlike(r"^\p{Ll}")
+    found = F.when(fragment, F.concat(F.lit("…"), cut)).otherwise(cut)
+    return F.when(text.rlike(f"(?s){pattern}"), found).otherwise(F.substring(text, 1, most))

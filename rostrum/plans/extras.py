@@ -29,7 +29,7 @@ def agenda(t):
 
 @query("T32_sentence_case", "SELECT p_partkey, upper(substr(p_name, 1, 1)) || lower(substr(p_name, 2)) AS title FROM part")
 def sentence_case(t):
-    return t("part").select("p_partkey", F.concat(F.upper(F.substring("p_name", 1, 1)), F.lower(F.substring("p_name", 2, 10_000))).alias("title"))
+    return t("part").select("p_partkey", F.concat(F.upper(F.substring("p_name", 1, 1)), F.lower(F.substring("p_name", 2, 2**31 - 1))).alias("title"))
 
 
 @query("T39_edit_offsets", """

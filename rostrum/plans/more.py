@@ -128,22 +128,6 @@ def review_queue(t):
     return t("lineitem").groupBy("l_suppkey").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "l_suppkey").limit(20)
 
 
-@query("T22_code_in_title", r"""
-SELECT l_orderkey, l_linenumber, p.p_partkey FROM (SELECT DISTINCT l_orderkey, l_linenumber, regexp_extract('Item P' || l_partkey || ' and P' || (l_partkey + 1), 'P(\d+)', 1)::BIGINT AS code FROM lineitem) JOIN part p ON p.p_partkey = code AND p.p_size > 25""")
-def code_in_title(t):
-    title = F.concat(F.lit("Item P"), F.col("l_partkey"), F.lit(" and P"), F.col("l_partkey") + 1)
-    found = t("lineitem").select("l_orderkey", "l_linenumber", F.regexp_extract(title, r"P(\d+)", 1).cast("long").alias("code")).distinct()
-    return found.join(t("part").filter("p_size > 25"), F.col("p_partkey") == F.col("code")).select("l_orderkey", "l_linenumber", "p_partkey")
-
-
-@query("T25_segment_assembly", """
-SELECT conv_id, turn AS start_idx, coalesce(lead(turn) OVER (PARTITION BY conv_id ORDER BY turn) - 1, m) AS end_idx FROM (SELECT conv_id, turn, max(turn) OVER (PARTITION BY conv_id) AS m FROM conversations) WHERE turn = 0 OR turn % 3 = 2""")
-def segments(t):
-    c = t("conversations").withColumn("m", F.max("turn").over(Window.partitionBy("conv_id"))).filter("turn = 0 or turn % 3 = 2")
-    w = Window.partitionBy("conv_id").orderBy("turn")
-    return c.select("conv_id", F.col("turn").alias("start_idx"), F.coalesce(F.lead("turn").over(w) - 1, "m").alias("end_idx"))
-
-
 @query("T26_implausible_segmentations", """
 SELECT conv_id FROM conversations GROUP BY 1 HAVING count(*) FILTER (turn % 3 = 2) < 1 OR count(*) FILTER (turn % 3 = 2) > greatest(1, count(*) // 3)""")
 def implausible(t):

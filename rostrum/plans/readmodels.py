@@ -191,14 +191,6 @@ def passage_floor(t):
     return t("conversations").filter(F.size(F.split(F.trim("text"), r"\s+")) - F.floor(F.length("role") / 4) >= 60).select("conv_id", "turn")
 
 
-@query("Z2_span_binding", """
-SELECT l_orderkey, l_linenumber, l_partkey, coalesce(a.p_partkey, b.p_partkey, 100000 + l_partkey) AS bound FROM lineitem LEFT JOIN (SELECT p_partkey FROM part WHERE p_size < 20) a ON a.p_partkey = l_partkey LEFT JOIN (SELECT p_partkey FROM part WHERE p_size >= 40) b ON b.p_partkey = l_partkey""")
-def span_binding(t):
-    tier = lambda keep, n: t("part").filter(keep).select(F.col("p_partkey").alias("l_partkey"), F.col("p_partkey").alias(n))
-    j = t("lineitem").join(tier("p_size < 20", "a"), "l_partkey", "left").join(tier("p_size >= 40", "b"), "l_partkey", "left")
-    return j.select("l_orderkey", "l_linenumber", "l_partkey", F.coalesce("a", "b", 100000 + F.col("l_partkey")).alias("bound"))
-
-
 @query("Z10_evidence_lines", r"""
 SELECT conv_id, turn, regexp_matches(text, '(?i)\bthis is\b|\bthat the\b') AS self, lag(turn) OVER (PARTITION BY conv_id ORDER BY turn) AS previous FROM conversations""")
 def evidence(t):

@@ -206,13 +206,6 @@ def squeezed(t):
     return t("pages").select("page_id", F.md5(T.squeeze(F.col("html")).cast("binary")).alias("h"))
 
 
-@query("T48_quote_around_match", r"""
-SELECT doc_id, regexp_extract(text, '[^.!?]*\bthis\b[^.!?]*[.!?]?') AS quote FROM documents WHERE regexp_matches(text, '\bthis\b')""")
-def quotes(t):
-    rows = t("documents").filter(F.col("text").rlike(r"\bthis\b"))
-    return rows.select("doc_id", F.regexp_extract("text", r"([^.!?]*\bthis\b[^.!?]*[.!?]?)", 1).alias("quote"))
-
-
 @query("T54_content_hashes", """
 SELECT doc_id, sha1(text) AS h1, sha256(text) AS h256, md5(text) AS m FROM documents""")
 def content_hashes(t):
@@ -255,17 +248,6 @@ def subject_text(t):
     return t("documents").select("doc_id", T.first_words(F.col("text"), 30).alias("subject"))
 
 
-@query("T24_title_grounding", r"""
-WITH w AS (SELECT b.item_id, d.doc_id, list_distinct(regexp_extract_all(lower(b.text), '[\p{L}\p{N}]{3,}')) AS own, regexp_extract_all(lower(d.text), '[\p{L}\p{N}]{3,}') AS said FROM benchmark b JOIN documents d ON d.doc_id % 40 = b.item_id % 40)
-SELECT item_id, doc_id, len(list_intersect(own, said)) AS spoken, round(len(list_intersect(own, said)) / len(own), 6) AS coverage FROM w WHERE len(own) > 0""")
-def title_grounding(t):
-    words = lambda c: F.array_distinct(F.regexp_extract_all(F.lower(c), F.lit(r"([\p{L}\p{N}]{3,})"), F.lit(1)))
-    b = t("benchmark").select("item_id", words(F.col("text")).alias("own"), (F.col("item_id") % 40).alias("k"))
-    d = t("documents").select("doc_id", words(F.col("text")).alias("said"), (F.col("doc_id") % 40).alias("k"))
-    n = F.size(F.array_intersect("own", "said")).cast("long")
-    return d.join(F.broadcast(b), "k").filter(F.size("own") > 0).select("item_id", "doc_id", n.alias("spoken"), F.round(n / F.size("own"), 6).alias("coverage"))
-
-
 @query("T50_citation_check")
 def citations(t):
     """Citations in a text against the ids that were seen: unknown ones are struck, ranges become their ends."""
