@@ -89,13 +89,6 @@ def resolve_one(t):
     return resolved(t).filter("video_id = 5").select("idx", "name_text")
 
 
-@query("I18_guarded_majority", """
-SELECT cluster, name, n FROM (SELECT label AS cluster, 'P' || (vec_id % 4) AS name, count(*) AS n, row_number() OVER (PARTITION BY label ORDER BY count(*) DESC, 'P' || (vec_id % 4)) AS rn FROM embeddings GROUP BY 1, 2) WHERE rn = 1 AND name <> 'P3'""")
-def guarded_majority(t):
-    rows = t("embeddings").select(F.col("label").alias("cluster"), F.concat(F.lit("P"), F.col("vec_id") % 4).alias("name"))
-    return D.cluster_majority(rows, "cluster", "name").filter("name <> 'P3'")
-
-
 @query("I15_person_linking", "SELECT s_suppkey, c_custkey FROM supplier JOIN customer ON lower(replace(s_name, 'Supplier', 'Customer')) = lower(c_name)")
 def linking(t):
     k = F.lower(F.replace("s_name", F.lit("Supplier"), F.lit("Customer"))).alias("k")

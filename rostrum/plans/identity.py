@@ -152,14 +152,6 @@ def recurring_names(t):
     return g.filter("recordings > 1")
 
 
-@query("I9_precedence_merge", """
-SELECT c_custkey, coalesce(CASE WHEN c_custkey % 11 = 0 THEN 'human' END, CASE WHEN c_acctbal > 9000 THEN 'anchor' END, CASE WHEN c_nationkey < 3 THEN 'commenter' END, CASE WHEN c_custkey % 2 = 0 THEN 'cluster' END) AS source FROM customer""")
-def precedence(t):
-    k = F.col("c_custkey")
-    pick = F.coalesce(F.when(k % 11 == 0, "human"), F.when(F.col("c_acctbal") > 9000, "anchor"), F.when(F.col("c_nationkey") < 3, "commenter"), F.when(k % 2 == 0, "cluster"))
-    return t("customer").select("c_custkey", pick.alias("source"))
-
-
 @query("I28_vector_cache_misses", """
 SELECT DISTINCT sha1(text) AS h FROM documents WHERE sha1(text) NOT IN (SELECT sha1(text) FROM documents WHERE lang = 'en')""")
 def cache_misses(t):

@@ -182,33 +182,6 @@ def roster(t):
     return published.unionByName(rest).join(known, "k", "left_semi")
 
 
-@query("I5_chair_by_elimination", """
-SELECT l_orderkey, min(l_suppkey) AS chair FROM lineitem WHERE l_returnflag = 'N' GROUP BY 1 HAVING count(*) = 1""")
-def chair(t):
-    g = t("lineitem").filter("l_returnflag = 'N'").groupBy("l_orderkey").agg(F.count("*").alias("n"), F.min("l_suppkey").alias("chair"))
-    return g.filter("n = 1").select("l_orderkey", "chair")
-
-
-@query("I10_ownership_upsert", """
-SELECT c_custkey, CASE WHEN c_acctbal < 0 OR c_custkey % 7 = 0 THEN 'new' || c_custkey ELSE c_name END AS name FROM customer""")
-def ownership(t):
-    free = (F.col("c_acctbal") < 0) | (F.col("c_custkey") % 7 == 0)
-    return t("customer").select("c_custkey", F.when(free, F.concat(F.lit("new"), "c_custkey")).otherwise(F.col("c_name")).alias("name"))
-
-
-@query("I11_retraction", "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice > 400000)")
-def retraction(t):
-    held = t("orders").filter("o_totalprice > 400000").select(F.col("o_custkey").alias("c_custkey"))
-    return t("customer").select("c_custkey").join(held, "c_custkey", "left_anti")
-
-
-@query("I17_reader_view", """
-SELECT c_custkey, coalesce(s_name, c_name) AS name, s_suppkey IS NOT NULL AS human FROM customer LEFT JOIN supplier ON s_suppkey = c_custkey""")
-def reader_view(t):
-    j = t("customer").join(t("supplier"), F.col("s_suppkey") == F.col("c_custkey"), "left")
-    return j.select("c_custkey", F.coalesce("s_name", "c_name").alias("name"), F.col("s_suppkey").isNotNull().alias("human"))
-
-
 @query("I23_split_person_pairs", """
 SELECT a.p_name AS a, b.p_name AS b, count(*) AS n FROM (SELECT DISTINCT p_brand, p_name FROM part) a JOIN (SELECT DISTINCT p_brand, p_name FROM part) b ON a.p_brand = b.p_brand AND a.p_name < b.p_name AND levenshtein(a.p_name, b.p_name) <= 4 GROUP BY 1, 2""")
 def split_pairs(t):
@@ -232,13 +205,6 @@ def stranded_claims(t):
     return t("events").filter("event_type = 'signup' and value > 90").filter(F.col("ts") < F.expr("timestamp_ntz '2024-01-30' - interval 6 hours")).select("event_id")
 
 
-@query("V9_terms_respected", """
-SELECT o_orderkey FROM orders JOIN (SELECT l_orderkey, min(l_shipdate) AS lo FROM lineitem GROUP BY 1) ON l_orderkey = o_orderkey WHERE o_orderdate < lo - INTERVAL 1500 DAY""")
-def terms_respected(t):
-    g = t("lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.min("l_shipdate").alias("lo"))
-    return t("orders").join(g, "o_orderkey").filter(F.col("o_orderdate") < F.col("lo") - F.expr("interval 1500 days")).select("o_orderkey")
-
-
 @query("V12_ambiguous_surnames", "SELECT p_name, count(DISTINCT p_brand) AS n FROM part GROUP BY 1 HAVING count(DISTINCT p_brand) > 20")
 def ambiguous(t):
     return t("part").groupBy("p_name").agg(F.countDistinct("p_brand").alias("n")).filter("n > 20")

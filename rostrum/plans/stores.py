@@ -64,15 +64,28 @@ def rebuild(t):
 
 
 # Every fiftieth customer sits on a board, an order is a meeting of the board of its priority, and its customer is on the roster.
-_PEOPLE = """people AS (SELECT c_custkey AS person_id, CASE WHEN c_custkey % 3 = 0 THEN 'board' ELSE 'public' END AS kind, 'Name' || c_custkey % 40 AS surname, CASE WHEN c_custkey % 7 > 0 THEN c_name END AS full_name FROM customer),
+PEOPLE = """people AS (SELECT c_custkey AS person_id, CASE WHEN c_custkey % 3 = 0 THEN 'board' ELSE 'public' END AS kind, 'Name' || c_custkey % 40 AS surname, CASE WHEN c_custkey % 7 > 0 THEN c_name END AS full_name FROM customer),
 videos AS (SELECT o_orderkey::VARCHAR AS video_id, o_orderkey AS meeting_id, o_orderpriority AS body, o_orderdate::DATE AS upload_date FROM orders),
 roster AS (SELECT o_orderkey AS meeting_id, o_custkey AS person_id FROM orders WHERE o_orderkey % 2 = 0),
 terms AS (SELECT o_custkey AS person_id, o_orderpriority AS body, min(o_orderdate)::DATE AS first_seen, max(o_orderdate)::DATE AS last_seen FROM orders WHERE o_orderstatus <> 'P' GROUP BY 1, 2),
 said AS (SELECT o_orderkey, 'NAME' || (o_custkey + CASE WHEN o_orderkey % 5 = 0 THEN 0 ELSE o_orderkey END) % 45 AS nm FROM orders)"""
+
+
+def board(t):
+    """The tables of boards, their members and meetings."""
+    k = F.col("c_custkey")
+    o = t("orders").withColumn("day", F.to_date(F.col("o_orderdate").cast("timestamp")))
+    people = t("customer").select(k.alias("person_id"), F.when(k % 3 == 0, "board").otherwise("public").alias("kind"), F.concat(F.lit("Name"), k % 40).alias("surname"), F.when(k % 7 > 0, F.col("c_name")).alias("full_name"))
+    videos = o.select(F.col("o_orderkey").cast("string").alias("video_id"), F.col("o_orderkey").alias("meeting_id"), F.col("o_orderpriority").alias("body"), F.col("day").alias("upload_date"))
+    roster = o.filter("o_orderkey % 2 = 0").select(F.col("o_orderkey").alias("meeting_id"), F.col("o_custkey").alias("person_id"))
+    terms = o.filter("o_orderstatus <> 'P'").groupBy(F.col("o_custkey").alias("person_id"), F.col("o_orderpriority").alias("body")).agg(F.min("day").alias("first_seen"), F.max("day").alias("last_seen"))
+    return {"people": people, "videos": videos, "roster": roster, "terms": terms}
+
+
 _MATCH = "kind = 'board' AND lower(surname) = lower(nm)"
 
 
-@query("D1_scalar_functions", f"""WITH {_PEOPLE},
+@query("D1_scalar_functions", f"""WITH {PEOPLE},
 f AS (SELECT o_orderkey, nm,
   NOT EXISTS (SELECT 1 FROM people WHERE {_MATCH})
   OR EXISTS (SELECT 1 FROM roster r JOIN people p ON p.person_id = r.person_id WHERE r.meeting_id = o_orderkey AND lower(p.surname) = lower(nm))
@@ -81,15 +94,10 @@ f AS (SELECT o_orderkey, nm,
 SELECT * FROM f""")
 def scalar_functions(t):
     """name_supported and display_name, called from SQL for the name said at each meeting."""
-    k, spark = F.col("c_custkey"), t("orders").sparkSession
-    o = t("orders").withColumn("day", F.to_date(F.col("o_orderdate").cast("timestamp")))
-    people = t("customer").select(k.alias("person_id"), F.when(k % 3 == 0, "board").otherwise("public").alias("kind"), F.concat(F.lit("Name"), k % 40).alias("surname"), F.when(k % 7 > 0, F.col("c_name")).alias("full_name"))
-    videos = o.select(F.col("o_orderkey").cast("string").alias("video_id"), F.col("o_orderkey").alias("meeting_id"), F.col("o_orderpriority").alias("body"), F.col("day").alias("upload_date"))
-    roster = o.filter("o_orderkey % 2 = 0").select(F.col("o_orderkey").alias("meeting_id"), F.col("o_custkey").alias("person_id"))
-    terms = o.filter("o_orderstatus <> 'P'").groupBy(F.col("o_custkey").alias("person_id"), F.col("o_orderpriority").alias("body")).agg(F.min("day").alias("first_seen"), F.max("day").alias("last_seen"))
-    sql.register(spark, "names", ["name_supported", "display_name"], people=people, videos=videos, roster=roster, terms=terms)
+    spark = t("orders").sparkSession
+    sql.register(spark, "names", ["name_supported", "display_name"], **board(t))
     said = F.concat(F.lit("NAME"), (F.col("o_custkey") + F.when(F.col("o_orderkey") % 5 == 0, 0).otherwise(F.col("o_orderkey"))) % 45)
-    o.select("o_orderkey", said.alias("nm")).createOrReplaceTempView("names_said")
+    t("orders").select("o_orderkey", said.alias("nm")).createOrReplaceTempView("names_said")
     return spark.sql("SELECT o_orderkey, nm, name_supported(CAST(o_orderkey AS STRING), nm) AS supported, display_name(nm) AS shown FROM names_said")
 
 
