@@ -115,29 +115,6 @@ def overrides(t):
     return claims(t).filter("method = 'override'").join(lines, ["video_id", "end_idx"], "left_anti").select("id", "end_idx")
 
 
-@query("V21_lost_speech", """
-SELECT user_id AS k, round(sum(value), 2) AS lost FROM events e WHERE NOT EXISTS (SELECT 1 FROM events w WHERE w.user_id = e.user_id AND w.event_id <> e.event_id AND w.ts::DATE = e.ts::DATE) GROUP BY 1""")
-def lost_speech(t):
-    e = t("events").select("user_id", "value", F.to_date("ts").alias("day"))
-    alone = e.withColumn("n", F.count("*").over(Window.partitionBy("user_id", "day"))).filter("n = 1")
-    return alone.groupBy(F.col("user_id").alias("k")).agg(F.round(F.sum("value"), 2).alias("lost"))
-
-
-@query("S8_turns_json", "SELECT conv_id, count(*) AS turns FROM conversations GROUP BY 1")
-def turns_json(t):
-    """Turns packed as JSON and read back."""
-    kind = "array<struct<turn:bigint,role:string>>"
-    packed = t("conversations").groupBy("conv_id").agg(F.to_json(F.collect_list(F.struct("turn", "role"))).alias("j"))
-    return packed.select("conv_id", F.explode(F.from_json("j", kind)).alias("x")).groupBy("conv_id").agg(F.count("*").alias("turns"))
-
-
-@query("S19_silence_points", "SELECT event_id, value AS at FROM events WHERE event_type = 'view'")
-def silence_points(t):
-    line = F.concat(F.col("event_type"), F.lit(" silence_end: "), F.col("value"))
-    lines = t("events").select("event_id", line.alias("value")).filter(F.contains("value", F.lit("view silence_end")))
-    return lines.select("event_id", F.element_at(F.split("value", r"\s+"), -1).cast("double").alias("at"))
-
-
 @query("Y5_outcome_tally", "SELECT l_returnflag AS outcome, count(*) AS n FROM lineitem GROUP BY 1")
 def tally(t):
     return t("lineitem").groupBy(F.col("l_returnflag").alias("outcome")).agg(F.count("*").alias("n"))

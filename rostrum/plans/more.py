@@ -23,13 +23,6 @@ def pruned_scan(t):
     return t("lineitem").select("l_orderkey", "l_quantity").filter("l_quantity > 48")
 
 
-@query("S9_unit_vectors", "SELECT vec_id, round(sqrt(list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[])), 3) AS norm FROM embeddings")
-def unit_vectors(t):
-    v = files.unit_vectors(t("embeddings"), "embedding")
-    norm = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
-    return v.select("vec_id", F.round(norm, 3).alias("norm"))
-
-
 @query("S13_json_rows", "SELECT o_orderkey, '{\"key\":' || o_orderkey || ',\"status\":\"' || o_orderstatus || '\"}' AS json FROM orders")
 def json_rows(t):
     return t("orders").select("o_orderkey", F.to_json(F.struct(F.col("o_orderkey").alias("key"), F.col("o_orderstatus").alias("status"))).alias("json"))
@@ -205,11 +198,6 @@ def stranded_claims(t):
     return t("events").filter("event_type = 'signup' and value > 90").filter(F.col("ts") < F.expr("timestamp_ntz '2024-01-30' - interval 6 hours")).select("event_id")
 
 
-@query("V12_ambiguous_surnames", "SELECT p_name, count(DISTINCT p_brand) AS n FROM part GROUP BY 1 HAVING count(DISTINCT p_brand) > 20")
-def ambiguous(t):
-    return t("part").groupBy("p_name").agg(F.countDistinct("p_brand").alias("n")).filter("n > 20")
-
-
 @query("V13_labels_honoured", "SELECT doc_id FROM labels WHERE quality = 0 AND doc_id IN (SELECT doc_id FROM documents WHERE n_chars > 1000)")
 def labels_honoured(t):
     return t("labels").filter("quality = 0").join(t("documents").filter("n_chars > 1000"), "doc_id", "left_semi").select("doc_id")

@@ -31,7 +31,7 @@ def query(name: str, sql: str | None = None) -> Callable[[Callable], Query]:
 
 
 def _load() -> None:
-    from rostrum.plans import checks, days, extras, identity, intervals, more, readmodels, records, search, speech, stores, streams, subjects, tables, text, voices  # noqa: F401
+    from rostrum.plans import checks, days, extras, files, identity, intervals, more, readmodels, records, search, speech, stores, streams, subjects, tables, text, voices  # noqa: F401
 
 
 def queries() -> dict[str, Query]:
