@@ -1,6 +1,6 @@
 """Retrieval: postings, BM25, vectors, fusion, hybrid search and the loosened record search.
 
-An index is four narrow tables; at scale they are written once, clustered by term.  A query has
+An index is four narrow tables over postings that are written once, each with its document's length.  A query has
 few distinct terms, so that its side of each join is small and bounded by the query's length; the
 corpus statistics are one row.  Ties are always broken by id.
 """
@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rostrum.functions import text as T
+from rostrum.sources import staging
 
 K1, B = 1.2, 0.75
 RRF_K = 60
@@ -23,28 +24,31 @@ MAX_TF = 32_767
 
 @dataclass(frozen=True)
 class Index:
-    terms: DataFrame  # id, term, tf
+    terms: DataFrame  # id, term, tf, len
     lengths: DataFrame  # id, len
     df: DataFrame  # term, df
     stats: DataFrame  # n_docs, avgdl: one row
 
 
 def postings(docs: DataFrame, id_: str, text: str) -> DataFrame:
-    """id, term, tf: a row for each term of a document, tf capped."""
-    words = docs.select(F.col(id_).alias("id"), F.explode(T.tokens(F.col(text))).alias("term"))
-    return words.groupBy("id", "term").agg(F.least(F.count("*"), F.lit(MAX_TF)).alias("tf"))
+    """id, term, tf, len: a row for each term of a document, tf capped, with the document's length in words."""
+    words = docs.select(F.col(id_).alias("id"), T.tokens(F.col(text)).alias("w"))
+    each = words.select("id", F.size("w").cast("long").alias("len"), F.explode("w").alias("term"))
+    return each.groupBy("id", "len", "term").agg(F.least(F.count("*"), F.lit(MAX_TF)).alias("tf")).select("id", "term", "tf", "len")
 
 
 def index_of(terms: DataFrame) -> Index:
     """The whole index from postings; a document without tokens isn't in it."""
-    lengths = terms.groupBy("id").agg(F.sum("tf").alias("len"))
+    lengths = terms.select("id", "len").distinct()
     df = terms.groupBy("term").agg(F.count("*").alias("df"))
     stats = lengths.agg(F.count("*").alias("n_docs"), F.coalesce(F.avg("len"), F.lit(1.0)).alias("avgdl"))
     return Index(terms, lengths, df, stats)
 
 
 def build_index(docs: DataFrame, id_: str, text: str) -> Index:
-    return index_of(postings(docs, id_, text))
+    """The whole index over staged postings: texts are cut into words once, whatever reads it."""
+    terms, _ = staging.stage(postings(docs, id_, text), "postings")
+    return index_of(terms)
 
 
 def refreshed(index: Index, docs: DataFrame, changed: DataFrame, id_: str, text: str) -> Index:
@@ -60,7 +64,7 @@ def refreshed(index: Index, docs: DataFrame, changed: DataFrame, id_: str, text:
     change = old.select("term", F.lit(-1).alias("d")).unionByName(new.select("term", F.lit(1).alias("d")))
     df = index.df.select("term", F.col("df").alias("d")).unionByName(change).groupBy("term").agg(F.sum("d").alias("df")).filter("df > 0")
     terms = index.terms.join(ids, "id", "left_anti").unionByName(new)
-    lengths = index.lengths.join(ids, "id", "left_anti").unionByName(new.groupBy("id").agg(F.sum("tf").alias("len")))
+    lengths = index.lengths.join(ids, "id", "left_anti").unionByName(new.select("id", "len").distinct())
     stats = lengths.agg(F.count("*").alias("n_docs"), F.coalesce(F.avg("len"), F.lit(1.0)).alias("avgdl"))
     return Index(terms, lengths, df, stats)
 
@@ -75,7 +79,7 @@ def bm25(index: Index, terms: DataFrame) -> DataFrame:
     idf = F.log((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
     part = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("avgdl")))
     own = terms.join(index.df, "term").crossJoin(F.broadcast(index.stats))  # one row of statistics
-    hits = index.terms.join(own, "term").join(index.lengths, "id")
+    hits = index.terms.join(own, "term")
     return hits.groupBy("qid", "id").agg(F.sum(idf * part).alias("score"))
 
 

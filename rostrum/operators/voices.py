@@ -135,3 +135,28 @@ def off_body(voices: DataFrame, names: DataFrame, board: Board) -> DataFrame:
     """video_id, cluster, name of ``names`` (as of ``voice_names``) that belong to members without any term on the recording's board."""
     shown = voices.select("video_id", "cluster").distinct().join(names, ["video_id", "cluster"]).withColumn("_s", F.lower("name")).join(_members(board), "_s").join(board["videos"].select("video_id", "body"), "video_id")
     return shown.join(board["terms"].select("person_id", "body").distinct(), ["person_id", "body"], "left_anti").select("video_id", "cluster", "name").distinct()
+
+
+def backfilled(lines: DataFrame, overrides: DataFrame, labels: DataFrame, identities: DataFrame, names: DataFrame, affinity: DataFrame, least: float = 0.70) -> DataFrame:
+    """video_id, label, lo, hi, name, method: all that has been decided about who speaks, as claims on contiguous runs of lines.
+
+    ``lines`` (video_id, idx, label, cluster).  Five producers: ``overrides`` (video_id, lo, hi, name) claim their span, without a label;
+    ``labels`` (video_id, label, name) and ``identities`` (video_id, label, name, source) each run of their voice, the latter as "llm" or "chair" by
+    their source or else as "voice"; and ``names`` (video_id, cluster, name) the runs of each voice in their cluster, as "cluster".  The last is vetoed where
+    the voice resembles that person (``affinity``: video_id, label, name, similarity) less than ``least``, and where another voice of the recording is
+    already known by the name.
+    """
+    key = ["video_id", "label"]
+    order = F.row_number().over(Window.partitionBy(*key).orderBy("idx"))
+    numbered = lines.filter("label is not null").select(*key, "idx").distinct().withColumn("run", F.col("idx") - order)
+    runs = numbered.groupBy(*key, "run").agg(F.min("idx").alias("lo"), F.max("idx").alias("hi")).drop("run")
+    source = F.when(F.col("source").isin("llm", "chair"), F.col("source")).otherwise("voice")
+    known = identities.filter("name is not null")
+    heard = lines.filter("label is not null").select(*key, "cluster").distinct().join(names, ["video_id", "cluster"]).select(*key, "name").distinct()
+    unlike = affinity.filter(F.col("similarity") < least).select(*key, "name").distinct()
+    taken = known.select("video_id", "name", F.col("label").alias("_other")).distinct()
+    apart = (heard["video_id"] == taken["video_id"]) & (heard["name"] == taken["name"]) & (heard["label"] != taken["_other"])
+    cluster = heard.join(taken, apart, "left_anti").join(unlike, [*key, "name"], "left_anti")
+    by_voice = labels.select(*key, "name", F.lit("label").alias("method")).unionByName(known.select(*key, "name", source.alias("method"))).unionByName(cluster.select(*key, "name", F.lit("cluster").alias("method")))
+    spans = by_voice.join(runs, key).select(*key, "lo", "hi", "name", "method")
+    return overrides.select("video_id", F.lit(None).cast("string").alias("label"), "lo", "hi", "name", F.lit("override").alias("method")).unionByName(spans)

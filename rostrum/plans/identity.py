@@ -6,7 +6,6 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from rostrum.operators import identity as D
-from rostrum.operators import intervals as I
 from rostrum.plans.registry import query
 
 _METHODS = ["override", "label", "self", "read_aloud", "chair", "llm", "voice", "cluster"]
@@ -66,17 +65,6 @@ def resolver_coverage(t):
     return resolved(t).groupBy("method").agg(F.count("*").alias("n"), F.count("name_text").alias("named"))
 
 
-@query("I12_claims_per_run", """
-SELECT conv_id AS video_id, role AS local_label, min(turn) AS start_idx, max(turn) AS end_idx FROM (
-  SELECT conv_id, role, turn, turn - row_number() OVER (PARTITION BY conv_id, role ORDER BY turn) AS g FROM conversations WHERE conv_id NOT IN (SELECT conv_id FROM conversations WHERE role = 'system'))
-GROUP BY conv_id, role, g""")
-def claims_per_run(t):
-    c = t("conversations")
-    vetoed = c.filter("role = 'system'").select("conv_id").distinct()
-    runs = I.islands(c.join(vetoed, "conv_id", "left_anti"), ["conv_id", "role"], "turn")
-    return runs.select(F.col("conv_id").alias("video_id"), F.col("role").alias("local_label"), "start_idx", "end_idx")
-
-
 @query("W1_cluster_majority", """
 SELECT cluster, name, n FROM (SELECT label AS cluster, 'P' || (vec_id % 4) AS name, count(*) AS n, row_number() OVER (PARTITION BY label ORDER BY count(*) DESC, 'P' || (vec_id % 4)) AS rn FROM embeddings GROUP BY 1, 2) WHERE rn = 1""")
 def majority(t):

@@ -109,8 +109,7 @@ r AS (SELECT id, round(score, 6) AS score FROM bm) SELECT id, score, row_number(
 def bm25_function(t):
     """The ranking as a table function of a text, over staged postings."""
     spark, index = t("documents").sparkSession, S.build_index(t("documents").select("doc_id", "text"), "doc_id", "text")
-    postings, _ = staging.stage(index.terms.join(index.lengths, "id"), "bm25-postings")
-    sql.register(spark, "index", ["bm25"], postings=postings, frequencies=postings.groupBy("term").agg(F.count("*").alias("df")), corpus=index.stats)
+    sql.register(spark, "index", ["bm25"], postings=index.terms, frequencies=index.df, corpus=index.stats)
     return spark.sql(f"SELECT id, score, rank FROM bm25('{_SAID}', 50)")
 
 

@@ -120,3 +120,32 @@ def reader_view(t):
     resolved = lines.filter("p % 7 > 0").select("video_id", "idx", F.concat(F.lit("Name"), p % 45).alias("name"), F.when(p % 3 == 0, p % 200 + 1).alias("person_id"), method.alias("method"), (p % 13 == 0).alias("contested"))
     pending = lines.filter(F.col("video_id").cast("long") % 10 == 0).select("video_id", F.lit(2).alias("lo"), F.lit(4).alias("hi")).distinct()
     return V.reader_view(lines, resolved, pending, board(t)["people"])
+
+
+@query("I12_claims_per_run", f"""WITH {PEOPLE},
+seats AS (SELECT video_id, lower(surname) AS s FROM videos JOIN roster USING (meeting_id) JOIN people USING (person_id)
+  UNION SELECT video_id, lower(surname) FROM terms JOIN people USING (person_id) JOIN videos USING (body) WHERE upload_date BETWEEN first_seen - 120 AND last_seen + 400),
+board_names AS (SELECT DISTINCT lower(surname) AS s FROM people WHERE kind = 'board'),
+lines AS (SELECT l_orderkey::VARCHAR AS video_id, l_linenumber AS idx, max(l_partkey) % 3 AS k, (l_orderkey * 3 + max(l_partkey) % 3) % 60 AS cluster FROM lineitem GROUP BY l_orderkey, l_linenumber),
+vo AS (SELECT DISTINCT video_id, k, cluster, 'L' || k AS label, video_id::BIGINT + k AS n FROM lines),
+ids AS (SELECT video_id, label, cluster, 'Name' || cluster % 45 AS name, CASE n % 3 WHEN 0 THEN 'llm' WHEN 1 THEN 'chair' END AS source FROM vo WHERE n % 4 > 0),
+named AS (SELECT video_id, cluster, name FROM ids), {_PICKS},
+heard AS (SELECT DISTINCT vo.video_id, vo.label, shown.name, n FROM vo JOIN shown USING (video_id, cluster)),
+clu AS (SELECT video_id, label, name FROM heard h WHERE NOT (n % 5 = 0 AND n % 10 / 10.0 < 0.7) AND NOT EXISTS (SELECT 1 FROM ids i WHERE i.video_id = h.video_id AND i.name = h.name AND i.label <> h.label)),
+c AS (SELECT video_id, label, 'Lab' || n % 9 AS name, 'label' AS method FROM vo WHERE n % 7 = 0 UNION ALL SELECT video_id, label, name, coalesce(source, 'voice') FROM ids UNION ALL SELECT *, 'cluster' FROM clu),
+runs AS (SELECT video_id, 'L' || k AS label, min(idx) AS lo, max(idx) AS hi FROM (SELECT *, idx - row_number() OVER (PARTITION BY video_id, k ORDER BY idx) AS g FROM lines) GROUP BY video_id, k, g)
+SELECT video_id, label, lo, hi, name, method FROM c JOIN runs USING (video_id, label) UNION ALL SELECT DISTINCT video_id, NULL, 2, 4, 'Human', 'override' FROM lines WHERE video_id::BIGINT % 9 = 0""")
+def claims_per_run(t):
+    """What five producers have decided, as claims on runs of lines, with the two vetoes on clusters' names."""
+    rows = t("lineitem").groupBy("l_orderkey", "l_linenumber").agg((F.max("l_partkey") % 3).alias("k"))
+    o, k = F.col("l_orderkey"), F.col("k")
+    lines = rows.select(o.cast("string").alias("video_id"), F.col("l_linenumber").cast("long").alias("idx"), F.concat(F.lit("L"), k).alias("label"), ((o * 3 + k) % 60).alias("cluster"), (o + k).alias("n"))
+    n = F.col("n")
+    vo = lines.select("video_id", "label", "cluster", "n").distinct()
+    ids = vo.filter("n % 4 > 0").select("video_id", "label", "cluster", F.concat(F.lit("Name"), F.col("cluster") % 45).alias("name"), F.when(n % 3 == 0, "llm").when(n % 3 == 1, "chair").alias("source"))
+    names = V.voice_names(ids, board(t))
+    affinity = vo.filter("n % 5 = 0").join(names, ["video_id", "cluster"]).select("video_id", "label", "name", (n % 10 / 10.0).alias("similarity"))
+    labels = vo.filter("n % 7 = 0").select("video_id", "label", F.concat(F.lit("Lab"), n % 9).alias("name"))
+    whole = lambda v: F.lit(v).cast("long")
+    overrides = lines.filter(F.col("video_id").cast("long") % 9 == 0).select("video_id", whole(2).alias("lo"), whole(4).alias("hi"), F.lit("Human").alias("name")).distinct()
+    return V.backfilled(lines, overrides, labels, ids, names, affinity)
