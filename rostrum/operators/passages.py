@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rostrum.operators import places
+from rostrum.sources import staging
 
 # The caps of a passage, in words, and of an utterance and a window, in seconds.
 MAX_WORDS, FLOOR, TURN_WORDS, MIN_INDEXED = 140, 35, 12, 12
@@ -32,17 +33,17 @@ def build(utterances: DataFrame, key: str, idx: str, speaker: str, text: str, le
     rows = places.numbered(rows, g, ["idx"], "passage-lines").withColumn("short", F.col("n") < turn_words)
     rows = places.running(rows, g, F.col("n"), "upto", sums=True)
     # the first line after this one that can't be in a passage begun here: another speaker, or a line of the other kind
-    ahead = places.neighbour(rows.select(key, "part", "pos", "who", "short", "n", "upto"), g, {"who": "was", "short": "was_short"}, -1)
-    breaks = lambda c: places.running(ahead, g, F.when(c, F.col("pos")).otherwise(F.lit(0)), "run")
-    by_who = breaks(F.coalesce(F.col("who") != F.col("was"), F.lit(True))).select(key, "pos", F.col("run").alias("who_run"))
-    by_kind = breaks(F.coalesce(F.col("short") != F.col("was_short"), F.lit(True))).select(key, "pos", F.col("run").alias("kind_run"))
-    runs = ahead.select(key, "pos", "short", "n", "upto").join(by_who, [key, "pos"]).join(by_kind, [key, "pos"])
+    ahead = places.neighbour(rows, g, {"who": "was", "short": "was_short"}, -1)
+    breaks = lambda df, a, b, out: places.running(df, g, F.when(F.coalesce(F.col(a) != F.col(b), F.lit(True)), F.col("pos")).otherwise(F.lit(0)), out)
+    runs = breaks(breaks(ahead, "who", "was", "who_run"), "short", "was_short", "kind_run").select(key, "part", "pos", "short", "n", "upto", "who_run", "kind_run")
+    runs, runs_path = staging.stage(runs, "passage-runs")  # read for the ends of runs, the caps and the links
     last = lambda c: runs.groupBy(key, c).agg((F.max("pos") + 1).alias(f"{c}_end"))
     crossed = places.first_at_least(runs, g, "upto", F.col("upto") - F.col("n") + max_words, WORD_BLOCK)
     links = runs.join(last("who_run"), [key, "who_run"]).join(last("kind_run"), [key, "kind_run"]).join(crossed, [key, "pos"], "left")
     end = F.when(F.col("short"), F.col("kind_run_end")).otherwise(F.col("who_run_end"))
     found = F.when(F.col("found").isNotNull(), F.greatest("found", "pos") + 1)  # null: the cap isn't reached any more
     cuts = places.chain(links.select(key, "pos", F.least(end, F.coalesce(found, end)).alias("next")), g, rows.filter("pos = 0"))
+    staging.drop(utterances.sparkSession, runs_path)
     opened = rows.join(cuts.withColumn("cut", F.lit(True)), [key, "pos"], "left")
     opened = places.running(opened, g, F.when(F.col("cut"), F.col("pos")), "start")
     line = F.struct("pos", "idx", "who", "body", "n", "short")
@@ -67,6 +68,7 @@ def group_utterances(rows: DataFrame, key: str, start: str, end: str, speaker: s
     fresh = F.col("_end").isNull() | ~F.col("_who").eqNullSafe(F.col(speaker)) | (F.col(start) - F.col("_end") >= gap)
     runs = places.running(seen, g, F.when(fresh, F.col("pos")), "_run")
     runs = places.running(runs, g, F.struct("_run", F.col(end).alias("e")), "_far").withColumn("_far", F.col("_far.e"))
+    runs, _ = staging.stage(runs, "utterance-runs")  # read for the ends of runs, the caps and the result
     in_run = [key, "_run"]
     ends = runs.groupBy(*in_run).agg(F.max("pos").alias("_last"))
     crossed = places.first_at_least(runs, in_run, "_far", F.col(start) + most, SECOND_BLOCK)

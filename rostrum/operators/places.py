@@ -75,16 +75,17 @@ def chain(links: DataFrame, group: list[str], starts: DataFrame) -> DataFrame:
     """
     spark = links.sparkSession
     keys = [*group, "pos"]
-    jumps, jumps_path = staging.stage(links.filter("next is not null").select(*keys, "next"), "cut-links")
+    jumps, _ = staging.stage(links.filter("next is not null").select(*keys, F.col("next").cast("long").alias("next")), "cut-links")
     known, _ = staging.stage(starts.select(*keys), "cut-starts")
     for _ in range(MAX_ROUNDS):
-        fresh, _ = staging.stage(known.join(jumps, keys).select(*group, F.col("next").alias("pos")), "cut-starts")
-        if not fresh.limit(1).count():
-            staging.drop(spark, jumps_path)
-            return known
-        known = known.unionByName(fresh)
+        # one table for each round: the cuts that it finds, without a next one, and the links of twice the steps
+        fresh = known.join(jumps, keys).select(*group, F.col("next").alias("pos"), F.lit(None).cast("long").alias("next"))
         on = jumps.select(*group, F.col("pos").alias("next"), F.col("next").alias("_then"))
-        after, after_path = staging.stage(jumps.join(on, [*group, "next"]).select(*keys, F.col("_then").alias("next")), "cut-links")
-        staging.drop(spark, jumps_path)
-        jumps, jumps_path = after, after_path
+        twice = jumps.join(on, [*group, "next"]).select(*keys, F.col("_then").alias("next"))
+        after, path = staging.stage(fresh.unionByName(twice), "cut-round")  # stays, as the result reads its cuts
+        cuts, jumps = after.filter("next is null").select(*keys), after.filter("next is not null")
+        if not cuts.limit(1).count():
+            staging.drop(spark, path)
+            return known
+        known = known.unionByName(cuts)
     raise RuntimeError(f"a chain has more than 2 ** {MAX_ROUNDS} cuts")
