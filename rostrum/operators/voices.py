@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from rostrum.operators import intervals as I
+
 # Days before a term's first sight and after its last one, and gavel lines of a chair at least.
 BEFORE, AFTER, GAVELS = 120, 400, 3
 
@@ -24,16 +26,34 @@ def in_term(day: Column) -> Column:
     return day.between(F.date_sub("first_seen", BEFORE), F.date_add("last_seen", AFTER))
 
 
+def _merged_days(rows: DataFrame, key: list[str]) -> DataFrame:
+    """key, lo, hi: spans of days (lo, hi) of a key joined where they meet."""
+    numbered = rows.filter("lo <= hi").groupBy(*key, F.unix_date("lo").alias("lo")).agg(F.max(F.unix_date("hi")).alias("hi"))
+    return I.merged(numbered, key, "lo", "hi").select(*key, F.date_from_unix_date("lo").alias("lo"), F.date_from_unix_date("hi").alias("hi"))
+
+
+def spans(board: Board) -> DataFrame:
+    """body, _s, lo, hi: the days on which somebody of a surname can be heard on a board, by terms; spans of one board and surname lie apart.
+
+    Terms that begin on one day are one before they meet, so that a surname has no more of them than there are days.
+    """
+    named = board["people"].select("person_id", F.lower("surname").alias("_s"))
+    days = board["terms"].join(named, "person_id").select("body", "_s", F.date_sub("first_seen", BEFORE).alias("lo"), F.date_add("last_seen", AFTER).alias("hi"))
+    return _merged_days(days, ["body", "_s"])
+
+
 def supported(rows: DataFrame, board: Board) -> DataFrame:
     """``rows`` (video_id, name) with supported: no board member has the name, or the meeting's roster does, or a term on its board spans the day.
 
-    Each test is an equi-join on the distinct names of the recordings.
+    Each test is an equi-join on the distinct names of the recordings; a day meets the few spans of its board and surname, not the terms of all its people.
     """
     asked = rows.filter("name is not null").select("video_id", F.lower("name").alias("_s")).distinct()
     of_board = _members(board).select("_s").distinct().withColumn("_board", F.lit(True))
     named = board["people"].select("person_id", F.lower("surname").alias("_s"))
     seats = board["videos"].select("video_id", "meeting_id").join(board["roster"], "meeting_id").join(named, "person_id").select("video_id", "_s")
-    terms = board["terms"].join(named, "person_id").join(board["videos"], "body").filter(in_term(F.col("upload_date"))).select("video_id", "_s")
+    dated = asked.join(board["videos"].select("video_id", "body", "upload_date"), "video_id")
+    days = dated.select("body", "_s", "upload_date").distinct().join(spans(board), ["body", "_s"]).filter(F.col("upload_date").between(F.col("lo"), F.col("hi"))).select("body", "_s", "upload_date")
+    terms = dated.join(days.distinct(), ["body", "_s", "upload_date"], "left_semi").select("video_id", "_s")
     held = asked.join(seats.unionByName(terms).distinct().withColumn("_seat", F.lit(True)), ["video_id", "_s"], "left").join(of_board, "_s", "left")
     told = held.select("video_id", "_s", (F.col("_board").isNull() | F.col("_seat").isNotNull()).alias("supported"))
     return rows.withColumn("_s", F.lower("name")).join(told, ["video_id", "_s"], "left").select(*rows.columns, "supported")
@@ -124,17 +144,32 @@ def reader_view(lines: DataFrame, resolved: DataFrame, pending: DataFrame, peopl
 
 
 def out_of_term(voices: DataFrame, labelled: DataFrame, board: Board) -> DataFrame:
-    """video_id, label, name: voices named as board members on a day in none of their terms, unless people labelled them."""
-    dated = board["videos"].filter("upload_date is not null").select("video_id", "upload_date")
-    named = voices.withColumn("_s", F.lower("name")).join(_members(board), "_s").join(dated, "video_id")
-    held = named.join(board["terms"].drop("body"), "person_id").filter(in_term(F.col("upload_date"))).select("video_id", "label", "person_id").distinct()
-    return named.join(held, ["video_id", "label", "person_id"], "left_anti").join(labelled.select("video_id", "label"), ["video_id", "label"], "left_anti").select("video_id", "label", "name").distinct()
+    """video_id, label, name: voices named as board members on a day in none of their terms, unless people labelled them.
+
+    Of each surname, the members whose terms hold a day are counted: each day on which a member's terms begin or end adds or takes one.
+    """
+    members = _members(board).distinct()
+    all_of = members.groupBy("_s").agg(F.count("*").alias("_all"))
+    terms = members.join(board["terms"].select("person_id", F.date_sub("first_seen", BEFORE).alias("lo"), F.date_add("last_seen", AFTER).alias("hi")), "person_id")
+    own = _merged_days(terms, ["_s", "person_id"])  # a member's spans lie apart
+    turns = own.select("_s", F.col("lo").alias("day"), F.lit(1).alias("d")).unionByName(own.select("_s", F.date_add("hi", 1).alias("day"), F.lit(-1).alias("d")))
+    dated = voices.withColumn("_s", F.lower("name")).join(board["videos"].filter("upload_date is not null").select("video_id", F.col("upload_date").alias("day")), "video_id").join(all_of, "_s")
+    days = turns.unionByName(dated.select("_s", "day", F.lit(0).alias("d")).distinct()).groupBy("_s", "day").agg(F.sum("d").alias("d"))
+    held = days.select("_s", "day", F.sum("d").over(Window.partitionBy("_s").orderBy("day")).alias("_held"))
+    out = dated.join(held, ["_s", "day"]).filter("_held < _all")
+    return out.join(labelled.select("video_id", "label"), ["video_id", "label"], "left_anti").select("video_id", "label", "name").distinct()
 
 
 def off_body(voices: DataFrame, names: DataFrame, board: Board) -> DataFrame:
-    """video_id, cluster, name of ``names`` (as of ``voice_names``) that belong to members without any term on the recording's board."""
-    shown = voices.select("video_id", "cluster").distinct().join(names, ["video_id", "cluster"]).withColumn("_s", F.lower("name")).join(_members(board), "_s").join(board["videos"].select("video_id", "body"), "video_id")
-    return shown.join(board["terms"].select("person_id", "body").distinct(), ["person_id", "body"], "left_anti").select("video_id", "cluster", "name").distinct()
+    """video_id, cluster, name of ``names`` (as of ``voice_names``) that belong to members without any term on the recording's board.
+
+    Members of a surname are counted, in all and by board.
+    """
+    members = _members(board).distinct()
+    all_of = members.groupBy("_s").agg(F.count("*").alias("_all"))
+    sat = members.join(board["terms"].select("person_id", "body").distinct(), "person_id").groupBy("_s", "body").agg(F.count("*").alias("_sat"))
+    shown = voices.select("video_id", "cluster").distinct().join(names, ["video_id", "cluster"]).withColumn("_s", F.lower("name")).join(all_of, "_s").join(board["videos"].select("video_id", "body"), "video_id")
+    return shown.join(sat, ["_s", "body"], "left").filter(F.coalesce("_sat", F.lit(0)) < F.col("_all")).select("video_id", "cluster", "name").distinct()
 
 
 def backfilled(lines: DataFrame, overrides: DataFrame, labels: DataFrame, identities: DataFrame, names: DataFrame, affinity: DataFrame, least: float = 0.70) -> DataFrame:

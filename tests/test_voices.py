@@ -113,3 +113,22 @@ def test_backfilled(make):
     }
     assert ask(0.70) == common | {("w", "A", 0, 0, "Cy", "cluster")}
     assert ask(0.69) == common
+
+
+def test_terms_of_many_people_meet_a_day_once(make, spark):
+    """A surname that many members have: spans lie apart, and members are counted by the day."""
+    many = 300
+    board = {
+        "people": make([(i, "board", "Oakley", None) for i in range(many)], "person_id long, kind string, surname string, full_name string"),
+        "videos": make([(f"v{i}", i, "A", later(i * 50)) for i in range(40)], "video_id string, meeting_id long, body string, upload_date date"),
+        "roster": make([], "meeting_id long, person_id long"),
+        "terms": make([(i, "A", later(i % 7), later(i % 7 + i % 3)) for i in range(many)] + [(0, "A", later(1500), later(1501))], "person_id long, body string, first_seen date, last_seen date"),
+    }
+    assert V.spans(board).count() == 2
+    rows = make([(f"v{i}", "S1", "Oakley") for i in range(40)], "video_id string, label string, name string")
+    held = {i for i in range(40) if i * 50 <= 408 or 1380 <= i * 50 <= 1901}
+    assert {r.video_id for r in V.supported(rows, board).filter("supported").collect()} == {f"v{i}" for i in held}
+    none = make([], "video_id string, label string")
+    all_held = {i for i in range(40) if i * 50 <= 400}  # each of the members has a term that holds the day
+    assert {r.video_id for r in V.out_of_term(rows, none, board).collect()} == {f"v{i}" for i in range(40)} - {f"v{i}" for i in all_held}
+    assert V.off_body(rows.withColumnRenamed("label", "cluster"), rows.withColumnRenamed("label", "cluster"), board).count() == 0
