@@ -7,6 +7,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from rostrum.operators import vectors as V
+
 # The methods of a claim and their ranks.
 METHOD_RANK = {"override": 1, "label": 2, "self": 3, "self_weak": 3, "read_aloud": 3, "rollcall": 4, "chair": 5, "llm": 6, "voice": 7, "cluster": 8}
 
@@ -56,12 +58,15 @@ def cosine(a: Column, b: Column) -> Column:
 def affinity(voices: DataFrame, group: str, k: int = 3) -> DataFrame:
     """id, similarity: mean of the ``k`` nearest other voices of the same group (id, v, group).
 
-    Only the ``k`` best are kept for each voice; groups are voices of one name and so bounded by its recordings.
+    The nearest are found in blocks of vectors, so that pairs of voices stay inside a task.  A voice without another one in its group
+    has no row, and one that can't be compared a null.
     """
-    other = voices.select(F.col("id").alias("_o"), F.col("v").alias("_v"), group)
-    sims = voices.join(other, group).filter("id != _o").select("id", cosine(F.col("v"), F.col("_v")).alias("s"))
-    w = Window.partitionBy("id").orderBy(F.desc("s"))
-    return sims.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= k).groupBy("id").agg(F.avg("s").alias("similarity"))
+    rows = voices.select(F.col(group).alias("cell"), "id", "v").filter("cell is not null")
+    able = rows.filter("v is not null")
+    best = V.in_blocks(able, able.select("cell", F.col("id").alias("qid"), F.col("v").alias("q")), k, None, apart=True)
+    several = rows.groupBy("cell").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).filter("lo < hi").select("cell")
+    paired = rows.join(several, "cell", "left_semi").select("id").distinct()
+    return paired.join(best.groupBy(F.col("qid").alias("id")).agg(F.avg("score").alias("similarity")), "id", "left")
 
 
 def grow_anchors(voices: DataFrame, seeds: DataFrame, assign: float = 0.70, promote: float = 0.85, rounds: int = 3, k: int = 3) -> DataFrame:
@@ -69,14 +74,16 @@ def grow_anchors(voices: DataFrame, seeds: DataFrame, assign: float = 0.70, prom
 
     ``seeds`` (id, name) are voices that people have named; they always keep their names.  A
     voice's similarity to a person is the mean of its ``k`` best references; from ``promote`` on it
-    becomes a reference itself in the next round.  References are a stated, small set.
+    becomes a reference itself in the next round.  Voices meet the references of each person in blocks.
     """
     own = seeds.join(voices, "id").select("name", F.col("v").alias("r"), F.col("id").alias("rid"))
+    asked = voices.filter("v is not null").select(F.col("id").alias("qid"), F.col("v").alias("q"))
     refs, found = own, None
     for _ in range(rounds):
-        sims = voices.join(F.broadcast(refs)).filter("id != rid").select("id", "name", cosine(F.col("v"), F.col("r")).alias("s"))
-        w = Window.partitionBy("id", "name").orderBy(F.desc("s"))
-        top = sims.withColumn("_k", F.row_number().over(w)).filter(F.col("_k") <= k).groupBy("id", "name").agg(F.avg("s").alias("similarity"))
+        members = refs.filter("r is not null").select(F.col("name").alias("cell"), F.col("rid").alias("id"), F.col("r").alias("v"))
+        queries = members.select("cell").distinct().join(asked).select("cell", "qid", "q")
+        near = V.in_blocks(members, queries, k, None, apart=True, by=("cell", "qid"))
+        top = near.groupBy(F.col("qid").alias("id"), F.col("cell").alias("name")).agg(F.avg("score").alias("similarity"))
         best = top.withColumn("_rn", F.row_number().over(Window.partitionBy("id").orderBy(F.desc("similarity"), "name"))).filter("_rn = 1").drop("_rn")
         free = best.join(seeds.select("id"), "id", "left_anti").filter(F.col("similarity") >= assign)
         found = _checkpointed(free)
