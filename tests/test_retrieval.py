@@ -144,3 +144,14 @@ def test_subjects_of_a_tree(spark):
     rows = [tuple(r) for r in got.collect()]
     assert len(rows) == len(set(rows)) and set(rows) == want
     assert ("theme", 3) in want and ("bridges", 3) not in want and ("bridges", 2) in want  # a bridge without a road is the theme's only
+
+
+def test_postings_are_counted_in_place(spark, monkeypatch):
+    from rostrum.operators import search
+
+    monkeypatch.setattr(search, "PART", 2)
+    texts = ["a b a", None, "", "B c", "b " * 40_000, "c d e"]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    got = search.postings(df, "id", "text")
+    assert sorted(map(tuple, got.collect())) == [(0, "a", 2, 3), (0, "b", 1, 3), (3, "b", 1, 2), (3, "c", 1, 2), (4, "b", 32_767, 40_000), (5, "c", 1, 3), (5, "d", 1, 3), (5, "e", 1, 3)]
+    assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
