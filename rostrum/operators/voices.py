@@ -21,11 +21,6 @@ def _members(board: Board) -> DataFrame:
     return board["people"].filter("kind = 'board'").select("person_id", F.lower("surname").alias("_s"))
 
 
-def in_term(day: Column) -> Column:
-    """Whether a day lies in a term, with the days around it."""
-    return day.between(F.date_sub("first_seen", BEFORE), F.date_add("last_seen", AFTER))
-
-
 def _merged_days(rows: DataFrame, key: list[str]) -> DataFrame:
     """key, lo, hi: spans of days (lo, hi) of a key joined where they meet."""
     numbered = rows.filter("lo <= hi").groupBy(*key, F.unix_date("lo").alias("lo")).agg(F.max(F.unix_date("hi")).alias("hi"))
