@@ -3,13 +3,14 @@
 1. ``measure`` counts words, their characters, symbols, repeated lines, words in repeated passages and kinds of characters,
    one pass in Arrow batches, whole texts at a time.
 2. Fixed limits reject texts of under ``LEAST_WORDS`` words and those with over ``MOST_REPEATED`` percent of repeated words.
-3. ``fit`` grows ``TREES`` trees of random splits, each over ``SAMPLE`` documents, on ratios of the counts.  A document that few
-   splits set apart has short paths and a high anomaly score.
-4. The score from which documents go is calibrated on the labelled rows: of all cuts that lose ``GOOD_LOST`` of the good ones at
-   most, the one that tells bad from good best.
+3. ``fit`` grows ``TREES`` trees of random splits on ratios of the counts.  The method has each tree isolate ``SAMPLE`` documents, which it
+   draws from all labelled rows, however many; the draws are made where the rows are, and a tree is grown in a task.  A document that
+   few splits set apart has short paths and a high anomaly score.
+4. The score from which documents go is calibrated on all labelled rows, by counts of each score added up over ranges of scores: of
+   all cuts that lose ``GOOD_LOST`` of the good ones at most, the one that tells bad from good best.
 
-The forest is fitted on at most ``MAX_ROWS`` labelled rows, the only sample taken; it is a few hundred kilobytes and goes with the
-task.  Without good and bad labelled rows only the fixed limits reject.
+No labelled row is left out.  The forest is a few hundred kilobytes and goes with the task.  Without good and bad labelled rows
+only the fixed limits reject.
 
 Edge cases: a null text counts as empty; without words all counts are 0 and the limits reject it; with fewer than five
 words nothing is a repeated passage; characters beyond U+FFFF count as signs in the ratios; equal texts have equal
@@ -25,15 +26,17 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from rostrum.llm import shared
 
 #: Limits: words at least, percent of words in repeated windows at most, and words of a window.
 LEAST_WORDS, MOST_REPEATED, WINDOW = 10, 20, 5
-#: Labelled rows, trees, documents of a tree (few, so that junk of one kind doesn't hide itself), share of good labelled rows that may be lost, and the seed.
-MAX_ROWS, TREES, SAMPLE, GOOD_LOST, SEED = 12_000, 200, 64, 0.004, 3
+#: Trees, documents of a tree (few, so that junk of one kind doesn't hide itself), share of good labelled rows that may be lost, and the seed.
+TREES, SAMPLE, GOOD_LOST, SEED = 200, 64, 0.004, 3
+#: A row may be in a tree's draw if its hash is among the least such multiple of ``SAMPLE``; fewer than ``SAMPLE`` such rows don't come about.
+AMPLE = 8
 #: Documents that are scored at a time.
 PART = 1000
 
@@ -196,23 +199,103 @@ def calibrated(scores: np.ndarray, good: np.ndarray, lost: float = GOOD_LOST) ->
     return float(cuts[best] if best + 1 == len(cuts) else (cuts[best] + cuts[best + 1]) / 2)
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Forest | None:
-    """A calibrated forest from the labelled rows outside the held-out fifth, ``max_rows`` at most; None without any."""
+def fit(docs: DataFrame, labels: DataFrame) -> Forest | None:
+    """A calibrated forest from all labelled rows outside the held-out fifth; None without any."""
+    return fitted(measure(docs), labels)
+
+
+def fitted(counts: DataFrame, labels: DataFrame) -> Forest | None:
+    """``fit`` by rows of ``measure``; of an id's rows and labels the least counts."""
+    spark = counts.sparkSession
     known = labels.filter(F.col("quality").isin(0, 1) & ~shared.held_out(F.col("doc_id"))).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("y"))
-    chosen = known.dropDuplicates(["doc_id"]).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
-    # one row of each id: bounded by max_rows, as the least of its texts
-    rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].alias("text")).join(F.broadcast(chosen), "doc_id")
-    found = measure(rows.groupBy("doc_id").agg(F.min("text").alias("text")))
-    got = found.join(F.broadcast(chosen), "doc_id").select("y", *COUNTS, *MORE).toPandas()
-    if not len(got):
-        return None
-    got = got.sort_values(list(got.columns))  # the order of arrival must not matter
-    counts = got[COUNTS + MORE].to_numpy(np.int64)
-    x, good = ratios(counts), got["y"].to_numpy() == 1
-    forest = grow(x)
-    passes = ~failed(counts[:, 0], counts[:, COUNTS.index("n_repeat_words")])
-    cut = calibrated(forest.scores(x[passes]), good[passes]) if passes.any() else np.inf
-    return Forest(forest.feature, forest.split, forest.path, forest.sample, cut)
+    known = known.groupBy("doc_id").agg(F.min("y").alias("y"))
+    one = counts.join(known, "doc_id").groupBy("doc_id").agg(F.min(F.struct("y", *COUNTS, *MORE)).alias("of")).select("doc_id", "of.*")
+    rows, path = shared.stage(one, "rules-labelled")
+    try:
+        total = rows.count()
+        if not total:
+            return None
+        forest = grown(rows, total)
+        return Forest(forest.feature, forest.split, forest.path, forest.sample, best_cut(scored(rows, forest)))
+    finally:
+        shared.drop(spark, path)
+
+
+def _values(part: pa.RecordBatch) -> np.ndarray:
+    return np.stack([part.column(c).to_numpy() for c in COUNTS + MORE], axis=1)
+
+
+def drawn(rows: DataFrame, total: int, trees: int = TREES, sample: int = SAMPLE, seed: int = SEED) -> DataFrame:
+    """tree, h, doc_id, x: the ``sample`` of all ``total`` rows (doc_id and counts) with the least hashes of id and tree, for each tree."""
+    bar = np.uint64(min(AMPLE * sample / total, 1.0) * (2**64 - 2**12))
+    with np.errstate(over="ignore"):
+        salts = shared.mix64(np.arange(1, trees + 1, dtype=np.uint64) + np.uint64(seed) * np.uint64(1 << 32))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at in range(0, b.num_rows, PART):
+                part = b.slice(at, PART)
+                ids = part.column("doc_id").to_numpy().astype(np.int64)
+                with np.errstate(over="ignore"):
+                    h = shared.mix64(shared.mix64(ids.view(np.uint64))[:, None] + salts)
+                row, tree = np.nonzero(h <= bar) if total > AMPLE * sample else np.nonzero(np.ones(h.shape, bool))
+                x = ratios(_values(part))[row]
+                lists = pa.ListArray.from_arrays(np.arange(len(row) + 1, dtype=np.int32) * x.shape[1], pa.array(x.ravel()))
+                yield pa.RecordBatch.from_arrays([pa.array(tree.astype(np.int32)), pa.array((h[row, tree] >> np.uint64(1)).astype(np.int64)), pa.array(ids[row]), lists], names=["tree", "h", "doc_id", "x"])
+
+    able = rows.mapInArrow(shared.tidied(run), "tree int, h long, doc_id long, x array<double>")
+    least = Window.partitionBy("tree").orderBy("h", "doc_id")
+    return able.withColumn("place", F.row_number().over(least)).filter(F.col("place") <= sample).drop("place")
+
+
+def grown(rows: DataFrame, total: int, trees: int = TREES, sample: int = SAMPLE, seed: int = SEED) -> Forest:
+    """A forest whose trees draw from all ``total`` rows (doc_id and counts); each tree is grown in a task."""
+    sample = min(sample, total)
+
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        order = table.sort_by([("h", "ascending"), ("doc_id", "ascending")])
+        own = grow(np.array(order.column("x").to_pylist()), 1, sample, seed + 1 + key[0].as_py())
+        return pa.table({"tree": pa.array([key[0].as_py()], pa.int32()), "feature": [own.feature[0].tolist()], "split": [own.split[0].tolist()], "path": [own.path[0].tolist()]})
+
+    found = drawn(rows, total, trees, sample, seed).groupBy("tree").applyInArrow(run, "tree int, feature array<long>, split array<double>, path array<double>")
+    got = sorted(found.collect(), key=lambda r: r.tree)  # a few hundred kilobytes, whatever the input
+    return Forest(np.array([r.feature for r in got], np.int32), np.array([r.split for r in got]), np.array([r.path for r in got]), sample)
+
+
+def scored(rows: DataFrame, forest: Forest) -> DataFrame:
+    """score, y of the rows (y and counts) that pass the fixed limits."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at in range(0, b.num_rows, PART):
+                part = b.slice(at, PART)
+                own = _values(part)
+                passes = ~failed(own[:, 0], own[:, COUNTS.index("n_repeat_words")])
+                yield pa.RecordBatch.from_arrays([pa.array(forest.scores(ratios(own[passes]))), part.column("y").filter(pa.array(passes))], names=["score", "y"])
+
+    return rows.select("y", *COUNTS, *MORE).mapInArrow(shared.tidied(run), "score double, y int")
+
+
+def best_cut(rows: DataFrame, lost: float = GOOD_LOST) -> float:
+    """``calibrated`` over rows (score, y) of any number: counts of each score, added up in ranges of scores."""
+    spark = rows.sparkSession
+    each = rows.groupBy("score").agg(F.sum("y").alias("good"), F.sum(1 - F.col("y")).alias("bad"))
+    each, path = shared.stage(each.repartitionByRange(shared.partitions(spark), "score").withColumn("range", F.spark_partition_id()), "rules-scores")
+    try:
+        all_of = each.agg(F.sum("good"), F.sum("bad")).first()
+        if not all_of[0] or not all_of[1]:
+            return float(np.inf)
+        before = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
+        sums = each.groupBy("range").agg(F.sum("good").alias("g"), F.sum("bad").alias("b")).select("range", *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(c) for c in "gb"])
+        upto = Window.partitionBy("range").orderBy("score").rowsBetween(Window.unboundedPreceding, 0)
+        held = each.join(F.broadcast(sums), "range").select("score", (F.col("g") + F.sum("good").over(upto)).alias("good"), (F.col("b") + F.sum("bad").over(upto)).alias("bad"))
+        good_gone, bad_gone = 1 - F.col("good") / all_of[0], 1 - F.col("bad") / all_of[1]
+        gain = F.when(good_gone <= lost, bad_gone - good_gone).otherwise(-1.0)
+        best = held.agg(F.max(F.struct(gain.alias("gain"), "score")).alias("best")).first()["best"]["score"]
+        after = each.filter(F.col("score") > best).agg(F.min("score")).first()[0]
+        return best if after is None else (best + after) / 2  # halfway to the next score
+    finally:
+        shared.drop(spark, path)
 
 
 def judge(counts: DataFrame, forest: Forest | None) -> DataFrame:
@@ -222,7 +305,7 @@ def judge(counts: DataFrame, forest: Forest | None) -> DataFrame:
         for b in batches:
             for at in range(0, b.num_rows, PART):
                 part = b.slice(at, PART)
-                own = np.stack([part.column(c).to_numpy() for c in COUNTS + MORE], axis=1)
+                own = _values(part)
                 score = np.full(len(own), 0.5) if forest is None else forest.scores(ratios(own))
                 base = failed(own[:, 0], own[:, COUNTS.index("n_repeat_words")])
                 kept = ~base & (score <= (np.inf if forest is None else forest.cut))

@@ -256,3 +256,36 @@ def test_rules_leave_good_documents(spark):
     assert rules.fit(df, labels.filter("quality = 1")).cut == math.inf
     again = rules.fit(df.repartition(5), labels.repartition(2))
     assert np.array_equal(again.split, forest.split) and again.cut == forest.cut
+
+
+@pytest.mark.parametrize("lost", [0.0, 0.004, 0.2])
+def test_cut_of_many_rows(spark, lost):
+    rng = np.random.default_rng(8)
+    good = rng.random(3000) < 0.8
+    scores = np.round(rng.normal(np.where(good, 0.4, 0.5), 0.05), 3)
+    rows = spark.createDataFrame(list(zip(scores.tolist(), good.astype(int).tolist(), strict=True)), "score double, y int").repartition(3)
+    assert rules.best_cut(rows, lost) == rules.calibrated(scores, good, lost)
+    assert rules.best_cut(rows.filter("y = 1"), lost) == rules.best_cut(rows.limit(0), lost) == np.inf
+
+
+def test_every_labelled_row_counts(spark):
+    ids = [i for i in range(16_000) if not shared.held_out_id(i)][:12_500]
+    last = {r.id for r in spark.createDataFrame([(i,) for i in ids], "id long").orderBy(F.xxhash64("id"), "id").collect()[12_000:]}
+    text = lambda i: " ".join(("#$%" if i in last else "word") + "x" * (i % 7) + str(k) for k in range(10 + i % 3))
+    docs = spark.createDataFrame([(i, text(i)) for i in ids], "doc_id long, text string").repartition(4)
+    labels = spark.createDataFrame([(i, int(i not in last)) for i in ids], "doc_id long, quality int")
+    counts = rules.measure(docs).cache()
+    forest = rules.fitted(counts, labels)
+    rows = counts.join(labels, "doc_id").toPandas()
+    held = rows[~rules.failed(rows.n_words, rows.n_repeat_words)]
+    want = rules.calibrated(forest.scores(rules.ratios(held[rules.COUNTS + rules.MORE].to_numpy())), held.quality.to_numpy() == 1)
+    assert forest.cut == want < np.inf  # no cut came of the first 12,000 rows, which are all good
+
+
+def test_draws_are_of_all_rows(spark):
+    rows = spark.range(2000).select(F.col("id").alias("doc_id"), *[(F.col("id") % (k + 2) + 1).alias(c) for k, c in enumerate(rules.COUNTS + rules.MORE)])
+    got = rules.drawn(rows.repartition(5), 2000, 50, 8).toPandas()
+    assert (got.groupby("tree").size() == 8).all() and len(got) == 400 and got.doc_id.nunique() > 300
+    whole = rules.drawn(rows.limit(2000), 2000, 50, 300).toPandas()  # nothing is left out before the draw
+    first = {t: set(g.nsmallest(8, ["h", "doc_id"]).doc_id) for t, g in whole.groupby("tree")}
+    assert first == {t: set(g.doc_id) for t, g in got.groupby("tree")}
