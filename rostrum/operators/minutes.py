@@ -1,12 +1,16 @@
 """Published minutes: outcome sentences by a fold over a document's lines, and what they dispose of.
 
-A document's lines are classified by column expressions, and one fold over them carries the item at hand and the sentence that is
-still open, as lines wrap and the next item may begin before a sentence has ended.  Documents are rows, so that the work is dealt by
-document; a fold's state is the document's own sentences.
+One fold over a document's lines, in Arrow batches, carries the item at hand and the sentence that is still open, as lines wrap and the
+next item may begin before a sentence has ended.  Documents are rows, so that the work is dealt by document; a fold's state is the
+document's own sentences.  What a line is, is found once for lines that come again.
 """
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -36,6 +40,8 @@ TREATED, TREATMENT_ENDS = r"(?i)\bwhich (?:were|was)\b", r"(?i)\band Agenda\b|\b
 
 #: Lines of an open sentence at most.
 MOST_LINES = 8
+#: Lines whose kinds a task keeps, and documents that it folds at a time.
+KNOWN, PART = 50_000, 1000
 
 
 def code_of(text: Column) -> Column:
@@ -65,25 +71,71 @@ def subsidiary(text: Column) -> Column:
     return out
 
 
-def _lines(text: Column) -> Column:
-    """The lines of a document with what they are."""
-    trimmed = F.transform(F.split(F.coalesce(text, F.lit("")), r"\r\n|\r|\n"), lambda x: F.trim(F.regexp_replace(x, r"\s{2,}", " ")))
-    kept = F.filter(trimmed, lambda x: (x != "") & ~x.rlike(FURNITURE))
+def _python(pattern: str) -> re.Pattern:
+    """A pattern of this module as Java reads it: classes of ASCII, and lines that end at the separators of Unicode too."""
+    return re.compile(pattern.replace("$", r"(?=[\x85\u2028\u2029]?\Z)").replace(".*", r"[^\n\r\x85\u2028\u2029]*"), re.ASCII)
+
+
+_BREAK, _BLANKS = re.compile(r"\r\n|\r|\n"), re.compile(r"\s{2,}", re.ASCII)
+_ITEM, _HEADING, _FIELD, _VERB, _FURNITURE, _OFFSET = map(_python, (ITEM, HEADING, FIELD, VERB, FURNITURE, OFFSET))
+_SECTIONS = [_python(p) for _, p in SECTIONS]
+
+
+def _kind(raw: str) -> tuple | None:
+    """line, its item's code and heading or none, field, begins, verb, bulk; nothing for furniture and empty lines."""
+    x = _BLANKS.sub(" ", raw).strip(" ")
+    if not x or _FURNITURE.search(x):
+        return None
+    item = _ITEM.search(x)
+    own = (item[1] + str(int(item[2])), item[3]) if item else None
+    verb = "A" <= x[0] <= "Z" and _VERB.search(x) is not None
+    return x, own, _FIELD.search(x) is not None, _HEADING.search(x) is not None, verb, any(p.search(x) for p in _SECTIONS)
+
+
+def _sentences_of(text: str | None, known: dict[str, tuple | None]) -> list[tuple]:
+    """item, code, heading, sentence of a document, in order; ``known`` has the kinds of lines."""
+    out: list[tuple] = []
+    items, at, after, open_, target = 0, (None, None), False, [], None
+
+    def close() -> None:
+        out.append((target, *(at if target is not None else (None, None)), " ".join(open_)))
+
+    for raw in _BREAK.split(text or ""):
+        if raw not in known:
+            if len(known) >= KNOWN:
+                known.clear()
+            known[raw] = _kind(raw)
+        kind = known[raw]
+        if kind is None:
+            continue
+        line, own, field, begins, verb, bulk = kind
+        if open_:
+            # an offset may be a line of its own, after the one that ends
+            if len(open_) < MOST_LINES and not field and not begins and not _OFFSET.sub("", " ".join(open_[-2:]).rstrip(" ")).endswith("."):
+                open_.append(line)
+                continue
+            close()
+        open_, target = [], None
+        if own:
+            items, at, after = items + 1, own, False
+        elif field:
+            after = True
+        elif verb:
+            open_, target = [line], items if after and not bulk else None
+    if open_:
+        close()
+    return out
 
-    def kind(x: Column) -> Column:
-        item = x.rlike(ITEM)
-        return F.struct(
-            x.alias("line"),
-            item.alias("item"),
-            F.when(item, code_of(x)).alias("code"),
-            F.when(item, F.regexp_extract(x, ITEM, 3)).alias("heading"),
-            x.rlike(FIELD).alias("field"),
-            x.rlike(HEADING).alias("begins"),
-            (x.rlike(VERB) & F.substring(x, 1, 1).rlike(r"\p{Lu}")).alias("verb"),
-            section_of(x).isNotNull().alias("bulk"),
-        )
 
-    return F.transform(kept, kind)
+def _folded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    known: dict[str, tuple | None] = {}
+    for b in batches:
+        for first in range(0, b.num_rows, PART):
+            part = b.slice(first, PART)
+            found = [(row, no, *s) for row, text in enumerate(part.column(1).to_pylist()) for no, s in enumerate(_sentences_of(text, known))]
+            row, no, item, code, heading, sentence = zip(*found, strict=True) if found else [()] * 6
+            ids = part.column(0).take(pa.array(row, pa.int32()))
+            yield pa.RecordBatch.from_arrays([ids, pa.array(no, pa.int32()), pa.array(item, pa.int32()), *(pa.array(c, pa.string()) for c in (code, heading, sentence))], names=["id", "no", "item", "code", "heading", "sentence"])
 
 
 def sentences(docs: DataFrame) -> DataFrame:
@@ -93,36 +145,8 @@ def sentences(docs: DataFrame) -> DataFrame:
     or that follows no item's fields.  A sentence begins with a capital verb of outcome; it takes up the lines after it until it ends
     with a full stop, an offset in brackets aside, until a field or the next item begins, or until it has ``MOST_LINES`` lines.
     """
-    found = "array<struct<item:int,code:string,heading:string,sentence:string>>"
-
-    def closed(s: Column) -> Column:
-        own = F.struct(s["target"].alias("item"), F.when(s["target"].isNotNull(), s["code"]).alias("code"), F.when(s["target"].isNotNull(), s["heading"]).alias("heading"), s["open"].alias("sentence"))
-        return F.concat(s["out"], F.array(own)).cast(found)
-
-    def step(s: Column, x: Column) -> Column:
-        is_open = s["n"] > 0
-        ended = F.endswith(F.regexp_replace(F.rtrim(s["open"]), OFFSET, ""), F.lit("."))
-        takes = is_open & ~ended & (s["n"] < MOST_LINES) & ~x["field"] & ~x["begins"]
-        begins = ~takes & x["item"]
-        field = ~takes & ~x["item"] & x["field"]
-        starts = ~takes & ~x["item"] & ~x["field"] & x["verb"]
-        return F.struct(
-            F.when(begins, s["items"] + 1).otherwise(s["items"]).alias("items"),
-            F.when(begins, x["code"]).otherwise(s["code"]).alias("code"),
-            F.when(begins, x["heading"]).otherwise(s["heading"]).alias("heading"),
-            F.when(begins, F.lit(False)).when(field, F.lit(True)).otherwise(s["after"]).alias("after"),
-            F.when(takes, F.concat(s["open"], F.lit(" "), x["line"])).when(starts, x["line"]).otherwise(F.lit("")).alias("open"),
-            F.when(takes, s["n"] + 1).when(starts, F.lit(1)).otherwise(F.lit(0)).alias("n"),
-            F.when(takes, s["target"]).when(starts & ~x["bulk"] & s["after"], s["items"]).alias("target"),
-            F.when(is_open & ~takes, closed(s)).otherwise(s["out"]).alias("out"),
-        )
-
-    none = F.lit(None)
-    start = F.struct(
-        F.lit(0).alias("items"), none.cast("string").alias("code"), none.cast("string").alias("heading"), F.lit(False).alias("after"), F.lit("").alias("open"), F.lit(0).alias("n"), none.cast("int").alias("target"), F.array().cast(found).alias("out")
-    )
-    folded = F.aggregate(_lines(F.col("text")), start, step, lambda s: F.when(s["n"] > 0, closed(s)).otherwise(s["out"]))
-    return docs.select("id", F.posexplode(folded).alias("no", "s")).select("id", "no", "s.*")
+    schema = f"id {docs.schema['id'].dataType.simpleString()}, no int, item int, code string, heading string, sentence string"
+    return docs.select("id", "text").mapInArrow(_folded, schema)
 
 
 def agreement(heading: Column, title: Column) -> Column:

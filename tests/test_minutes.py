@@ -134,3 +134,18 @@ def test_disposed(spark, sentences, want):
     bulk = spark.createDataFrame([(1, n, s) for n, s in enumerate(sentences)], "id long, no int, sentence string")
     items = spark.createDataFrame([(1, *x) for x in ITEMS], "id long, item_id long, seq int, code string, section string, title string")
     assert {r.item_id: (r.outcome, r.source) for r in M.disposed(bulk, items).collect()} == want
+
+
+def test_sentences_of_odd_lines(spark):
+    texts = [
+        (1, "C1 RING\rRecommendation: x\r\nApproved it\n(12:30)\nin full.\n(0:15)\nDenied  the\u2028rest.  (1:02:03)\nno part"),
+        (1, "AB 007 Bolt\nFiscal Impact\n" + "Adopted\nline\n" * 6 + "3 of 17\nP2 Next"),
+        (2, None),
+        (3, "denied\nAPPROVED Consent Agenda"),
+    ]
+    docs = spark.createDataFrame(texts, "id long, text string")
+    got = M.sentences(docs)
+    assert "MapInArrow" in got._jdf.queryExecution().optimizedPlan().toString()  # not a lambda that is interpreted for each line
+    one = [(1, 0, 1, "C1", "RING", "Approved it (12:30) in full."), (1, 1, 1, "C1", "RING", "Denied the\u2028rest. (1:02:03)")]
+    two = [(1, 0, 1, "AB7", "Bolt", " ".join(["Adopted line"] * 4)), (1, 1, 1, "AB7", "Bolt", "Adopted line Adopted line")]
+    assert sorted(tuple(r) for r in got.collect()) == sorted([*one, *two, (3, 0, None, None, None, "APPROVED Consent Agenda")])
