@@ -194,17 +194,21 @@ def disposed(bulk: DataFrame, items: DataFrame) -> DataFrame:
     s = s.withColumn("named", F.array_distinct(codes_in(F.col("sentence")))).withColumn("listed", F.col("sentence").rlike(INCLUDED))
     lead = F.get(F.split("sentence", EXCEPT), F.lit(0))
     s = s.withColumn("lead", lead).withColumn("parts", F.split(F.substring(F.col("sentence"), F.length(lead) + 1, F.length("sentence")), TREATED))
-    same = items.select("id", "item_id", "seq", "code", F.lower("section").alias("own"))
+    # a sentence's parts, each with the words that hold its codes and those that tell the outcome; the rest of the section has no code
+    claim = lambda k, source, head, said: F.struct(k.alias("k"), F.lit(source).alias("source"), head.alias("head"), said.alias("said"))
+    treatment = lambda i: F.trim(F.get(F.split(F.get(F.col("parts"), i + 1), TREATMENT_ENDS), F.lit(0)))
+    told = F.when(F.size("parts") > 1, F.transform(F.sequence(F.lit(0), F.size("parts") - 2), lambda i: claim(i, "exception", F.get(F.col("parts"), i), treatment(i))))
+    told = F.filter(told, lambda c: ~F.contains(F.lower(c["said"]), F.lit("pull")))
+    rest = F.array(claim(F.lit(10**6), "consent", F.lit(None).cast("string"), F.col("lead")))
+    claims = F.when(F.col("listed"), F.array(claim(F.lit(0), "included", F.col("sentence"), F.col("sentence")))).otherwise(F.when(F.size("parts") > 1, F.concat(told, rest)).otherwise(rest))
+    s = s.select("id", "no", "section", "named", F.explode(claims).alias("c"))
+    codes = F.when(F.col("c.source") == "consent", F.array(F.lit(None).cast("string"))).otherwise(F.array_distinct(codes_in(F.col("c.head"))))
+    s = s.select("id", "no", "section", "named", "c.k", "c.source", T.outcome(F.col("c.said")).alias("outcome"), F.explode(codes).alias("told"))
 
-    listed = s.filter("listed").select("id", "no", "section", F.explode("named").alias("code"), T.outcome(F.col("sentence")).alias("outcome"), F.lit("included").alias("source"), F.lit(0).alias("k"))
-    pairs = F.transform(F.sequence(F.lit(0), F.size("parts") - 2), lambda i: F.struct(i.alias("k"), F.get(F.col("parts"), i).alias("head"), F.get(F.split(F.get(F.col("parts"), i + 1), TREATMENT_ENDS), F.lit(0)).alias("treatment")))
-    told = s.filter("not listed and size(parts) > 1").select("id", "no", "section", F.explode(pairs).alias("p")).filter(~F.contains(F.lower("p.treatment"), F.lit("pull")))
-    excepted = told.select("id", "no", "section", F.explode(F.array_distinct(codes_in(F.col("p.head")))).alias("code"), T.outcome(F.trim(F.col("p.treatment"))).alias("outcome"), F.lit("exception").alias("source"), F.col("p.k").alias("k"))
+    same = items.select("id", "item_id", "seq", "code", F.lower("section").alias("own"))
+    reached = s.join(same, "id").filter(F.when(F.col("told").isNotNull(), F.col("told") == F.col("code")).otherwise((F.col("section") == F.col("own")) & ~F.array_contains("named", F.col("code"))))
     # a code of several items is the one in the section, or else the first
-    by_code = Window.partitionBy("id", "no", "k", "code", "source").orderBy(F.when(F.col("own") == F.col("section"), 0).otherwise(1), "seq", "item_id")
-    picked = listed.unionByName(excepted).join(same, ["id", "code"]).withColumn("r", F.row_number().over(by_code)).filter("r = 1 and (source = 'exception' or own = section)")
-    rest = s.filter("not listed").join(same, (s["id"] == same["id"]) & (s["section"] == same["own"]) & ~F.array_contains(s["named"], same["code"]))
-    rest = rest.select(s["id"], "no", "item_id", T.outcome(F.col("lead")).alias("outcome"), F.lit("consent").alias("source"), F.lit(10**6).alias("k"))
-    every = picked.select("id", "no", "item_id", "outcome", "source", "k").unionByName(rest)
+    by_code = Window.partitionBy("id", "no", "k", "told", "source", F.when(F.col("told").isNull(), F.col("item_id"))).orderBy(F.when(F.col("own") == F.col("section"), 0).otherwise(1), "seq", "item_id")
+    every = reached.withColumn("r", F.row_number().over(by_code)).filter("told is null or r = 1 and (source = 'exception' or own = section)")
     w = Window.partitionBy("id", "item_id").orderBy("no", "k")
-    return every.withColumn("r", F.row_number().over(w)).filter("r = 1").select("id", "item_id", "outcome", "source")
+    return every.select("id", "item_id", "outcome", "source", F.row_number().over(w).alias("r")).filter("r = 1").drop("r")

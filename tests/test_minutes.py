@@ -149,3 +149,11 @@ def test_sentences_of_odd_lines(spark):
     one = [(1, 0, 1, "C1", "RING", "Approved it (12:30) in full."), (1, 1, 1, "C1", "RING", "Denied the\u2028rest. (1:02:03)")]
     two = [(1, 0, 1, "AB7", "Bolt", " ".join(["Adopted line"] * 4)), (1, 1, 1, "AB7", "Bolt", "Adopted line Adopted line")]
     assert sorted(tuple(r) for r in got.collect()) == sorted([*one, *two, (3, 0, None, None, None, "APPROVED Consent Agenda")])
+
+
+def test_disposed_folds_once(spark):
+    docs = spark.createDataFrame([(1, "Approved the Consent Agenda with the exception of C-1, which was denied.")], "id long, text string")
+    items = spark.createDataFrame([(1, 10, 1, "C1", "Consent", "a"), (1, 11, 2, "C1", "Consent", "b"), (1, 12, 3, "C2", "Consent", "c"), (1, 13, 4, "P3", "Regular", "d")], "id long, item_id long, seq int, code string, section string, title string")
+    got = M.disposed(M.sentences(docs), items)
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+    assert sorted(tuple(r) for r in got.collect()) == [(1, 10, "denied", "exception"), (1, 12, "approved", "consent")]
