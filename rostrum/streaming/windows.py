@@ -34,10 +34,23 @@ def sessions(events: DataFrame, key: str, gap: str, late: str = "1 hour") -> Dat
 
 
 def over_limit(events: DataFrame, key: str, id_: str, seconds: int, most: int) -> DataFrame:
-    """Events that find more than ``most`` of their key's events within the last ``seconds``, themselves included."""
-    at = F.unix_micros(F.col("ts").cast("timestamp"))
-    w = Window.partitionBy(key).orderBy(at).rangeBetween(-seconds * 1_000_000, 0)
-    return events.select(id_, key, F.count("*").over(w).alias("n")).filter(F.col("n") > most)
+    """Events that find more than ``most`` of their key's events within the last ``seconds``, themselves included.
+
+    Time is cut into blocks of ``seconds``, so that a key's events are split and a window reaches into the block before only.  That
+    block's events come as counts that leave when the window has passed them: sums from a block's beginning, no frame that is counted anew.
+    """
+    width = seconds * 1_000_000
+    own = events.select(F.col(id_).alias("_id"), F.col(key).alias("_key"), F.unix_micros(F.col("ts").cast("timestamp")).alias("_at"))
+    own = own.withColumn("_block", F.floor(F.col("_at") / F.lit(width)).cast("long"))
+    gone = own.filter("_at is not null").groupBy("_key", "_block", "_at").agg(F.count("*").alias("_left"))
+    gone = gone.select("_key", (F.col("_block") + 1).alias("_block"), (F.col("_at") + width).alias("_at"), "_left")
+    both = own.withColumn("_own", F.lit(1)).unionByName(gone, allowMissingColumns=True)
+    w = Window.partitionBy("_key", "_block")
+    upto = w.orderBy("_at")
+    so_far, all_of, passed = F.sum("_own").over(upto.rangeBetween(Window.unboundedPreceding, 0)), F.sum("_left").over(w), F.sum("_left").over(upto.rangeBetween(Window.unboundedPreceding, -1))
+    n = so_far + F.coalesce(all_of, F.lit(0)) - F.coalesce(passed, F.lit(0))
+    counted = both.select("_id", "_key", "_own", n.alias("n")).filter("_own = 1").filter(F.col("n") > most)
+    return counted.select(F.col("_id").alias(id_), F.col("_key").alias(key), "n")
 
 
 def latest(rows: DataFrame, key: str, order: str) -> DataFrame:

@@ -253,3 +253,21 @@ def test_case_ids_of_long_numbers(spark, tmp_path):
     duck.execute(f"CREATE VIEW part AS SELECT * FROM '{tmp_path}/part.parquet/*.parquet'")
     assert got == dict(duck.sql(registry.oracle_sql()["T13_case_ids"]).fetchall())
     assert got[999_900] == "--" and got[1] == "ECON-21-101" and got[2] is None
+
+
+def test_rates_of_a_hot_key_are_split(spark, monkeypatch):
+    rng = random.Random(5)
+    micros = [rng.randrange(-20_000, 40_000) * 500_000 for _ in range(700)] + [0, 0, 600_000_000, 600_000_001, None, None]
+    events = [(i, rng.choice("aaaab") if i % 50 else None, m) for i, m in enumerate(micros)]
+    df = spark.createDataFrame(events, "id long, k string, m long").withColumn("ts", F.timestamp_micros("m"))
+    want = set()
+    for i, k, m in events:
+        n = sum(k == k2 and (m is m2 is None or None not in (m, m2) and m - 600_000_000 <= m2 <= m) for _, k2, m2 in events)
+        want |= {(i, k, n)} if n > 1 else set()
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = windows.over_limit(df, "k", "id", 600, 1)
+        assert {tuple(r) for r in got.collect()} == want
+        assert got.filter("k = 'a'").select(F.spark_partition_id()).distinct().count() > 1
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
