@@ -99,6 +99,22 @@ def test_cover_density(spark):
     assert got == {k: v for k, v in want.items() if v[0]}
 
 
+def test_cover_density_where_documents_are(spark):
+    rng = random.Random(4)
+    docs = [(i, " ".join(rng.choices("abcdef", k=rng.randrange(0, 40)))) for i in range(90)] + [(99, None), (98, "a " * 300 + "b")]
+    asked = {1: ["a"], 2: ["a", "b"], 3: ["c", "d", "e"], 4: ["a", "zz"], 5: list("abcde")}
+    q = spark.createDataFrame([(k, t) for k, ts in asked.items() for t in ts], "qid long, term string")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "50")  # documents are cut by batches
+    try:
+        df = search.dense_covers(spark.createDataFrame(docs, "id long, text string").repartition(3), "id", "text", q)
+        assert "Exchange hashpartitioning(id" not in df._jdf.queryExecution().executedPlan().toString()  # no occurrence moves
+        got = {(r.qid, r.id): (r.covers, round(r.score, 9)) for r in df.collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    want = {(k, i): brute_covers((t or "").split(), ts) for (i, t), (k, ts) in itertools.product(docs, asked.items())}
+    assert got == {k: v for k, v in want.items() if v[0]}
+
+
 def test_thread_hits(spark):
     keys = spark.createDataFrame([(i, "topic", "all") for i in range(50)] + [(7, "case", "R1"), (60, "case", "R1"), (7, "case", "R1"), (3, "case", "R2")], "id long, kind string, key string")
     asked = spark.createDataFrame([(1, "topic", "all"), (1, "case", "R1"), (2, "case", "none"), (3, "case", "R2"), (3, "case", "R1")], "qid long, kind string, key string")
