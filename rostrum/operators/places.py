@@ -89,3 +89,13 @@ def chain(links: DataFrame, group: list[str], starts: DataFrame) -> DataFrame:
             return known
         known = known.unionByName(cuts)
     raise RuntimeError(f"a chain has more than 2 ** {MAX_ROUNDS} cuts")
+
+
+#: Rows of a task where ``dealt`` deals them.
+ROWS = 500_000
+
+
+def dealt(rows: DataFrame, n: int, *key: str) -> DataFrame:
+    """``rows``, about ``n`` of them, by key in as many tasks as keep each at some ``ROWS``: more rows make more tasks, not larger ones."""
+    width = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(max(width, -(-n // ROWS)), *key)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from rostrum.operators import identity as D
 from rostrum.operators import intervals as I
-from rostrum.operators import parsers
+from rostrum.operators import parsers, places
 from rostrum.operators import records as R
 from rostrum.operators import search as S
 from rostrum.operators import vectors as V
@@ -147,8 +147,10 @@ def heard(t):
 @query("Y10_page_letters", """
 SELECT l_orderkey, l_suppkey, CASE WHEN n <= 26 THEN chr((64 + n)::INT) ELSE chr((64 + (n - 1) // 26)::INT) || chr((65 + (n - 1) % 26)::INT) END AS letter FROM (SELECT l_orderkey, l_suppkey, dense_rank() OVER (PARTITION BY l_orderkey ORDER BY l_suppkey) AS n FROM lineitem) GROUP BY ALL""")
 def page_letters(t):
-    n = F.dense_rank().over(Window.partitionBy("l_orderkey").orderBy("l_suppkey"))
-    r = t("lineitem").select("l_orderkey", "l_suppkey", n.alias("n")).distinct()
+    w = Window.partitionBy("l_orderkey").orderBy("l_suppkey")
+    lines = t("lineitem").select("l_orderkey", "l_suppkey")
+    again = F.col("l_suppkey").eqNullSafe(F.lag("l_suppkey").over(w)) & (F.row_number().over(w) > 1)
+    r = places.dealt(lines, lines.count(), "l_orderkey").select("*", F.dense_rank().over(w).alias("n"), again.alias("again")).filter("not again")
     two = F.concat(F.chr(64 + F.floor((F.col("n") - 1) / 26)), F.chr(65 + (F.col("n") - 1) % 26))
     return r.select("l_orderkey", "l_suppkey", F.when(F.col("n") <= 26, F.chr(64 + F.col("n"))).otherwise(two).alias("letter"))
 

@@ -7,7 +7,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from rostrum.functions import text as T
-from rostrum.operators import aggregates, identity, intervals, parsers, passages, redaction, search, subjects
+from rostrum.operators import aggregates, identity, intervals, parsers, passages, places, redaction, search, subjects
+from rostrum.plans import registry
 from rostrum.streaming import windows
 
 
@@ -271,3 +272,18 @@ def test_rates_of_a_hot_key_are_split(spark, monkeypatch):
         assert got.filter("k = 'a'").select(F.spark_partition_id()).distinct().count() > 1
     finally:
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def test_dealt_by_count(spark):
+    rows_ = spark.range(1000).withColumn("k", F.col("id") % 97)
+    assert places.dealt(rows_, 1000, "k").rdd.getNumPartitions() == 4
+    assert places.dealt(rows_, 10 * places.ROWS + 1, "k").rdd.getNumPartitions() == 11
+
+
+def test_page_letters_of_repeated_lines(spark, tmp_path):
+    lines = [(1, s) for s in [5, 5, 7, None, None, *range(100, 130)]] + [(2, 5)]
+    spark.createDataFrame(lines, "l_orderkey long, l_suppkey long").repartition(2).write.parquet(f"{tmp_path}/lineitem.parquet")
+    got = registry.queries()["Y10_page_letters"](spark, str(tmp_path))
+    assert "Aggregate" not in got._jdf.queryExecution().optimizedPlan().toString()
+    letters = {(r.l_orderkey, r.l_suppkey): r.letter for r in got.collect()}
+    assert len(letters) == got.count() == 34 and letters[2, 5] == "A" and letters[1, 129] == "AG"
