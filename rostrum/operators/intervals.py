@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from rostrum.operators import places
+
 
 def islands(rows: DataFrame, key: list[str], idx: str) -> DataFrame:
     """Runs of consecutive ``idx`` per key: key, start_idx, end_idx, n."""
@@ -71,18 +73,25 @@ def merged(rows: DataFrame, key: list[str], start: str, end: str, slack: float =
 
 
 def uncovered(speech: DataFrame, words: DataFrame, key: list[str], start: str, end: str, least: float) -> DataFrame:
-    """Parts of (merged) ``speech`` of at least ``least`` that no interval of ``words`` covers: key, start, end."""
-    a, b = merged(speech, key, start, end).drop("n"), merged(words, key, start, end).drop("n")
-    b = b.select(*key, F.col(start).alias("_ws"), F.col(end).alias("_we"))
-    cuts = a.join(b, key, "left").filter("_ws is null or (_ws <= {0} and _we >= {1})".format(f"`{end}`", f"`{start}`"))
-    alone = a.join(b, [*[a[k] == b[k] for k in key], F.col("_ws") <= F.col(end), F.col("_we") >= F.col(start)], "left_anti")
-    w = Window.partitionBy(*key, start, end).orderBy("_ws")
-    inner = cuts.filter("_ws is not null").withColumn("_next", F.coalesce(F.lead("_ws").over(w), F.col(end))).withColumn("_first", F.row_number().over(w) == 1)
-    holes = inner.select(*key, F.explode(F.array_compact(F.array(
-        F.when(F.col("_first"), F.struct(F.col(start).alias("a"), F.col("_ws").alias("b"))),
-        F.struct(F.col("_we").alias("a"), F.col("_next").alias("b")),
-    ))).alias("h")).select(*key, F.col("h.a").alias(start), F.col("h.b").alias(end))
-    return holes.unionByName(alone.select(*key, start, end)).filter(F.col(end) - F.col(start) >= least)
+    """Parts of (merged) ``speech`` of at least ``least`` (more than 0) that no interval of ``words`` covers: key, start, end.
+
+    One sweep over the ends of all intervals, which are dealt by key in tasks of bounded size: a part runs while speech is open and no word
+    is, and ends at a word even if that takes no time.
+    """
+    known = F.col(start).isNotNull() & F.col(end).isNotNull()
+
+    def ends(rows: DataFrame, says: int, has: int) -> DataFrame:
+        point = lambda at, by: F.struct(F.col(at).alias("at"), F.lit(says * by).alias("says"), F.lit(has * by).alias("has"))
+        return rows.filter(known).select(*key, F.explode(F.array(point(start, 1), point(end, -1))).alias("_p")).select(*key, "_p.*")
+
+    points = places.dealt(ends(speech, 1, 0).unionByName(ends(words, 0, 1)), 2 * (speech.count() + words.count()), *key)
+    w = Window.partitionBy(*key).orderBy("at")
+    upto = w.rangeBetween(Window.unboundedPreceding, 0)
+    points = points.select(*key, "at", (F.col("has") != 0).alias("word"), F.lead("at").over(w).alias("next"), ((F.sum("says").over(upto) > 0) & (F.sum("has").over(upto) == 0)).alias("hole"))
+    new = F.when(F.col("hole") & ~F.col("word") & F.coalesce(F.lag("hole").over(w), F.lit(False)), 0).otherwise(1)
+    runs = points.select(*key, "at", "next", "hole", new.alias("_new")).withColumn("_run", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0))).filter("hole")
+    holes = runs.groupBy(*key, "_run").agg(F.min("at").alias(start), F.max("next").alias(end)).drop("_run")
+    return holes.filter(F.col(end) - F.col(start) >= least)
 
 
 def turns(rows: DataFrame, key: list[str], idx: str, same: list[str]) -> DataFrame:

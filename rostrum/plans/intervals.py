@@ -237,7 +237,7 @@ h AS (SELECT k, s, ws AS f FROM j WHERE rn = 1 UNION ALL SELECT k, we, coalesce(
 SELECT k, round(sum(f - s), 2) AS seconds, count(*) AS holes FROM h WHERE f - s >= 2 GROUP BY k""")
 def holes(t):
     e = stretches(t)
-    speech = e.select("k", (F.floor(F.col("s") / 7200) * 7200.0).alias("s")).distinct().withColumn("f", F.col("s") + 7200.0)
+    speech = e.select("k", (F.floor(F.col("s") / 7200) * 7200.0).alias("s")).withColumn("f", F.col("s") + 7200.0)
     got = I.uncovered(speech, e, ["k"], "s", "f", 2.0)
     return got.groupBy("k").agg(F.round(F.sum(F.col("f") - F.col("s")), 2).alias("seconds"), F.count("*").alias("holes"))
 

@@ -274,6 +274,16 @@ def test_rates_of_a_hot_key_are_split(spark, monkeypatch):
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
 
 
+def test_uncovered_by_sweep(spark, monkeypatch):
+    speech = spark.createDataFrame([("v", 0.0, 10.0), ("v", 10.0, 20.0), ("v", 5.0, 8.0), ("v", 5.0, 8.0), ("w", 0.0, 9.0), ("x", None, 3.0)], "k string, s double, e double")
+    words = spark.createDataFrame([("v", 6.0, 6.0), ("v", 13.0, 14.0), ("v", 13.5, 30.0), ("w", 9.0, 12.0), ("y", 0.0, 1.0)], "k string, s double, e double")
+    monkeypatch.setattr(places, "ROWS", 3)
+    got = intervals.uncovered(speech, words, ["k"], "s", "e", 2.0)
+    assert rows(got) == [("v", 0.0, 6.0), ("v", 6.0, 13.0), ("w", 0.0, 9.0)]
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "RepartitionByExpression [k" in plan
+
+
 def test_dealt_by_count(spark):
     rows_ = spark.range(1000).withColumn("k", F.col("id") % 97)
     assert places.dealt(rows_, 1000, "k").rdd.getNumPartitions() == 4
