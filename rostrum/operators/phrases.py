@@ -11,8 +11,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rostrum.functions import text as T
+from rostrum.operators import places
 from rostrum.sources import staging
 
+#: Rows of subjects of texts up to which they are sent to the items; a shuffle join stands beside it.
+BROADCAST_ROWS = 100_000
 #: Rounds of ``closure`` at most: levels of a tree double each round.
 MAX_ROUNDS = 20
 
@@ -65,8 +68,18 @@ def subjects_of(items: DataFrame, tree: DataFrame, terms: DataFrame) -> DataFram
 
     An item is a subject's if a phrase of the subject or of one under it occurs, unless one of the subject's own
     negative phrases does; exclusions aren't handed up or down.  Where the parent has phrases of its own, one of
-    these has to occur too.
+    these has to occur too.  Equal texts have equal subjects, so that each text is looked at once and meets its items at the end.
     """
+    texts, _ = staging.stage(items.filter("text is not null").select("text").distinct(), "subject-texts")
+    found, _ = staging.stage(_subjects_of_texts(texts.select(F.col("text").alias("id"), "text"), tree, terms).withColumnRenamed("id", "text"), "subjects-of-texts")
+    n = found.count()
+    small, each = n <= BROADCAST_ROWS, 1 + n // max(texts.count(), 1)
+    rows = places.dealt(items.select("id", "text"), each * items.count(), "id")  # so that an item's subjects are told apart in its task
+    return rows.join(F.broadcast(found) if small else found, "text").select("slug", "id").distinct()
+
+
+def _subjects_of_texts(items: DataFrame, tree: DataFrame, terms: DataFrame) -> DataFrame:
+    """slug, id: as ``subjects_of``, each item by itself."""
     phrases = terms.select("phrase").distinct().withColumn("pid", F.col("phrase"))
     hits, _ = staging.stage(matches(items, phrases).withColumnRenamed("pid", "phrase"), "subject-hits")
     own = terms.join(hits, "phrase").select("slug", "negative", "id").distinct()

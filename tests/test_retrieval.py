@@ -141,6 +141,19 @@ def test_phrases(spark):
     assert got == {(p, i) for (p, x), (i, t) in itertools.product(asked, texts) if occurs(x, t)}
 
 
+def test_equal_texts_are_looked_at_once(spark, monkeypatch):
+    seen, were = [], phrases.matches
+    monkeypatch.setattr(phrases, "matches", lambda texts, asked: (seen.append(texts.count()), were(texts, asked))[1])
+    items = spark.createDataFrame([(i, ["red ring", "bolt", None][i % 3]) for i in range(60)], "id long, text string")
+    tree = spark.createDataFrame([("goods", None), ("ring", "goods")], "slug string, parent string")
+    terms = spark.createDataFrame([("ring", "ring", False)], "slug string, phrase string, negative boolean")
+    want = [(s, i) for s in ("goods", "ring") for i in range(0, 60, 3)]
+    for rows in (100_000, 0):  # sent, and by a shuffle join
+        monkeypatch.setattr(phrases, "BROADCAST_ROWS", rows)
+        assert sorted(tuple(r) for r in phrases.subjects_of(items, tree, terms).collect()) == want
+    assert seen == [2, 2]
+
+
 def test_subjects_of_a_tree(spark):
     tree = [("theme", None), ("roads", "theme"), ("bridges", "roads"), ("toll", "bridges"), ("lost", "nowhere"), ("a", "b"), ("b", "a"), ("none", None)]
     terms = [("roads", "road", False), ("roads", "road show", True), ("bridges", "bridge", False), ("bridges", "card bridge", True), ("toll", "toll", False), ("lost", "road", False), ("a", "ay", False), ("b", "bee", False)]
