@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from rostrum.operators import phrases, search, vectors
+from rostrum.plans import registry
 
 SF = "/root/testdata/sf0.01"
 
@@ -124,6 +125,33 @@ def test_thread_hits(spark):
     assert got == {1: [7, 60, 0, 1, 2, 3], 3: [7, 60, 3]}
 
 
+def test_thread_hits_are_whole(spark):
+    pairs = [(i, "topic", "all") for i in range(700)] + [(699, "case", "R1"), (900, "case", "R1"), (5, "topic", "all")]
+    keys = spark.createDataFrame(pairs, "id long, kind string, key string").repartition(5)
+    asked = spark.createDataFrame([(1, "topic", "all"), (1, "case", "R1"), (1, "topic", "all"), (2, "case", "none"), (3, "topic", "all")], "qid long, kind string, key string")
+    got = {}
+    for r in search.thread_hits(keys, asked).orderBy("qid", "rank").collect():
+        got.setdefault(r.qid, []).append((r.rank, r.id))
+    assert got == {1: list(enumerate([699, 900, *range(699)], 1)), 3: list(enumerate(range(700), 1))}
+
+
+def test_fusion_keeps_all_of_a_topic(spark, tmp_path):
+    duckdb = pytest.importorskip("duckdb")
+    tables = {
+        "documents": ([(i, f"that and w{i}") for i in range(700)] + [(900, "other words")], "doc_id long, text string"),
+        "benchmark": ([(1, "that and"), (2, "words")], "item_id long, text string"),
+        "embeddings": ([(i, [1.0, i / 10]) for i in range(4)], "vec_id long, embedding array<float>"),
+    }
+    con = duckdb.connect()
+    for name, (rows, schema) in tables.items():
+        spark.createDataFrame(rows, schema).write.parquet(str(tmp_path / f"{name}.parquet"))
+        con.sql(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet/*.parquet'")
+    got = sorted(map(tuple, registry.queries()["T6_reciprocal_rank_fusion"](spark, str(tmp_path)).collect()))
+    assert {i for q, i, _ in got if q == 1} == set(range(700))  # 300 by words and 200 by the topic are fewer
+    want = sorted(con.sql(registry.oracle_sql()["T6_reciprocal_rank_fusion"]).fetchall())
+    assert [r[:2] for r in got] == [r[:2] for r in want] and [r[2] for r in got] == pytest.approx([float(r[2]) for r in want])
+
+
 def words(text):
     return re.findall(r"[^\W_]+", (text or "").lower())
 
